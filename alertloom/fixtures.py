@@ -6,7 +6,7 @@ arithmetic that is identical in the two engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fv
@@ -23,6 +23,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def split_of(pair: Column) -> Column:
+    return F.when(pair % 20 < 14, "train").when(pair % 20 < 17, "val").otherwise("test")
+
+
 def shape_cases(ev: DataFrame) -> DataFrame:
     """Case columns from event rows (works on a batch or a streaming DataFrame)."""
     e = F.col("event_id")
@@ -32,7 +36,7 @@ def shape_cases(ev: DataFrame) -> DataFrame:
     return ev.select(
         e.alias("case_id"),
         F.when(c == 0, "A").when(c == 1, "B").when(c == 2, "B_prime").when(c == 3, "C").otherwise("D").alias("cohort"),
-        F.when(pair % 20 < 14, "train").when(pair % 20 < 17, "val").otherwise("test").alias("split"),
+        split_of(pair).alias("split"),
         pair.alias("pair_id"),
         F.when(c.isin(1, 2), e - c).alias("parent_case_id"),
         F.when((c == 1) & (pair % 2 == 0), "label_flip").when(c.isin(1, 2), "label_preserved").alias("pair_relation"),
@@ -73,6 +77,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select(
         F.concat(F.lit("c"), k.cast("string")).alias("candidate"),
         e.alias("case_id"),
+        split_of(F.expr("event_id div 5")).alias("split"),
         F.when(t == 0, "event_type").when(t == 1, "page_now").otherwise("priority").alias("task"),
         "status",
         F.when(ok & (t == 0), F.when((e + k) % 7 == 0, "view").otherwise(F.col("event_type"))).alias("value_type"),

@@ -17,14 +17,17 @@ W3 = fx.sql_with("cases", "outcomes", "answers")
 
 
 def test_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide answers of the measured split; the split filter reaches the scan of the case side."""
-    cases = fx.cases(spark, sf_dir).where(F.col("split") == "test")
-    return an.build_answers(cases, fx.outcomes(spark, sf_dir))
+    """Wide answers of the measured split. Outcome facts carry the split too, so only that part is shuffled."""
+    return split_answers(spark, sf_dir, "test")
 
 
 def val_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = fx.cases(spark, sf_dir).where(F.col("split") == "val")
-    return an.build_answers(cases, fx.outcomes(spark, sf_dir))
+    return split_answers(spark, sf_dir, "val")
+
+
+def split_answers(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    wanted = F.col("split") == split
+    return an.build_answers(fx.cases(spark, sf_dir).where(wanted), fx.outcomes(spark, sf_dir).where(wanted))
 
 
 def all_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,7 +426,7 @@ FROM answers a JOIN best USING (candidate) WHERE split = 'test' AND gold_event_t
 def a20_calibrated_brier(spark, sf_dir):
     """Fit on validation, apply to test without scoring again, measure the calibrated arm."""
     t = cal.fit_temperature(val_answers(spark, sf_dir))
-    arm = cal.calibrated_outcomes(fx.outcomes(spark, sf_dir), t)
+    arm = cal.calibrated_outcomes(fx.outcomes(spark, sf_dir).where(F.col("split") == "test"), t)
     cases = fx.cases(spark, sf_dir).where(F.col("split") == "test")
     return cal.brier(cal.probability_rows(an.build_answers(cases, arm)))
 

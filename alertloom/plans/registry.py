@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import metrics
+from alertloom.plans import labeling, metrics
 
-MODULES = (metrics,)
+MODULES = (metrics, labeling)
 
 
 def queries() -> dict:
