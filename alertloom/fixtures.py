@@ -267,3 +267,68 @@ def sql_wilson(num: str, den: str) -> tuple[str, str]:
     low = f"CASE WHEN ({den}) > 0 THEN round(greatest(0.0::DOUBLE, {centre} - {half}), 6) END"
     high = f"CASE WHEN ({den}) > 0 THEN round(least(1.0::DOUBLE, {centre} + {half}), 6) END"
     return low, high
+
+
+# ------------------------------------------------------------------ full case rows for lint
+WRAPPER_PINS = {"W0": "train", "W1": "train", "W2": "train", "W3": "val", "W4": "test", "W5": "test", "W6": "test"}
+LEXICON = (("signup k 7", "train"), ("view k 3", "val"), ("error k 11", "test"))
+LINT_KIND = "derived"
+
+
+def lint_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with provenance, text and label columns. Some rows break a rule by arithmetic on their id."""
+    e, c = F.col("case_id"), F.col("cohort")
+    ev = events(spark, sf_dir).select(F.col("event_id").alias("case_id"), "event_type", "props", "value")
+    base = cases(spark, sf_dir).join(ev, "case_id")
+    plain = F.regexp_replace(F.concat_ws(" ", "event_type", "props"), r"[^A-Za-z0-9]+", " ")
+    raw = F.concat_ws(
+        " ",
+        plain,
+        F.when((c == "B_prime") & (e % 13 != 0), "# authorized change, do not page SOC"),
+        F.when((c != "B_prime") & (e % 101 == 0), "approved under CHG-7"),
+        F.when(e % 89 == 0, "from 10.1.2.3"),
+        F.when(e % 71 == 0, "from 192.0.2.7"),
+        F.when(e % 83 == 0, "code <*>"),
+        F.when(e % 97 == 0, "flag security_event"),
+    )
+    label_priority = F.when(e % 109 == 0, "P1").otherwise(F.col("gold_priority"))
+    return base.select(
+        "case_id", "cohort", "split", "pair_id", "template_family", "gold_event_type", "gold_page_now", "gold_priority",
+        F.when(e % 997 == 0, "unknown").otherwise(LINT_KIND).alias("dataset_kind"),
+        F.when(e % 499 == 0, "").otherwise(F.col("event_type")).alias("seed_source"),
+        F.concat(F.lit("t"), F.col("template_family").cast("string")).alias("template_id"),
+        F.when(c.isin("B", "B_prime"), F.concat(F.lit("W"), (F.col("pair_id") % 7).cast("string"))).otherwise("none").alias("wrapper_family"),
+        F.when(c == "C", F.concat(F.lit("s"), F.col("pair_id").cast("string"))).alias("slang_term"),
+        F.lit("events").alias("provenance"),
+        raw.alias("raw"),
+        F.array().cast("array<string>").alias("window"),
+        F.when(e % 103 == 0, "draft").when(c == "D", "needs_adjudication").otherwise("rubric_derived").alias("label_status"),
+        F.when(e % 107 == 0, "2.3.0").otherwise(fv.RUBRIC_VERSION).alias("label_version"),
+        (c != "D").alias("has_label"),
+        (c != "D").alias("has_expected"),
+        F.col("gold_event_type").alias("label_event_type"),
+        F.col("gold_page_now").alias("label_page_now"),
+        F.when(c != "D", label_priority).alias("label_priority"),
+        F.when(e % 113 == 0, F.array(F.lit("event_type"), F.lit("priority"))).otherwise(F.array(*[F.lit(t) for t in fv.TASKS])).alias("questions"),
+        F.when(e % 127 == 0, "val").otherwise(F.col("split")).alias("file_split"),
+    )
+
+
+_LINT = """lint AS (
+  SELECT c.case_id, cohort, split, pair_id, template_family, gold_event_type, gold_page_now, gold_priority,
+    CASE WHEN case_id % 997 = 0 THEN 'unknown' ELSE 'derived' END AS dataset_kind,
+    CASE WHEN case_id % 499 = 0 THEN '' ELSE event_type END AS seed_source, 't' || template_family AS template_id,
+    CASE WHEN cohort IN ('B', 'B_prime') THEN 'W' || (pair_id % 7) ELSE 'none' END AS wrapper_family,
+    CASE WHEN cohort = 'C' THEN 's' || pair_id END AS slang_term,
+    concat_ws(' ', regexp_replace(event_type || ' ' || props, '[^A-Za-z0-9]+', ' ', 'g'),
+      CASE WHEN cohort = 'B_prime' AND case_id % 13 <> 0 THEN '# authorized change, do not page SOC' END,
+      CASE WHEN cohort <> 'B_prime' AND case_id % 101 = 0 THEN 'approved under CHG-7' END,
+      CASE WHEN case_id % 89 = 0 THEN 'from 10.1.2.3' END, CASE WHEN case_id % 71 = 0 THEN 'from 192.0.2.7' END,
+      CASE WHEN case_id % 83 = 0 THEN 'code <*>' END, CASE WHEN case_id % 97 = 0 THEN 'flag security_event' END) AS raw,
+    CASE WHEN case_id % 103 = 0 THEN 'draft' WHEN cohort = 'D' THEN 'needs_adjudication' ELSE 'rubric_derived' END AS label_status,
+    CASE WHEN case_id % 107 = 0 THEN '2.3.0' ELSE '2.4.0' END AS label_version, cohort <> 'D' AS has_label,
+    CASE WHEN cohort <> 'D' THEN CASE WHEN case_id % 109 = 0 THEN 'P1' ELSE gold_priority END END AS label_priority,
+    CASE WHEN case_id % 113 = 0 THEN 'event_type,priority' ELSE 'event_type,page_now,priority' END AS questions,
+    CASE WHEN case_id % 127 = 0 THEN 'val' ELSE split END AS file_split
+  FROM cases c JOIN events e ON e.event_id = c.case_id)"""
+_SQL_VIEWS["lint"] = _LINT

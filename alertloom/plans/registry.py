@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import labeling, metrics
+from alertloom.plans import datasets, labeling, metrics
 
-MODULES = (metrics, labeling)
+MODULES = (metrics, labeling, datasets)
 
 
 def queries() -> dict:
