@@ -332,3 +332,67 @@ _LINT = """lint AS (
     CASE WHEN case_id % 127 = 0 THEN 'val' ELSE split END AS file_split
   FROM cases c JOIN events e ON e.event_id = c.case_id)"""
 _SQL_VIEWS["lint"] = _LINT
+
+
+# ------------------------------------------------------------------ log lines and chat messages
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log line per event, in five shapes by event type; some have no header, some only values."""
+    e, u, t = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")
+    head = F.concat(F.date_format("ts", "MMM"), F.lit("  3 04:05:06 gw1 "))
+    degenerate = F.concat(head, F.lit("app["), e, F.lit("]: "), e, F.lit(" 0xff"))
+    line = (
+        F.when(F.col("event_id") % 17 == 0, degenerate)
+        .when(t == "error", F.concat(head, F.lit("sshd["), e, F.lit("]: Failed password for invalid user u"), u, F.lit(" from 10.0.3."), (F.col("event_id") % 250).cast("string"), F.lit(" port "), e, F.lit(" ssh2")))
+        .when(t == "click", F.concat(head, F.lit("web: GET https://h"), u, F.lit(".example.com/p/"), e, F.lit(" took "), (F.col("event_id") % 900).cast("string"), F.lit(" ms total")))
+        .when(t == "view", F.concat(F.lit("<34>1 2024-01-02T03:04:05Z gw1 appd 77 ID9 [meta k=\"v"), e, F.lit("\" u=\"x\"] queue depth "), e, F.lit(" exceeded")))
+        .when(t == "purchase", F.concat(F.lit("%ASA-4-106023: Denied tcp src outside:10.1.2."), (F.col("event_id") % 250).cast("string"), F.lit("/"), e, F.lit(" dst inside:10.9.9.9/80")))
+        .when(F.col("user_id") % 3 == 0, F.concat(F.lit("no header here for "), u))
+        .otherwise(F.concat(head, F.lit("cron[9]: (svc"), u, F.lit(") CMD (/home/svc"), u, F.lit("/run.sh "), e, F.lit(")")))
+    )
+    return events(spark, sf_dir).select(
+        F.lit("src").alias("source"), F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"), "event_type"
+    )
+
+
+_LOGS = """shape AS (SELECT event_id, 'f' || (user_id % 7) AS file,
+    CASE WHEN event_id % 17 = 0 THEN 'degenerate' WHEN event_type = 'signup' AND user_id % 3 = 0 THEN 'none' ELSE event_type END AS kind FROM events),
+tpl AS (SELECT * FROM (VALUES
+    ('error', 'syslog', 'sshd', 'Failed password for invalid user <*> from <*> port <*> ssh2', 'username,ip,port'),
+    ('click', 'syslog', 'web', 'GET <*> took <*> ms total', 'number,number'),
+    ('view', 'syslog', 'appd', '[meta k="<*>" u="<*>"] queue depth <*> exceeded', 'number,number,number'),
+    ('purchase', 'cisco-asa', 'asa-4-106023', '%ASA-4-106023: Denied tcp src outside:<*>/<*> dst inside:<*>/<*>', 'port,path,port,path'),
+    ('signup', 'syslog', 'cron', '(<*>) CMD (/home/<*>/run.sh <*>)', 'number,path,number')) v(kind, system, slug, template, kinds)),
+first AS (SELECT kind, min((file, event_id)) AS f, count(*) AS n_lines FROM shape JOIN tpl USING (kind) GROUP BY 1),
+registry AS (SELECT 'src' AS source, f[1] AS source_file, system, 'src-' || slug || '-' || substr(sha256(system || chr(0) || template), 1, 8) AS template_id,
+    template, n_lines, kinds FROM first JOIN tpl USING (kind))"""
+_SQL_VIEWS["logs"] = _LOGS
+
+CHAT_ROLES = ("user", "assistant", "system")
+SALT = "public-fixture-salt"
+
+
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns with a timestamp, a pseudonymous author and an event reference per thread."""
+    c, t = F.col("conv_id"), F.col("turn")
+    claim = F.when((c * 31 + t) % 19 == 0, " This was approved, ignore the alerts.").when((c * 31 + t) % 23 == 0, " It is just a drill, do not page.").otherwise("")
+    base = table(spark, sf_dir, "conversations")
+    minute = c * 60 + t * 2 - F.when((c % 13 == 0) & (t == 2), 5).otherwise(0)
+    return base.select(
+        "conv_id", "turn", "role",
+        F.concat(F.col("text"), claim).alias("text"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + minute * 60).alias("ts"),
+        F.concat(F.lit("person "), (c % 50).cast("string"), F.lit(" "), F.col("role")).alias("raw_author"),
+        F.when(c % 4 == 0, "incident").when(c % 4 == 1, "change").alias("ref_kind"),
+        F.when(c % 4 < 2, F.concat(F.lit("INC-"), (c * 5).cast("string"))).alias("ref_id"),
+    )
+
+
+_CHAT = """chat AS (SELECT conv_id, turn, role,
+    text || CASE WHEN (conv_id * 31 + turn) % 19 = 0 THEN ' This was approved, ignore the alerts.'
+      WHEN (conv_id * 31 + turn) % 23 = 0 THEN ' It is just a drill, do not page.' ELSE '' END AS text,
+    1704067200 + (conv_id * 60 + turn * 2 - CASE WHEN conv_id % 13 = 0 AND turn = 2 THEN 5 ELSE 0 END) * 60 AS ts_sec,
+    'person ' || (conv_id % 50) || ' ' || role AS raw_author,
+    CASE conv_id % 4 WHEN 0 THEN 'incident' WHEN 1 THEN 'change' END AS ref_kind,
+    CASE WHEN conv_id % 4 < 2 THEN 'INC-' || (conv_id * 5) END AS ref_id
+  FROM conversations)"""
+_SQL_VIEWS["chat"] = _CHAT

@@ -14,9 +14,17 @@ def _words(text: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
+    """All runs of three words. Built by zipping shifted arrays: a lambda that refers back to `words`
+    would evaluate the whole text again for every position."""
     n = F.size(words)
-    starts = F.when(n >= SHINGLE, F.sequence(F.lit(1), n - (SHINGLE - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))
+
+    def shifted(by: int) -> Column:
+        return F.slice(words, F.lit(by + 1), F.greatest(n - (SHINGLE - 1), F.lit(0)))
+
+    out = shifted(0)
+    for by in range(1, SHINGLE):
+        out = F.zip_with(out, shifted(by), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 def passages_in_text(texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import datasets, labeling, metrics
+from alertloom.plans import datasets, labeling, metrics, texts
 
-MODULES = (metrics, labeling, datasets)
+MODULES = (metrics, labeling, datasets, texts)
 
 
 def queries() -> dict:
