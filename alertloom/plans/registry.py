@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import datasets, labeling, metrics, texts
+from alertloom.plans import datasets, decisions, labeling, lexical, metrics, texts
 
-MODULES = (metrics, labeling, datasets, texts)
+MODULES = (metrics, labeling, datasets, texts, decisions, lexical)
 
 
 def queries() -> dict:

@@ -348,11 +348,11 @@ def p3_to_task_calls(spark, sf_dir):
 
 @query(
     "d13_over_length",
-    "SELECT case_id, task, 'unsupported' AS status FROM (" + _STATE + ") s, (VALUES ('event_type'), ('page_now'), ('priority')) t(task) WHERE length(state) > 210",
+    "SELECT case_id, task, 'unsupported' AS status FROM (" + _STATE + ") s, (VALUES ('event_type'), ('page_now'), ('priority')) t(task) WHERE length(state) > 192",
 )
 def d13_over_length(spark, sf_dir):
     calls = rd.to_task_calls(_call_cases(spark, sf_dir), with_target=False)
-    return rd.mark_over_length(calls, 210)[1].select("case_id", "task", "status")
+    return rd.mark_over_length(calls, 192)[1].select("case_id", "task", "status")
 
 
 def score_by_signal(call: dict) -> dict:
