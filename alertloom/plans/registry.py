@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import datasets, decisions, labeling, lexical, metrics, texts
+from alertloom.plans import datasets, decisions, files, labeling, lexical, metrics, texts
 
-MODULES = (metrics, labeling, datasets, texts, decisions, lexical)
+MODULES = (metrics, labeling, datasets, texts, decisions, lexical, files)
 
 
 def queries() -> dict:
