@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.plans import datasets, decisions, files, labeling, lexical, metrics, texts
+from alertloom.plans import datasets, decisions, files, labeling, lexical, metrics, streams, texts
 
-MODULES = (metrics, labeling, datasets, texts, decisions, lexical, files)
+MODULES = (metrics, labeling, datasets, texts, decisions, lexical, files, streams)
 
 
 def queries() -> dict:
