@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fv
 from alertloom.functions.stats import level_from_score
+from alertloom.session import spread
 
 CANDIDATES = ("c0", "c1")
+ENTITY_COLUMNS = ("host",)  # the events table names no service
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table for costly per-row work, spread over the cores when it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -349,7 +356,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("user_id") % 3 == 0, F.concat(F.lit("no header here for "), u))
         .otherwise(F.concat(head, F.lit("cron[9]: (svc"), u, F.lit(") CMD (/home/svc"), u, F.lit("/run.sh "), e, F.lit(")")))
     )
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         F.lit("src").alias("source"), F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"), "event_type"
     )
 

@@ -15,8 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions.stats import r6
+from alertloom.session import cut_lineage
 
 INDEXED_CLUSTERS = 10_000
+BROADCAST_CLUSTERS = 500_000
 KEYS = ("a", "b", "metric")
 
 
@@ -56,22 +58,25 @@ def poisson_weight(u: Column) -> Column:
     return out.otherwise(13)
 
 
-def _draws_by_index(sums: DataFrame, sizes: DataFrame, seed: int, n_boot: int) -> DataFrame:
-    small = sizes.where(F.col("n_clusters").between(2, INDEXED_CLUSTERS)).select(*KEYS, "n_clusters")
+def _draws_by_index(sums: DataFrame, small: DataFrame, seed: int, n_boot: int, rows: int) -> DataFrame:
+    """Replicate means from whole-cluster draws. `rows` is the counted number of clusters involved.
+
+    Draws open from (group, replicate) rows spread over all cores, meet the clusters and are summed at
+    once, so a draw is never shuffled while the counted clusters are few enough to broadcast.
+    """
     w = W.partitionBy(*KEYS).orderBy("cluster")
     indexed = sums.join(small, list(KEYS)).select(*KEYS, "s", "n", (F.row_number().over(w) - 1).cast("bigint").alias("idx"))
-    slots = small.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn(
-        "slot", F.explode(F.sequence(F.lit(0), F.col("n_clusters").cast("int") - 1))
-    )
-    drawn = slots.withColumn("idx", _uniform(F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")) % F.col("n_clusters"))
-    # how often each cluster was drawn is counted before its values are joined
-    times = drawn.groupBy(*KEYS, "rep", "idx").agg(F.count(F.lit(1)).alias("k"))
-    return times.join(indexed, [*KEYS, "idx"]).groupBy(*KEYS, "rep").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
+    if rows <= BROADCAST_CLUSTERS:
+        indexed = F.broadcast(indexed)
+    cores = sums.sparkSession.sparkContext.defaultParallelism
+    reps = small.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(2 * cores, *KEYS, "rep")
+    slots = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_clusters").cast("int") - 1)))
+    drawn = slots.select(*KEYS, "rep", (_uniform(F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")) % F.col("n_clusters")).alias("idx"))
+    return drawn.join(indexed, [*KEYS, "idx"]).groupBy(*KEYS, "rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
-def _draws_by_weight(sums: DataFrame, sizes: DataFrame, seed: int, n_boot: int) -> DataFrame:
-    large = sizes.where(F.col("n_clusters") > INDEXED_CLUSTERS).select(*KEYS)
-    opened = sums.join(large, list(KEYS), "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+def _draws_by_weight(sums: DataFrame, large: DataFrame, seed: int, n_boot: int) -> DataFrame:
+    opened = sums.join(large.select(*KEYS), list(KEYS), "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     k = poisson_weight(_uniform(F.lit(str(seed)), F.col("rep").cast("string"), F.col("cluster").cast("string")))
     weighted = opened.withColumn("k", k).where("k > 0")
     return weighted.groupBy(*KEYS, "rep").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
@@ -81,9 +86,12 @@ def paired_bootstrap(vectors: DataFrame, seed: int = 42, n_boot: int = 2000, con
     """diff, interval, n, n_clusters per candidate pair and metric; N/A below two clusters."""
     if not 0 < confidence < 1 or n_boot < 1:
         raise ValueError("confidence must be in (0,1) and n_boot positive")
-    sums = cluster_sums(candidate_pairs(vectors))
-    sizes = sums.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-    reps = _draws_by_index(sums, sizes, seed, n_boot).union(_draws_by_weight(sums, sizes, seed, n_boot))
+    sums = cut_lineage(cluster_sums(candidate_pairs(vectors)))
+    sizes = cut_lineage(sums.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n"), F.sum("s").alias("s")))
+    small = sizes.where(F.col("n_clusters").between(2, INDEXED_CLUSTERS)).select(*KEYS, "n_clusters")
+    large = sizes.where(F.col("n_clusters") > INDEXED_CLUSTERS)
+    rows = small.agg(F.coalesce(F.sum("n_clusters"), F.lit(0))).first()[0]
+    reps = _draws_by_index(sums, small, seed, n_boot, rows).union(_draws_by_weight(sums, large, seed, n_boot))
     tail = (1 - confidence) / 2
     # a group has n_boot replicates, so this percentile buffer is bounded by n_boot
     ci = reps.groupBy(*KEYS).agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))

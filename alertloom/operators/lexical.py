@@ -1,19 +1,24 @@
-"""Nearest labeled example by BM25, exact, through an inverted index.
+"""Nearest labeled example by BM25, exact, through an inverted index cut into shards.
 
-Joining every query word to every posting is quadratic on common words. Three exact reductions keep
-most of that work from existing:
+Joining every query word to every posting is quadratic on common words: a word in a third of the texts
+would pair a third of the queries with a third of the labeled texts. Instead:
 
 * texts with the same bag of words are scored once, on both sides; on the labeled side only the first
   of the copies can win a tie, while word statistics still count every copy;
-* a first guess, the best of a few candidates found through a query's strongest words, gives a score
-  the winner must reach;
-* the words of a query that together cannot reach that score cannot decide it. Only texts holding one
-  of the remaining words are candidates, and of those only the ones whose score so far plus the most
-  the skipped words could add still reaches it are scored in full.
+* labeled texts fall into shards of bounded size, and a word names the shards it occurs in, not its
+  texts, so a common word costs a query at most one row per shard;
+* a first guess through a query's rare words gives a score the winner must reach. Words that together
+  cannot reach it cannot decide, and a shard whose best conceivable score stays below it is skipped;
+* a query meets a remaining shard inside one task, where all of the shard's texts are scored over all
+  words at once and only the best leaves. No pair of query and labeled text is ever a row.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,10 +27,11 @@ from alertloom import fixed_values as fv
 from alertloom.functions.text import tokens
 from alertloom.session import cut_lineage
 
-STRONGEST = 8
-GUESSES = 2
+GUESS_WORDS = 4
+GUESS_DF = 200  # words above this frequency do not take part in guessing; guessing only sets the bar
 DIGITS = 9
 SLACK = 1e-6
+TASK_ROWS = 400_000  # postings per shard and query words per block, on average
 
 
 def _bags(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -41,7 +47,7 @@ def _words(df: DataFrame, key: str, text: str) -> DataFrame:
 def build_index(train: DataFrame, row_id: str, text: str, order: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(representatives, postings, word maxima) of the labeled texts.
 
-    representatives: rep, order, target. postings: token, rep, order, w. maxima: token, most, df.
+    representatives: rep, order, target. postings: token, rep, order, w, shard. maxima: token, most, df.
     """
     rows = train.select(F.col(row_id).alias("rid"), F.col(text).alias("text"), F.col(order).alias("order"), F.col(target).alias("target"))
     bags = _bags(rows, "rid", "text").join(rows.select("rid", "order", "target"), "rid")
@@ -63,47 +69,93 @@ def build_index(train: DataFrame, row_id: str, text: str, order: str, target: st
     )
     k1, b = fv.BM25_K1, fv.BM25_B
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    postings = cut_lineage(words.join(idf, "token").select("token", "rep", "order", (F.col("idf") * part).alias("w"), "df"))
+    weighed = cut_lineage(words.join(idf, "token").select("token", "rep", "order", (F.col("idf") * part).alias("w"), "df"))
+    shards = max(1, math.ceil(weighed.count() / TASK_ROWS))
+    postings = weighed.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     maxima = postings.groupBy("token").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most"), F.max("df").alias("df"))
     return reps, postings.drop("df"), maxima
 
 
-def _full_scores(pairs: DataFrame, qwords: DataFrame, postings: DataFrame) -> DataFrame:
-    """Exact score of each (bag, rep) pair over all words of the query."""
-    return (
-        pairs.select("bag", "rep").join(qwords.select("bag", "token", "qtf"), "bag")
-        .join(postings.select("token", "rep", "order", "w"), ["token", "rep"])
-        .groupBy("bag", "rep", "order").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("score"))
-    )
+def _guess_bar(qwords: DataFrame, postings: DataFrame) -> DataFrame:
+    """(bag, bar): the exact score of one plausible labeled text, a lower bound of the best score."""
+    by_reach = W.partitionBy("bag").orderBy(F.col("reach").desc(), "token")
+    rare = qwords.where(F.col("df") <= GUESS_DF).withColumn("r", F.row_number().over(by_reach)).where(F.col("r") <= GUESS_WORDS)
+    seen = rare.select("bag", "token", "qtf").join(postings, "token").groupBy("bag", "rep").agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
+    guess = seen.groupBy("bag").agg(F.max_by("rep", F.struct("part", "rep")).alias("rep"))
+    full = guess.join(qwords.select("bag", "token", "qtf"), "bag").join(postings.select("token", "rep", "w"), ["token", "rep"])
+    return full.groupBy("bag").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("bar"))
+
+
+def _shards_to_visit(qwords: DataFrame, postings: DataFrame, bar: DataFrame) -> DataFrame:
+    """(bag, shard) where some text of the shard may still reach the bar."""
+    growing = W.partitionBy("bag").orderBy("reach", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = qwords.join(bar, "bag", "left").na.fill(0.0, ["bar"]).withColumn("sum_reach", F.sum("reach").over(growing))
+    skipped = F.col("sum_reach") < F.col("bar") - SLACK
+    rest = ranked.groupBy("bag").agg(F.coalesce(F.max(F.when(skipped, F.col("sum_reach"))), F.lit(0.0)).alias("rest"), F.max("bar").alias("bar"))
+    per_shard = postings.groupBy("token", "shard").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most_here"))
+    deciding = ranked.where(~skipped).select("bag", "token", "qtf")
+    reach = deciding.join(per_shard, "token").groupBy("bag", "shard").agg(F.sum(F.col("qtf") * F.col("most_here")).alias("part"))
+    return reach.join(rest, "bag").where(F.col("part") + F.col("rest") >= F.col("bar") - SLACK).select("bag", "shard")
+
+
+def _score_shard(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    """Best labeled text of one shard for each query of one block."""
+    if words.empty or index.empty:
+        return pd.DataFrame({"bag": [], "rep": [], "order": [], "score": []})
+    docs = index[["rep", "order"]].drop_duplicates("rep").sort_values("order", ignore_index=True)
+    place = pd.Series(np.arange(len(docs)), index=docs["rep"].to_numpy())
+    index = index.sort_values("token", kind="stable")
+    names, starts = np.unique(index["token"].to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(index))
+    at = place.loc[index["rep"].to_numpy()].to_numpy()
+    weight = index["w"].to_numpy()
+    where = {name: i for i, name in enumerate(names)}
+    out = []
+    for bag, part in words.groupby("bag", sort=False):
+        score = np.zeros(len(docs))
+        for token, qtf in zip(part["token"].to_numpy(), part["qtf"].to_numpy()):
+            i = where.get(token)
+            if i is not None:
+                span = slice(starts[i], ends[i])
+                score[at[span]] += qtf * weight[span]
+        score = np.round(score, DIGITS)
+        best = int(np.argmax(score))  # the first of equals, and texts are in order
+        out.append((bag, docs["rep"].iat[best], docs["order"].iat[best], float(score[best])))
+    return pd.DataFrame(out, columns=["bag", "rep", "order", "score"])
+
+
+def _score(visits: DataFrame, qwords: DataFrame, postings: DataFrame, blocks: int) -> DataFrame:
+    """Meet queries and shards in tasks of bounded size: one (shard, query block) per group."""
+    kind = {f.name: f.dataType.simpleString() for f in postings.schema.fields}
+    block = F.pmod(F.xxhash64("bag"), F.lit(blocks)).cast("int").alias("block")
+    left = visits.join(qwords.select("bag", "token", "qtf"), "bag").select("shard", block, "bag", "token", "qtf")
+    used = visits.select("shard", block).distinct()
+    right = postings.select("shard", "token", "rep", "order", "w").join(used, "shard").select("shard", "block", "token", "rep", "order", "w")
+
+    def score(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        return _score_shard(words, index)
+
+    schema = f"bag string, rep {kind['rep']}, `order` {kind['order']}, score double"
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score, schema)
 
 
 def nearest(queries: DataFrame, query_id: str, query_text: str, train: DataFrame, row_id: str, text: str, order: str, target: str) -> DataFrame:
     """(query_id, rep, score, target): the best labeled text, lowest order on ties. A query that scores
-    nothing takes the first labeled text, as its score ties with every other at zero."""
+    nothing takes the first labeled text, as its score ties with every other at zero.
+
+    One index serves one task kind; call it per kind.
+    """
     reps, postings, maxima = build_index(train, row_id, text, order, target)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_text).alias("text"))
     bags = cut_lineage(_bags(q, "qid", "text"))
     first_of_bag = bags.groupBy("bag").agg(F.min("qid").alias("qid"))
     words = _words(q.join(first_of_bag, "qid"), "bag", "text").withColumnRenamed("tf", "qtf")
     qwords = cut_lineage(words.join(maxima, "token").withColumn("reach", F.col("qtf") * F.col("most")))
+    blocks = max(1, math.ceil(qwords.count() / TASK_ROWS))
 
-    # first guess: the strongest words of a query lead to a few texts; the best of them sets the bar
-    by_strength = W.partitionBy("bag").orderBy(F.col("reach").desc(), "token")
-    strong = qwords.withColumn("r", F.row_number().over(by_strength)).where(F.col("r") <= STRONGEST).select("bag", "token", "qtf")
-    seen = strong.join(postings, "token").groupBy("bag", "rep").agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
-    by_part = W.partitionBy("bag").orderBy(F.col("part").desc(), "rep")
-    guesses = seen.withColumn("r", F.row_number().over(by_part)).where(F.col("r") <= GUESSES)
-    bar = _full_scores(guesses, qwords, postings).groupBy("bag").agg(F.max("score").alias("bar"))
-
-    # words in order of growing reach: while their sum stays below the bar they cannot decide
-    growing = W.partitionBy("bag").orderBy("reach", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = qwords.join(bar, "bag", "left").na.fill(0.0, ["bar"]).withColumn("sum_reach", F.sum("reach").over(growing))
-    skipped = F.col("sum_reach") < F.col("bar") - SLACK
-    rest = ranked.groupBy("bag").agg(F.coalesce(F.max(F.when(skipped, F.col("sum_reach"))), F.lit(0.0)).alias("rest"), F.max("bar").alias("bar"))
-    deciding = ranked.where(~skipped).select("bag", "token", "qtf")
-    partial = deciding.join(postings, "token").groupBy("bag", "rep", "order").agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
-    alive = partial.join(rest, "bag").where(F.col("part") + F.col("rest") >= F.col("bar") - SLACK)
-    scored = _full_scores(alive, qwords, postings)
+    bar = _guess_bar(qwords, postings)
+    visits = cut_lineage(_shards_to_visit(qwords, postings, bar))
+    scored = _score(visits, qwords, postings, blocks)
     best = scored.groupBy("bag").agg(F.max_by(F.struct("rep", "score"), F.struct(F.col("score"), -F.col("order"))).alias("b"))
     hit = best.where(F.col("b.score") > 0).select("bag", F.col("b.rep").alias("rep"), F.col("b.score").alias("score"))
 

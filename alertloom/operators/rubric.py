@@ -7,7 +7,8 @@ Event text plays no part in either.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,18 +51,18 @@ def match_changes(cases: DataFrame, changes: DataFrame) -> DataFrame:
 _INCIDENT_FIELDS = ("incident_id", "event_type", "failure_mode", "impact", "urgency", "priority")
 
 
-def match_incidents(cases: DataFrame, incidents: DataFrame) -> DataFrame:
+def match_incidents(cases: DataFrame, incidents: DataFrame, entity_columns: Sequence[str] = ("host", "service")) -> DataFrame:
     """Add `incident`: the open incident on this host or service, same failure mode first, else the first.
 
     Each lookup meets at most one segment per event, by host and by service, with and without the
-    failure mode; the service lookups are skipped for rows without a service by the join key itself.
+    failure mode. Name only the entity columns the cases have: each one is two lookups.
     """
     packed = incidents.where(F.col("status") == "open").withColumn("incident", F.struct(*_INCIDENT_FIELDS))
     by_mode = first_match_segments(packed, ["entity", "failure_mode"], "start_ts", "end_ts", "incident_order", "incident")
     any_mode = first_match_segments(packed, ["entity"], "start_ts", "end_ts", "incident_order", "incident")
     out = cases
     picks = []
-    for column in ("host", "service"):
+    for column in entity_columns:
         for label, segs, keys in (("mode", by_mode, ("entity", "failure_mode")), ("any", any_mode, ("entity",))):
             name = f"_{column}_{label}"
             renamed = segs.withColumn(name, F.struct(F.col("incident_order"), F.col("incident"))).drop("incident_order", "incident")
@@ -70,17 +71,13 @@ def match_incidents(cases: DataFrame, incidents: DataFrame) -> DataFrame:
                 keyed = keyed.withColumn("failure_mode", F.col("signal"))
             out = stab(keyed, "ts", renamed, keys).drop("entity", "failure_mode")
             picks.append(name)
-    mode = _earlier("_host_mode", "_service_mode")
-    other = _earlier("_host_any", "_service_any")
+    mode = reduce(_earlier, [F.col(p) for p in picks if p.endswith("_mode")])
+    other = reduce(_earlier, [F.col(p) for p in picks if p.endswith("_any")])
     return out.withColumn("incident", F.coalesce(mode, other)["incident"]).drop(*picks)
 
 
-def _earlier(a: str, b: str) -> Column:
-    return (
-        F.when(F.col(a).isNull(), F.col(b))
-        .when(F.col(b).isNull() | (F.col(f"{a}.incident_order") <= F.col(f"{b}.incident_order")), F.col(a))
-        .otherwise(F.col(b))
-    )
+def _earlier(a: Column, b: Column) -> Column:
+    return F.when(a.isNull(), b).when(b.isNull() | (a["incident_order"] <= b["incident_order"]), a).otherwise(b)
 
 
 # ------------------------------------------------------------------ context, nested form
@@ -269,6 +266,6 @@ def decide(df: DataFrame) -> DataFrame:
                     "priority", "page_now", "page_target", "response")
 
 
-def label_tables(cases: DataFrame, changes: DataFrame, incidents: DataFrame) -> DataFrame:
+def label_tables(cases: DataFrame, changes: DataFrame, incidents: DataFrame, entity_columns: Sequence[str] = ("host", "service")) -> DataFrame:
     """Label cases against change and incident tables."""
-    return decide(match_incidents(match_changes(cases, changes), incidents))
+    return decide(match_incidents(match_changes(cases, changes), incidents, entity_columns))

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MICROS_PER_HOUR = 3_600_000_000
-LEVELS = 33  # an hour has fewer than 2**32 microseconds
+LEVELS = 33
+BUCKET = 2 ** (LEVELS - 1)  # microseconds, about 72 minutes: an interval over a whole bucket is one block
 
 
 def _clip_to_buckets(intervals: DataFrame, width: int) -> DataFrame:
@@ -33,7 +33,7 @@ def _clip_to_buckets(intervals: DataFrame, width: int) -> DataFrame:
 
 
 def first_match_segments(
-    intervals: DataFrame, keys: Sequence[str], start: str, end: str, order: str, payload: str, width: int = MICROS_PER_HOUR
+    intervals: DataFrame, keys: Sequence[str], start: str, end: str, order: str, payload: str, width: int = BUCKET
 ) -> DataFrame:
     """Disjoint segments (keys..., bucket, seg_lo, seg_hi, payload, order), end inclusive on input.
 
@@ -62,7 +62,9 @@ def first_match_segments(
     )
     # the winner can only change where an interval starts or has just ended
     edges = parts.select(*cell, F.explode(F.array("lo", "hi")).alias("at")).where(F.col("at") < width).distinct()
-    looked = edges.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("blk", F.expr("shiftright(at, lvl)"))
+    # only levels that hold a block in this bucket can answer; most buckets have one
+    levels = blocks.select(*cell, "lvl").groupBy(*cell).agg(F.collect_set("lvl").alias("lvls"))
+    looked = edges.join(levels, cell).withColumn("lvl", F.explode("lvls")).drop("lvls").withColumn("blk", F.expr("shiftright(at, lvl)"))
     winners = looked.join(blocks, [*cell, "lvl", "blk"], "left").groupBy(*cell, "at").agg(F.min("win").alias("win"))
     w = W.partitionBy(*cell).orderBy("at")
     return (
@@ -72,7 +74,7 @@ def first_match_segments(
     )
 
 
-def stab(points: DataFrame, at: str, segments: DataFrame, keys: Sequence[str], width: int = MICROS_PER_HOUR) -> DataFrame:
+def stab(points: DataFrame, at: str, segments: DataFrame, keys: Sequence[str], width: int = BUCKET) -> DataFrame:
     """Left join of points to their one segment.
 
     An equi-join on (keys, time bucket) with the range inside the join condition, so no candidate pair

@@ -280,6 +280,6 @@ def a26_tallies(spark, sf_dir):
 
 @query("j10_passages_in_text", "SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
 def j10_passages_in_text(spark, sf_dir):
-    texts = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = fx.texts(spark, sf_dir, "documents").select("doc_id", "text")
     passages = fx.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     return tm.passages_in_text(texts, "doc_id", "text", passages, "item_id", "passage")

@@ -40,7 +40,7 @@ def j3_change_window(spark, sf_dir):
 
 @query("j4_incident_correlation", _MATCHED + " SELECT case_id, incident_id FROM evidence LEFT JOIN inc USING (case_id)")
 def j4_incident_correlation(spark, sf_dir):
-    return rb.match_incidents(fx.evidence(spark, sf_dir), fx.incidents(spark, sf_dir)).select("case_id", F.col("incident.incident_id").alias("incident_id"))
+    return rb.match_incidents(fx.evidence(spark, sf_dir), fx.incidents(spark, sf_dir), fx.ENTITY_COLUMNS).select("case_id", F.col("incident.incident_id").alias("incident_id"))
 
 
 _LABEL = _MATCHED + f""", base AS (
@@ -81,7 +81,7 @@ label AS (SELECT case_id, error, CASE WHEN error IS NULL THEN primary_type END A
 
 
 def labeled(spark, sf_dir):
-    return rb.label_tables(fx.evidence(spark, sf_dir), fx.changes(spark, sf_dir), fx.incidents(spark, sf_dir))
+    return rb.label_tables(fx.evidence(spark, sf_dir), fx.changes(spark, sf_dir), fx.incidents(spark, sf_dir), fx.ENTITY_COLUMNS)
 
 
 def flat_label(df):

@@ -21,7 +21,7 @@ near AS (SELECT qu.doc_id, coalesce(best.rep, (SELECT min(doc_id) FROM tr)) AS r
 
 
 def _nearest(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = fx.texts(spark, sf_dir, "documents").select("doc_id", "text")
     labels = fx.table(spark, sf_dir, "labels")
     train = docs.join(labels, "doc_id").withColumn("target", F.struct("quality", "toxic"))
     queries = docs.join(labels.select("doc_id"), "doc_id", "left_anti")

@@ -44,7 +44,7 @@ def _paged(ev):
 def t1_stream_label(spark, sf_dir):
     """The rubric on a stream: change and incident segments are static sides of stream joins."""
     stream = fx.shape_evidence(rn.read_event_stream(spark, sf_dir))
-    return rn.run_append(flat_label(rb.label_tables(stream, fx.changes(spark, sf_dir), fx.incidents(spark, sf_dir))), "labels")
+    return rn.run_append(flat_label(rb.label_tables(stream, fx.changes(spark, sf_dir), fx.incidents(spark, sf_dir), fx.ENTITY_COLUMNS)), "labels")
 
 
 _BURDEN = """WITH c AS (SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS window_start, value >= 60 AS gold,

@@ -74,7 +74,7 @@ def p9_split_syslog(spark, sf_dir):
 @query("p8_document_templates")
 def p8_document_templates(spark, sf_dir):
     """Whole document lines as bodies: every line of every document becomes a template."""
-    lines = fx.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "body"))
+    lines = fx.texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "body"))
     return tp.normalize(lines, "body").groupBy("template").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -86,7 +86,7 @@ def v12_assert_no_ip(spark, sf_dir):
 @query("v13_informative_filter", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT doc_id, count(*) FILTER (len(regexp_extract_all(line, '[A-Za-z]{2,}')) >= 2) AS informative, count(*) AS n FROM l GROUP BY 1""")
 def v13_informative_filter(spark, sf_dir):
-    lines = fx.table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
+    lines = fx.texts(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(F.count_if(tx.is_informative(F.col("line"))).alias("informative"), F.count(F.lit(1)).alias("n"))
 
 
@@ -112,18 +112,18 @@ def p12_classify_placeholders(spark, sf_dir):
 @query("p10_slug", """SELECT doc_id, CASE WHEN s = '' THEN 'msg' ELSE s END AS slug FROM (
   SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 24) AS s FROM documents)""")
 def p10_slug(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
+    return fx.texts(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query("p11_template_id", """SELECT page_id, 'pages-' || CASE WHEN s = '' THEN 'msg' ELSE s END || '-' || substr(sha256('web' || chr(0) || html), 1, 8) AS template_id FROM (
   SELECT page_id, html, substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 1, 24) AS s FROM pages)""")
 def p11_template_id(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", tx.template_id(F.lit("pages"), tx.slug(F.col("url")), F.lit("web"), F.col("html")).alias("template_id"))
+    return fx.texts(spark, sf_dir, "pages").select("page_id", tx.template_id(F.lit("pages"), tx.slug(F.col("url")), F.lit("web"), F.col("html")).alias("template_id"))
 
 
 @query("p15_lexical_tokens", "SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, array_to_string(t, ' ') AS joined FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
 def p15_lexical_tokens(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    d = fx.texts(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.array_join("t", " ").alias("joined"))
 
 
@@ -157,7 +157,7 @@ _LEAK_CASES = " ".join(f"UNION ALL SELECT doc_id, {i + 1} FROM documents WHERE r
 
 @query("v8_leak_lint_text", "SELECT doc_id, pattern FROM (" + _LEAK_CASES.replace("UNION ALL ", "", 1).replace("SELECT doc_id, 1 ", "SELECT doc_id, 1 AS pattern ", 1) + ")")
 def v8_leak_lint_text(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.explode(li.leak_names(F.col("text"))).alias("pattern"))
+    return fx.texts(spark, sf_dir, "documents").select("doc_id", F.explode(li.leak_names(F.col("text"))).alias("pattern"))
 
 
 _CLAIMS = " UNION ALL ".join(
@@ -173,8 +173,8 @@ def v9_claim_scan(spark, sf_dir):
 @query("v10_residue_scan")
 def v10_residue_scan(spark, sf_dir):
     """Identifying categories in the raw texts of all documents and pages, before any rewriting."""
-    docs = fx.table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
-    pages = fx.table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = fx.texts(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
+    pages = fx.texts(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     return docs.unionByName(pages).select("origin", "id", F.explode(deid.residue(F.col("text"))).alias("category"))
 
 
@@ -182,26 +182,26 @@ def v10_residue_scan(spark, sf_dir):
 SELECT doc_id, ip FROM ip WHERE split_part(ip, '.', 1)::INT <= 255 AND split_part(ip, '.', 2)::INT <= 255 AND split_part(ip, '.', 3)::INT <= 255
   AND split_part(ip, '.', 4)::INT <= 255 AND NOT (ip LIKE '192.0.2.%' OR ip LIKE '198.51.100.%' OR ip LIKE '203.0.113.%')""")
 def v11_ip_safety(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.explode(li.foreign_ips(F.col("text"))).alias("ip"))
+    return fx.texts(spark, sf_dir, "documents").select("doc_id", F.explode(li.foreign_ips(F.col("text"))).alias("ip"))
 
 
 # ------------------------------------------------------------------ de-identification
 @query("p13_deidentify_text")
 def p13_deidentify_text(spark, sf_dir):
     """Whole documents rewritten; residue is reported per row instead of stopping the job."""
-    out = deid.deidentify(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", fx.SALT, strict=False)
+    out = deid.deidentify(fx.texts(spark, sf_dir, "documents").select("doc_id", "text"), "text", fx.SALT, strict=False)
     return out.select("doc_id", "text", F.size("deid_hits").alias("n_hits"), F.array_join("residue", ",").alias("residue"))
 
 
 @query("d11_deidentify_pages")
 def d11_deidentify_pages(spark, sf_dir):
-    out = deid.deidentify(fx.table(spark, sf_dir, "pages").select("page_id", "html"), "html", fx.SALT, strict=False)
+    out = deid.deidentify(fx.texts(spark, sf_dir, "pages").select("page_id", "html"), "html", fx.SALT, strict=False)
     return out.select("page_id", "html", F.size("deid_hits").alias("n_hits"), F.array_join("residue", ",").alias("residue"))
 
 
 @query("a32_deid_report")
 def a32_deid_report(spark, sf_dir):
-    return deid.report(deid.deidentify(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", fx.SALT, strict=False))
+    return deid.report(deid.deidentify(fx.texts(spark, sf_dir, "documents").select("doc_id", "text"), "text", fx.SALT, strict=False))
 
 
 _D = "sha256('" + fx.SALT + "' || chr(31) || '{}' || chr(31) || {})"

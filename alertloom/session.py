@@ -53,3 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input that arrives in few partitions; a large input is left as it is.
+
+    Looks at the planned partition count only. Costly text work on one small file would otherwise run
+    in one task, while a large table already has more partitions than cores and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
