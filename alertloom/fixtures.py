@@ -134,21 +134,22 @@ def shape_evidence(ev: DataFrame) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One change per (host, expected signal); `change_order` is the order of first match."""
+    """Signups of at least 60 open a change window on their host: one expected signal each, with a bound.
+    `change_order` is the order of first match."""
     e = F.col("event_id")
-    n = F.expr("event_id div 50")
+    signals = F.array(*[F.lit(x) for x in ("error", "purchase", "signup", "click", "view")])
     return (
         events(spark, sf_dir)
-        .where(e % 50 == 0)
+        .where((F.col("event_type") == "signup") & (F.col("value") >= 60))
         .select(
             e.cast("string").alias("change_id"),
             e.alias("change_order"),
             F.col("user_id").cast("string").alias("host"),
             (F.col("ts") - F.expr("interval 12 hours")).alias("start_ts"),
             (F.col("ts") + F.expr("interval 24 hours")).alias("end_ts"),
-            F.when(n % 4 == 3, "proposed").otherwise("approved").alias("status"),
-            F.col("event_type").alias("signal"),
-            F.element_at(F.array(F.lit("low"), F.lit("moderate"), F.lit("high")), (n % 3 + 1).cast("int")).alias("max_impact"),
+            F.when(F.col("value") >= 150, "proposed").otherwise("approved").alias("status"),
+            F.element_at(signals, (e % 5 + 1).cast("int")).alias("signal"),
+            F.element_at(F.array(F.lit("low"), F.lit("moderate"), F.lit("high")), (e % 3 + 1).cast("int")).alias("max_impact"),
         )
     )
 
@@ -239,9 +240,10 @@ _EVIDENCE = """evidence AS (
 _CHANGES = """changes AS (
   SELECT CAST(event_id AS VARCHAR) AS change_id, event_id AS change_order, CAST(user_id AS VARCHAR) AS host,
     ts - INTERVAL 12 HOUR AS start_ts, ts + INTERVAL 24 HOUR AS end_ts,
-    CASE WHEN (event_id // 50) % 4 = 3 THEN 'proposed' ELSE 'approved' END AS status, event_type AS signal,
-    CASE (event_id // 50) % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' ELSE 'high' END AS max_impact
-  FROM events WHERE event_id % 50 = 0)"""
+    CASE WHEN value >= 150 THEN 'proposed' ELSE 'approved' END AS status,
+    ['error', 'purchase', 'signup', 'click', 'view'][(event_id % 5) + 1] AS signal,
+    CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' ELSE 'high' END AS max_impact
+  FROM events WHERE event_type = 'signup' AND value >= 60)"""
 
 _INCIDENTS = """incidents AS (
   SELECT CAST(event_id AS VARCHAR) AS incident_id, event_id AS incident_order, CAST(user_id AS VARCHAR) AS entity,

@@ -109,15 +109,16 @@ def _score_shard(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     ends = np.append(starts[1:], len(index))
     at = place.loc[index["rep"].to_numpy()].to_numpy()
     weight = index["w"].to_numpy()
-    where = {name: i for i, name in enumerate(names)}
     out = []
     for bag, part in words.groupby("bag", sort=False):
-        score = np.zeros(len(docs))
-        for token, qtf in zip(part["token"].to_numpy(), part["qtf"].to_numpy()):
-            i = where.get(token)
-            if i is not None:
-                span = slice(starts[i], ends[i])
-                score[at[span]] += qtf * weight[span]
+        token, qtf = part["token"].to_numpy(), part["qtf"].to_numpy()
+        i = np.minimum(np.searchsorted(names, token), len(names) - 1)
+        known = names[i] == token
+        i, qtf = i[known], qtf[known]
+        length = ends[i] - starts[i]
+        # positions of all postings of all words of this query, word after word
+        pos = np.arange(length.sum()) + np.repeat(starts[i] - np.cumsum(length) + length, length)
+        score = np.bincount(at[pos], weights=np.repeat(qtf, length) * weight[pos], minlength=len(docs))
         score = np.round(score, DIGITS)
         best = int(np.argmax(score))  # the first of equals, and texts are in order
         out.append((bag, docs["rep"].iat[best], docs["order"].iat[best], float(score[best])))

@@ -22,18 +22,18 @@ LEVELS = 33
 BUCKET = 2 ** (LEVELS - 1)  # microseconds, about 72 minutes: an interval over a whole bucket is one block
 
 
-def _clip_to_buckets(intervals: DataFrame, width: int) -> DataFrame:
+def _clip_to_buckets(intervals: DataFrame) -> DataFrame:
     """One row per bucket an interval touches, with offsets [lo, hi) inside the bucket."""
-    first, last = F.floor(F.col("s") / width), F.floor(F.col("e") / width)
+    first, last = F.floor(F.col("s") / BUCKET), F.floor(F.col("e") / BUCKET)
     opened = intervals.withColumn("bucket", F.explode(F.sequence(first, last)))
-    start = F.col("bucket") * width
+    start = F.col("bucket") * BUCKET
     return opened.withColumn("lo", F.greatest(F.col("s") - start, F.lit(0)).cast("bigint")).withColumn(
-        "hi", (F.least(F.col("e") - start, F.lit(width - 1)) + 1).cast("bigint")
+        "hi", (F.least(F.col("e") - start, F.lit(BUCKET - 1)) + 1).cast("bigint")
     )
 
 
 def first_match_segments(
-    intervals: DataFrame, keys: Sequence[str], start: str, end: str, order: str, payload: str, width: int = BUCKET
+    intervals: DataFrame, keys: Sequence[str], start: str, end: str, order: str, payload: str
 ) -> DataFrame:
     """Disjoint segments (keys..., bucket, seg_lo, seg_hi, payload, order), end inclusive on input.
 
@@ -46,12 +46,13 @@ def first_match_segments(
         F.unix_micros(end).alias("e"),
         F.struct(F.col(order).alias("o"), F.col(payload).alias("w")).alias("win"),
     ).where("s <= e")
-    parts = _clip_to_buckets(ready, width).select(*keys, "bucket", "lo", "hi", "win")
+    parts = _clip_to_buckets(ready).select(*keys, "bucket", "lo", "hi", "win")
     cell = [*keys, "bucket"]
 
     # aligned blocks of [lo, hi): at level i the left edge is ceil(lo / 2^i), the right edge floor(hi / 2^i)
+    whole = (F.col("lo") == 0) & (F.col("hi") == BUCKET)
     blocks = (
-        parts.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+        parts.withColumn("lvl", F.explode(F.when(whole, F.array(F.lit(LEVELS - 1))).otherwise(F.sequence(F.lit(0), F.lit(LEVELS - 1)))))
         .withColumn("size", F.expr("shiftleft(1L, lvl)"))
         .withColumn("l", F.expr("(lo + size - 1) div size"))
         .withColumn("r", F.expr("hi div size"))
@@ -61,20 +62,20 @@ def first_match_segments(
         .agg(F.min("win").alias("win"))
     )
     # the winner can only change where an interval starts or has just ended
-    edges = parts.select(*cell, F.explode(F.array("lo", "hi")).alias("at")).where(F.col("at") < width).distinct()
+    edges = parts.select(*cell, F.explode(F.array("lo", "hi")).alias("at")).where(F.col("at") < BUCKET).distinct()
     # only levels that hold a block in this bucket can answer; most buckets have one
     levels = blocks.select(*cell, "lvl").groupBy(*cell).agg(F.collect_set("lvl").alias("lvls"))
     looked = edges.join(levels, cell).withColumn("lvl", F.explode("lvls")).drop("lvls").withColumn("blk", F.expr("shiftright(at, lvl)"))
     winners = looked.join(blocks, [*cell, "lvl", "blk"], "left").groupBy(*cell, "at").agg(F.min("win").alias("win"))
     w = W.partitionBy(*cell).orderBy("at")
     return (
-        winners.withColumn("seg_hi", F.lead("at", 1, width).over(w))
+        winners.withColumn("seg_hi", F.lead("at", 1, BUCKET).over(w))
         .where(F.col("win").isNotNull())
         .select(*cell, F.col("at").alias("seg_lo"), "seg_hi", F.col("win.w").alias(payload), F.col("win.o").alias(order))
     )
 
 
-def stab(points: DataFrame, at: str, segments: DataFrame, keys: Sequence[str], width: int = BUCKET) -> DataFrame:
+def stab(points: DataFrame, at: str, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of points to their one segment.
 
     An equi-join on (keys, time bucket) with the range inside the join condition, so no candidate pair
@@ -83,7 +84,7 @@ def stab(points: DataFrame, at: str, segments: DataFrame, keys: Sequence[str], w
     """
     keys = list(keys)
     micros = F.unix_micros(at)
-    left = points.withColumn("_b", F.floor(micros / width)).withColumn("_o", micros - F.floor(micros / width) * width)
+    left = points.withColumn("_b", F.floor(micros / BUCKET)).withColumn("_o", micros - F.floor(micros / BUCKET) * BUCKET)
     right = segments.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("bucket").alias("_rb"), "seg_lo", "seg_hi",
