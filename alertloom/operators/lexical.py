@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,12 +31,12 @@ GUESS_WORDS = 4
 GUESS_DF = 200  # words above this frequency do not take part in guessing; guessing only sets the bar
 DIGITS = 9
 SLACK = 1e-6
-TASK_ROWS = 400_000  # postings per shard and query words per block, on average
+TASK_ROWS = 250_000  # postings per shard and query words per block, on average
 
 
-def _bags(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, bag): a digest of the sorted words. Equal bags score equally against anything."""
-    return df.select(row_id, F.sha2(F.array_join(F.array_sort(tokens(F.col(text))), " "), 256).alias("bag"))
+def _bag(text: Column) -> Column:
+    """A digest of the sorted words. Equal bags score equally against anything."""
+    return F.sha2(F.array_join(F.array_sort(tokens(text)), " "), 256)
 
 
 def _words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,56 +45,57 @@ def _words(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def build_index(train: DataFrame, row_id: str, text: str, order: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(representatives, postings, word maxima) of the labeled texts.
+    """(representatives, postings, vocabulary) of the labeled texts.
 
-    representatives: rep, order, target. postings: token, rep, order, w, shard. maxima: token, most, df.
+    representatives: rep, order, target. postings: tid, rep, order, w, shard. vocabulary: token, tid,
+    df, most (the largest weight of the word in any text). `tid` numbers the words; it is fixed by
+    writing the vocabulary before anything uses it.
     """
     rows = train.select(F.col(row_id).alias("rid"), F.col(text).alias("text"), F.col(order).alias("order"), F.col(target).alias("target"))
-    bags = _bags(rows, "rid", "text").join(rows.select("rid", "order", "target"), "rid")
-    reps = bags.groupBy("bag").agg(F.min(F.struct("order", "rid", "target")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    reps = reps.select(F.col("m.rid").alias("rep"), F.col("m.order").alias("order"), F.col("m.target").alias("target"), "copies")
-    kept = rows.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    sized = kept.select(F.col("rid").alias("rep"), F.size(tokens(F.col("text"))).alias("dl"))
-    reps = cut_lineage(reps.join(sized, "rep"))
-    words = _words(kept, "rid", "text").withColumnRenamed("rid", "rep").join(reps.select("rep", "order", "copies", "dl"), "rep")
-
-    df = words.groupBy("token").agg(F.sum("copies").alias("df"))
+    bags = rows.select("rid", "order", "target", _bag(F.col("text")).alias("bag"), F.size(tokens(F.col("text"))).alias("dl"))
+    reps = bags.groupBy("bag").agg(F.min(F.struct("order", "rid", "target", "dl")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    reps = cut_lineage(reps.select(F.col("m.rid").alias("rep"), F.col("m.order").alias("order"), F.col("m.target").alias("target"), F.col("m.dl").alias("dl"), "copies"))
+    kept = rows.select(F.col("rid").alias("rep"), "text").join(reps.select("rep"), "rep", "left_semi")
+    words = cut_lineage(_words(kept, "rep", "text").join(reps.select("rep", "order", "copies", "dl"), "rep"))
+
+    counted = words.groupBy("token").agg(F.sum("copies").alias("df"))
+    numbered = cut_lineage(counted.withColumn("tid", F.monotonically_increasing_id()))
     corpus = reps.agg(F.sum("copies").alias("n"), (F.sum(F.col("copies") * F.col("dl")) / F.sum("copies")).alias("avgdl")).withColumn("one", F.lit(1))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one").withColumn("idf", raw)
-    # one row of corpus-wide numbers
+    # the corpus-wide numbers are one row each
+    idf = numbered.withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one").withColumn("idf", raw)
     mean = idf.agg(F.avg("idf").alias("mean_idf")).withColumn("one", F.lit(1))
     idf = idf.join(F.broadcast(mean), "one").select(
-        "token", "df", "avgdl", F.when(F.col("idf") < 0, fv.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf")
+        "token", "tid", "avgdl", F.when(F.col("idf") < 0, fv.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf")
     )
     k1, b = fv.BM25_K1, fv.BM25_B
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = cut_lineage(words.join(idf, "token").select("token", "rep", "order", (F.col("idf") * part).alias("w"), "df"))
-    shards = max(1, math.ceil(weighed.count() / TASK_ROWS))
-    postings = weighed.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    maxima = postings.groupBy("token").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most"), F.max("df").alias("df"))
-    return reps, postings.drop("df"), maxima
+    shards = max(1, math.ceil(words.count() / TASK_ROWS))
+    shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")
+    postings = cut_lineage(words.join(idf, "token").select("tid", "rep", "order", (F.col("idf") * part).alias("w"), shard))
+    most = postings.groupBy("tid").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most"))
+    return reps, postings, cut_lineage(numbered.join(most, "tid"))
 
 
 def _guess_bar(qwords: DataFrame, postings: DataFrame) -> DataFrame:
     """(bag, bar): the exact score of one plausible labeled text, a lower bound of the best score."""
-    by_reach = W.partitionBy("bag").orderBy(F.col("reach").desc(), "token")
+    by_reach = W.partitionBy("bag").orderBy(F.col("reach").desc(), "tid")
     rare = qwords.where(F.col("df") <= GUESS_DF).withColumn("r", F.row_number().over(by_reach)).where(F.col("r") <= GUESS_WORDS)
-    seen = rare.select("bag", "token", "qtf").join(postings, "token").groupBy("bag", "rep").agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
+    seen = rare.select("bag", "tid", "qtf").join(postings, "tid").groupBy("bag", "rep").agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
     guess = seen.groupBy("bag").agg(F.max_by("rep", F.struct("part", "rep")).alias("rep"))
-    full = guess.join(qwords.select("bag", "token", "qtf"), "bag").join(postings.select("token", "rep", "w"), ["token", "rep"])
+    full = guess.join(qwords.select("bag", "tid", "qtf"), "bag").join(postings.select("tid", "rep", "w"), ["tid", "rep"])
     return full.groupBy("bag").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("bar"))
 
 
 def _shards_to_visit(qwords: DataFrame, postings: DataFrame, bar: DataFrame) -> DataFrame:
     """(bag, shard) where some text of the shard may still reach the bar."""
-    growing = W.partitionBy("bag").orderBy("reach", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    growing = W.partitionBy("bag").orderBy("reach", "tid").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = qwords.join(bar, "bag", "left").na.fill(0.0, ["bar"]).withColumn("sum_reach", F.sum("reach").over(growing))
     skipped = F.col("sum_reach") < F.col("bar") - SLACK
     rest = ranked.groupBy("bag").agg(F.coalesce(F.max(F.when(skipped, F.col("sum_reach"))), F.lit(0.0)).alias("rest"), F.max("bar").alias("bar"))
-    per_shard = postings.groupBy("token", "shard").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most_here"))
-    deciding = ranked.where(~skipped).select("bag", "token", "qtf")
-    reach = deciding.join(per_shard, "token").groupBy("bag", "shard").agg(F.sum(F.col("qtf") * F.col("most_here")).alias("part"))
+    per_shard = postings.groupBy("tid", "shard").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most_here"))
+    deciding = ranked.where(~skipped).select("bag", "tid", "qtf")
+    reach = deciding.join(per_shard, "tid").groupBy("bag", "shard").agg(F.sum(F.col("qtf") * F.col("most_here")).alias("part"))
     return reach.join(rest, "bag").where(F.col("part") + F.col("rest") >= F.col("bar") - SLACK).select("bag", "shard")
 
 
@@ -104,16 +105,16 @@ def _score_shard(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bag": [], "rep": [], "order": [], "score": []})
     docs = index[["rep", "order"]].drop_duplicates("rep").sort_values("order", ignore_index=True)
     place = pd.Series(np.arange(len(docs)), index=docs["rep"].to_numpy())
-    index = index.sort_values("token", kind="stable")
-    names, starts = np.unique(index["token"].to_numpy(), return_index=True)
+    index = index.sort_values("tid", kind="stable")
+    names, starts = np.unique(index["tid"].to_numpy(), return_index=True)
     ends = np.append(starts[1:], len(index))
     at = place.loc[index["rep"].to_numpy()].to_numpy()
     weight = index["w"].to_numpy()
     out = []
     for bag, part in words.groupby("bag", sort=False):
-        token, qtf = part["token"].to_numpy(), part["qtf"].to_numpy()
-        i = np.minimum(np.searchsorted(names, token), len(names) - 1)
-        known = names[i] == token
+        tid, qtf = part["tid"].to_numpy(), part["qtf"].to_numpy()
+        i = np.minimum(np.searchsorted(names, tid), len(names) - 1)
+        known = names[i] == tid
         i, qtf = i[known], qtf[known]
         length = ends[i] - starts[i]
         # positions of all postings of all words of this query, word after word
@@ -127,16 +128,16 @@ def _score_shard(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 def _score(visits: DataFrame, qwords: DataFrame, postings: DataFrame, blocks: int) -> DataFrame:
     """Meet queries and shards in tasks of bounded size: one (shard, query block) per group."""
-    kind = {f.name: f.dataType.simpleString() for f in postings.schema.fields}
+    kind = {f.name: f.dataType.simpleString() for f in (*postings.schema.fields, *qwords.schema.fields)}
     block = F.pmod(F.xxhash64("bag"), F.lit(blocks)).cast("int").alias("block")
-    left = visits.join(qwords.select("bag", "token", "qtf"), "bag").select("shard", block, "bag", "token", "qtf")
+    left = visits.join(qwords.select("bag", "tid", "qtf"), "bag").select("shard", block, "bag", "tid", "qtf")
     used = visits.select("shard", block).distinct()
-    right = postings.select("shard", "token", "rep", "order", "w").join(used, "shard").select("shard", "block", "token", "rep", "order", "w")
+    right = postings.join(used, "shard").select("shard", "block", "tid", "rep", "order", "w")
 
     def score(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         return _score_shard(words, index)
 
-    schema = f"bag string, rep {kind['rep']}, `order` {kind['order']}, score double"
+    schema = f"bag {kind['bag']}, rep {kind['rep']}, `order` {kind['order']}, score double"
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score, schema)
 
 
@@ -146,12 +147,15 @@ def nearest(queries: DataFrame, query_id: str, query_text: str, train: DataFrame
 
     One index serves one task kind; call it per kind.
     """
-    reps, postings, maxima = build_index(train, row_id, text, order, target)
+    reps, postings, vocabulary = build_index(train, row_id, text, order, target)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_text).alias("text"))
-    bags = cut_lineage(_bags(q, "qid", "text"))
-    first_of_bag = bags.groupBy("bag").agg(F.min("qid").alias("qid"))
-    words = _words(q.join(first_of_bag, "qid"), "bag", "text").withColumnRenamed("tf", "qtf")
-    qwords = cut_lineage(words.join(maxima, "token").withColumn("reach", F.col("qtf") * F.col("most")))
+    digests = q.select("qid", _bag(F.col("text")).alias("digest"))
+    # a bag goes by the first query that has it
+    first = digests.groupBy("digest").agg(F.min("qid").alias("bag"))
+    bags = cut_lineage(digests.join(first, "digest").select("qid", "bag"))
+    once = q.join(bags.where("qid = bag").select("qid"), "qid", "left_semi").withColumnRenamed("qid", "bag")
+    words = _words(once, "bag", "text").withColumnRenamed("tf", "qtf")
+    qwords = cut_lineage(words.join(vocabulary, "token").select("bag", "tid", "qtf", "df", (F.col("qtf") * F.col("most")).alias("reach")))
     blocks = max(1, math.ceil(qwords.count() / TASK_ROWS))
 
     bar = _guess_bar(qwords, postings)

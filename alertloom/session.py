@@ -50,9 +50,14 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the shared folder and go on from there.
+
+    A lost executor costs no recomputation, and unlike a checkpointed RDD the table keeps its size for
+    join choices and lets later steps read only the columns they use.
+    """
+    path = work_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
