@@ -36,8 +36,8 @@ def component_roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the graph `edges(u, v)`; the root is the least node.
 
     Alternating large and small stars: neighbourhoods are only ever reduced to their minimum, which
-    combines map-side, and the minimum is joined back, so a hub is never gathered. Each round is cut
-    with a reliable checkpoint.
+    combines map-side, and the minimum is joined back, so a hub is never gathered. Each round is
+    written to a table in the shared folder.
     """
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     cur = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
