@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.session import cut_lineage
+from alertloom.session import cut_lineage, release
 
 MAX_ROUNDS = 60
 EXACT_ID_MEMBERS = 10_000
@@ -43,7 +43,8 @@ def component_roots(edges: DataFrame) -> DataFrame:
     cur = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _fingerprint(cur)
     for _ in range(MAX_ROUNDS):
-        cur = cut_lineage(_small_star(_large_star(cur)))
+        last, cur = cur, cut_lineage(_small_star(_large_star(cur)))
+        release(last)
         now = _fingerprint(cur)
         if now == seen:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,15 +30,15 @@ def local_session(cores: int | str = 8, app: str = "alertloom") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the session's `spark.checkpoint.dir`, else a local one.
+    """The folder every executor can reach: the session's `spark.checkpoint.dir`.
 
-    The local fallback is only for a session that names none, as in tests.
+    Only a local master may do without one (tests); then a local folder stands in. Any other master
+    raises, as executors would write files that nobody else sees.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="alertloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -53,11 +54,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to a table in the shared folder and go on from there.
 
     A lost executor costs no recomputation, and unlike a checkpointed RDD the table keeps its size for
-    join choices and lets later steps read only the columns they use.
+    join choices and lets later steps read only the columns they use. `release` drops the table.
     """
     path = work_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def release(*stages: DataFrame) -> None:
+    """Drop tables written by `cut_lineage` once nothing reads them any more."""
+    for stage in stages:
+        jvm = stage.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(stage.stage_path)
+        path.getFileSystem(stage.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
