@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from alertloom.llm import block_names, quality
+import public_tokenizers
+
+from alertloom.llm import block_names, licenses, mixing, packing, quality, token_files
 from alertloom.llm.common import table
+from alertloom.session import work_path
 
 
 def op2_quality_rules(spark, sf_dir):
@@ -11,15 +14,40 @@ def op2_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+def op5_mix_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.source_rates(docs))
+
+
+def op6_pattern_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_files(spark, sf_dir):
+    path = work_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
 def op10_exact_dedup(spark, sf_dir):
     out = block_names.exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_mix_sources, op6_pattern_packing, op7_token_files, op10_exact_dedup)}
 
 _STOP_LIST = ", ".join(f"'{form}'" for w in sorted(set(quality.STOP_WORDS)) for form in (w, w.capitalize()))
 
+_KNOWN_ROWS = ", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+_SPELLED = "' ' || replace(p, chr(10), ' ' || chr(10) || ' ') || ' '"
+for _a, _b in licenses.SPELLINGS:
+    _SPELLED = f"replace({_SPELLED}, ' {_a} ', ' {_b} ')"
+
 ORACLES = {
     "op2_quality_rules": rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -40,6 +68,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND 1.0 * word_chars / greatest(n_words, 1) BETWEEN 2 AND 12 AND sym <= 0.3 AND 1.0 * n_dup_lines / greatest(n_lines, 1) <= 0.5
        AND (n_words < 20 OR (sym <= 0.1 AND 1.0 * n_stop_words / n_words >= 0.02 AND 1.0 * bullets / n_lines <= 0.9 AND 1.0 * dots / n_lines <= 0.3)) AS kept
 FROM r""",
+    "op3_license_scan": rf"""
+WITH texts AS (SELECT doc_id, NULL AS name, coalesce(text, '') AS t FROM documents UNION ALL SELECT NULL, * FROM (VALUES {_KNOWN_ROWS}) v),
+plain AS (SELECT *, regexp_replace(replace(replace(lower(t), '©', ' copyright '), '(c)', ' copyright '), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS p FROM texts),
+spelled AS (SELECT *, {_SPELLED} AS s FROM plain),
+lines AS (SELECT *, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)),
+                 lambda x: x <> '' AND NOT starts_with(x, 'copyright ') AND NOT starts_with(x, 'all rights reserved')) AS l FROM spelled),
+digests AS (SELECT doc_id, name, sha256(array_to_string(l, ' ')) AS text_digest, list_transform(l, lambda x: sha256(x)) AS line_digests FROM lines),
+known AS (SELECT text_digest AS digest, min(name) AS license FROM digests WHERE name IS NOT NULL GROUP BY 1),
+notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
+            FROM (SELECT doc_id, unnest(line_digests) AS digest FROM digests WHERE name IS NULL) JOIN known USING (digest) GROUP BY 1)
+SELECT d.doc_id, text_digest, license, coalesce(n, 0) AS n_notices, coalesce(names, '') AS notices
+FROM digests d LEFT JOIN known ON text_digest = digest LEFT JOIN notices USING (doc_id) WHERE d.name IS NULL""",
+    "op5_mix_sources": """
+WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY 1),
+rates AS (SELECT source, sqrt(size::DOUBLE) / sum(sqrt(size::DOUBLE)) OVER () * sum(size) OVER () / size AS rate FROM sizes),
+parts AS (SELECT source, greatest(1, ceil(rate / 8))::INT AS parts, rate / greatest(1, ceil(rate / 8)) AS mean FROM rates),
+cdf AS (SELECT source, k, sum(exp(-mean) * pow(mean, k) / factorial(k::INT)::DOUBLE) OVER (PARTITION BY source ORDER BY k) AS c
+        FROM parts, (SELECT unnest(generate_series(0, 32)) AS k)),
+draws AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1:' || doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+          FROM (SELECT doc_id, source, unnest(generate_series(1, parts)) AS j FROM documents JOIN parts USING (source))),
+counted AS (SELECT doc_id, count(*)::INT AS n_copies FROM draws d JOIN cdf c ON d.source = c.source AND c.c <= d.u GROUP BY 1)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, n_copies, md5('mix-1:order:' || doc_id || ':' || copy) AS mix_key
+FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM documents JOIN counted USING (doc_id)) d""",
     "op10_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
