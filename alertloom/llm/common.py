@@ -14,12 +14,16 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Python workers started from here on also find this package, wherever the driver was started."""
+    find_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def find_package(spark: SparkSession) -> None:
+    """Python workers started from here on find this package, wherever the driver was started."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def let(value: Column, body) -> Column:

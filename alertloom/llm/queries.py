@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from alertloom.llm import block_names, licenses, mixing, packing, quality, token_files
+from alertloom.llm import backoff, block_names, html_diff, licenses, mixing, near_join, packing, quality, token_files, url_filter
 from alertloom.llm.common import table
 from alertloom.session import work_path
 
 
+def op1_page_text(spark, sf_dir):
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark, sf_dir):
     out = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
@@ -18,6 +23,10 @@ def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.entries(spark))
+
+
 def op5_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.source_rates(docs))
@@ -34,12 +43,27 @@ def op7_token_files(spark, sf_dir):
     return token_files.checksums(token_files.read_tokens(spark, path))
 
 
+def op8_backoff_score(spark, sf_dir):
+    out = backoff.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return near_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     out = block_names.exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_mix_sources, op6_pattern_packing, op7_token_files, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_page_text, op2_quality_rules, op3_license_scan, op4_url_filter, op5_mix_sources, op6_pattern_packing, op7_token_files,
+        op8_backoff_score, op9_ngram_jaccard_join, op10_exact_dedup,
+    )
+}
 
 _STOP_LIST = ", ".join(f"'{form}'" for w in sorted(set(quality.STOP_WORDS)) for form in (w, w.capitalize()))
 
@@ -48,6 +72,8 @@ _SPELLED = "' ' || replace(p, chr(10), ' ' || chr(10) || ' ') || ' '"
 for _a, _b in licenses.SPELLINGS:
     _SPELLED = f"replace({_SPELLED}, ' {_a} ', ' {_b} ')"
 
+_ENTRIES = ", ".join([f"('{e}', '{v}', true)" for e, v in url_filter.RULES] + [f"('{e}', 'block', false)" for e in url_filter.BLOCKED])
+
 ORACLES = {
     "op2_quality_rules": rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -80,6 +106,32 @@ notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER
             FROM (SELECT doc_id, unnest(line_digests) AS digest FROM digests WHERE name IS NULL) JOIN known USING (digest) GROUP BY 1)
 SELECT d.doc_id, text_digest, license, coalesce(n, 0) AS n_notices, coalesce(names, '') AS notices
 FROM digests d LEFT JOIN known ON text_digest = digest LEFT JOIN notices USING (doc_id) WHERE d.name IS NULL""",
+    "op4_url_filter": f"""
+WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+entries AS (SELECT entry, verdict, is_rule, regexp_extract(entry, '^([^/]*)(.*)$', 1) AS h, regexp_extract(entry, '^([^/]*)(.*)$', 2) AS s FROM (VALUES {_ENTRIES}) v(entry, verdict, is_rule)),
+fit AS (SELECT page_id, entry, verdict, is_rule FROM p, entries WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)),
+best AS (SELECT page_id, arg_max(entry, length(entry)) FILTER (is_rule) AS rule, arg_max(verdict, length(entry)) FILTER (is_rule) AS verdict, bool_or(NOT is_rule) AS listed FROM fit GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN best USING (page_id)""",
+    "op8_backoff_score": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+o AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w)),
+c1 AS (SELECT word, count(*) AS c FROM o GROUP BY 1), total AS (SELECT count(*)::DOUBLE AS n FROM o),
+own AS (SELECT doc_id, prev, word, count(*) AS k FROM o WHERE prev IS NOT NULL GROUP BY ALL),
+c2 AS (SELECT prev, word, sum(k) AS c FROM own GROUP BY ALL),
+s AS (SELECT o.doc_id, CASE WHEN o.prev IS NULL THEN ln(a.c / n) WHEN c2.c > own.k THEN ln((c2.c - own.k)::DOUBLE / b.c) ELSE ln(0.4::DOUBLE * a.c / n) END AS s, o.prev IS NOT NULL AND c2.c <= own.k AS missed
+      FROM o CROSS JOIN total JOIN c1 a ON a.word = o.word LEFT JOIN c1 b ON b.word = o.prev LEFT JOIN own ON own.doc_id = o.doc_id AND own.prev = o.prev AND own.word = o.word LEFT JOIN c2 ON c2.prev = o.prev AND c2.word = o.word),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (missed) AS n_backoff, sum(s) AS score FROM s GROUP BY 1)
+SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(score, 0.0), 4) AS log_score, round(score / n_words, 6) AS mean_log_score
+FROM w LEFT JOIN g USING (doc_id)""",
+    "op9_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT w.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1""",
     "op5_mix_sources": """
 WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY 1),
 rates AS (SELECT source, sqrt(size::DOUBLE) / sum(sqrt(size::DOUBLE)) OVER () * sum(size) OVER () / size AS rate FROM sizes),
