@@ -1,10 +1,10 @@
 """Near-duplicate groups: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Links are found by signature trees. So that a tree never spans the corpus, texts are first put in neighbourhoods that no
-link leaves: two sets with that similarity share one of the few shingles that come first in any fixed order (prefix
-filter), here the order from rare to frequent. Equal sets count as one. Neighbourhoods are the connected groups over
-shared first shingles; each is one tree, a very large one is cut by set size into trees that are compared two by two.
-Shingles are 64-bit hashes; everything else is exact.
+Links are found by signature trees. Equal sets count as one. A set that is linked with another shares one of the few
+shingles that come first in any fixed order (prefix filter); in the order from rare to frequent those are mostly shingles that
+no other set has, so a set with enough such shingles has no link. The rest is put in neighbourhoods that no link leaves: the
+connected groups over shared first shingles. Each is one tree; a very large one is cut by set size into trees that are
+compared two by two. Shingles are 64-bit hashes; everything else is exact.
 """
 
 from __future__ import annotations
@@ -29,8 +29,13 @@ SHINGLE_WORDS = 5
 #: Shingles are counted in this many hash buckets; the counts only order shingles from rare to frequent.
 COUNT_BUCKETS = 1 << 20
 COUNT_SLICE = 1 << 12
-#: First shingles that one task sorts.
+#: First shingles, and shingles in all, that one task sorts.
 ENTRIES_PER_PART = 300_000
+SHINGLES_PER_PART = 3_000_000
+#: Bytes of a shingle's hash by which other sets with it are looked for; equal by chance only costs work.
+SHORT_BYTES = 6
+#: Bits of the filter that spares most texts the way to the join with the few wanted ids.
+FILTER_BITS = 1 << 23
 #: Sets in one tree. Larger neighbourhoods are cut.
 TREE_SETS = 4096
 #: Cuts of a large neighbourhood hold sizes within this ratio, so only neighbouring cuts can hold links.
@@ -52,28 +57,109 @@ def _batch(columns: list, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Tables of (id, n, name, node) per row of `docs`, and of (slice, counts): in how many rows shingles of a bucket are."""
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A table of (id, n, name, node) per row of `docs`: the size and the names of its set."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)]).add("n", "integer").add("name", "binary").add("node", "long")
-    schema = schema.add("slice", "integer").add("counts", T.ArrayType(T.LongType(), False))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
         for batch in batches:
             for part in tokens.chunks(batch, "text"):
                 sets = shingle_sets(part.column("text"), SHINGLE_WORDS)
-                if sets:
-                    counts += np.bincount((np.concatenate(sets) % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
                 names = [_identity(s) for s in sets]
-                columns = [part.column("id"), [len(x) for x in sets], [n for n, _ in names], [v for _, v in names], [None] * len(sets), [None] * len(sets)]
-                yield _batch(columns, arrow)
+                yield _batch([part.column("id"), [len(s) for s in sets], [n for n, _ in names], [v for _, v in names]], arrow)
+
+    return cut_lineage(_texts(docs, id_col, text_col).mapInArrow(run, schema))
+
+
+def shared_counts(docs: DataFrame, shingles: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, shared): how many shingles of a set some other set has too; sets without any are left out."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, -(-shingles // SHINGLES_PER_PART), 1)
+    dealt = T.StructType().add("part", "integer").add("short", "binary").add("nodes", "binary").add("at", "binary")
+    counted = T.StructType().add("node", "long").add("shared", "long")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.chunks(batch, "text"):
+                once = {_identity(s)[1]: s for s in shingle_sets(part.column("text"), SHINGLE_WORDS) if len(s)}
+                if not once:
+                    continue
+                nodes = np.array(list(once), dtype=np.int64)
+                found = np.concatenate(list(once.values()))
+                owner = np.repeat(np.arange(len(once)), [len(s) for s in once.values()])
+                place = ((found >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
+                rows = []
+                for p, i in _split(place):
+                    used, local = np.unique(owner[i], return_inverse=True)
+                    short = np.ascontiguousarray(mixed(found[i])).view(np.uint8).reshape(-1, 8)[:, :SHORT_BYTES]
+                    rows.append((p, short.tobytes(), nodes[used].tobytes(), local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes()))
+                yield _batch(list(zip(*rows, strict=True)), to_arrow_schema(dealt))
+
+    def count(group: pa.Table) -> pa.Table:
+        tables = [np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()]
+        owners = [t[np.frombuffer(a, "<u2" if len(t) < 1 << 16 else "<u4")] for t, a in zip(tables, group.column("at").to_pylist(), strict=True)]
+        flat = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, SHORT_BYTES)
+        wide = np.zeros((len(flat), 8), dtype=np.uint8)
+        wide[:, :SHORT_BYTES] = flat
+        short, node = wide.view("<u8").reshape(-1), np.concatenate(owners)
+        order = np.lexsort((node, short))
+        short, node = short[order], node[order]
+        new = np.append(True, (short[1:] != short[:-1]) | (node[1:] != node[:-1]))
+        short, node = short[new], node[new]
+        with_next = short[1:] == short[:-1]
+        several = np.append(with_next, False) | np.append(False, with_next)
+        found, n = np.unique(node[several], return_counts=True)
+        return pa.Table.from_batches([_batch([found, n], to_arrow_schema(counted))])
+
+    return _texts(docs, id_col, text_col).mapInArrow(deal, dealt).groupBy("part").applyInArrow(count, counted).groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The positions that go to each part."""
+    order = np.argsort(part, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
+    for begin, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        yield int(part[order[begin]]), order[begin:end]
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) of the rows of `docs` whose id is in `ids`.
+
+    A bitmap of a fixed size, made from the ids, lets most other texts be left out before the exact join.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(bit / 32).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bitmap = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    for row in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
+        bitmap[row["w"]] = row["b"]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    slim = _texts(docs, id_col, text_col)
+    marked = slim.withColumn("bit", bit)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select(["id", "text"])
+
+    return marked.mapInArrow(look, slim.schema).join(ids, "id", "left_semi")
+
+
+def shingle_counts(texts: DataFrame) -> DataFrame:
+    """(slice, counts): in how many of the (id, text) rows shingles of a bucket are."""
+    schema = T.StructType().add("slice", "integer").add("counts", T.ArrayType(T.LongType(), False))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for part in tokens.chunks(batch, "text"):
+                if sets := shingle_sets(part.column("text"), SHINGLE_WORDS):
+                    counts += np.bincount((np.concatenate(sets) % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
         filled = np.flatnonzero(counts.reshape(-1, COUNT_SLICE).any(axis=1))
-        none = [None] * len(filled)
-        yield _batch([none, none, none, none, filled, list(counts.reshape(-1, COUNT_SLICE)[filled])], arrow)
+        yield _batch([filled, list(counts.reshape(-1, COUNT_SLICE)[filled])], arrow)
 
-    both = cut_lineage(_texts(docs, id_col, text_col).mapInArrow(run, schema))
-    return both.where("slice IS NULL").select("id", "n", "name", "node"), both.where("slice IS NOT NULL").select("slice", "counts")
+    return texts.mapInArrow(run, schema)
 
 
 def bucket_counts(slices: DataFrame) -> np.ndarray:
@@ -99,15 +185,15 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[rank[:length]]
 
 
-def shared_first(docs: DataFrame, counts: np.ndarray, entries: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_first(texts: DataFrame, counts: np.ndarray, entries: int, rows: int) -> DataFrame:
     """Edges (u, v) between nodes that share a first shingle: each node and the least one with the same shingle.
 
     First shingles are dealt by hash. Those in frequent buckets are spread further by node; the least nodes of the
     spread parts meet again in a second step.
     """
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES_PER_PART))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES_PER_PART))
     frequent = max(1000, rows // 100)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
     dealt = T.StructType().add("part", "integer").add("shingles", "binary").add("nodes", "binary")
     edge = T.StructType().add("u", "long").add("v", "long").add("spread", "boolean")
 
@@ -124,11 +210,8 @@ def shared_first(docs: DataFrame, counts: np.ndarray, entries: int, rows: int, i
                 wide = table[(shingles % np.uint64(COUNT_BUCKETS)).astype(np.int64)] > frequent
                 place = mixed(shingles) + np.where(wide, mixed(nodes.view(np.uint64)), np.uint64(0))
                 place = ((place >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                ends = np.append(np.flatnonzero(np.diff(place[order])) + 1, len(order))
-                begins = np.append(0, ends[:-1])
-                rows_out = [(int(place[order[a]]), shingles[order[a:b]].tobytes(), nodes[order[a:b]].tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=dealt.names)
+                rows_out = [(p, shingles[i].tobytes(), nodes[i].tobytes()) for p, i in _split(place)]
+                yield _batch(list(zip(*rows_out, strict=True)), to_arrow_schema(dealt))
 
     def meet(group: pa.Table) -> pa.Table:
         shingles = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()])
@@ -144,7 +227,7 @@ def shared_first(docs: DataFrame, counts: np.ndarray, entries: int, rows: int, i
         v = np.concatenate([edges[:, 1], nodes[wide]])
         return pa.Table.from_arrays([pa.array(u), pa.array(v), pa.array(np.arange(len(u)) >= len(edges))], names=edge.names)
 
-    found = cut_lineage(_texts(docs, id_col, text_col).mapInArrow(first, dealt).groupBy("part").applyInArrow(meet, edge))
+    found = cut_lineage(texts.mapInArrow(first, dealt).groupBy("part").applyInArrow(meet, edge))
     spread = found.where("spread").select(F.col("u").alias("shingle"), F.col("v").alias("node"))
     least = spread.groupBy("shingle").agg(F.min("node").alias("least"))
     joined = spread.join(least, "shingle").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
@@ -213,14 +296,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and blank texts have no shingles and are linked with nothing. Equal sets are linked. Rows with the same id
     are one document; those with a null id are linked with nothing and get a null component. Other columns are not read. An empty table gives an empty result.
     """
-    described, slices = describe(docs, id_col, text_col)
+    described = describe(docs, id_col, text_col)
     named = described.where("n > 0 AND id IS NOT NULL")
     distinct = cut_lineage(named.groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("node").alias("node")))
-    length = F.col("n") - F.ceil(F.lit(UNDER) * F.col("n") / OVER) + 1
-    sums = described.agg(F.count(F.lit(1)).alias("rows"), F.sum(length).alias("entries")).first()
-    edges = shared_first(docs, bucket_counts(slices), int(sums["entries"] or 0), int(sums["rows"]), id_col, text_col)
+    shingles = described.agg(F.sum("n")).first()[0] or 0
+    first_ones = F.col("n") - F.ceil(F.lit(UNDER) * F.col("n") / OVER) + 1
+    shared = shared_counts(docs, shingles, id_col, text_col)
+    # a set all of whose first shingles are its own has no link
+    open_sets = cut_lineage(distinct.join(shared, "node").where(F.col("n") - F.col("shared") < first_ones).select("name", "id", "n", "node"))
+    few = cut_lineage(with_ids(docs, open_sets.select("id").distinct(), id_col, text_col))
+    sums = open_sets.agg(F.count(F.lit(1)).alias("rows"), F.sum(first_ones).alias("entries")).first()
+    edges = shared_first(few, bucket_counts(shingle_counts(few)), int(sums["entries"] or 0), int(sums["rows"]))
     areas = cut_lineage(component_roots(edges))
-    members = cut_lineage(distinct.join(areas, distinct["node"] == areas["node"]).select("root", "id", "n", "name"))
+    members = cut_lineage(open_sets.join(areas, "node").select("root", "id", "n", "name"))
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)]).add("name", "binary").add("shingles", "binary")
 
@@ -230,15 +318,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found = shingle_sets(part.column("text"), SHINGLE_WORDS)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_identity(s)[0] for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=schema.names)
 
-    wanted = _texts(docs, id_col, text_col).join(members.select("id").distinct(), "id", "left_semi")
-    full = wanted.mapInArrow(sets, schema)
+    full = few.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(sets, schema)
     placed = trees(members, tree_sets).join(full, ["id", "name"])
     links = cut_lineage(tree_links(placed.select("tree", "id", "name", "shingles")))
     roots = component_roots(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
     heads = cut_lineage(distinct.select("name", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("name", F.coalesce("root", "id").alias("component")))
     rest = described.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
     out = named.join(heads, "name").select("id", "n", "component").unionByName(rest)
-    release(distinct, members, areas)
+    release(distinct, open_sets, few, members, areas)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
