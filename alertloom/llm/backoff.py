@@ -29,7 +29,7 @@ WORD_BYTES = 6
 #: At most so many words count as frequent: those with at least 1 / FREQUENT of all occurrences.
 FREQUENT = 1 << 19
 #: Pairs in one task, and different words that a task gathers before it passes them on.
-PAIRS_PER_PART = 3_000_000
+PAIRS_PER_PART = 1_500_000
 GATHERED = 2_000_000
 #: Stands before the first word of a text, and for a null id.
 START = np.uint64(0)
