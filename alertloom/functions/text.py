@@ -47,7 +47,8 @@ def is_documentation_ipv4(token: Column) -> Column:
 
 
 def octets_valid(token: Column) -> Column:
-    return F.forall(F.split(token, r"\."), lambda o: o.cast("int") <= 255)
+    """Digits of another script, which do not read as a number, count as a valid octet."""
+    return F.forall(F.split(token, r"\."), lambda o: F.coalesce(o.try_cast("int") <= 255, F.lit(True)))
 
 
 def slug(text: Column) -> Column:

@@ -44,25 +44,31 @@ def missing_outcomes(cases: DataFrame, outcomes: DataFrame, candidates: Sequence
     )
 
 
-def build_answers(cases: DataFrame, outcomes: DataFrame, strict: bool = True) -> DataFrame:
-    """Join on case_id and fold the three tasks into columns.
+def build_answers(cases: DataFrame, outcomes: DataFrame, strict: bool = True, candidates: Sequence[str] | None = None) -> DataFrame:
+    """Join on case_id and fold the three tasks into columns: one row per case and candidate.
 
-    The join partitions both sides by case_id, and the grouping by (case_id, candidate) reuses that
-    partitioning, so there is one shuffle per side and none for the fold. With `strict`, a case with
-    a missing or repeated outcome stops the job: a gap is an error, never a NULL.
+    With `strict`, every case is expected to have exactly one outcome per task for every candidate; a gap or a repeat
+    stops the job, it never becomes a NULL or a smaller denominator. `candidates` names those expected; without it they
+    are the ones that occur in `outcomes`. The check is a filter over the folded rows, so no column pruning can take
+    it out.
     """
     facts = outcomes.select(
         "case_id", "candidate", "task", "status", "value_type", "value_page", "value_priority",
         "probability", "probability_source", "raw_score",
     )
+    if strict:
+        names = sorted(candidates) if candidates is not None else sorted(r[0] for r in outcomes.select("candidate").distinct().collect())
+        listed = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+        expected = cases.select(*CASE_COLUMNS, F.explode(listed).alias("candidate"))
+        joined = expected.join(facts, ["case_id", "candidate"], "left")
+    else:
+        joined = cases.select(*CASE_COLUMNS).join(facts, "case_id")
 
     def pick(task: str, col: str) -> Column:
         return F.max(F.when(F.col("task") == task, F.col(col)))
 
     wide = (
-        cases.select(*CASE_COLUMNS)
-        .join(facts, "case_id", "left" if strict else "inner")
-        .groupBy(*CASE_COLUMNS, "candidate")
+        joined.groupBy(*CASE_COLUMNS, "candidate")
         .agg(
             F.count("task").alias("n_outcomes"),
             F.count(F.when(F.col("task") == "event_type", 1)).alias("n_et"),
@@ -81,12 +87,8 @@ def build_answers(cases: DataFrame, outcomes: DataFrame, strict: bool = True) ->
     )
     if strict:
         whole = (F.col("n_et") == 1) & (F.col("n_pg") == 1) & (F.col("n_pr") == 1)
-        wide = wide.withColumn(
-            "et_status",
-            F.when(whole, F.col("et_status")).otherwise(
-                F.raise_error(F.concat(F.lit("missing or repeated outcome for case "), F.col("case_id").cast("string"))).cast("string")
-            ),
-        )
+        gap = F.concat_ws(" ", F.lit("not exactly one outcome per task: candidate"), "candidate", F.lit("case"), F.col("case_id").cast("string"))
+        wide = wide.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(gap).cast("boolean")))
     return wide.drop("n_outcomes", "n_et", "n_pg", "n_pr")
 
 

@@ -1,9 +1,8 @@
 """Paired cluster bootstrap over candidate pairs.
 
-Values are reduced to one (sum, n) row per (pair of candidates, metric, cluster) before any resample
-opens. Groups with at most `INDEXED_CLUSTERS` clusters draw whole clusters by index. Larger groups give
-each cluster a Poisson(1) weight per replicate, which needs no index: a replicate is then a plain sum
-that combines map-side, whatever the number of clusters.
+Values are reduced to one (sum, n) row per (pair of candidates, metric, cluster) before any resample opens. The caller
+picks the estimator: "indexed" draws whole clusters by index, "weighted" gives each cluster a Poisson(1) weight per
+replicate, which needs no index, so a replicate is a plain sum that combines map-side whatever the number of clusters.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from alertloom.functions.stats import r6
 from alertloom.session import cut_lineage
 
-INDEXED_CLUSTERS = 10_000
+METHODS = ("indexed", "weighted")
 BROADCAST_CLUSTERS = 500_000
 KEYS = ("a", "b", "metric")
 
@@ -70,8 +69,13 @@ def _draws_by_index(sums: DataFrame, small: DataFrame, seed: int, n_boot: int, r
         indexed = F.broadcast(indexed)
     cores = sums.sparkSession.sparkContext.defaultParallelism
     reps = small.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(2 * cores, *KEYS, "rep")
-    slots = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_clusters").cast("int") - 1)))
-    drawn = slots.select(*KEYS, "rep", (_uniform(F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")) % F.col("n_clusters")).alias("idx"))
+    # one md5 holds four 32-bit numbers: slot q * 4 + k takes the k-th
+    fours = reps.withColumn("q", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_clusters") / 4).cast("int") - 1)))
+    hashed = fours.withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("q").cast("string"))))
+    ks = F.sequence(F.lit(0), F.least(F.lit(3), F.col("n_clusters").cast("int") - 4 * F.col("q") - 1))
+    slots = hashed.select(*KEYS, "rep", "n_clusters", "digest", F.explode(ks).alias("k"))
+    number = F.conv(F.substr("digest", 8 * F.col("k") + 1, F.lit(8)), 16, 10).cast("bigint")
+    drawn = slots.select(*KEYS, "rep", (number % F.col("n_clusters")).alias("idx"))
     return drawn.join(indexed, [*KEYS, "idx"]).groupBy(*KEYS, "rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
@@ -82,16 +86,18 @@ def _draws_by_weight(sums: DataFrame, large: DataFrame, seed: int, n_boot: int)
     return weighted.groupBy(*KEYS, "rep").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
 
 
-def paired_bootstrap(vectors: DataFrame, seed: int = 42, n_boot: int = 2000, confidence: float = 0.95) -> DataFrame:
+def paired_bootstrap(vectors: DataFrame, seed: int = 42, n_boot: int = 2000, confidence: float = 0.95, method: str = "indexed") -> DataFrame:
     """diff, interval, n, n_clusters per candidate pair and metric; N/A below two clusters."""
-    if not 0 < confidence < 1 or n_boot < 1:
-        raise ValueError("confidence must be in (0,1) and n_boot positive")
+    if not 0 < confidence < 1 or n_boot < 1 or method not in METHODS:
+        raise ValueError(f"needs a confidence between 0 and 1, at least one resample, and a method of {METHODS}")
     sums = cut_lineage(cluster_sums(candidate_pairs(vectors)))
     sizes = cut_lineage(sums.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n"), F.sum("s").alias("s")))
-    small = sizes.where(F.col("n_clusters").between(2, INDEXED_CLUSTERS)).select(*KEYS, "n_clusters")
-    large = sizes.where(F.col("n_clusters") > INDEXED_CLUSTERS)
-    rows = small.agg(F.coalesce(F.sum("n_clusters"), F.lit(0))).first()[0]
-    reps = _draws_by_index(sums, small, seed, n_boot, rows).union(_draws_by_weight(sums, large, seed, n_boot))
+    drawn = sizes.where(F.col("n_clusters") >= 2).select(*KEYS, "n_clusters")
+    if method == "indexed":
+        rows = drawn.agg(F.coalesce(F.sum("n_clusters"), F.lit(0))).first()[0]
+        reps = _draws_by_index(sums, drawn, seed, n_boot, rows)
+    else:
+        reps = _draws_by_weight(sums, drawn, seed, n_boot)
     tail = (1 - confidence) / 2
     # a group has n_boot replicates, so this percentile buffer is bounded by n_boot
     ci = reps.groupBy(*KEYS).agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
@@ -100,5 +106,5 @@ def paired_bootstrap(vectors: DataFrame, seed: int = 42, n_boot: int = 2000, con
         r6(F.col("s") / F.col("n")).alias("diff"),
         r6(F.get("ci", F.lit(0))).alias("ci_low"),
         r6(F.get("ci", F.lit(1))).alias("ci_high"),
-        F.when(F.col("n_clusters") < 2, "fewer than two clusters; interval undefined").alias("na_reason"),
+        F.when(F.col("n_clusters") < 2, "an interval needs two clusters or more").alias("na_reason"),
     )

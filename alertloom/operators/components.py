@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from alertloom.session import cut_lineage, release
 
 MAX_ROUNDS = 60
-EXACT_ID_MEMBERS = 10_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -56,12 +55,12 @@ def component_roots(edges: DataFrame) -> DataFrame:
     )
 
 
-def group_components(cases: DataFrame, exact_members: int = EXACT_ID_MEMBERS) -> DataFrame:
+def group_components(cases: DataFrame) -> DataFrame:
     """(pair_id, group_id): pairs connected through a shared template family share a group.
 
-    The id is "G-" and ten hex digits of sha256 over the sorted member pair ids joined by a bar. A
-    component above `exact_members` pairs gets its digest in three levels instead (sorted ids per hash
-    bucket, then bucket digests), so that no component has to fit one task; its id is just as stable.
+    The id is "G-" and ten hex digits of sha256, taken in three levels at every size: over the sorted pair ids that share
+    the first four hex digits of their md5, over those digests by the first two digits, and over the digests of these. So
+    no component has to fit one task, and a component that grows changes its id only because its pairs change.
     """
     links = cases.select(
         F.concat(F.lit("pair:"), F.col("pair_id").cast("string")).alias("u"),
@@ -69,18 +68,14 @@ def group_components(cases: DataFrame, exact_members: int = EXACT_ID_MEMBERS) ->
     ).distinct()
     roots = component_roots(links)
     pairs = roots.where(F.col("node").startswith("pair:")).select(F.expr("substring(node, 6)").alias("pair_id"), "root")
-    sizes = pairs.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    sized = pairs.join(sizes, "root")
 
     def digest(col: str):
         return F.sha2(F.array_join(F.sort_array(F.collect_list(col)), "|"), 256)
 
-    small = sized.where(F.col("n") <= exact_members).groupBy("root").agg(digest("pair_id").alias("d"))
-    big = sized.where(F.col("n") > exact_members).withColumn("h", F.md5("pair_id"))
-    leaf = big.groupBy("root", F.substring("h", 1, 4).alias("p")).agg(digest("pair_id").alias("d"))
+    leaf = pairs.groupBy("root", F.substring(F.md5("pair_id"), 1, 4).alias("p")).agg(digest("pair_id").alias("d"))
     mid = leaf.groupBy("root", F.substring("p", 1, 2).alias("p")).agg(digest("d").alias("d"))
     top = mid.groupBy("root").agg(digest("d").alias("d"))
-    ids = small.union(top).select("root", F.concat(F.lit("G-"), F.substring("d", 1, 10)).alias("group_id"))
+    ids = top.select("root", F.concat(F.lit("G-"), F.substring("d", 1, 10)).alias("group_id"))
     return pairs.join(ids, "root").select("pair_id", "group_id")
 
 

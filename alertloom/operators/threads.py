@@ -12,13 +12,16 @@ from alertloom import fixed_values as fv
 from alertloom.functions.text import unicode
 
 CHUNK = 4096
+#: Turns in one part of an assembled thread.
+PART_TURNS = 64
 OFFSET_TS = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 
 
 def parse_ts(text: Column) -> Column:
     """ISO-8601 with a mandatory offset; NULL otherwise. The offset is required before parsing, because
     the parser would silently apply the session zone."""
-    return F.when(text.rlike(OFFSET_TS), F.try_to_timestamp(text))
+    seconds = F.regexp_replace(text, r"^(.{16})(Z|[+-]\d{2}:?\d{2})$", "$1:00$2")  # minutes alone do not parse
+    return F.when(text.rlike(OFFSET_TS), F.try_to_timestamp(seconds))
 
 
 def ts_violations(messages: DataFrame, thread: str = "conv_id", turn: str = "turn", ts: str = "ts") -> DataFrame:
@@ -82,10 +85,14 @@ def thread_counters(messages: DataFrame, capped: DataFrame, thread: str = "conv_
     return before.join(after, thread).withColumn("messages_dropped", F.col("original_message_count") - F.col("messages_kept"))
 
 
-def assemble(capped: DataFrame, thread: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Ordered message array per capped thread: at most `max_messages` texts of `max_chars` each."""
+def assemble(messages: DataFrame, thread: str = "conv_id", turn: str = "turn", part_turns: int = PART_TURNS) -> DataFrame:
+    """(thread, part, messages): ordered message arrays, one per `part_turns` turns of a thread.
+
+    No message is dropped or cut, and no array grows with the length of a thread.
+    """
     msg = F.struct(F.col(turn).alias("turn"), "ts", "role", "author", "text")
-    return capped.groupBy(thread).agg(F.sort_array(F.collect_list(msg)).alias("messages"))
+    part = F.floor(F.col(turn) / part_turns).cast("int").alias("part")
+    return messages.groupBy(thread, part).agg(F.sort_array(F.collect_list(msg)).alias("messages"))
 
 
 def claim_names(text: Column) -> Column:
@@ -100,7 +107,7 @@ def claims(messages: DataFrame, thread: str = "conv_id", turn: str = "turn") ->
 
 
 def to_cases(threads: DataFrame, refs: DataFrame, structured_ids: DataFrame, thread: str = "conv_id", question: str = "page_now") -> DataFrame:
-    """Assembled threads to cases. The event shows roles only; claims and the reference check stay in `meta`.
+    """Assembled parts of threads to cases. The event shows roles only; claims and the reference check stay in `meta`.
 
     `refs` is (thread, ref_kind, ref_id); `structured_ids` is one column `id` of known changes and incidents.
     """
@@ -118,6 +125,7 @@ def to_cases(threads: DataFrame, refs: DataFrame, structured_ids: DataFrame, thr
     )
     return j.select(
         thread,
+        "part",
         F.struct(F.lit("chat_thread").alias("format"), F.get("messages", F.lit(0))["ts"].alias("ts"), shown.alias("messages")).alias("event"),
         F.lit(question).alias("question"),
         F.struct(

@@ -107,8 +107,10 @@ def l5_group_holdout_flags(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ components and leakage
-_GROUPS = """groups AS (SELECT comp, 'G-' || substr(sha256(string_agg(p, '|' ORDER BY p)), 1, 10) AS group_id
-  FROM (SELECT DISTINCT event_id // 40 AS comp, CAST(event_id // 5 AS VARCHAR) AS p FROM events) GROUP BY 1)"""
+_GROUPS = """groups AS (SELECT comp, 'G-' || substr(sha256(string_agg(d, '|' ORDER BY d)), 1, 10) AS group_id
+  FROM (SELECT comp, substr(m, 1, 2) AS m, sha256(string_agg(d, '|' ORDER BY d)) AS d
+    FROM (SELECT comp, substr(md5(p), 1, 4) AS m, sha256(string_agg(p, '|' ORDER BY p)) AS d
+      FROM (SELECT DISTINCT event_id // 40 AS comp, CAST(event_id // 5 AS VARCHAR) AS p FROM events) GROUP BY ALL) GROUP BY ALL) GROUP BY 1)"""
 
 
 @query(
@@ -283,3 +285,17 @@ def j10_passages_in_text(spark, sf_dir):
     texts = fx.texts(spark, sf_dir, "documents").select("doc_id", "text")
     passages = fx.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     return tm.passages_in_text(texts, "doc_id", "text", passages, "item_id", "passage")
+
+
+@query(
+    "j10_short_passages",
+    """WITH terms AS (SELECT DISTINCT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS term FROM benchmark)
+SELECT doc_id, term FROM documents, terms WHERE length(term) > 1 AND contains(lower(text), lower(term))""",
+)
+def j10_short_passages(spark, sf_dir):
+    """Terms of two words, which have no inner words to look up."""
+    texts = fx.texts(spark, sf_dir, "documents").select("doc_id", "text")
+    two = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
+    terms = fx.table(spark, sf_dir, "benchmark").select(two.alias("term")).distinct().where(F.length("term") > 1)
+    found = tm.passages_in_text(texts, "doc_id", "text", terms.select("term", F.col("term").alias("passage")), "term", "passage")
+    return found.select("doc_id", "term")

@@ -8,9 +8,11 @@ from alertloom import fixed_values as fv
 from alertloom import fixtures as fx
 from alertloom.operators import bootstrap as bs
 from alertloom.operators import calibration as cal
+from alertloom.operators import components as cc
 from alertloom.operators import cohort_matrix as cm
 from alertloom.operators import extensions as ex
 from alertloom.operators import scorecard as sc
+from alertloom.plans.datasets import _GROUPS
 from alertloom.plans.metrics import W3, _COST, _matrix_sql, test_answers, val_answers
 
 QUERIES = {}
@@ -35,16 +37,18 @@ _VECTORS = """vec AS (
   UNION ALL SELECT candidate, case_id, pair_id, 'must_page_recall_strict', CASE WHEN pg_value THEN 1 ELSE 0 END FROM g WHERE gold_page_now
   UNION ALL SELECT candidate, case_id, pair_id, 'spoof_escalation_kept_strict', CASE WHEN pg_value THEN 1 ELSE 0 END FROM g WHERE gold_page_now AND cohort = 'B_prime')"""
 _PAIRS = (
-    W3 + ", g AS (SELECT * FROM answers WHERE split = 'test' AND gold_event_type IS NOT NULL), " + _VECTORS
-    + """, diffs AS (SELECT a.candidate AS a, b.candidate AS b, a.metric, a.case_id, a.pair_id AS cluster, a.value - b.value AS diff
-  FROM vec a JOIN vec b ON a.metric = b.metric AND a.case_id = b.case_id AND a.candidate < b.candidate)"""
+    W3 + ", " + _GROUPS + ", g AS (SELECT * FROM answers WHERE split = 'test' AND gold_event_type IS NOT NULL), " + _VECTORS
+    + """, diffs AS (SELECT a.candidate AS a, b.candidate AS b, a.metric, a.case_id, gr.group_id AS cluster, a.value - b.value AS diff
+  FROM vec a JOIN vec b ON a.metric = b.metric AND a.case_id = b.case_id AND a.candidate < b.candidate JOIN groups gr ON gr.comp = a.case_id // 40)"""
 )
 N_BOOT = 2000
 
 
 def _vectors(spark, sf_dir):
-    v = cm.metric_vectors(test_answers(spark, sf_dir))
-    return v.select("candidate", F.col("candidate").alias("name"), "metric", "case_id", F.col("pair_id").alias("cluster"), "value")
+    cases = fx.cases(spark, sf_dir)
+    groups = cc.case_groups(cases, cc.group_components(cases)).where("split = 'test'").select("case_id", "cluster")
+    v = cm.metric_vectors(test_answers(spark, sf_dir)).join(groups, "case_id")
+    return v.select("candidate", F.col("candidate").alias("name"), "metric", "case_id", "cluster", "value")
 
 
 @query("j6_candidate_pairs", _PAIRS + " SELECT a, b, metric, case_id, diff::DOUBLE AS diff FROM diffs")
@@ -55,29 +59,35 @@ def j6_candidate_pairs(spark, sf_dir):
 @query("u1_common_cases", _PAIRS + " SELECT metric, count(DISTINCT case_id) AS n_common FROM diffs GROUP BY 1")
 def u1_common_cases(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    a = v.where(F.col("candidate") == fx.CANDIDATES[0]).select("metric", "case_id")
-    b = v.where(F.col("candidate") == fx.CANDIDATES[1]).select("metric", "case_id")
-    return a.intersect(b).groupBy("metric").agg(F.count(F.lit(1)).alias("n_common"))
+    both = bs.candidate_pairs(v).select("metric", "case_id").distinct()
+    return both.groupBy("metric").agg(F.count(F.lit(1)).alias("n_common"))
 
 
-_INDEXED = f"""draw AS (SELECT sz.a, sz.b, sz.metric, r AS rep, ('0x' || substr(md5('42:' || r || ':' || slot), 1, 8))::BIGINT % sz.n_clusters AS idx
-  FROM sz, range({N_BOOT}) rr(r), range(10000) ss(slot) WHERE sz.n_clusters BETWEEN 2 AND 10000 AND slot < sz.n_clusters),
+_CLUSTERS = """, cl AS (SELECT a, b, metric, cluster, sum(diff) AS s, count(*) AS n FROM diffs GROUP BY ALL),
+sz AS (SELECT a, b, metric, count(*) AS n_clusters, sum(n) AS n, sum(s) AS s FROM cl GROUP BY ALL), """
+_INDEXED = f"""idx AS (SELECT *, row_number() OVER (PARTITION BY a, b, metric ORDER BY cluster) - 1 AS idx FROM cl),
+draw AS (SELECT a, b, metric, rep, ('0x' || substr(md5('42:' || rep || ':' || slot // 4), 8 * (slot % 4)::INT + 1, 8))::BIGINT % n_clusters AS idx
+  FROM (SELECT sz.*, r AS rep, unnest(range(n_clusters)) AS slot FROM sz, range({N_BOOT}) rr(r) WHERE n_clusters >= 2)),
 reps AS (SELECT a, b, metric, rep, sum(s)::DOUBLE / sum(n) AS mean FROM draw JOIN idx USING (a, b, metric, idx) GROUP BY ALL)"""
+_WEIGHTED = f"""weight AS (SELECT cl.*, r AS rep, ('0x' || substr(md5('42:' || r || ':' || cluster), 1, 8))::BIGINT AS u FROM cl, range({N_BOOT}) rr(r)),
+bound AS (SELECT k, floor(4294967296 * sum(exp(-1.0) / factorial(k::INT)) OVER (ORDER BY k))::BIGINT AS top FROM range(13) kk(k)),
+reps AS (SELECT a, b, metric, rep, sum(w * s)::DOUBLE / sum(w * n) AS mean FROM (SELECT *, (SELECT count(*) FROM bound WHERE u >= top) AS w FROM weight)
+  JOIN (SELECT a, b, metric FROM sz WHERE n_clusters >= 2) USING (a, b, metric) WHERE w > 0 GROUP BY ALL)"""
+_INTERVALS = """, ci AS (SELECT a, b, metric, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM reps GROUP BY ALL)
+SELECT a, b, metric, n::BIGINT AS n, n_clusters, round(s::DOUBLE / n, 6) AS diff, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
+  CASE WHEN n_clusters < 2 THEN 'an interval needs two clusters or more' END AS na_reason FROM sz LEFT JOIN ci USING (a, b, metric)"""
 
 
-@query(
-    "a19_cluster_bootstrap",
-    _PAIRS + f""", cl AS (SELECT a, b, metric, cluster, sum(diff) AS s, count(*) AS n FROM diffs GROUP BY ALL),
-sz AS (SELECT a, b, metric, count(*) AS n_clusters, sum(n) AS n, sum(s) AS s FROM cl GROUP BY ALL),
-idx AS (SELECT *, row_number() OVER (PARTITION BY a, b, metric ORDER BY cluster) - 1 AS idx FROM cl), {_INDEXED},
-ci AS (SELECT a, b, metric, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM reps GROUP BY ALL)
-SELECT a, b, metric, n::BIGINT AS n, n_clusters, round(s::DOUBLE / n, 6) AS diff, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
-  CASE WHEN n_clusters < 2 THEN 'fewer than two clusters; interval undefined' END AS na_reason FROM sz LEFT JOIN ci USING (a, b, metric)""",
-)
+@query("a19_cluster_bootstrap", _PAIRS + _CLUSTERS + _INDEXED + _INTERVALS)
 def a19_cluster_bootstrap(spark, sf_dir):
     return bs.paired_bootstrap(_vectors(spark, sf_dir), seed=42, n_boot=N_BOOT)
 
 
+@query("a19_weighted_bootstrap", _PAIRS + _CLUSTERS + _WEIGHTED + _INTERVALS)
+def a19_weighted_bootstrap(spark, sf_dir):
+    return bs.paired_bootstrap(_vectors(spark, sf_dir), seed=42, n_boot=N_BOOT, method="weighted")
+
+
 # ------------------------------------------------------------------ scorecard
 def _operational(spark, sf_dir):
     """Attested inputs per candidate, with the false-page rate measured on the test events."""
@@ -195,7 +205,7 @@ def a25_v1_assess(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ further measures
-_G = W3 + ", g AS (SELECT *, CASE WHEN gold_page_now THEN 1 ELSE 0 END AS y, pg_value = gold_page_now AS hit FROM answers WHERE split = 'test' AND gold_event_type IS NOT NULL)"
+_G = W3 + ", " + _GROUPS + ", g AS (SELECT *, CASE WHEN gold_page_now THEN 1 ELSE 0 END AS y, pg_value = gold_page_now AS hit FROM answers WHERE split = 'test' AND gold_event_type IS NOT NULL)"
 _GV = _G + ", v AS (SELECT *, CASE WHEN gold_page_now THEN 1 ELSE 0 END AS y FROM answers WHERE split = 'val' AND gold_event_type IS NOT NULL AND pg_prob IS NOT NULL)"
 
 

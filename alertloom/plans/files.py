@@ -11,7 +11,7 @@ from alertloom.operators import templates as tp
 from alertloom.operators import threads as th
 from alertloom.plans.labeling import flat_label
 from alertloom.plans.metrics import _matrix_sql, test_answers
-from alertloom.plans.texts import capped_messages, extracted
+from alertloom.plans.texts import whole_threads, extracted
 from alertloom.session import work_path
 from alertloom.sources import fingerprint as fp
 from alertloom.sources import readers as rd
@@ -76,8 +76,8 @@ def v5_context_contract(spark, sf_dir):
 
 @query("l1_label_stored_cases")
 def l1_label_stored_cases(spark, sf_dir):
-    """The nested form of the rubric over case files of the measured splits."""
-    cases = rd.read_cases(spark, _written(spark, sf_dir), ("val", "test"))
+    """The nested form of the rubric over the case files of all splits."""
+    cases = rd.read_cases(spark, _written(spark, sf_dir), ("train", "val", "test"))
     return flat_label(rb.label_nested(cases))
 
 
@@ -113,25 +113,25 @@ def s4_read_log_lines(spark, sf_dir):
 
 
 def _thread_rows(spark, sf_dir):
-    t = th.assemble(capped_messages(spark, sf_dir))
-    counts = fx.chat_messages(spark, sf_dir).groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("original_message_count"))
+    t = whole_threads(spark, sf_dir)
     iso = F.transform(
         "messages",
         lambda m: F.struct(F.date_format(m["ts"], "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), m["role"].alias("role"), m["author"].alias("author"), m["text"].alias("text")),
     )
-    kept = F.size("messages")
-    return t.join(counts, "conv_id").select(
-        F.concat(F.lit("thread-"), F.col("conv_id").cast("string")).alias("thread_id"), F.lit("channel-1").alias("channel"),
+    dropped = F.when(F.col("conv_id") % 17 == 0, -1).otherwise(0)  # planted: counters that do not add up
+    return t.select(
+        F.concat(F.lit("thread-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("thread_id"), F.lit("channel-1").alias("channel"),
         F.when(F.col("conv_id") % 11 == 0, "hallway").otherwise("team_channel").alias("channel_kind"), F.lit("real_deidentified").alias("dataset_kind"),
-        "original_message_count", (F.col("original_message_count") - kept - F.when(F.col("conv_id") % 17 == 0, 1).otherwise(0)).alias("truncated_messages"), iso.alias("messages"),
+        F.size("messages").alias("original_message_count"), dropped.alias("truncated_messages"), iso.alias("messages"),
     )
 
 
 @query(
     "s5_read_threads",
-    """SELECT 'thread-' || conv_id AS thread_id, 'unknown channel_kind' AS error FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 11 = 0
-UNION ALL SELECT 'thread-' || conv_id, 'original_message_count must equal kept and truncated messages' FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 17 = 0
-UNION ALL SELECT 'thread-' || conv_id, 'truncation counters cannot be negative' FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) WHERE conv_id % 17 = 0 AND n <= 3""",
+    f"""WITH t AS (SELECT DISTINCT conv_id, 'thread-' || conv_id || '-' || (turn // {th.PART_TURNS})::INT AS thread_id FROM conversations)
+SELECT thread_id, 'unknown channel_kind' AS error FROM t WHERE conv_id % 11 = 0
+UNION ALL SELECT thread_id, 'original_message_count must equal kept and truncated messages' FROM t WHERE conv_id % 17 = 0
+UNION ALL SELECT thread_id, 'truncation counters cannot be negative' FROM t WHERE conv_id % 17 = 0""",
 )
 def s5_read_threads(spark, sf_dir):
     path = work_path(spark, "threads")

@@ -27,11 +27,11 @@ def val_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_answers(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
     wanted = F.col("split") == split
-    return an.build_answers(fx.cases(spark, sf_dir).where(wanted), fx.outcomes(spark, sf_dir).where(wanted))
+    return an.build_answers(fx.cases(spark, sf_dir).where(wanted), fx.outcomes(spark, sf_dir).where(wanted), candidates=fx.CANDIDATES)
 
 
 def all_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.build_answers(fx.cases(spark, sf_dir), fx.outcomes(spark, sf_dir))
+    return an.build_answers(fx.cases(spark, sf_dir), fx.outcomes(spark, sf_dir), candidates=fx.CANDIDATES)
 
 
 QUERIES = {}
@@ -54,12 +54,14 @@ def query(name: str, sql: str | None = None):
     fx.sql_with("cases", "outcomes")
     + """SELECT k.candidate, c.case_id, k.task, coalesce(n, 0) AS n_outcomes
 FROM cases c, (SELECT DISTINCT candidate, task FROM outcomes) k
-LEFT JOIN (SELECT candidate, case_id, task, count(*) AS n FROM outcomes GROUP BY ALL) o
+LEFT JOIN (SELECT candidate, case_id, task, count(*) AS n FROM outcomes WHERE NOT (candidate = 'c1' AND case_id % 401 = 0) AND NOT (task = 'priority' AND case_id % 307 = 0) GROUP BY ALL) o
   ON o.candidate = k.candidate AND o.case_id = c.case_id AND o.task = k.task
 WHERE coalesce(n, 0) <> 1""",
 )
 def j1_missing_outcomes(spark, sf_dir):
-    return an.missing_outcomes(fx.cases(spark, sf_dir), fx.outcomes(spark, sf_dir), fx.CANDIDATES)
+    """Planted: whole cases that one candidate lacks, and cases that lack one task."""
+    lost = ((F.col("candidate") == "c1") & (F.col("case_id") % 401 == 0)) | ((F.col("task") == "priority") & (F.col("case_id") % 307 == 0))
+    return an.missing_outcomes(fx.cases(spark, sf_dir), fx.outcomes(spark, sf_dir).where(~lost), fx.CANDIDATES)
 
 
 @query(

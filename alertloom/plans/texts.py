@@ -276,14 +276,17 @@ def w2_thread_counters(spark, sf_dir):
     return th.thread_counters(fx.chat_messages(spark, sf_dir), capped_messages(spark, sf_dir))
 
 
+def whole_threads(spark, sf_dir):
+    return th.assemble(fx.chat_messages(spark, sf_dir).withColumn("author", ps.user(fx.SALT, F.col("raw_author"))))
+
+
 @query(
     "w3_assemble_thread",
-    _CHAT.rstrip() + _CAPPED + f""" SELECT conv_id, count(*) AS n_messages, string_agg(role || ':' || substr(text, 1, {_CHARS}), '|' ORDER BY turn) AS thread_text FROM capped GROUP BY 1""",
+    _CHAT + f"""SELECT conv_id, (turn // {th.PART_TURNS})::INT AS part, count(*) AS n_messages, string_agg(role || ':' || text, '|' ORDER BY turn) AS thread_text FROM chat GROUP BY ALL""",
 )
 def w3_assemble_thread(spark, sf_dir):
-    t = th.assemble(capped_messages(spark, sf_dir))
     text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|")
-    return t.select("conv_id", F.size("messages").alias("n_messages"), text.alias("thread_text"))
+    return whole_threads(spark, sf_dir).select("conv_id", "part", F.size("messages").alias("n_messages"), text.alias("thread_text"))
 
 
 def _refs(spark, sf_dir):
@@ -306,14 +309,14 @@ def j7_event_ref_exists(spark, sf_dir):
 
 @query(
     "p7_thread_to_case",
-    fx.sql_with("changes", "incidents", "chat").rstrip() + _IDS + _CAPPED + ", cl AS (" + _CLAIMS.replace("FROM chat", "FROM (SELECT * REPLACE (substr(text, 1, %d) AS text) FROM capped)" % _CHARS) + """)
-SELECT conv_id, count(*) AS n_messages, min_by(ts_sec, turn) AS first_ts, any_value(ref_id) AS ref_id, coalesce(bool_or(ref_id IN (SELECT id FROM ids)), false) AS event_ref_found,
-  (SELECT count(*) FROM cl WHERE cl.conv_id = capped.conv_id) AS n_claims FROM capped GROUP BY conv_id""",
+    fx.sql_with("changes", "incidents", "chat").rstrip() + _IDS + ", parts AS (SELECT *, (turn // %d)::INT AS part FROM chat), cl AS (" % th.PART_TURNS + _CLAIMS + """)
+SELECT conv_id, part, count(*) AS n_messages, min_by(ts_sec, turn) AS first_ts, any_value(ref_id) AS ref_id, coalesce(bool_or(ref_id IN (SELECT id FROM ids)), false) AS event_ref_found,
+  (SELECT count(*) FROM cl WHERE cl.conv_id = parts.conv_id AND cl.turn // %d = parts.part) AS n_claims FROM parts GROUP BY conv_id, part""" % th.PART_TURNS,
 )
 def p7_thread_to_case(spark, sf_dir):
-    t = th.to_cases(th.assemble(capped_messages(spark, sf_dir)), _refs(spark, sf_dir), _structured_ids(spark, sf_dir))
+    t = th.to_cases(whole_threads(spark, sf_dir), _refs(spark, sf_dir), _structured_ids(spark, sf_dir))
     return t.select(
-        "conv_id", F.size("event.messages").alias("n_messages"), F.unix_timestamp("event.ts").alias("first_ts"), "meta.ref_id",
+        "conv_id", "part", F.size("event.messages").alias("n_messages"), F.unix_timestamp("event.ts").alias("first_ts"), "meta.ref_id",
         "meta.event_ref_found", F.size("meta.unverified_claims").alias("n_claims"),
     )
 

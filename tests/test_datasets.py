@@ -75,7 +75,19 @@ def brute_groups(links):
     members = {}
     for p, _ in links:
         members.setdefault(top(("p", p)), set()).add(p)
-    return {p: "G-" + hashlib.sha256("|".join(sorted(m)).encode()).hexdigest()[:10] for m in members.values() for p in m}
+
+    def joined(parts):
+        return hashlib.sha256("|".join(sorted(parts)).encode()).hexdigest()
+
+    def group_id(pairs):
+        leaves, tops = {}, {}
+        for p in pairs:
+            leaves.setdefault(hashlib.md5(p.encode()).hexdigest()[:4], []).append(p)
+        for k, leaf in leaves.items():
+            tops.setdefault(k[:2], []).append(joined(leaf))
+        return "G-" + joined([joined(v) for v in tops.values()])[:10]
+
+    return {p: group_id(m) for m in members.values() for p in m}
 
 
 def test_components_chain_hub_and_islands(spark):
@@ -89,8 +101,8 @@ def test_components_chain_hub_and_islands(spark):
 
 def test_large_component_ids_are_stable(spark):
     links = [(f"h{i}", "hub") for i in range(50)]
-    a = {r.group_id for r in cc.group_components(spark.createDataFrame(links, "pair_id string, template_family string"), exact_members=10).collect()}
-    b = {r.group_id for r in cc.group_components(spark.createDataFrame(links[::-1], "pair_id string, template_family string"), exact_members=10).collect()}
+    a = {r.group_id for r in cc.group_components(spark.createDataFrame(links, "pair_id string, template_family string")).collect()}
+    b = {r.group_id for r in cc.group_components(spark.createDataFrame(links[::-1], "pair_id string, template_family string")).collect()}
     assert len(a) == 1 and a == b
 
 
@@ -113,8 +125,14 @@ def test_passages_against_brute_force(spark):
     passages = [p for p in passages if len(re.findall("[a-z0-9]+", p[1].lower())) >= 5] + [(99, "this is not in any text")]
     got = {tuple(r) for r in passages_in_text(spark.createDataFrame(texts, "d long, t string"), "d", "t", spark.createDataFrame(passages, "p long, q string"), "p", "q").collect()}
     assert got == {(d, p) for d, t in texts for p, q in passages if q.lower() in t.lower()} and got
-    with pytest.raises(Exception, match="fewer than five words"):
-        passages_in_text(spark.createDataFrame(texts, "d long, t string"), "d", "t", spark.createDataFrame([(1, "too short")], "p long, q string"), "p", "q").collect()
+
+
+def test_short_passages_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choices(["Ab", "bca", "c", "abcd", "d e", "é.x", "\n"], k=rng.randrange(0, 30)))) for i in range(80)] + [(98, ""), (99, None)]
+    passages = [(0, "ab bc"), (1, "A"), (2, "ca c"), (3, "é.x ab"), (4, "not here"), (5, ""), (6, "\n"), (7, "abcd c ab c"), (8, "bca"), (9, "bca"), (10, "zz")]
+    got = [tuple(r) for r in passages_in_text(spark.createDataFrame(texts, "d long, t string"), "d", "t", spark.createDataFrame(passages, "p long, q string"), "p", "q").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(d, p) for d, t in texts for p, q in passages if q and t and q.lower() in t.lower()} and got
 
 
 def brute_nearest(train, query):
