@@ -247,7 +247,7 @@ def finish(scored: DataFrame, counted: DataFrame) -> DataFrame:
         columns = [np.concatenate([value, _join(part.column("sums"), "<f8")])] + [np.concatenate([zero, _join(part.column(c), "<u4")]) for c in ("pairs", "missed")]
         found, at = np.unique(keys, return_inverse=True)
         score, n, missed = (np.bincount(at, weights=c, minlength=len(found)) for c in columns)
-        return pa.Table.from_arrays([pa.array(found), pa.array(score), pa.array(n.astype(np.int64)), pa.array(missed.astype(np.int64))], names=_SCORES.names)
+        return pa.Table.from_arrays([pa.array(found), pa.array(score.astype(np.float64)), pa.array(n.astype(np.int64)), pa.array(missed.astype(np.int64))], names=_SCORES.names)
 
     return counted.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(less, _SCORES)
 
