@@ -31,7 +31,7 @@ COUNT_BUCKETS = 1 << 20
 COUNT_SLICE = 1 << 12
 #: First shingles, and shingles in all, that one task sorts.
 ENTRIES_PER_PART = 300_000
-SHINGLES_PER_PART = 3_000_000
+SHINGLES_PER_PART = 2_000_000
 #: Bytes of a shingle's hash by which other sets with it are looked for; equal by chance only costs work.
 SHORT_BYTES = 6
 #: Bits of the filter that spares most texts the way to the join with the few wanted ids.
@@ -76,6 +76,7 @@ def shared_counts(docs: DataFrame, shingles: int, id_col: str = "doc_id", text_c
     """(node, shared): how many shingles of a set some other set has too; sets without any are left out."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, -(-shingles // SHINGLES_PER_PART), 1)
     dealt = T.StructType().add("part", "integer").add("short", "binary").add("nodes", "binary").add("at", "binary")
+    packed = T.StructType().add("part", "integer").add("nodes", "binary").add("counts", "binary")
     counted = T.StructType().add("node", "long").add("shared", "long")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +110,23 @@ def shared_counts(docs: DataFrame, shingles: int, id_col: str = "doc_id", text_c
         with_next = short[1:] == short[:-1]
         several = np.append(with_next, False) | np.append(False, with_next)
         found, n = np.unique(node[several], return_counts=True)
-        return pa.Table.from_batches([_batch([found, n], to_arrow_schema(counted))])
+        place = ((mixed(found.view(np.uint64)) >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
+        rows = [(p, found[i].tobytes(), n[i].astype("<i8").tobytes()) for p, i in _split(place)]
+        return pa.Table.from_batches([_batch([[r[k] for r in rows] for k in range(3)], to_arrow_schema(packed))])
 
-    return _texts(docs, id_col, text_col).mapInArrow(deal, dealt).groupBy("part").applyInArrow(count, counted).groupBy("node").agg(F.sum("shared").alias("shared"))
+    def add(group: pa.Table) -> pa.Table:
+        nodes, n = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("nodes", "counts"))
+        found, at = np.unique(nodes, return_inverse=True)
+        return pa.Table.from_batches([_batch([found, np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)], to_arrow_schema(counted))])
+
+    by_shingle = _texts(docs, id_col, text_col).mapInArrow(deal, dealt).groupBy("part").applyInArrow(count, packed)
+    return by_shingle.groupBy("part").applyInArrow(add, counted)
 
 
 def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The positions that go to each part."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
     for begin, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
