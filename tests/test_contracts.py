@@ -1,6 +1,8 @@
 """Rules that must hold at any size: no silent gaps, shared folders only, whole threads."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,9 @@ def test_long_threads_are_kept_whole(spark):
     parts = th.assemble(m).orderBy("part").collect()
     assert [r.part for r in parts] == list(range(16)) and sum(len(r.messages) for r in parts) == 1000
     assert all(len(x.text) == 3000 for r in parts for x in r.messages) and [x.turn for r in parts for x in r.messages] == list(range(1000))
+
+
+def test_the_rest_stands_without_the_corpus_operators():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['alertloom.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 140 and not any(n.startswith('op') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
