@@ -28,15 +28,17 @@ BACKOFF = 0.4
 WORD_BYTES = 6
 #: At most so many words count as frequent: those with at least 1 / FREQUENT of all occurrences.
 FREQUENT = 1 << 19
-#: Pairs in one task, and different words that a task gathers before it passes them on.
-PAIRS_PER_PART = 1_500_000
+#: Pairs in one part, slices of a part that are sorted one after the other, and different words that a task gathers
+#: before it passes them on. A part sends on one sum per document, so few large parts send less.
+PAIRS_PER_PART = 6_000_000
+SLICES = 6
 GATHERED = 2_000_000
 #: Stands before the first word of a text, and for a null id.
 START = np.uint64(0)
 NO_ID = -(1 << 63)
 
 _COUNTED = T.StructType().add("part", "integer").add("words", "binary").add("counts", "binary")
-_PAIRS = T.StructType().add("part", "integer").add("words", "binary").add("repeats", "binary").add("firsts", "binary").add("ids", "binary").add("at", "binary").add("times", "binary")
+_PAIRS = T.StructType().add("part", "integer").add("slice", "integer").add("words", "binary").add("repeats", "binary").add("firsts", "binary").add("ids", "binary").add("at", "binary").add("times", "binary")
 _NEXT = T.StructType().add("part", "integer").add("words", "binary").add("ids", "binary").add("times", "binary").add("sum_ids", "binary").add("sums", "binary").add("pairs", "binary").add("missed", "binary")
 _SCORES = T.StructType().add("id", "long").add("score", "double").add("pairs", "long").add("missed", "long")
 
@@ -176,13 +178,13 @@ def pair_rows(docs: DataFrame, listed, parts: int) -> DataFrame:
                 times = np.diff(np.append(at, len(words)))
                 words, firsts, doc = words[at], firsts[at], doc[at]
                 often = listed.value.counts_of(words) > 0
-                place = _part(words + np.where(often, mixed(firsts + np.uint64(7)), np.uint64(0)), parts)
+                place = _part(words + np.where(often, mixed(firsts + np.uint64(7)), np.uint64(0)), parts * SLICES)
                 ids = part.column("id").fill_null(NO_ID).to_numpy().astype(np.int64)
                 rows = []
                 for p, i in _split(place):
                     starts = np.flatnonzero(np.append(True, words[i][1:] != words[i][:-1]))
                     used, local = np.unique(doc[i], return_inverse=True)
-                    rows.append((p, _pack(words[i][starts]), np.diff(np.append(starts, len(i))).astype("<u4").tobytes(), _pack(firsts[i]), ids[used].tobytes(), local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), times[i].astype("<u4").tobytes()))
+                    rows.append((p // SLICES, p % SLICES, _pack(words[i][starts]), np.diff(np.append(starts, len(i))).astype("<u4").tobytes(), _pack(firsts[i]), ids[used].tobytes(), local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), times[i].astype("<u4").tobytes()))
                 yield _rows(rows, _PAIRS)
 
     return docs.mapInArrow(explode, _PAIRS)
@@ -191,7 +193,8 @@ def pair_rows(docs: DataFrame, listed, parts: int) -> DataFrame:
 def score_pairs(pairs: DataFrame, listed, total: int, parts: int) -> DataFrame:
     """Sums by document of all that can be scored here, and the rest dealt by first word."""
 
-    def score(group: pa.Table) -> pa.Table:
+    def score_slice(group: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """What needs a rare first word's count (word, id, times), and by document (id, sum, pairs, missed)."""
         repeats = [np.frombuffer(x, "<u4") for x in group.column("repeats").to_pylist()]
         ids, local = [np.frombuffer(x, "<i8") for x in group.column("ids").to_pylist()], group.column("at").to_pylist()
         wide = [len(x) >= 1 << 16 for x in ids]
@@ -219,16 +222,23 @@ def score_pairs(pairs: DataFrame, listed, total: int, parts: int) -> DataFrame:
         value = np.where(hit, np.log(np.maximum(others, 1)), np.log(count / total) + np.where(first, 0.0, math.log(BACKOFF)))
         value -= np.where(hit & ~later, np.log(np.maximum(first_count, 1)), 0.0)
         docs_here, index = np.unique(doc, return_inverse=True)
-        sums, n, missed = (np.bincount(index, weights=w, minlength=len(docs_here)) for w in (value * times, times, times * (~hit & ~first)))
+        sums = [np.bincount(index, weights=w, minlength=len(docs_here)) for w in (value * times, times, times * (~hit & ~first))]
+        return [firsts[later], doc[later], times[later]], [docs_here, *sums]
+
+    def score(group: pa.Table) -> pa.Table:
+        slices = np.asarray(group.column("slice").to_pylist())
+        done = [score_slice(group.take(pa.array(np.flatnonzero(slices == k)))) for k in np.unique(slices)]
+        firsts, doc, times = (np.concatenate([rest[c] for rest, _ in done]) for c in range(3))
+        docs_all, index = np.unique(np.concatenate([by_doc[0] for _, by_doc in done]), return_inverse=True)
+        sums, n, missed = (np.bincount(index, weights=np.concatenate([by_doc[c] for _, by_doc in done]), minlength=len(docs_all)) for c in (1, 2, 3))
         rows: dict[int, list[bytes]] = {}
         blank = [b""] * 7
-        left = np.flatnonzero(later)
-        left = left[np.argsort(doc[left], kind="stable")]
-        for p, i in _split(_part(firsts[left], parts)):
-            i = left[i]
+        order = np.argsort(doc, kind="stable")
+        firsts, doc, times = firsts[order], doc[order], times[order]
+        for p, i in _split(_part(firsts, parts)):
             rows.setdefault(p, blank.copy())[:3] = [_pack(firsts[i]), doc[i].astype("<i8").tobytes(), times[i].astype("<u4").tobytes()]
-        for p, i in _split(_part(docs_here.view(np.uint64), parts)):
-            rows.setdefault(p, blank.copy())[3:] = [docs_here[i].astype("<i8").tobytes(), sums[i].tobytes(), n[i].astype("<u4").tobytes(), missed[i].astype("<u4").tobytes()]
+        for p, i in _split(_part(docs_all.view(np.uint64), parts)):
+            rows.setdefault(p, blank.copy())[3:] = [docs_all[i].astype("<i8").tobytes(), sums[i].tobytes(), n[i].astype("<u4").tobytes(), missed[i].astype("<u4").tobytes()]
         return pa.Table.from_batches([_rows([(p, *r) for p, r in rows.items()], _NEXT)])
 
     return pairs.groupBy("part").applyInArrow(score, _NEXT)
