@@ -110,8 +110,8 @@ def calibration_summary(answers: DataFrame, bins: int = 10) -> DataFrame:
         F.coalesce("probability_sources", F.lit("")).alias("probability_sources"),
         r6(ratio(F.col("sq"), F.col("n"))).alias("brier"),
         r6(ratio(F.col("gap"), F.col("n"))).alias("ece"),
-        F.when(F.col("n") == 0, "no calibrated probabilities: the probability source is not 'model'").alias("na_reason"),
-        F.when((F.col("n") > 0) & (F.col("n") < fv.CALIBRATION_WARN_BELOW), "ECE is a diagnostic and unstable below a few hundred cases").alias("warning"),
+        F.when(F.col("n") == 0, "no probability comes from a model").alias("na_reason"),
+        F.when((F.col("n") > 0) & (F.col("n") < fv.CALIBRATION_WARN_BELOW), "too few cases for a steady ECE").alias("warning"),
     )
 
 

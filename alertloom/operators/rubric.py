@@ -236,15 +236,15 @@ def decide(df: DataFrame) -> DataFrame:
     fact = F.when(scheduled, fv.P4_SCHEDULED_CLOCK[1]).otherwise(_lookup({k: v[1] for k, v in fv.CLOCKS.items()}, F.col("priority")))
     rerouted = F.col("page_target").isNotNull() & (F.col("page_target") != F.col("owner"))
 
-    why = F.when(~same_type, "different event type").when(~same_mode, "new failure mode").otherwise("impact or urgency increased")
+    why = F.when(~same_type, "another event type").when(~same_mode, "another failure mode").otherwise("worse impact or urgency")
     applied = F.array_compact(
         F.array(
-            F.when(found & compromised, F.struct(F.lit("expected_activity_ignored").alias("rule"), F.concat(F.lit("compromise evidence overrides "), F.col("change_id")).alias("reason"))),
-            F.when(F.col("explained"), F.struct(F.lit("expected_activity").alias("rule"), F.concat(F.col("signal"), F.lit(" expected under "), F.col("change_id"), F.lit("; notification suppressed")).alias("reason"))),
-            F.when(F.col("attaches"), F.struct(F.lit("related_incident").alias("rule"), F.concat(F.lit("attached to "), inc["incident_id"], F.lit("; keeps its "), inc["priority"]).alias("reason"))),
+            F.when(found & compromised, F.struct(F.lit("expected_activity_ignored").alias("rule"), F.concat(F.lit("signs of compromise outweigh "), F.col("change_id")).alias("reason"))),
+            F.when(F.col("explained"), F.struct(F.lit("expected_activity").alias("rule"), F.concat(F.col("signal"), F.lit(" is allowed by "), F.col("change_id"), F.lit("; nobody is notified")).alias("reason"))),
+            F.when(F.col("attaches"), F.struct(F.lit("related_incident").alias("rule"), F.concat(F.lit("joins "), inc["incident_id"], F.lit(" at its "), inc["priority"]).alias("reason"))),
             F.when(F.col("incident_used") & ~F.col("attaches"), F.struct(F.lit("related_incident_reassessed").alias("rule"), F.concat(inc["incident_id"], F.lit(": "), why).alias("reason"))),
             F.when(provisional, F.struct(F.lit("provisional").alias("rule"), F.col("provisional_reason").alias("reason"))),
-            F.when(rerouted, F.struct(F.lit("page_routing").alias("rule"), F.concat(F.col("owner"), F.lit(" is business-hours; "), F.col("page_target"), F.lit(" verifies 24x7")).alias("reason"))),
+            F.when(rerouted, F.struct(F.lit("page_routing").alias("rule"), F.concat(F.col("owner"), F.lit(" works business hours; "), F.col("page_target"), F.lit(" checks at any hour")).alias("reason"))),
         )
     )
     label = F.struct(

@@ -130,8 +130,8 @@ def _thread_rows(spark, sf_dir):
     "s5_read_threads",
     f"""WITH t AS (SELECT DISTINCT conv_id, 'thread-' || conv_id || '-' || (turn // {th.PART_TURNS})::INT AS thread_id FROM conversations)
 SELECT thread_id, 'unknown channel_kind' AS error FROM t WHERE conv_id % 11 = 0
-UNION ALL SELECT thread_id, 'original_message_count must equal kept and truncated messages' FROM t WHERE conv_id % 17 = 0
-UNION ALL SELECT thread_id, 'truncation counters cannot be negative' FROM t WHERE conv_id % 17 = 0""",
+UNION ALL SELECT thread_id, 'kept and truncated messages do not add up to original_message_count' FROM t WHERE conv_id % 17 = 0
+UNION ALL SELECT thread_id, 'a truncation counter is negative' FROM t WHERE conv_id % 17 = 0""",
 )
 def s5_read_threads(spark, sf_dir):
     path = work_path(spark, "threads")

@@ -70,13 +70,13 @@ label AS (SELECT case_id, error, CASE WHEN error IS NULL THEN primary_type END A
       ELSE CASE WHEN response = 'scheduled' THEN '2 business days' END END END AS fact_finding_deadline,
     CASE WHEN error IS NULL AND page_target <> owner THEN '4 business hours' END AS owner_review_target,
     CASE WHEN error IS NULL THEN concat_ws('|',
-      CASE WHEN change_id IS NOT NULL AND compromise_evidence THEN 'expected_activity_ignored=compromise evidence overrides ' || change_id END,
-      CASE WHEN explained THEN 'expected_activity=' || signal || ' expected under ' || change_id || '; notification suppressed' END,
-      CASE WHEN attaches THEN 'related_incident=attached to ' || incident_id || '; keeps its ' || ipri END,
-      CASE WHEN used AND NOT attaches THEN 'related_incident_reassessed=' || incident_id || ': ' || CASE WHEN ity <> primary_type THEN 'different event type'
-        WHEN imode <> signal THEN 'new failure mode' ELSE 'impact or urgency increased' END END,
+      CASE WHEN change_id IS NOT NULL AND compromise_evidence THEN 'expected_activity_ignored=signs of compromise outweigh ' || change_id END,
+      CASE WHEN explained THEN 'expected_activity=' || signal || ' is allowed by ' || change_id || '; nobody is notified' END,
+      CASE WHEN attaches THEN 'related_incident=joins ' || incident_id || ' at its ' || ipri END,
+      CASE WHEN used AND NOT attaches THEN 'related_incident_reassessed=' || incident_id || ': ' || CASE WHEN ity <> primary_type THEN 'another event type'
+        WHEN imode <> signal THEN 'another failure mode' ELSE 'worse impact or urgency' END END,
       CASE WHEN provisional_reason IS NOT NULL THEN 'provisional=' || provisional_reason END,
-      CASE WHEN page_target <> owner THEN 'page_routing=' || owner || ' is business-hours; ' || page_target || ' verifies 24x7' END) END AS rules
+      CASE WHEN page_target <> owner THEN 'page_routing=' || owner || ' works business hours; ' || page_target || ' checks at any hour' END) END AS rules
   FROM d4)"""
 
 

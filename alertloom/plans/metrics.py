@@ -181,14 +181,14 @@ def _matrix_sql() -> str:
         ("event_type_accuracy", "et_right", "et_n", gold("event_type: no valid answers")),
         ("page_now_accuracy", "pg_right", "pg_n", gold("page_now: no valid answers")),
         ("priority_accuracy", "pr_right", "pr_n", gold("priority: no valid answers")),
-        ("priority_within_one", "within_one", "pr_n", gold("no valid priority answers")),
-        ("must_page_recall", "paged", "must_n", gold("no answered must-page cases")),
-        ("must_page_recall_strict", "paged", "must", gold("no must-page cases in this cohort")),
-        ("false_page_rate", "false_paged", "neg_n", gold("no answered not-page cases")),
-        ("paired_inversion", "CASE WHEN grp = 'B' THEN pairs_right ELSE 0 END", "CASE WHEN grp = 'B' THEN pairs ELSE 0 END", only("B", "no complete pairs")),
-        ("paired_inversion_flip_only", "CASE WHEN grp = 'B' THEN flips_right ELSE 0 END", "CASE WHEN grp = 'B' THEN flips ELSE 0 END", only("B", "no complete label-flip pairs")),
-        ("spoof_escalation_kept", "CASE WHEN grp = 'B_prime' THEN paged ELSE 0 END", "CASE WHEN grp = 'B_prime' THEN must_n ELSE 0 END", only("B_prime", "no answered B'' cases")),
-        ("spoof_escalation_kept_strict", "CASE WHEN grp = 'B_prime' THEN paged ELSE 0 END", "CASE WHEN grp = 'B_prime' THEN must ELSE 0 END", only("B_prime", "no escalating B'' cases")),
+        ("priority_within_one", "within_one", "pr_n", gold("nothing answered priority")),
+        ("must_page_recall", "paged", "must_n", gold("no must-page case was answered")),
+        ("must_page_recall_strict", "paged", "must", gold("cohort has no must-page case")),
+        ("false_page_rate", "false_paged", "neg_n", gold("no quiet case was answered")),
+        ("paired_inversion", "CASE WHEN grp = 'B' THEN pairs_right ELSE 0 END", "CASE WHEN grp = 'B' THEN pairs ELSE 0 END", only("B", "no pair has both answers")),
+        ("paired_inversion_flip_only", "CASE WHEN grp = 'B' THEN flips_right ELSE 0 END", "CASE WHEN grp = 'B' THEN flips ELSE 0 END", only("B", "no flip pair has both answers")),
+        ("spoof_escalation_kept", "CASE WHEN grp = 'B_prime' THEN paged ELSE 0 END", "CASE WHEN grp = 'B_prime' THEN must_n ELSE 0 END", only("B_prime", "no case of B'' was answered")),
+        ("spoof_escalation_kept_strict", "CASE WHEN grp = 'B_prime' THEN paged ELSE 0 END", "CASE WHEN grp = 'B_prime' THEN must ELSE 0 END", only("B_prime", "no case of B'' must page")),
     ]
     low, high = fx.sql_wilson("num", "den")
     union = "\nUNION ALL ".join(
@@ -239,7 +239,7 @@ def a1_status_counts(spark, sf_dir):
 @query(
     "a4_priority_ordinal",
     _COUNTS + f""" SELECT candidate, grp AS cohort, pr_n AS n, CASE WHEN pr_n > 0 THEN round(gap_sum::DOUBLE / pr_n, 6) END AS mean_gap,
-  CASE WHEN pr_n > 0 THEN NULL WHEN grp = 'D' THEN '{fv.NA_COHORT_D}' WHEN n_graded = 0 THEN '{fv.NA_UNGRADED}' ELSE 'no valid priority answers' END AS na_reason
+  CASE WHEN pr_n > 0 THEN NULL WHEN grp = 'D' THEN '{fv.NA_COHORT_D}' WHEN n_graded = 0 THEN '{fv.NA_UNGRADED}' ELSE 'nothing answered priority' END AS na_reason
 FROM counts""",
 )
 def a4_priority_ordinal(spark, sf_dir):
@@ -380,7 +380,7 @@ def a15_reliability_bins(spark, sf_dir):
 e AS (SELECT candidate, sum(n * abs(rs / n - cs / n)) / sum(n) AS ece FROM bin GROUP BY 1),
 g AS (SELECT candidate, count(*) FILTER (gold_event_type IS NOT NULL) AS n_graded FROM answers WHERE split = 'test' GROUP BY 1)
 SELECT candidate, n, n_graded, n_ineligible, probability_sources, round(brier, 6) AS brier, round(ece, 6) AS ece, NULL::VARCHAR AS na_reason,
-  CASE WHEN n < 300 THEN 'ECE is a diagnostic and unstable below a few hundred cases' END AS warning
+  CASE WHEN n < 300 THEN 'too few cases for a steady ECE' END AS warning
 FROM s JOIN e USING (candidate) JOIN g USING (candidate)""",
 )
 def a16_calibration_summary(spark, sf_dir):

@@ -144,8 +144,8 @@ def thread_errors(threads: DataFrame) -> DataFrame:
         F.when(c("trust").isNotNull() & (c("trust") != "untrusted_user_text"), "trust must be untrusted_user_text"),
         F.when(c("synthetic").isNotNull() & (c("synthetic") != (c("dataset_kind") == "synthetic")), "synthetic contradicts dataset_kind"),
         F.when(F.coalesce(kept, F.lit(0)) < 1, "a thread needs at least one message"),
-        F.when((F.coalesce("truncated_messages", F.lit(0)) < 0) | (F.coalesce("truncated_chars_messages", F.lit(0)) < 0), "truncation counters cannot be negative"),
-        F.when(c("original_message_count").isNotNull() & (c("original_message_count") != kept + F.coalesce("truncated_messages", F.lit(0))), "original_message_count must equal kept and truncated messages"),
+        F.when((F.coalesce("truncated_messages", F.lit(0)) < 0) | (F.coalesce("truncated_chars_messages", F.lit(0)) < 0), "a truncation counter is negative"),
+        F.when(c("original_message_count").isNotNull() & (c("original_message_count") != kept + F.coalesce("truncated_messages", F.lit(0))), "kept and truncated messages do not add up to original_message_count"),
         F.when(c("_bad").isNotNull(), "record does not parse"),
     ]
     return threads.select("thread_id", F.explode(F.array_compact(F.array(*checks))).alias("error"))

@@ -46,7 +46,7 @@ EXAMPLES = [
     (row("W7", at(5, 4), "auth-proxy-1", "auth-proxy", "http_5xx", SVC, "high", "immediate", (), [OUTAGE], act=True), ("sre", "none", False, "P1", "attached_to_incident", ["related_incident"], "respond", "15 minutes", None, None, None)),
     (row("W9", at(9, 10), "etl-3", "export", "cross_border", DATA, "moderate", "immediate", act=True, reason="missing_context"), ("privacy_dpo", "page_now", True, "P2", "new", ["provisional", "page_routing"], "respond", "1 hour", "soc", "4 hours", "soc")),
     (row("W9b", at(9, 10), "etl-3", "export", "cross_border", DATA, "low", "deferred"), ("privacy_dpo", "scheduled_review", False, "P4", "new", [], "scheduled", "next business day", None, None, None)),
-    # compromise evidence overrides a matching window; both window ends are inclusive
+    # signs of compromise outweigh a matching window; both window ends are inclusive
     (row("X1", at(2, 21), "db-7", None, "replication_lag", SVC, "low", "deferred", [WINDOW], compromise=True), ("sre", "scheduled_review", False, "P4", "new", ["expected_activity_ignored"], "scheduled", "next business day", None, None, None)),
     (row("X2", at(3), "db-7", None, "replication_lag", SVC, "low", "deferred", [WINDOW]), ("sre", "none", False, "P4", "explained_by_change", ["expected_activity"], "retained", None, None, None, None)),
 ]
