@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from alertloom import fixed_values as fv
 from alertloom import fixtures as fx
@@ -10,6 +11,7 @@ from alertloom.operators import components as cc
 from alertloom.operators import lint as li
 from alertloom.operators import splits as sp
 from alertloom.operators import textmatch as tm
+from alertloom.session import cut_lineage
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -73,14 +75,25 @@ def j13_seed_draw(spark, sf_dir):
     return sp.draw_round_robin(items, "pool", "case_id", members, "member").select("case_id", "pool", "position", "member")
 
 
-@query("w8_grouped_shuffle", _CASES + "SELECT split, pair_id, case_id, md5('42:' || pair_id) AS shuffle_key FROM cases")
+def in_order(df):
+    """`df` with `position`, its row's place in the order the rows come out in."""
+    rows = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
+    parts = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    firsts = parts.select("_part", before.alias("_before"))
+    inside = F.col("_at") - F.shiftleft(F.shiftright("_at", 33), 33)
+    placed = rows.withColumn("_part", F.shiftright("_at", 33)).join(firsts, "_part")
+    return placed.select(*df.columns, (F.col("_before") + inside).alias("position"))
+
+
+@query("w8_grouped_shuffle", _CASES + "SELECT split, pair_id, case_id, md5('42:' || pair_id) AS shuffle_key, row_number() OVER (ORDER BY split, md5('42:' || pair_id), pair_id, case_id) - 1 AS position FROM cases")
 def w8_grouped_shuffle(spark, sf_dir):
-    return sp.grouped_shuffle(fx.cases(spark, sf_dir).select("split", "pair_id", "case_id"), "split", "pair_id", "case_id")
+    return in_order(sp.grouped_shuffle(fx.cases(spark, sf_dir).select("split", "pair_id", "case_id"), "split", "pair_id", "case_id"))
 
 
-@query("w10_sorts", _CASES + "SELECT split, cohort, case_id FROM cases")
+@query("w10_sorts", _CASES + "SELECT split, cohort, case_id, row_number() OVER (ORDER BY split, cohort, case_id) - 1 AS position FROM cases")
 def w10_sorts(spark, sf_dir):
-    return fx.cases(spark, sf_dir).select("split", "cohort", "case_id").orderBy("split", "cohort", "case_id")
+    return in_order(fx.cases(spark, sf_dir).select("split", "cohort", "case_id").orderBy("split", "cohort", "case_id"))
 
 
 @query(

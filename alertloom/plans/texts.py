@@ -78,9 +78,12 @@ def p8_document_templates(spark, sf_dir):
     return tp.normalize(lines, "body").groupBy("template").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("v12_assert_no_ip", _LOGS + "SELECT template FROM registry WHERE regexp_matches(template, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')")
+@query("v12_assert_no_ip", _LOGS + "SELECT template || ' from 10.1.2.3' AS template FROM registry WHERE length(template) % 2 = 0 UNION ALL SELECT template FROM registry WHERE length(template) % 2 = 1 AND regexp_matches(template, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')")
 def v12_assert_no_ip(spark, sf_dir):
-    return tp.address_violations(tp.first_templates(extracted(spark, sf_dir)).select("template"))
+    """Planted: an address in every template of even length."""
+    mined = tp.first_templates(extracted(spark, sf_dir)).select("template")
+    planted = F.when(F.length("template") % 2 == 0, F.concat("template", F.lit(" from 10.1.2.3"))).otherwise(F.col("template"))
+    return tp.address_violations(mined.select(planted.alias("template")))
 
 
 @query("v13_informative_filter", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -152,12 +155,17 @@ def p19_ordinal_rank(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ scans over whole texts
-_LEAK_CASES = " ".join(f"UNION ALL SELECT doc_id, {i + 1} FROM documents WHERE regexp_matches(text, '{p}', 'i')" for i, p in enumerate(fv.LEAK_PATTERNS))
+#: One wording per pattern, planted in the document whose id leaves that remainder.
+_LEAKING = ("a security_event", "a service outage", "said page_now", "page the on-call", "do not escalate", "contain immediately", "no action needed")
+_PLANTED = "(SELECT doc_id, text || CASE doc_id % 50 " + " ".join(f"WHEN {i} THEN ' {p}'" for i, p in enumerate(_LEAKING)) + " ELSE '' END AS text FROM documents)"
+_LEAK_CASES = " ".join(f"UNION ALL SELECT doc_id, {i + 1} FROM {_PLANTED} WHERE regexp_matches(text, '{p}', 'i')" for i, p in enumerate(fv.LEAK_PATTERNS))
 
 
 @query("v8_leak_lint_text", "SELECT doc_id, pattern FROM (" + _LEAK_CASES.replace("UNION ALL ", "", 1).replace("SELECT doc_id, 1 ", "SELECT doc_id, 1 AS pattern ", 1) + ")")
 def v8_leak_lint_text(spark, sf_dir):
-    return fx.texts(spark, sf_dir, "documents").select("doc_id", F.explode(li.leak_names(F.col("text"))).alias("pattern"))
+    added = F.coalesce(F.try_element_at(F.array(*[F.lit(" " + p) for p in _LEAKING]), (F.col("doc_id") % 50 + 1).cast("int")), F.lit(""))
+    planted = fx.texts(spark, sf_dir, "documents").select("doc_id", F.concat("text", added).alias("text"))
+    return planted.select("doc_id", F.explode(li.leak_names(F.col("text"))).alias("pattern"))
 
 
 _CLAIMS = " UNION ALL ".join(
