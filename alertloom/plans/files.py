@@ -144,7 +144,7 @@ FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0""")
 def u2_key_difference(spark, sf_dir):
     """Key sets of JSON objects built from pages, some without `html`, some with an undeclared `email`."""
     p = F.col("page_id")
-    obj = F.to_json(F.struct("page_id", "url", F.when(p % 2 != 0, F.lit("x")).alias("html"), F.when(p % 3 == 0, F.lit("a")).alias("email")))
+    obj = F.to_json(F.struct("page_id", "url", F.when(p % 2 != 0, F.col("html")).alias("html"), F.when(p % 3 == 0, F.lit("a")).alias("email")))
     rows = fx.table(spark, sf_dir, "pages").select("page_id", F.json_object_keys(obj).alias("keys"))
     d = rd.key_difference(rows, "keys", ("page_id", "url", "html"))
     return d.select("page_id", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"))
@@ -161,11 +161,17 @@ _DIGEST = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 @query(
     "s8_fingerprint",
     "SELECT count(*) AS rows, sum({d})::BIGINT AS digest_sum, bit_xor({d}) AS digest_xor FROM lineitem".format(
-        d=_DIGEST.format("concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)")
+        d=_DIGEST.format(
+            "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity * 100)::BIGINT, round(l_extendedprice * 100)::BIGINT, "
+            "round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, l_returnflag, l_linestatus, epoch(l_shipdate)::BIGINT)"
+        )
     ),
 )
 def s8_fingerprint(spark, sf_dir):
-    return fp.row_digest(fx.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    """Every column counts; amounts go in as hundredths and times as seconds, which read the same everywhere."""
+    cents = {c: F.round(F.col(c) * 100).cast("bigint") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+    rows = fx.table(spark, sf_dir, "lineitem").withColumns(cents | {"l_shipdate": F.unix_timestamp("l_shipdate")})
+    return fp.row_digest(rows, *rows.columns)
 
 
 @query("s8_table_fingerprint")
@@ -176,19 +182,27 @@ def s8_table_fingerprint(spark, sf_dir):
 @query(
     "s9_verify_manifest",
     fx.sql_with("cases") + """SELECT split AS file, 'rows does not match manifest' AS problem FROM (SELECT DISTINCT split FROM cases) WHERE split = 'val'
-UNION ALL SELECT 'extra', 'listed in manifest but missing'""",
+UNION ALL SELECT 'extra', 'listed in manifest but missing' UNION ALL SELECT 'train', 'digest does not match manifest'""",
 )
 def s9_verify_manifest(spark, sf_dir):
-    """A manifest of split digests, with one count changed and one file that does not exist."""
+    """A manifest of digests over whole cases, with one count changed, one file missing, and one event altered on disk."""
+    stored = _stored_cases(spark, sf_dir)
+    columns = [c for c in stored.columns if c != "split"]
+
     def digests(df):
-        part = F.conv(F.substring(F.md5(F.concat_ws("|", "case_id", "cohort")), 1, 8), 16, 10).cast("bigint")
+        whole = F.concat_ws("|", *[F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in columns])
+        part = F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("bigint")
         return df.groupBy(F.col("split").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.sum(part).alias("digest"))
 
-    listed = digests(fx.cases(spark, sf_dir))
+    splits = ("train", "val", "test")
+    listed = digests(rd.read_cases(spark, _written(spark, sf_dir), splits))
     tampered = listed.withColumn("rows", F.when(F.col("file") == "val", F.col("rows") + 1).otherwise(F.col("rows")))
     extra = listed.where(F.col("file") == "test").withColumn("file", F.lit("extra"))
-    stored = rd.read_cases(spark, _written(spark, sf_dir), ("train", "val", "test")).select(F.col("case_id").cast("bigint").alias("case_id"), "cohort", "split")
-    return fp.verify_manifest(tampered.unionByName(extra), digests(stored))
+    path = work_path(spark, "cases")
+    first = stored.where("split = 'train'").agg(F.min("case_id")).first()[0]
+    altered = F.when(F.col("case_id") == first, F.col("event").withField("host", F.lit("altered"))).otherwise(F.col("event"))
+    wr.write_splits(stored.withColumn("event", altered), path)
+    return fp.verify_manifest(tampered.unionByName(extra), digests(rd.read_cases(spark, path, splits)))
 
 
 @query("s10_write_report_tables", _matrix_sql())
