@@ -20,8 +20,9 @@ BLOCK_CHARS = 1024
 #: Values are ranked inside this many buckets; the bucket is the upper part of a name.
 BUCKETS = 1 << 16
 RANK_BITS = 40
-#: A value with more than this share of all rows is named on its own; so there are at most 1 / share of them.
-HEAVY_SHARE = 1 / 2000
+#: The values with most rows, so many at most and each with over HEAVY_ROWS, are named apart. Any other value has at most
+#: 1 / HEAVY_VALUES of all rows, or HEAVY_ROWS.
+HEAVY_VALUES = 2000
 HEAVY_ROWS = 1000
 
 
@@ -35,11 +36,8 @@ def name_values(rows: DataFrame, value: str, deal_by: Column, buckets: int = BUC
     rest = [c for c in rows.columns if c != value]
     dealt = rows.withColumn("_deal", deal_by)
     counts = dealt.groupBy("_deal").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(counts.where(F.col("n") > heavy_rows))
-    heavy = []
-    if not counts.isEmpty():
-        heavy = [r[0] for r in counts.where(F.col("n") > rows.count() * HEAVY_SHARE).select("_deal").collect()]
-    release(counts)
+    most = counts.where(F.col("n") > heavy_rows).orderBy(F.desc("n"), "_deal").limit(HEAVY_VALUES)
+    heavy = [r["_deal"] for r in most.collect()]
     bucket = F.pmod("_deal", F.lit(buckets))
     rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(value))
     light = dealt.where(~F.col("_deal").isin(heavy)) if heavy else dealt
@@ -97,7 +95,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = names.groupBy("n_blocks", "name").agg(F.max(id_col).alias("keep_id"), F.sum("n_rows").alias("group_size"), F.count(F.lit(1)).alias("_texts"))
     # Only texts with copies meet their group again; those of a very large group do so by broadcast.
     many = groups.where("_texts > 1")
-    limit = names.count() * HEAVY_SHARE
+    limit = max(HEAVY_ROWS, names.count() / HEAVY_VALUES)
     large = many.where(F.col("_texts") > limit).select("n_blocks", "name", "keep_id", "group_size")
     rest = many.where(F.col("_texts") <= limit).select("n_blocks", "name", "keep_id", "group_size")
     key = ["n_blocks", "name"]
