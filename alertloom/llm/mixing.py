@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import uniform
+from alertloom.session import cut_lineage
 
 #: A mean above this is drawn as a sum of independent parts with means up to it.
 PART_MEAN = 8.0
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = "mix-1", id_col: str = "d
     """
     own = ("copy", "n_copies", "mix_key")
     rest = [c for c in docs.columns if c.lower() not in own]
-    known = with_distribution(rates).select(F.col("source").alias("_source"), "rate", "parts", "cdf").alias("r")
+    known = cut_lineage(with_distribution(rates)).select(F.col("source").alias("_source"), "rate", "parts", "cdf").alias("r")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(source_col).alias("_of"), F.col(id_col).alias("_id"))
     met = left.join(known, left["_of"].eqNullSafe(known["_source"]))
     counted = met.select("row", "_id", poisson_copies(F.col("rate"), F.col("cdf"), F.col("parts"), seed, F.col("_id")).alias("n_copies"))
