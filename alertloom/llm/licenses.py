@@ -38,6 +38,9 @@ SPELLINGS = (
     ("fulfil", "fulfill"), ("while", "whilst"), ("copyright owner", "copyright holder"),
 )
 
+#: Known digests (about 100 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_DIGESTS = 100_000
+
 
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form, without blank and copyright lines."""
@@ -67,12 +70,13 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
 
     `license` is set when the entire text is a known one (the first by name if several are); `notices` joins the names
     of lines that are known texts, `n_notices` counts those lines. A null or empty text matches nothing. Digests
-    are joined where they are made: Spark broadcasts the known ones when they are small, and else shuffles digests only.
+    are joined where they are made: known ones are counted and broadcast up to a limit, beyond it digests are shuffled.
     Rows equal in id and canonical text give equal rows. Other columns are not read.
     """
     units = docs.select(F.col(id_col).alias("id"), F.explode(F.array(digests(F.col(text_col)))).alias("all"))
     units = units.select("id", F.element_at("all", 1)["digest"].alias("text_digest"), F.explode("all").alias("u"))
     names = licenses.groupBy("digest").agg(F.min("license").alias("license"))
+    names = F.broadcast(names) if licenses.count() <= BROADCAST_DIGESTS else names
     met = units.select("id", "text_digest", F.col("u.unit").alias("unit"), F.col("u.digest").alias("digest")).join(names, "digest", "left")
     hits = met.where("unit = 0 OR license IS NOT NULL")
     whole, line = F.col("unit") == 0, F.col("unit") > 0
