@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from alertloom.llm import tokens
+from alertloom.session import cut_lineage
 
 #: Text bytes that go to one file, bytes of a row group and of a page, and rows of a page.
 FILE_BYTES = 64 << 20
@@ -61,7 +62,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
     rows = spark.read.parquet(path).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), "^part-(\\d+)", 1).cast("long"))
     totals = rows.groupBy("_file").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
-    firsts = totals.select(F.col("_file").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    firsts = cut_lineage(totals.select(F.col("_file").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before")))
     out = rows.join(firsts, F.col("_file") == F.col("_of"))
     more = ["ids"] if with_ids else []
     return out.select(F.col("id").alias(id_col), (F.col("_before") + F.col("start_in_file")).alias("start"), "n_tokens", *more)
