@@ -30,7 +30,7 @@ WORD_BYTES = 6
 FREQUENT = 1 << 19
 #: Pairs in one part, slices of a part that are sorted one after the other, and different words that a task gathers
 #: before it passes them on. A part sends on one sum per document, so few large parts send less.
-PAIRS_PER_PART = 6_000_000
+PAIRS_PER_PART = 4_000_000
 SLICES = 6
 GATHERED = 2_000_000
 #: Stands before the first word of a text, and for a null id.
