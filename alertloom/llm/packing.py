@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from alertloom.llm import tokens
-from alertloom.session import cut_lineage
+from alertloom.session import cut_lineage, release
 
 SEQUENCE = 4096
 BINS = 64
@@ -216,12 +216,12 @@ class Plan:
 def pack(pieces: DataFrame, size: int = SEQUENCE, length_col: str = "length") -> DataFrame:
     """`pieces` with `sequence_id` and `offset`; every length is from 1 to `size`.
 
-    Reads `pieces` more than once, so give it a table. Sequences are gapless from offset 0 and never over `size`. An empty
-    table gives an empty result. The plan has rows by length, not by piece, and is broadcast.
+    Writes `pieces` once, with a number for each row: counting and ranking are two jobs and must read the same numbers,
+    which a scan made anew does not promise. Sequences are gapless from offset 0 and never over `size`. An empty table
+    gives an empty result. The plan has rows by length, not by piece, and is broadcast. Raises if a piece has no place.
     """
     spark = pieces.sparkSession
-    numbered = pieces.withColumn("_row", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(RANK_PARTS)).cast("int"))
+    numbered = cut_lineage(pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(RANK_PARTS)).cast("int")))
     counts = cut_lineage(numbered.groupBy(F.col(length_col).alias("_n"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("c")))
     histogram = {int(n): int(c) for n, c in counts.groupBy("_n").agg(F.sum("c")).collect()}  # at most `size` rows
     before = F.sum("c").over(Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
@@ -232,9 +232,14 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, length_col: str = "length") ->
     slots = spark.createDataFrame(Plan(histogram, size).slots(), "_len long, _lo long, _hi long, _seq long, _off long, _times long")
     met = ranked.join(F.broadcast(slots), (F.col(length_col) == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     inner = F.col("_rank") - F.col("_lo")
-    return met.select(*pieces.columns, (F.col("_seq") + F.floor(inner / F.col("_times"))).alias("sequence_id"), (F.col("_off") + inner % F.col("_times") * F.col(length_col)).alias("offset"))
+    placed = cut_lineage(met.select(*pieces.columns, (F.col("_seq") + F.floor(inner / F.col("_times"))).alias("sequence_id"), (F.col("_off") + inner % F.col("_times") * F.col(length_col)).alias("offset")))
+    wanted, found = numbered.count(), placed.count()
+    if found != wanted:
+        raise RuntimeError(f"{wanted} pieces, but {found} of them placed")
+    release(numbered, counts)
+    return placed
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """The pieces of all documents with their places."""
-    return pack(cut_lineage(document_pieces(docs, vocabulary, **options)), options.get("size", SEQUENCE))
+    return pack(document_pieces(docs, vocabulary, **options), options.get("size", SEQUENCE))

@@ -108,6 +108,39 @@ def test_packing(spark, docs, texts):
     assert packing.pack_documents(docs.limit(0), WORD_BPE).count() == 0
 
 
+def test_packing_when_the_scan_is_split_anew(spark, tmp_path, monkeypatch):
+    path, key = str(tmp_path / "pieces"), "spark.sql.files.maxPartitionBytes"
+    spark.range(20_000).select("id", (F.col("id") * 7919 % 4000 + 1).alias("length")).repartition(3).write.option("parquet.block.size", 4096).parquet(path)
+    plan, before = packing.Plan, spark.conf.get(key)
+
+    def later(*args):  # after counting, before ranking
+        spark.conf.set(key, "8k")
+        return plan(*args)
+
+    monkeypatch.setattr(packing, "Plan", later)
+    try:
+        rows = packing.pack(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r.id for r in rows) == list(range(20_000))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+
+
+def test_packing_fails_if_a_piece_has_no_place(spark, monkeypatch):
+    plan = packing.Plan
+
+    class Short(plan):
+        def slots(self):
+            return super().slots()[:-1]
+
+    monkeypatch.setattr(packing, "Plan", Short)
+    with pytest.raises(RuntimeError, match="placed"):
+        packing.pack(spark.range(100).withColumn("length", F.col("id") + 1)).count()
+
+
 def test_token_files(spark, docs, texts, tmp_path):
     whole = Tokenizer.from_file(BYTE_BPE)
     path = str(tmp_path / "tokens")
