@@ -1,14 +1,15 @@
 """Main text of pages by differencing each with the page of the nearest URL on its host.
 
-Pages of a site share menus, headers, notices and other boilerplate; their articles differ. The paths of each host are
-sorted, each is paired with the neighbour that has the longer prefix in common with it, the lines of both pages are
-aligned by their longest common subsequence, and lines in it are deleted. Markup decides where it speaks: lines marked as
-article stay even if another page repeats them, and lines marked as menu, header, footer, sidebar, notice, advert, form or
-comments go even if no other page has them.
+Pages of a site share menus, headers, notices and other boilerplate; their articles differ. The different pages of each host
+are sorted by path and query, and each is compared with up to NEAR pages on either side: lines are aligned by their longest
+common subsequence. Lines that many of them share are taken for template. A page that has the rest of the lines too is a
+copy (a print version, say) and tells nothing; the lines shared with the nearest page that is none are deleted, and the
+template. Lines marked as menu, header, footer, sidebar, notice, advert, form or comments go even if no other page has them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,16 @@ from alertloom.llm.common import lower_ascii
 from alertloom.llm.html_blocks import Block, blocks
 from alertloom.session import cut_lineage, release
 
-#: With more of its unmarked lines shared than this, the other page is a copy and tells nothing about boilerplate.
-COPY_SHARE = 0.8
+#: What markup says of a line.
+FREE, INSIDE, OUTSIDE = 0, 1, 2
+#: Pages compared on either side, and pages of a host that are compared in one task.
+NEAR = 8
+CHUNK = 64
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
-    """Host and path of a URL; both are empty without `://` or for null."""
-    parts = [F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit("")) for k in (1, 2)]
+    """Host, and path with query, of a URL; both are empty without `://` or for null."""
+    parts = [F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)([^#]*)", k), F.lit("")) for k in (1, 2)]
     return lower_ascii(parts[0]), parts[1]
 
 
@@ -78,52 +82,87 @@ def shared_positions(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def deletions(own: list, marked: list, other: list) -> list[int]:
-    """Positions of unmarked lines of a page that the other page shares; none if the other page is a copy."""
-    free = sum(not m for m in marked)
-    gone = [i for i in shared_positions(own, other) if not marked[i]]
-    return [] if not free or len(gone) > COPY_SHARE * free else gone
+def deletions(own: list, kinds: list, others: list[list]) -> list[int]:
+    """Positions of the lines of a page that are boilerplate by what other pages, the nearest first, share.
 
+    `kinds` has OUTSIDE for lines that go anyway. Template is what more than half of the others share, or a quarter and
+    three at least. Another page is a copy if it has all (or more than half) of the other lines, or has no others of its own.
+    """
+    free = {i for i, kind in enumerate(kinds) if kind != OUTSIDE}
+    shared = [free.intersection(shared_positions(own, other)) for other in others]
+    times = Counter(i for some in shared for i in some)
+    if not times:
+        return []
+    need = min(len(others) // 2 + 1, max(3, -(-len(others) // 4)), max(min(2, len(others)), *times.values()))
+    template = {i for i in free if times[i] >= need}
+    rest = free - template
+    known = {own[i] for i in template} | {x for x, kind in zip(own, kinds, strict=True) if kind == OUTSIDE}
 
-def page_lines(found: list[Block]) -> tuple[list[int], list[bool]]:
-    """A 64-bit hash of each line, and whether markup already says what it is."""
-    return [xxhash.xxh64_intdigest(b.text) - (1 << 63) for b in found], [b.inside or b.outside for b in found]
+    def is_copy(other: list, some: set[int]) -> bool:
+        theirs = {x for x in other if x not in known}
+        return 2 * len(rest & some) > len(rest) or rest <= some or theirs <= {own[i] for i in some}
+
+    telling = [some for other, some in zip(others, shared, strict=True) if not is_copy(other, some)]
+    if not telling:
+        return []
+    return sorted(i for i in telling[0] | template if kinds[i] == FREE)
+
+
+def page_lines(found: list[Block]) -> tuple[list[int], list[int]]:
+    """A 64-bit hash of each line, and what markup says of it."""
+    return [xxhash.xxh64_intdigest(b.text) - (1 << 63) for b in found], [OUTSIDE if b.outside else INSIDE if b.inside else FREE for b in found]
 
 
 def line_table(pages: DataFrame) -> DataFrame:
-    """(id, version, host, path, lines, marked) of every page; `version` tells pages with one id apart."""
+    """(id, version, host, path, look, lines, kinds) of every page; `version` tells pages with one id apart, `look` is a digest of the last two."""
     schema = T.StructType([pages.schema["id"], pages.schema["version"], T.StructField("host", T.StringType()), T.StructField("path", T.StringType())])
-    schema = schema.add("lines", T.ArrayType(T.LongType(), False)).add("marked", T.ArrayType(T.BooleanType(), False))
+    schema = schema.add("look", "binary").add("lines", T.ArrayType(T.LongType(), False)).add("kinds", T.ArrayType(T.ByteType(), False))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [page_lines(blocks(page or "")) for page in batch.column("html").to_pylist()]
+            looks = [xxhash.xxh3_128_digest(np.array(x, "<i8").tobytes() + bytes(k)) for x, k in both]
             keys = [batch.column(c) for c in ("id", "version", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], pa.list_(pa.bool_()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(looks, pa.binary()), pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([k for _, k in both], pa.list_(pa.int8()))], names=schema.names)
 
     return pages.select("id", "version", "host", "path", "html").mapInArrow(lines, schema)
 
 
-def partners(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, path, other): for each path of a host the lines of the nearest other path; and the table to release.
+def common_prefix(a: str, b: str) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
 
-    Paths are put in one global order and numbered, so that a host of any size is spread over all tasks; neighbours meet
-    by number.
+def shared_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, look, gone): the deletions of each different page of a host that has any; and the table to release.
+
+    Different pages are put in one global order and numbered, so that a host of any size is spread over all tasks. A task
+    compares CHUNK of them, with copies of the NEAR before and after.
     """
-    one = lines.groupBy("host", "path").agg(F.min_by("lines", F.struct("id", "version")).alias("lines"))
-    ordered = cut_lineage(one.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("n", F.monotonically_increasing_id()))
-    ends = ordered.groupBy(F.shiftright("n", 33).alias("part")).agg(F.min("n").alias("first"), F.max("n").alias("last"))  # one row per partition
-    ends = ends.select("last", F.lead("first").over(Window.orderBy("part")).alias("following"))
-    numbered = ordered.join(ends, ordered["n"] == ends["last"], "left").withColumn("next", F.coalesce("following", F.when(F.col("last").isNull(), F.col("n") + 1)))
-    here = numbered.select("n", "next", "host", "path", "lines")
-    there = ordered.select(F.col("n").alias("m"), F.col("host").alias("host2"), F.col("path").alias("path2"), F.col("lines").alias("lines2"))
-    met = here.join(there, F.col("next") == F.col("m")).where("host = host2")
-    common = F.size(F.filter(F.sequence(F.lit(0), F.least(F.length("path"), F.length("path2"))), lambda k: F.substr(F.col("path"), F.lit(1), k) == F.substr(F.col("path2"), F.lit(1), k)))
-    near = met.withColumn("common", common)
-    pairs = near.select("host", "path", "common", F.lit(0).alias("back"), F.col("lines2").alias("other")).unionByName(
-        near.select("host", F.col("path2").alias("path"), "common", F.lit(1).alias("back"), F.col("lines").alias("other"))
-    )
-    return pairs.groupBy("host", "path").agg(F.max_by("other", F.struct("common", "back")).alias("other")), ordered
+    one = lines.groupBy("host", "look").agg(F.min(F.struct("path", "id", "version")).alias("at"), F.first("lines").alias("lines"), F.first("kinds").alias("kinds"))
+    one = one.select("host", F.col("at.path").alias("path"), F.col("at.id").alias("id"), "look", "lines", "kinds")
+    order = ("host", "path", "id", "look")
+    ordered = cut_lineage(one.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id()))
+    part = F.shiftright("n", 33)
+    sizes = ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("rows"))  # one row per partition
+    firsts = sizes.select("p", F.coalesce(F.sum("rows").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    at = ordered.withColumn("p", part).join(F.broadcast(firsts), "p").withColumn("pos", F.col("first") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1)))
+    chunk = lambda shift: F.floor((F.col("pos") + F.lit(shift)) / F.lit(CHUNK)).cast("long")
+    dealt = at.select("host", "path", "look", "lines", "kinds", "pos", F.explode(F.array_distinct(F.array(chunk(0), chunk(-NEAR), chunk(NEAR)))).alias("chunk"))
+    schema = T.StructType().add("host", "string").add("look", "binary").add("gone", T.ArrayType(T.IntegerType()))
+
+    def compare(group: pa.Table) -> pa.Table:
+        pages = sorted(group.to_pylist(), key=lambda page: page["pos"])
+        out = []
+        for k, page in enumerate(pages):
+            if page["pos"] // CHUNK != page["chunk"]:
+                continue
+            near = [(j, pages[j]) for j in range(max(0, k - NEAR), min(len(pages), k + NEAR + 1)) if j != k and pages[j]["host"] == page["host"]]
+            near.sort(key=lambda x: (-common_prefix(page["path"], x[1]["path"]), abs(x[0] - k), x[0]))
+            if gone := deletions(page["lines"], page["kinds"], [other["lines"] for _, other in near]):
+                out.append({"host": page["host"], "look": page["look"], "gone": gone})
+        return pa.Table.from_pylist(out, pa.schema([("host", pa.string()), ("look", pa.binary()), ("gone", pa.list_(pa.int32()))]))
+
+    return dealt.groupBy("chunk").applyInArrow(compare, schema), ordered
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -131,22 +170,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html gives empty text. A page without URL, or alone on its host, has no partner and is judged by markup
     alone. Where a page marks an article, its text is what stands in it; else all that neither markup nor differencing
-    removes. Pages with the same host and path are not compared with each other. Other columns are not read.
+    removes. Pages of a host with the same lines count as one page in comparing. Other columns are not read.
     """
     host, path = url_parts(F.col(url_col))
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(html_col).alias("version"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
     lines = cut_lineage(line_table(slim.where("html IS NOT NULL AND host <> ''")))
-    other, ordered = partners(lines)
-    gone_schema = T.StructType([slim.schema["id"].__class__("of", slim.schema["id"].dataType), T.StructField("v", T.LongType())]).add("gone", T.ArrayType(T.IntegerType(), False))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = [deletions(a, m, b) for a, m, b in zip(*(batch.column(c).to_pylist() for c in ("lines", "marked", "other")), strict=True)]
-            some = pa.array([bool(g) for g in gone], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))], names=gone_schema.names).filter(some)
-
-    met = lines.join(other, ["host", "path"]).select("id", "version", "lines", "marked", "other")
-    gone = cut_lineage(met.mapInArrow(compare, gone_schema).dropDuplicates(["of", "v"]))
+    found, ordered = shared_lines(lines)
+    of = lines.select(F.col("id").alias("of"), F.col("version").alias("v"), "host", "look")
+    gone = cut_lineage(of.join(found, ["host", "look"]).select("of", "v", "gone").dropDuplicates(["of", "v"]))
     release(lines, ordered)
     schema = T.StructType([T.StructField(id_col, slim.schema["id"].dataType), T.StructField(url_col, T.StringType())])
     schema = schema.add("text", "string").add("n_chars", "long").add("n_lines", "long").add("n_shared", "long")

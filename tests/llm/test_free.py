@@ -289,6 +289,21 @@ def test_page_differencing(spark):
     assert html_diff.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_by_query_past_copies_and_of_short_articles(spark):
+    find_package(spark)
+    top, end = [f"<p>menu {k}</p>" for k in range(9)], "<p>Imprint</p>"
+    page = lambda *story: PAGE.format("".join(top) + "".join(f"<p>{x}</p>" for x in story) + end)
+    rows = [(i, f"http://q.example/index.php?id={i}", page(f"story {i}")) for i in range(6)]
+    rows += [(10 + i, f"http://p.example/{i}", page(*(f"text {i} {k}" for k in range(30)))) for i in range(4)]
+    rows += [(20 + i, f"http://p.example/{i}?print=1", PAGE.format("".join(f"<p>text {i} {k}</p>" for k in range(30)) + "<p>printed</p>")) for i in range(1)]
+    rows += [(30, "http://two.example/a", page("short a")), (31, "http://two.example/b", page("short b"))]
+    rows += [(40, "http://prints.example/a", page("x1", "x2")), (41, "http://prints.example/a?print=1", PAGE.format("<p>x1</p><p>x2</p>"))]
+    text = {r.page_id: r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(text[i] == f"story {i}" for i in range(6)) and (text[30], text[31]) == ("short a", "short b")
+    assert all(text[10 + i] == "\n\n".join(f"text {i} {k}" for k in range(30)) for i in range(4))
+    assert all("x1\n\nx2" in text[k] for k in (40, 41))
+
+
 def test_url_filter(spark):
     find_package(spark)
     rng = random.Random(6)
