@@ -29,6 +29,8 @@ FREE, INSIDE, OUTSIDE = 0, 1, 2
 #: Pages compared on either side, and pages of a host that are compared in one task.
 NEAR = 8
 CHUNK = 64
+#: Articles quote each other: a line marked as article is boilerplate only if so many other pages have it.
+INSIDE_PAGES = 2
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -87,6 +89,7 @@ def deletions(own: list, kinds: list, others: list[list]) -> list[int]:
 
     `kinds` has OUTSIDE for lines that go anyway. Template is what more than half of the others share, or a quarter and
     three at least. Another page is a copy if it has all (or more than half) of the other lines, or has no others of its own.
+    Lines that markup calls article go only if INSIDE_PAGES and half of the pages that are no copies share them.
     """
     free = {i for i, kind in enumerate(kinds) if kind != OUTSIDE}
     shared = [free.intersection(shared_positions(own, other)) for other in others]
@@ -105,7 +108,9 @@ def deletions(own: list, kinds: list, others: list[list]) -> list[int]:
     telling = [some for other, some in zip(others, shared, strict=True) if not is_copy(other, some)]
     if not telling:
         return []
-    return sorted(i for i in telling[0] | template if kinds[i] == FREE)
+    pages = Counter(i for some in telling for i in some)
+    several = {i for i, n in pages.items() if n >= INSIDE_PAGES and 2 * n >= len(telling)}
+    return sorted(i for i in free if (i in several if kinds[i] == INSIDE else i in telling[0] or i in template))
 
 
 def page_lines(found: list[Block]) -> tuple[list[int], list[int]]:
@@ -169,7 +174,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of `pages`: id, url, text, n_chars, `n_lines` of the page and `n_shared`, those deleted as shared.
 
     Null or empty html gives empty text. A page without URL, or alone on its host, has no partner and is judged by markup
-    alone. Where a page marks an article, its text is what stands in it; else all that neither markup nor differencing
+    alone. Where a page marks an article, its text is what stands in it, else all of it, each without what markup or differencing
     removes. Pages of a host with the same lines count as one page in comparing. Other columns are not read.
     """
     host, path = url_parts(F.col(url_col))

@@ -304,6 +304,15 @@ def test_differencing_by_query_past_copies_and_of_short_articles(spark):
     assert all("x1\n\nx2" in text[k] for k in (40, 41))
 
 
+def test_differencing_inside_articles(spark):
+    find_package(spark)
+    page = lambda i: PAGE.format(f"<main><p>We moved</p><p>story {i}</p><p>{'a quote' if i < 2 else 'own words'}{i // 2}</p><p>Subscribe</p></main>")
+    rows = [(i, f"http://m.example/{i}", page(i)) for i in range(6)]
+    got = html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"story {i}\n\n{'a quote' if i < 2 else 'own words'}{i // 2}" for i in range(6)}
+    assert all(r.n_shared == 2 for r in got)
+
+
 def test_url_filter(spark):
     find_package(spark)
     rng = random.Random(6)
