@@ -11,7 +11,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE_TAGS = frozenset("head nav footer aside form menu dialog button select option object canvas audio video map search".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -22,6 +22,14 @@ OUTSIDE_WORDS = frozenset(
 )
 #: Of these, those that make an article element something else than the page's article.
 OUTSIDE_CARDS = frozenset("comment comments reply replies ad ads advert sponsored promo related recommended".split())
+#: In an article a name says so only as a whole, or made of these and such words alone, as in "share-buttons" or "ad-box".
+FRAME_WORDS = frozenset(
+    "area article articles bar block body box button buttons card container content entry form group header heading icons inner item items link links list "
+    "main page panel post posts section site slot story stories title top unit wrap wrapper".split()
+)
+#: There, ids of headings, sections and small elements are slugs of what they say; only these ids of a section count.
+ID_TAGS = frozenset("div ul ol".split())
+SECTION_IDS = frozenset("comments respond disqus_thread".split())
 #: A class that starts so, as in "has-sidebar", speaks of what is beside the element.
 SAID_OF_OTHERS = frozenset("has no with without is not".split())
 #: Opening one of the first ends an open one of the second.
@@ -45,8 +53,14 @@ def marks(tag: str, text: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element opens main content, and whether it stands outside it."""
     found = attributes(text) if text.strip(" /\n\t\r\f") else {}
     role = found.get("role", "").lower()
-    names = [re.split(r"[^a-z0-9]+", name) for key in ("class", "id") for name in found.get(key, "").lower().split()]
-    words = {w for parts in names if parts[0] not in SAID_OF_OTHERS for w in parts} - ({"header", "masthead"} if inside else set())
+    classes, ids = (found.get(key, "").lower().split() for key in ("class", "id"))
+    strict = inside or tag in ("article", "main")
+    if strict and (tag not in ID_TAGS or "section" in classes):
+        ids = [name for name in ids if name in SECTION_IDS and tag in ("div", "section")]
+    names = [re.split(r"[^a-z0-9]+", name) for name in classes + ids if name not in SECTION_IDS]
+    said = {name.split("_")[0] for name in classes + ids if name in SECTION_IDS}
+    words = {w for parts in names if parts[0] not in SAID_OF_OTHERS and not (strict and set(parts) - OUTSIDE_WORDS - FRAME_WORDS) for w in parts}
+    words = (words | said) - ({"header", "masthead"} if inside else set())
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     outside = tag in OUTSIDE_TAGS or (tag == "header" and not inside) or role in OUTSIDE_ROLES or hidden
     words &= OUTSIDE_CARDS if tag in ("article", "main") else frozenset() if tag in ("html", "body") else OUTSIDE_WORDS

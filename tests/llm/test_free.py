@@ -260,6 +260,16 @@ def test_blocks():
     assert blocks("") == [] and [b.text for b in blocks("plain &am; <3 text")] == ["plain &am; <3 text"] and blocks("<p>" * 50) == []
 
 
+def test_names_inside_an_article():
+    kept = "<h2 id='related-work'>a</h2><section id='navigation'>b</section><section id='notices'><p>c</p></section><table class='share-price'><tr><td>d</table>"
+    kept += "<div class='social-science'>e</div><p>f <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math></p>"
+    gone = "<div class='share-buttons'>g</div><div class='related-posts'>h</div><div id='comments'>i</div><div class='newsletter'>j</div>"
+    for tag in ("article", "main", "article class='post ad-free'"):
+        found = blocks(f"<{tag}>{kept}{gone}</{tag.split()[0]}><div class='share-price'>k</div>")
+        assert [b.text for b in found if b.inside and not b.outside] == ["a", "b", "c", "d", "e", "f x=2"]
+        assert {b.text for b in found if b.outside} == {"g", "h", "i", "j", "k"}
+
+
 def test_shared_positions():
     rng = random.Random(4)
     for t in range(400):
