@@ -6,6 +6,8 @@ and of each of its lines, is hash-joined to the digests of known license texts a
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,25 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC_BODY = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _long_texts() -> list[tuple[str, str]]:
+    """The texts in `license_texts`, whole and up to the end of their terms."""
+    found = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        found += [(path.stem, terms + end)] if end else []
+    return found
+
+
 KNOWN = (
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n" + _MIT_BODY),
@@ -31,6 +52,11 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    *((name, title + body) for name, body, titles in (
+        ("BSD-2-Clause", _BSD_2 + _BSD_END, ("", "BSD 2-Clause License\n", "The 2-Clause BSD License\n")),
+        ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END, ("", "BSD 3-Clause License\n", "The 3-Clause BSD License\n")),
+    ) for title in titles),
+    *_long_texts(),
 )
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
@@ -38,19 +64,32 @@ SPELLINGS = (
     ("fulfil", "fulfill"), ("while", "whilst"), ("copyright owner", "copyright holder"),
 )
 
+#: A copyright line names a year, the sign or (c), a place to fill in, or a holder. (c) alone may also number a clause.
+NOTICE = (
+    r"(?i)^[^\p{L}\p{N}©(]*(?:copyright\b[^\p{L}\p{N}©(]*(?:\(c\)|©|\d{4}|[\[<{]|by\b)|©|\(c\)\s*(?:[\[<{]|\d{4}|copyright\b(?!\s+(?:notice|holder|owner|licen[cs]e))))"
+    r"|^[^\p{L}\p{N}]*copyright\s+(?!(?:notices?|holders?|owners?|owner?ship|licen[cs]es?|laws?|statements?|interests?|rights?|treaty|protection|infringement|claims?|disclaimers?|terms?"
+    r"|permission|and|or|in|is|are|of|to|for|as|on|under|with|shall|may)\b)(?-i:\p{Lu})"
+)
+#: After a line that ends so, the next goes on with its sentence.
+RUNS_ON = r"(?i)(?:,|\b(?:the|of|or|and|a|an|any|above|is|are|this|that|all|by|under|to|in|for|with|no|such|following|retain|reproduce|its|their|each|applicable|other|including))\s*$"
+
 #: Known digests (about 100 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_DIGESTS = 100_000
 
 
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form, without blank and copyright lines."""
-    marked = F.replace(F.replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit("©"), F.lit(" copyright ")), F.lit("(c)"), F.lit(" copyright "))
+    raw = F.coalesce(text.cast("string"), F.lit(""))
+    marked = F.replace(F.replace(F.lower(raw), F.lit("©"), F.lit(" copyright ")), F.lit("(c)"), F.lit(" copyright "))
     plain = F.regexp_replace(marked, "[^\\p{L}\\p{N}\\n]+", " ")
     spaced = F.concat(F.lit(" "), F.replace(plain, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
         spaced = F.replace(spaced, F.lit(f" {a} "), F.lit(f" {b} "))
     trimmed = F.transform(F.split(spaced, "\n"), lambda line: F.btrim(line))
-    return F.filter(trimmed, lambda line: (line != "") & ~line.startswith("copyright ") & ~line.startswith("all rights reserved"))
+    both = F.struct(F.split(raw, "\n").alias("raw"), trimmed.alias("plain"))
+    notice = lambda x, i: F.get(x["raw"], i).rlike(NOTICE) & ~F.coalesce(F.get(x["raw"], i - 1), F.lit("")).rlike(RUNS_ON)
+    kept = lambda x: F.transform(x["plain"], lambda line, i: F.when(line.startswith("copyright "), F.when(notice(x, i), F.lit("")).otherwise(line)).otherwise(line))
+    return F.filter(let(both, kept), lambda line: (line != "") & ~line.startswith("all rights reserved"))
 
 
 def digests(text: Column) -> Column:

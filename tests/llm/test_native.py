@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -136,3 +137,24 @@ def test_license_scan(spark):
     assert len(got) == len(rows) and got[8] == got[9]
     assert licenses.scan(df.limit(0), licenses.known_licenses(spark)).count() == 0
     assert licenses.scan(df, licenses.known_licenses(spark).limit(0)).where("license IS NOT NULL OR n_notices > 0").count() == 0
+
+
+def test_license_scan_of_wrapped_files(spark):
+    texts = {}
+    for name, text in licenses.KNOWN:
+        texts.setdefault(name, text)
+    head, rows, want = "Copyright (c) 2020, Some One <s@example.org>\nCopyright Acme Corp\nAll rights reserved.\n\n", [], []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        for width in range(40, 100):
+            rows.append((len(rows), head + "\n\n".join(textwrap.fill(part, width) for part in texts[name].split("\n") if part)))
+            want.append(name)
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+    rows.append((len(rows), isc + texts["ISC"].split("\n")[1]))
+    want.append("ISC")
+    for name, text in licenses._long_texts():
+        rows.append((len(rows), re.sub(r"[ \t]+", " ", text).replace("\n", "\r\n")))
+        want.append(name)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"} < set(want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
