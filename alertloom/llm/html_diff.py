@@ -89,7 +89,7 @@ def deletions(own: list, kinds: list, others: list[list]) -> list[int]:
 
     `kinds` has OUTSIDE for lines that go anyway. Template is what more than half of the others share, or a quarter and
     three at least. Another page is a copy if it has all (or more than half) of the other lines, or has no others of its own.
-    Lines that markup calls article go only if INSIDE_PAGES and half of the pages that are no copies share them.
+    Lines that markup calls article go only if INSIDE_PAGES and two thirds of the pages that are no copies share them.
     """
     free = {i for i, kind in enumerate(kinds) if kind != OUTSIDE}
     shared = [free.intersection(shared_positions(own, other)) for other in others]
@@ -109,7 +109,7 @@ def deletions(own: list, kinds: list, others: list[list]) -> list[int]:
     if not telling:
         return []
     pages = Counter(i for some in telling for i in some)
-    several = {i for i, n in pages.items() if n >= INSIDE_PAGES and 2 * n >= len(telling)}
+    several = {i for i, n in pages.items() if n >= INSIDE_PAGES and 3 * n >= 2 * len(telling)}
     return sorted(i for i in free if (i in several if kinds[i] == INSIDE else i in telling[0] or i in template))
 
 
