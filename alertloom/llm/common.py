@@ -59,3 +59,18 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def url_host(url: Column) -> Column:
+    """What follows the first `://`, up to `/`, `?`, `#` or the end, A-Z in lower case; empty without `://` or for null."""
+    return lower_ascii(F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+
+
+def url_path(url: Column) -> Column:
+    """What follows the host, up to `?`, `#` or the end; empty without `://` or for null."""
+    return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
+def url_place(url: Column) -> Column:
+    """What follows the host, query included, up to `#` or the end; empty without `://` or for null."""
+    return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^#]*)", 1), F.lit(""))

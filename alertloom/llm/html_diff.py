@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from alertloom.llm.common import lower_ascii
+from alertloom.llm.common import url_host, url_place
 from alertloom.llm.html_blocks import Block, blocks
 from alertloom.session import cut_lineage, release
 
@@ -33,12 +33,6 @@ CHUNK = 64
 INSIDE_PAGES = 2
 
 
-def url_parts(url: Column) -> tuple[Column, Column]:
-    """Host, and path with query, of a URL; both are empty without `://` or for null."""
-    parts = [F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)([^#]*)", k), F.lit("")) for k in (1, 2)]
-    return lower_ascii(parts[0]), parts[1]
-
-
 def shared_positions(a: list, b: list) -> list[int]:
     """Positions in `a` of a longest common subsequence with `b`.
 
@@ -177,7 +171,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     alone. Where a page marks an article, its text is what stands in it, else all of it, each without what markup or differencing
     removes. Pages of a host with the same lines count as one page in comparing. Other columns are not read.
     """
-    host, path = url_parts(F.col(url_col))
+    host, path = url_host(F.col(url_col)), url_place(F.col(url_col))
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(html_col).alias("version"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
     lines = cut_lineage(line_table(slim.where("html IS NOT NULL AND host <> ''")))
     found, ordered = shared_lines(lines)

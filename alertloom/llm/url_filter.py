@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.llm.common import lower_ascii
-from alertloom.llm.html_diff import url_parts
+from alertloom.llm.common import lower_ascii, url_host, url_path
 from alertloom.session import cut_lineage
 
 #: List entries in one task's array.
@@ -93,8 +92,7 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     without `://`, or null, has empty host and path and is allowed. Repeated rows are judged alike. Other columns are not read.
     """
     spark = pages.sparkSession
-    host, path = url_parts(F.col(url_col))
-    slim = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    slim = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     places = slim.where("host <> ''").distinct()
     tidy = listed.select(F.concat(lower_ascii(F.regexp_extract("entry", "(?s)^([^/]*)", 1)), F.regexp_extract("entry", "(?s)^[^/]*(.*)$", 1)).alias("entry"), "verdict", "is_rule").distinct()
     lengths = tidy.select((F.length("entry") - F.length(F.regexp_extract("entry", "(?s)^([^/]*)", 1))).alias("n")).groupBy("n").count()
