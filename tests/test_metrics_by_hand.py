@@ -122,7 +122,7 @@ def test_cost(spark):
     top = costs.worst_failures(a).orderBy("position").collect()
     assert [(t.case_id, t.task, t.cost) for t in top] == [("A2", "page_now", 50), ("A5", "page_now", 50), ("A2", "priority", 5)]
     none = costs.cost_weighted(answers(spark, [case("A1")], outs("A1", "security_event", False, "unsup"))).first()
-    assert none.total_cost is None and "priority is unsupported" in none.na_reason
+    assert none.total_cost is None and "priority has no supported call" in none.na_reason
 
 
 def test_consequential_errors(spark):
@@ -144,7 +144,7 @@ def test_calibration(spark):
     assert len(bins) == 10 and {k: v for k, v in bins.items() if v} == {6: 1, 8: 2, 9: 1}
     hard = answers(spark, [case("A1")], outs("A1", "security_event", True, "P1", 1.0, "hard_label_uncalibrated"))
     h = cal.calibration_summary(hard).first()
-    assert h.n == 0 and h.brier is None and h.n_ineligible == 1 and "not 'model'" in h.na_reason
+    assert h.n == 0 and h.brier is None and h.n_ineligible == 1 and "no probability comes from a model" in h.na_reason
 
 
 def test_latency_and_percentiles(spark):
