@@ -73,6 +73,7 @@ def checksums(read: DataFrame, id_col: str = "doc_id") -> DataFrame:
     schema = T.StructType([read.schema[id_col], *(read.schema[c] for c in ("start", "n_tokens"))]).add("ids_crc32", "long")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.drop_encoders()  # workers are used again, and may hold those of the stage that wrote
         for batch in batches:
             lists = batch.column("ids")
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()

@@ -8,6 +8,8 @@ where this holds for certain: before a space or line feed that follows an ASCII
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import zlib
 from collections.abc import Iterator
@@ -82,6 +84,14 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def drop_encoders() -> None:
+    """Give back the memory of this worker's encoders, in a stage that encodes nothing."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and where each starts, with the end of the last."""
     flat = texts.cast(pa.large_binary()).fill_null(b"")
