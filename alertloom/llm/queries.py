@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from alertloom.llm import backoff, block_names, html_diff, licenses, mixing, near_join, packing, quality, token_files, url_filter
+from alertloom.llm import backoff, block_names, html_diff, licenses, mixing, near_join, packing, quality, quality_svm, rotated_means, token_files, url_filter
 from alertloom.llm.common import table
 from alertloom.session import work_path
 
@@ -57,11 +57,20 @@ def op10_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_quality_svm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_svm.score(docs, quality_svm.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_rotated_means(spark, sf_dir):
+    return rotated_means.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_page_text, op2_quality_rules, op3_license_scan, op4_url_filter, op5_mix_sources, op6_pattern_packing, op7_token_files,
-        op8_backoff_score, op9_ngram_jaccard_join, op10_exact_dedup,
+        op8_backoff_score, op9_ngram_jaccard_join, op10_exact_dedup, op11_quality_svm, op12_rotated_means,
     )
 }
 
@@ -74,7 +83,25 @@ for _a, _b in licenses.SPELLINGS:
 
 _ENTRIES = ", ".join([f"('{e}', '{v}', true)" for e, v in url_filter.RULES] + [f"('{e}', 'block', false)" for e in url_filter.BLOCKED])
 
+_DISTANCES = "list_transform(c.cs, lambda c: list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT)"
+_MEANS = ""
+for _n in range(rotated_means.ROUNDS + 1):
+    _MEANS += f"""
+a{_n} AS MATERIALIZED (SELECT vec_id, v, d, list_position(d, list_min(d)) AS k FROM (SELECT vec_id, v, {_DISTANCES} AS d FROM kept, c{_n} AS c)),"""
+    if _n < rotated_means.ROUNDS:
+        _MEANS += f"""
+s{_n} AS (SELECT k, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{_n}, generate_series(1, 64) g(i) GROUP BY ALL),
+m{_n} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{_n} GROUP BY k),
+c{_n + 1} AS MATERIALIZED (SELECT list(coalesce(m.c, cs[j]) ORDER BY j) AS cs FROM (SELECT cs, unnest(generate_series(1, len(cs))) AS j FROM c{_n}) LEFT JOIN m{_n} m ON m.k = j),"""
+
 ORACLES = {
+    "op12_rotated_means": f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+c0 AS MATERIALIZED (SELECT list(v ORDER BY h, v) AS cs FROM (SELECT v, sha256('3:' || vec_id) AS h FROM kept ORDER BY h NULLS LAST, v LIMIT 8)),{_MEANS}
+f AS (SELECT vec_id, k, d[k] AS distance FROM a{rotated_means.ROUNDS})
+SELECT vec_id, (k - 1)::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(cs[k], ',')) AS centroid_sha256 FROM f, c{rotated_means.ROUNDS}""",
     "op2_quality_rules": rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 split AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
