@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from alertloom.llm import backoff, block_names, html_diff, licenses, mixing, near_join, packing, quality, quality_svm, rotated_means, token_files, url_filter
+from alertloom.llm import backoff, block_names, collocations, html_diff, licenses, mixing, near_join, packing, quality, quality_svm, rotated_means, token_files, url_filter
 from alertloom.llm.common import table
 from alertloom.session import work_path
 
@@ -66,11 +66,16 @@ def op12_rotated_means(spark, sf_dir):
     return rotated_means.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_automata(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_page_text, op2_quality_rules, op3_license_scan, op4_url_filter, op5_mix_sources, op6_pattern_packing, op7_token_files,
         op8_backoff_score, op9_ngram_jaccard_join, op10_exact_dedup, op11_quality_svm, op12_rotated_means,
+        op13_phrase_automata,
     )
 }
 
@@ -170,6 +175,19 @@ draws AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1:' || doc_id || ':' |
 counted AS (SELECT doc_id, count(*)::INT AS n_copies FROM draws d JOIN cdf c ON d.source = c.source AND c.c <= d.u GROUP BY 1)
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, n_copies, md5('mix-1:order:' || doc_id || ':' || copy) AS mix_key
 FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM documents JOIN counted USING (doc_id)) d""",
+    "op13_phrase_automata": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT *, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c)),
+s AS (SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000""",
     "op10_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
