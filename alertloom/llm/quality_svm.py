@@ -180,7 +180,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     one = labels.where(F.col(label_col).isin(0, 1)).select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where(~held_out("id"))
     agreed = one.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(~held_out("id"))
-    return texts.join(agreed, "id").select("text", "label", F.xxhash64(F.col("id").cast("string"), F.lit(11)).alias("rank"))
+    # Of labels and texts neither is of a bounded size, so both are sorted by id, for any input.
+    return texts.join(agreed.hint("merge"), "id").select("text", "label", F.xxhash64(F.col("id").cast("string"), F.lit(11)).alias("rank"))
 
 
 def class_counts(rows: DataFrame, ends: dict[int, int], buckets: int) -> DataFrame:
