@@ -1,7 +1,7 @@
 """Labels from evidence and trusted context: the rubric as columns.
 
-Two forms of context are supported. In the table form changes and incidents are tables joined by
-first-match segments; in the nested form they are arrays on the case row and no join is needed.
+Two forms of context are supported. In the table form changes and incidents are tables, looked up in
+an index of their intervals; in the nested form they are arrays on the case row and no join is needed.
 Event text plays no part in either.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fv
 from alertloom.functions.stats import ordinal_rank
-from alertloom.operators.stabbing import first_match_segments, stab
+from alertloom.operators.stabbing import Index, interval_index, stab
 
 
 def _lookup(mapping: Mapping, key: Column) -> Column:
@@ -33,51 +33,59 @@ def urgency_rank(col: Column) -> Column:
 
 
 # ------------------------------------------------------------------ context, table form
-def match_changes(cases: DataFrame, changes: DataFrame) -> DataFrame:
-    """Add `change_id`: the first approved change with this host and signal whose window holds the event
-    (both ends inclusive) and whose bound is at least the assessed impact."""
+def change_index(changes: DataFrame) -> Index:
+    """Approved changes by host, signal and every impact up to their bound."""
     approved = changes.where(F.col("status") == "approved").select(
         "host",
         "signal",
         F.explode(F.sequence(F.lit(1), impact_rank(F.col("max_impact")).cast("int"))).alias("impact_rank"),
         "start_ts", "end_ts", "change_order", "change_id",
     )
-    keys = ["host", "signal", "impact_rank"]
-    segments = first_match_segments(approved, keys, "start_ts", "end_ts", "change_order", "change_id").drop("change_order")
-    ranked = cases.withColumn("impact_rank", impact_rank(F.col("impact")).cast("int"))
-    return stab(ranked, "ts", segments, keys).drop("impact_rank")
+    return interval_index(approved, ["host", "signal", "impact_rank"], "start_ts", "end_ts", "change_order", "change_id")
+
+
+def match_changes(cases: DataFrame, changes: DataFrame | Index) -> DataFrame:
+    """Add `change_id`: the first approved change with this host and signal whose window holds the event
+    (both ends inclusive) and whose bound is at least the assessed impact."""
+    index = changes if isinstance(changes, Index) else change_index(changes)
+    keys = {"host": F.col("host"), "signal": F.col("signal"), "impact_rank": impact_rank(F.col("impact")).cast("int")}
+    return stab(cases, "ts", index, keys, "_change").withColumn("change_id", F.col("_change.w")).drop("_change")
 
 
 _INCIDENT_FIELDS = ("incident_id", "event_type", "failure_mode", "impact", "urgency", "priority")
+#: Stands for any failure mode in the index of incidents.
+ANY_MODE = "any"
+ONE_MODE = "one"
+
 
+def incident_index(incidents: DataFrame) -> Index:
+    """Open incidents by entity, each under its failure mode and under any."""
+    packed = incidents.where(F.col("status") == "open").withColumn("incident", F.struct(*_INCIDENT_FIELDS))
+    kinds = F.explode(F.array(F.struct(F.lit(ONE_MODE).alias("kind"), F.col("failure_mode").alias("mode")), F.struct(F.lit(ANY_MODE).alias("kind"), F.lit("").alias("mode"))))
+    both = packed.withColumn("under", kinds).select("entity", "under.kind", "under.mode", "start_ts", "end_ts", "incident_order", "incident")
+    return interval_index(both, ["entity", "kind", "mode"], "start_ts", "end_ts", "incident_order", "incident")
 
-def match_incidents(cases: DataFrame, incidents: DataFrame, entity_columns: Sequence[str] = ("host", "service")) -> DataFrame:
+
+def match_incidents(cases: DataFrame, incidents: DataFrame | Index, entity_columns: Sequence[str] = ("host", "service")) -> DataFrame:
     """Add `incident`: the open incident on this host or service, same failure mode first, else the first.
 
-    Each lookup meets at most one segment per event, by host and by service, with and without the
+    Each lookup meets at most one row of the index per event, by host and by service, with and without the
     failure mode. Name only the entity columns the cases have: each one is two lookups.
     """
-    packed = incidents.where(F.col("status") == "open").withColumn("incident", F.struct(*_INCIDENT_FIELDS))
-    by_mode = first_match_segments(packed, ["entity", "failure_mode"], "start_ts", "end_ts", "incident_order", "incident")
-    any_mode = first_match_segments(packed, ["entity"], "start_ts", "end_ts", "incident_order", "incident")
+    index = incidents if isinstance(incidents, Index) else incident_index(incidents)
     out = cases
-    picks = []
+    picks: dict[str, list[str]] = {ONE_MODE: [], ANY_MODE: []}
     for column in entity_columns:
-        for label, segs, keys in (("mode", by_mode, ("entity", "failure_mode")), ("any", any_mode, ("entity",))):
-            name = f"_{column}_{label}"
-            renamed = segs.withColumn(name, F.struct(F.col("incident_order"), F.col("incident"))).drop("incident_order", "incident")
-            keyed = out.withColumn("entity", F.col(column))
-            if label == "mode":
-                keyed = keyed.withColumn("failure_mode", F.col("signal"))
-            out = stab(keyed, "ts", renamed, keys).drop("entity", "failure_mode")
-            picks.append(name)
-    mode = reduce(_earlier, [F.col(p) for p in picks if p.endswith("_mode")])
-    other = reduce(_earlier, [F.col(p) for p in picks if p.endswith("_any")])
-    return out.withColumn("incident", F.coalesce(mode, other)["incident"]).drop(*picks)
+        for kind, mode in ((ONE_MODE, F.col("signal")), (ANY_MODE, F.lit(""))):
+            name = f"_{column}_{kind}"
+            out = stab(out, "ts", index, {"entity": F.col(column), "kind": F.lit(kind), "mode": mode}, name)
+            picks[kind].append(name)
+    first = {kind: reduce(_earlier, [F.col(n) for n in names]) for kind, names in picks.items()}
+    return out.withColumn("incident", F.coalesce(first[ONE_MODE], first[ANY_MODE])["w"]).drop(*picks[ONE_MODE], *picks[ANY_MODE])
 
 
 def _earlier(a: Column, b: Column) -> Column:
-    return F.when(a.isNull(), b).when(b.isNull() | (a["incident_order"] <= b["incident_order"]), a).otherwise(b)
+    return F.when(a.isNull(), b).when(b.isNull() | (a["o"] <= b["o"]), a).otherwise(b)
 
 
 # ------------------------------------------------------------------ context, nested form
@@ -266,6 +274,6 @@ def decide(df: DataFrame) -> DataFrame:
                     "priority", "page_now", "page_target", "response")
 
 
-def label_tables(cases: DataFrame, changes: DataFrame, incidents: DataFrame, entity_columns: Sequence[str] = ("host", "service")) -> DataFrame:
-    """Label cases against change and incident tables."""
+def label_tables(cases: DataFrame, changes: DataFrame | Index, incidents: DataFrame | Index, entity_columns: Sequence[str] = ("host", "service")) -> DataFrame:
+    """Label cases, a table or a stream, against change and incident tables or the indexes of them."""
     return decide(match_incidents(match_changes(cases, changes), incidents, entity_columns))

@@ -1,96 +1,133 @@
 """First matching interval per point, without pairing every point with every interval.
 
-Many intervals on one key may cover the same instant, and one key may hold a large part of both
-sides, so joining points to all covering intervals is quadratic on that key. Intervals are first
-reduced to disjoint segments that each name the interval of lowest order; a point then meets exactly
-one segment.
-
-The reduction is a minimum over dyadic blocks of time: each interval is the union of a few aligned
-blocks, a block keeps the least order of the intervals that use it (a mergeable minimum), and the
-winner at an instant is the least over the blocks that contain it. No group is ever collected.
+Many intervals on one key may cover the same instant, some for decades, and one key may hold a large part of both sides. So
+intervals are first turned into an index that a point meets in one row:
+
+* An interval is the union of a few aligned blocks of time, of all sizes (a block of level n lasts 2^n microseconds). A block
+  keeps the least order of the intervals that use it, a mergeable minimum, and the winner at an instant is the least over
+  the blocks that contain it. A window that stays open to the end of the century costs tens of rows.
+* Time is cut, key by key, into cells of at most LIMIT starts and ends of intervals: a cell with more is cut into so many parts
+  that few are left in each, and those with too many again. A key's cells are as many as its intervals ask for, however long
+  these are, and however many of them fall on one host or into one minute.
+* A cell's row holds the instants at which its winner changes, the first of them its start.
+
+A point finds its cell by its key and its time, one equi-join for the first cells and one for each time they were cut, and
+looks up the last instant that is not after it. Adaptive execution may split these joins where a key is hot, and Spark
+broadcasts an index only if its own size check allows. The index does not depend on the points, so these may be a stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = 33
-BUCKET = 2 ** (LEVELS - 1)  # microseconds, about 72 minutes: an interval over a whole bucket is one block
+from alertloom.session import cut_lineage, release
+
+#: Level of the first cells: 2^48 microseconds, about nine years.
+FIRST_LEVEL = 48
+#: Most instants of change in a cell, how many a cut aims at, and levels that one cut may go down.
+LIMIT = 64
+AIM = 16
+STEP = 12
+MAX_LEVEL = 62
+
+
+@dataclass
+class Index:
+    """`cuts` says into which level a cell is cut, one table for each depth; `cells` has the winners of those not cut."""
+
+    keys: list[str]
+    cuts: list[DataFrame]
+    cells: DataFrame
+
+
+def _block(at: str, level: str) -> Column:
+    return F.expr(f"shiftright({at}, {level})")
 
 
-def _clip_to_buckets(intervals: DataFrame) -> DataFrame:
-    """One row per bucket an interval touches, with offsets [lo, hi) inside the bucket."""
-    first, last = F.floor(F.col("s") / BUCKET), F.floor(F.col("e") / BUCKET)
-    opened = intervals.withColumn("bucket", F.explode(F.sequence(first, last)))
-    start = F.col("bucket") * BUCKET
-    return opened.withColumn("lo", F.greatest(F.col("s") - start, F.lit(0)).cast("bigint")).withColumn(
-        "hi", (F.least(F.col("e") - start, F.lit(BUCKET - 1)) + 1).cast("bigint")
-    )
+def _blocks(ready: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lvl, blk, win): the least order per aligned block, each interval [s, e) being the union of its blocks."""
+    levels = F.least(F.floor(F.log2(F.col("e") - F.col("s"))).cast("int"), F.lit(MAX_LEVEL))
+    opened = ready.withColumn("lvl", F.explode(F.sequence(F.lit(0), levels)))
+    bounded = opened.withColumn("l", F.expr("-shiftright(-s, lvl)")).withColumn("r", _block("e", "lvl")).where("l < r")
+    odd = F.expr("filter(array(if((l & 1) = 1, l, null), if((r & 1) = 1, r - 1, null)), x -> x is not null)")
+    return bounded.withColumn("blk", F.explode(odd)).groupBy(*keys, "lvl", "blk").agg(F.min("win").alias("win"))
 
 
-def first_match_segments(
-    intervals: DataFrame, keys: Sequence[str], start: str, end: str, order: str, payload: str
-) -> DataFrame:
-    """Disjoint segments (keys..., bucket, seg_lo, seg_hi, payload, order), end inclusive on input.
+def _cut_cells(edges: DataFrame, spans: DataFrame, keys: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """The cuts, depth by depth, and all cells (keys, lvl, blk) that are not cut, over the span of each key."""
+    cell = [*keys, "lvl", "blk"]
+    here = spans.withColumn("lvl", F.lit(FIRST_LEVEL)).withColumn("blk", F.explode(F.sequence(_block("first", "lvl"), _block("last", "lvl")))).select(*cell)
+    placed = edges.withColumn("lvl", F.lit(FIRST_LEVEL)).withColumn("blk", _block("at", "lvl"))
+    cuts: list[DataFrame] = []
+    whole = None
+    while True:
+        down = F.least(F.lit(STEP), F.ceil(F.log2(F.col("n") / AIM)).cast("int"))
+        full = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT)
+        cut = cut_lineage(full.select(*cell, F.greatest(F.lit(0), F.col("lvl") - down).alias("into")))
+        kept = here.join(cut, cell, "left_anti")
+        whole = kept if whole is None else whole.unionByName(kept)
+        if cut.isEmpty():
+            return cuts, whole
+        cuts.append(cut)
+        parts = F.explode(F.expr("sequence(shiftleft(blk, lvl - into), shiftleft(blk + 1, lvl - into) - 1)"))
+        here = cut.withColumn("part", parts).select(*keys, F.col("into").alias("lvl"), F.col("part").alias("blk"))
+        placed = placed.join(cut, cell).select(*keys, "at", F.col("into").alias("lvl"), _block("at", "into").alias("blk"))
 
-    `order` must be unique within a key: it decides which interval is first.
+
+def interval_index(intervals: DataFrame, keys: Sequence[str], start: str, end: str, order: str, payload: str) -> Index:
+    """Index of the intervals [start, end], both ends inclusive, by `keys`.
+
+    `order` must be unique within a key: the interval of least order that holds a point is its match. Intervals with a null
+    key, start or end, or that end before they start, hold nothing. The index is written to the shared folder.
     """
     keys = list(keys)
-    ready = intervals.select(
-        *keys,
-        F.unix_micros(start).alias("s"),
-        F.unix_micros(end).alias("e"),
-        F.struct(F.col(order).alias("o"), F.col(payload).alias("w")).alias("win"),
-    ).where("s <= e")
-    parts = _clip_to_buckets(ready).select(*keys, "bucket", "lo", "hi", "win")
-    cell = [*keys, "bucket"]
-
-    # aligned blocks of [lo, hi): at level i the left edge is ceil(lo / 2^i), the right edge floor(hi / 2^i)
-    whole = (F.col("lo") == 0) & (F.col("hi") == BUCKET)
-    blocks = (
-        parts.withColumn("lvl", F.explode(F.when(whole, F.array(F.lit(LEVELS - 1))).otherwise(F.sequence(F.lit(0), F.lit(LEVELS - 1)))))
-        .withColumn("size", F.expr("shiftleft(1L, lvl)"))
-        .withColumn("l", F.expr("(lo + size - 1) div size"))
-        .withColumn("r", F.expr("hi div size"))
-        .where("l < r")
-        .withColumn("blk", F.explode(F.expr("filter(array(if(l % 2 = 1, l, null), if(r % 2 = 1, r - 1, null)), x -> x is not null)")))
-        .groupBy(*cell, "lvl", "blk")
-        .agg(F.min("win").alias("win"))
-    )
-    # the winner can only change where an interval starts or has just ended
-    edges = parts.select(*cell, F.explode(F.array("lo", "hi")).alias("at")).where(F.col("at") < BUCKET).distinct()
-    # only levels that hold a block in this bucket can answer; most buckets have one
-    levels = blocks.select(*cell, "lvl").groupBy(*cell).agg(F.collect_set("lvl").alias("lvls"))
-    looked = edges.join(levels, cell).withColumn("lvl", F.explode("lvls")).drop("lvls").withColumn("blk", F.expr("shiftright(at, lvl)"))
-    winners = looked.join(blocks, [*cell, "lvl", "blk"], "left").groupBy(*cell, "at").agg(F.min("win").alias("win"))
-    w = W.partitionBy(*cell).orderBy("at")
-    return (
-        winners.withColumn("seg_hi", F.lead("at", 1, BUCKET).over(w))
-        .where(F.col("win").isNotNull())
-        .select(*cell, F.col("at").alias("seg_lo"), "seg_hi", F.col("win.w").alias(payload), F.col("win.o").alias(order))
-    )
-
-
-def stab(points: DataFrame, at: str, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of points to their one segment.
-
-    An equi-join on (keys, time bucket) with the range inside the join condition, so no candidate pair
-    is emitted. Spark broadcasts the segments when its size check allows; otherwise the shuffled join
-    is one whose left side adaptive execution may split when a key is hot.
+    micros = intervals.select(*keys, F.unix_micros(start).alias("s"), (F.unix_micros(end) + 1).alias("e"), F.struct(F.col(order).alias("o"), F.col(payload).alias("w")).alias("win"))
+    ready = cut_lineage(micros.where("s < e").na.drop(subset=keys))
+    edges = cut_lineage(ready.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct())
+    spans = ready.groupBy(*keys).agg(F.min("s").alias("first"), (F.max("e") - 1).alias("last"))
+    cuts, cells = _cut_cells(edges, spans, keys)
+    blocks = cut_lineage(_blocks(ready, keys))
+    used = blocks.groupBy(*keys).agg(F.collect_set("lvl").alias("levels"))  # at most 63
+    inside = edges.withColumn("_t", F.col("at"))
+    inside = _descend(inside, cuts, {k: F.col(k) for k in keys}).select(*keys, F.col("_lvl").alias("lvl"), F.col("_blk").alias("blk"), "at")
+    marks = inside.unionByName(cells.withColumn("at", F.expr("shiftleft(blk, lvl)"))).distinct()
+    looked = marks.join(used, keys).withColumn("level", F.explode("levels")).withColumn("block", _block("at", "level"))
+    of = blocks.select(*keys, F.col("lvl").alias("level"), F.col("blk").alias("block"), "win")
+    won = looked.join(of, [*keys, "level", "block"], "left").groupBy(*keys, "lvl", "blk", "at").agg(F.min("win").alias("win"))
+    packed = won.groupBy(*keys, "lvl", "blk").agg(F.sort_array(F.collect_list(F.struct("at", "win"))).alias("marks"))  # LIMIT + 1 at most
+    index = Index(keys, cuts, cut_lineage(packed.where(F.exists("marks", lambda m: m["win"].isNotNull()))))
+    release(ready, edges, blocks)
+    return index
+
+
+def _descend(points: DataFrame, cuts: Sequence[DataFrame], keys: Mapping[str, Column]) -> DataFrame:
+    """Add `_lvl` and `_blk`, the cell of time `_t`."""
+    out = points.withColumn("_lvl", F.lit(FIRST_LEVEL)).withColumn("_blk", _block("_t", "_lvl"))
+    for cut in cuts:
+        named = cut.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("lvl").alias("_cl"), F.col("blk").alias("_cb"), F.col("into").alias("_into"))
+        cond = (F.col("_lvl") == F.col("_cl")) & (F.col("_blk") == F.col("_cb"))
+        for k, column in keys.items():
+            cond = cond & (column == F.col(f"_k_{k}"))
+        out = out.join(named, cond, "left").withColumn("_lvl", F.coalesce("_into", "_lvl")).withColumn("_blk", _block("_t", "_lvl"))
+        out = out.drop("_into", "_cl", "_cb", *[f"_k_{k}" for k in keys])
+    return out
+
+
+def stab(points: DataFrame, at: str, index: Index, keys: Mapping[str, Column] | None = None, name: str = "win") -> DataFrame:
+    """Add `name`, struct (o, w): order and payload of the first interval that holds the point, or null.
+
+    `keys` gives for each key of the index the column of the points to compare, by default the one of the same name.
     """
-    keys = list(keys)
-    micros = F.unix_micros(at)
-    left = points.withColumn("_b", F.floor(micros / BUCKET)).withColumn("_o", micros - F.floor(micros / BUCKET) * BUCKET)
-    right = segments.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("bucket").alias("_rb"), "seg_lo", "seg_hi",
-        *[c for c in segments.columns if c not in (*keys, "bucket", "seg_lo", "seg_hi")],
-    )
-    cond = (F.col("_b") == F.col("_rb")) & (F.col("_o") >= F.col("seg_lo")) & (F.col("_o") < F.col("seg_hi"))
-    for k in keys:
-        cond = cond & (left[k] == F.col(f"_k_{k}"))
-    return left.join(right, cond, "left").drop("_b", "_o", "_rb", "seg_lo", "seg_hi", *[f"_k_{k}" for k in keys])
+    keys = dict(keys or {k: F.col(k) for k in index.keys})
+    found = _descend(points.withColumn("_t", F.unix_micros(at)), index.cuts, keys)
+    cells = index.cells.select(*[F.col(k).alias(f"_k_{k}") for k in index.keys], F.col("lvl").alias("_cl"), F.col("blk").alias("_cb"), "marks")
+    cond = (F.col("_lvl") == F.col("_cl")) & (F.col("_blk") == F.col("_cb"))
+    for k, column in keys.items():
+        cond = cond & (column == F.col(f"_k_{k}"))
+    joined = found.join(cells, cond, "left")
+    last = F.try_element_at(F.filter("marks", lambda m: m["at"] <= F.col("_t")), F.lit(-1))
+    return joined.withColumn(name, last["win"]).drop("_t", "_lvl", "_blk", "_cl", "_cb", "marks", *[f"_k_{k}" for k in index.keys])

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 
 from alertloom.operators import rubric as rb
-from alertloom.operators.stabbing import first_match_segments, stab
+from alertloom.operators import stabbing
+from alertloom.operators.stabbing import interval_index, stab
 
 CASE = (
     "case_id string, event struct<format:string,ts:timestamp,host:string,service:string,signal:string>, "
@@ -86,23 +87,37 @@ def test_contract_errors(spark, kwargs, error):
     assert r.label is None and error in r.error
 
 
-def test_first_match_segments_against_brute_force(spark):
-    """A hot key with many overlapping windows, points on and around their ends."""
+@pytest.mark.parametrize("limit,aim,step", [(64, 16, 12), (4, 1, 3)])
+def test_interval_index_against_brute_force(spark, monkeypatch, limit, aim, step):
+    """A hot key with many overlapping windows, some open for decades, others empty; points on and around their ends."""
     import random
 
+    for name, value in (("LIMIT", limit), ("AIM", aim), ("STEP", step)):
+        monkeypatch.setattr(stabbing, name, value)
     rng = random.Random(3)
     start = dt.datetime(2024, 1, 1)
     ivs = []
-    for i in range(300):
+    for i in range(150):
         a = start + dt.timedelta(minutes=rng.randrange(0, 600), microseconds=rng.choice([0, 1, 999_999]))
         ivs.append(("hot" if i % 3 else f"k{i % 5}", a, a + dt.timedelta(minutes=rng.randrange(0, 400)), i, f"w{i}"))
-    pts = []
-    for i in range(400):
-        edge = rng.choice(ivs)[rng.choice([1, 2])]
-        pts.append((i, rng.choice(["hot", "k0", "k3"]), rng.choice([edge, edge + dt.timedelta(microseconds=1), edge - dt.timedelta(microseconds=1)])))
-    segs = first_match_segments(spark.createDataFrame(ivs, "k string, s timestamp, e timestamp, o long, w string"), ["k"], "s", "e", "o", "w")
-    got = {r.i: r.w for r in stab(spark.createDataFrame(pts, "i long, k string, ts timestamp"), "ts", segs, ["k"]).collect()}
-    assert len(got) == 400
+    ivs += [("hot", start + dt.timedelta(minutes=300, microseconds=i), start + dt.timedelta(minutes=300, microseconds=i + 3), -200 + i, f"burst{i}") for i in range(60)]
+    ivs += [("hot", start + dt.timedelta(minutes=590), dt.datetime(2099, 1, 1), 900, "long"), ("k0", dt.datetime(1950, 3, 1), dt.datetime(1999, 1, 1), 901, "old"), ("k3", start, start, 902, "instant"), ("k3", start, start - dt.timedelta(days=1), 903, "never"), (None, start, dt.datetime(2099, 1, 1), 904, "no key"), ("k3", None, start, 905, "no start")]
+    pts = [(1000 + i, "hot", start + dt.timedelta(minutes=300, microseconds=i)) for i in range(-2, 66)]
+    for i in range(300):
+        edge = rng.choice([v for v in ivs if v[1]])[rng.choice([1, 2])]
+        pts.append((i, rng.choice(["hot", "k0", "k3", "unknown", None]), rng.choice([edge, edge + dt.timedelta(microseconds=1), edge - dt.timedelta(microseconds=1), edge + dt.timedelta(days=4000), None])))
+    index = interval_index(spark.createDataFrame(ivs, "k string, s timestamp, e timestamp, o long, w string"), ["k"], "s", "e", "o", "w")
+    assert index.cells.selectExpr("max(size(marks))").first()[0] <= limit + 1
+    got = {r.i: r.win.w if r.win else None for r in stab(spark.createDataFrame(pts, "i long, k string, ts timestamp"), "ts", index).collect()}
+    assert len(got) == 368
     for i, k, ts in pts:
-        hits = [(o, w) for kk, s, e, o, w in ivs if kk == k and s <= ts <= e]
-        assert got[i] == (min(hits)[1] if hits else None)
+        hits = [(o, w) for kk, s, e, o, w in ivs if k is not None and ts is not None and kk == k and s is not None and s <= ts <= e]
+        assert got[i] == (min(hits)[1] if hits else None), (i, k, ts)
+
+
+def test_long_intervals_cost_tens_of_rows(spark):
+    n = 200
+    df = spark.range(n).selectExpr("'h' AS k", "timestamp_micros(1700000000000000 + id * 7000003) AS s", "timestamp'2099-01-01 00:00:00' AS e", "id AS o", "cast(id AS string) AS w")
+    index = interval_index(df, ["k"], "s", "e", "o", "w")
+    assert sum(c.count() for c in index.cuts) + index.cells.count() < 2 * n + 30
+    assert stabbing._blocks(df.selectExpr("k", "unix_micros(s) AS s", "unix_micros(e) + 1 AS e", "struct(o, w) AS win"), ["k"]).count() < 110 * n
