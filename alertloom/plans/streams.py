@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alertloom import fixtures as fx
 from alertloom.operators import rubric as rb
 from alertloom.plans.labeling import _LABEL, flat_label
-from alertloom.session import work_path
+from alertloom.session import cut_lineage, work_path
 from alertloom.streaming import operators as so
 from alertloom.streaming import runner as rn
 
@@ -25,10 +25,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# the watermark after the whole stream: the last event, at millisecond grain, less the delay
-_MARK = "(SELECT epoch_ms(max(ts)) - 3600000 FROM events)"
-
-
 def _host_signal(ev):
     return ev.select(F.col("event_id").alias("case_id"), "ts", F.col("user_id").cast("string").alias("host"), F.col("event_type").alias("signal"))
 
@@ -66,48 +62,55 @@ def t2_alert_burden_batch(spark, sf_dir):
 
 @query(
     "t3_storm_sessions",
-    f"""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS host, event_type AS signal, epoch_us(ts) AS us,
+    """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS host, event_type AS signal, epoch_us(ts) AS us,
     CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 7200000000 THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY host, signal ORDER BY us) AS sid FROM o)
-SELECT host, signal, min(us) AS first_us, count(*) AS size, max(us) - min(us) AS duration_us FROM s GROUP BY host, signal, sid HAVING max(us) + 7200000000 <= {_MARK} * 1000""",
+SELECT host, signal, min(us) AS first_us, count(*) AS size, max(us) - min(us) AS duration_us FROM s GROUP BY host, signal, sid""",
 )
 def t3_storm_sessions(spark, sf_dir):
-    return rn.run_append(so.storm_sessions(_host_signal(rn.read_event_stream(spark, sf_dir))), "storms")
+    return rn.run_append(so.storm_sessions(_host_signal(rn.read_event_stream(spark, sf_dir))), "storms", so.open_storms)
 
 
 @query(
     "t4_sliding_rate",
-    f"""WITH w AS (SELECT CAST(user_id AS VARCHAR) AS host, (epoch_us(ts) // 600000000 - k) * 600 AS window_start FROM events, range(6) r(k))
-SELECT host, window_start, count(*) AS n FROM w GROUP BY ALL HAVING (window_start + 3600) * 1000 <= {_MARK}""",
+    """WITH w AS (SELECT CAST(user_id AS VARCHAR) AS host, (epoch_us(ts) // 600000000 - k) * 600 AS window_start FROM events, range(6) r(k))
+SELECT host, window_start, count(*) AS n FROM w GROUP BY ALL""",
 )
 def t4_sliding_rate(spark, sf_dir):
-    return rn.run_append(so.sliding_rate(_host_signal(rn.read_event_stream(spark, sf_dir))), "rates")
+    return rn.run_append(so.sliding_rate(_host_signal(rn.read_event_stream(spark, sf_dir))), "rates", so.open_rates)
+
+
+def _graded(ev):
+    shaped = fx.shape_evidence(ev)
+    ranks = rb.impact_rank(F.col("impact")).cast("int").alias("impact_rank"), rb.urgency_rank(F.col("urgency")).cast("int").alias("urgency_rank")
+    return shaped.select(F.col("case_id"), "ts", "host", "signal", *ranks)
 
 
 @query(
     "t5_repeat_attach",
-    fx.sql_with("evidence").replace("WITH ", "WITH RECURSIVE ", 1) + f""", m AS (SELECT host, signal, epoch_us(ts) // 60000000 * 60 AS minute,
-    list_position(['none', 'low', 'moderate', 'high'], impact)::INT AS impact_rank, list_position(['none', 'deferred', 'same_day', 'immediate'], urgency)::INT AS urgency_rank, count(*) AS n FROM evidence
-  GROUP BY ALL HAVING (minute + 60) * 1000 <= {_MARK}),
-k0 AS (SELECT host, signal, minute, max(impact_rank) AS mi, max(urgency_rank) AS mu FROM m GROUP BY host, signal, minute),
+    fx.sql_with("evidence").replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT case_id, ts, host, signal, epoch_us(ts) // 60000000 * 60 AS minute,
+    list_position(['none', 'low', 'moderate', 'high'], impact)::INT AS impact_rank, list_position(['none', 'deferred', 'same_day', 'immediate'], urgency)::INT AS urgency_rank FROM evidence),
+k0 AS (SELECT host, signal, minute, arg_min((case_id, impact_rank, urgency_rank), (ts, case_id)) AS first FROM e GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY host, signal ORDER BY minute) AS r FROM k0),
-chain AS (SELECT host, signal, minute, r, minute AS opened, mi, mu FROM k WHERE r = 1
+chain AS (SELECT host, signal, minute, r, minute AS opened, first FROM k WHERE r = 1
   UNION ALL SELECT k.host, k.signal, k.minute, k.r, CASE WHEN k.minute > c.opened + 172800 THEN k.minute ELSE c.opened END,
-    CASE WHEN k.minute > c.opened + 172800 THEN k.mi ELSE c.mi END, CASE WHEN k.minute > c.opened + 172800 THEN k.mu ELSE c.mu END
+    CASE WHEN k.minute > c.opened + 172800 THEN k.first ELSE c.first END
   FROM chain c JOIN k ON k.host = c.host AND k.signal = c.signal AND k.r = c.r + 1)
-SELECT m.host, m.signal, m.minute, m.impact_rank, m.urgency_rank, m.n,
-  CASE WHEN c.opened = m.minute THEN 'opened' WHEN m.impact_rank <= c.mi AND m.urgency_rank <= c.mu THEN 'attached' ELSE 'reassessed' END AS decision
-FROM m JOIN chain c USING (host, signal, minute)""",
+SELECT e.case_id, host, signal, first[1] AS opened_by,
+  CASE WHEN first[1] = e.case_id THEN 'opened' WHEN impact_rank <= first[2] AND urgency_rank <= first[3] THEN 'attached' ELSE 'reassessed' END AS decision
+FROM e JOIN chain USING (host, signal, minute)""",
 )
 def t5_repeat_attach(spark, sf_dir):
-    """Two streams in a row: minute summaries, then the stateful step over the summaries."""
-    ev = fx.shape_evidence(rn.read_event_stream(spark, sf_dir)).select(
-        "ts", "host", "signal", rb.impact_rank(F.col("impact")).cast("int").alias("impact_rank"), rb.urgency_rank(F.col("urgency")).cast("int").alias("urgency_rank")
-    )
-    out = work_path(spark, "minutes")
-    q = so.minute_summaries(ev).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "minutes-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rn.run_append(so.attach_repeats(spark.readStream.schema(so.SUMMARY).parquet(out)), "repeats")
+    """Three steps: the first event of each minute, the chain of incidents they open, and a decision for every event."""
+    ev = _graded(rn.read_event_stream(spark, sf_dir))
+    heads = cut_lineage(rn.run_append(so.minute_heads(ev), "heads", so.open_heads))
+    end = spark.range(1).select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("signal"), F.lit(so.END).cast("timestamp").alias("minute"))
+    # The closing run: a last row, of no host, after which every minute is past and every incident over.
+    path = work_path(spark, "minutes")
+    heads.unionByName(end, allowMissingColumns=True).write.parquet(path)
+    with rn.stores_on_disk(spark):
+        incidents = rn.run_append(so.incident_chain(spark.readStream.schema(so.HEAD).parquet(path)), "incidents")
+    return so.attach_repeats(_graded(fx.events(spark, sf_dir)), incidents).select("case_id", "host", "signal", "opened_by", "decision")
 
 
 @query("t6_dedup", "SELECT event_id AS case_id, event_type AS signal FROM events")

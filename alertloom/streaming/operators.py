@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from alertloom.operators.stabbing import interval_index, stab
 
 DELAY = "1 hour"
 
@@ -42,8 +45,17 @@ def storm_sessions(events: DataFrame, gap: str = "2 hours", delay: str = DELAY)
     s = events.withWatermark("ts", delay).groupBy("host", "signal", F.session_window("ts", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("size"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
-    micros = F.unix_micros("last") - F.unix_micros("first")
-    return s.select("host", "signal", F.unix_micros("first").alias("first_us"), "size", micros.alias("duration_us"))
+    return _storms(s)
+
+
+def _storms(sessions: DataFrame) -> DataFrame:
+    took = F.unix_micros("last") - F.unix_micros("first")
+    return sessions.select("host", "signal", F.unix_micros("first").alias("first_us"), "size", took.alias("duration_us"))
+
+
+def open_storms(state: DataFrame) -> DataFrame:
+    """Bursts that were still open when the stream stopped, out of its stored state."""
+    return _storms(state.select("key.host", "key.signal", F.col("value.count").alias("size"), F.col("value.min").alias("first"), F.col("value.max").alias("last")))
 
 
 def sliding_rate(events: DataFrame, window: str = "1 hour", slide: str = "10 minutes", delay: str = DELAY) -> DataFrame:
@@ -52,6 +64,11 @@ def sliding_rate(events: DataFrame, window: str = "1 hour", slide: str = "10 min
     return g.select("host", F.unix_timestamp("w.start").alias("window_start"), "n")
 
 
+def open_rates(state: DataFrame) -> DataFrame:
+    """Windows that were still open when the stream stopped, out of its stored state."""
+    return state.select("key.host", F.unix_timestamp("key.window.start").alias("window_start"), F.col("value.count").alias("n"))
+
+
 def deduplicate(events: DataFrame, key: str = "case_id", delay: str = DELAY) -> DataFrame:
     """Drop repeats of an event id that arrive within the delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
@@ -59,42 +76,93 @@ def deduplicate(events: DataFrame, key: str = "case_id", delay: str = DELAY) ->
 
 # ------------------------------------------------------------------ repeats against open incidents
 INCIDENT_HOURS = 48
-SUMMARY = "host string, signal string, minute bigint, impact_rank int, urgency_rank int, n bigint"
-DECISION = SUMMARY + ", decision string"
-STATE = "opened bigint, impact_rank int, urgency_rank int"
+HEAD = "host string, signal string, minute timestamp, first struct<ts: timestamp, case_id: bigint, impact_rank: int, urgency_rank: int>"
+INCIDENT = "host string, signal string, opened timestamp, closes timestamp, case_id bigint, impact_rank int, urgency_rank int"
+#: Stands after all minutes of a stream that ends. Pandas counts nanoseconds, so its years end in 2262.
+END = "2260-01-01 00:00:00"
 
 
-def minute_summaries(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Events counted per (host, signal, minute, impact, urgency): the input of `attach_repeats`.
+def minute_heads(events: DataFrame, delay: str = DELAY) -> DataFrame:
+    """The first event of every (host, signal, minute), by time and id: all that decides which events open incidents.
 
-    The stateful step has to see one host and signal in order, in one task. It sees at most sixteen
-    rows a minute of it, however many events that minute held.
+    The minimum combines inside each map task, so a hot host sends one row a minute.
     """
-    g = events.withWatermark("ts", delay).groupBy(
-        "host", "signal", F.window("ts", "1 minute").alias("w"), "impact_rank", "urgency_rank"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("host", "signal", F.unix_timestamp("w.start").alias("minute"), "impact_rank", "urgency_rank", "n")
-
-
-def _attach(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["minute", "impact_rank", "urgency_rank"], ignore_index=True)
-    opened, impact, urgency = state.get if state.exists else (None, 0, 0)
-    decisions = []
-    for minute, part in rows.groupby("minute", sort=True):
-        if opened is None or minute > opened + INCIDENT_HOURS * 3600:
-            opened, impact, urgency = int(minute), int(part["impact_rank"].max()), int(part["urgency_rank"].max())
-            decisions += ["opened"] * len(part)
-        else:
-            fits = (part["impact_rank"] <= impact) & (part["urgency_rank"] <= urgency)
-            decisions += ["attached" if f else "reassessed" for f in fits]
-    state.update((opened, impact, urgency))
-    yield rows.assign(host=key[0], signal=key[1], decision=decisions)[["host", "signal", "minute", "impact_rank", "urgency_rank", "n", "decision"]]
-
-
-def attach_repeats(summaries: DataFrame) -> DataFrame:
-    """Minute summaries against the incident of their host and signal: opened, attached or reassessed.
-
-    An incident stays open for 48 hours from the minute that opened it, at that minute's worst levels;
-    a repeat that is not worse attaches, a worse one is reassessed on its own.
+    first = F.min(F.struct("ts", "case_id", "impact_rank", "urgency_rank"))
+    g = events.withWatermark("ts", delay).groupBy("host", "signal", F.window("ts", "1 minute").alias("w")).agg(first.alias("first"))
+    return g.select("host", "signal", F.col("w.start").alias("minute"), "first")
+
+
+def open_heads(state: DataFrame) -> DataFrame:
+    """Minutes that were still open when the stream stopped, out of its stored state."""
+    return state.select("key.host", "key.signal", F.col("key.window.start").alias("minute"), F.col("value.min").alias("first"))
+
+
+class IncidentChain(StatefulProcessor):
+    """Which minutes of a host and signal open an incident: the first, and the first after each incident has closed.
+
+    Minutes wait until the watermark has passed them, as they may arrive in any order. An incident stays in the state for
+    INCIDENT_HOURS from the minute that opened it; then its timer drops it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "minute bigint, case_id bigint, impact_rank int, urgency_rank int")
+        self.incident = handle.getValueState("incident", "opened bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            if key[0] is None:  # the end of the stream, no host
+                continue
+            minutes = micros(frame["minute"])
+            self.waiting.appendList([(int(m), int(f["case_id"]), int(f["impact_rank"]), int(f["urgency_rank"])) for m, f in zip(minutes, frame["first"], strict=True)])
+            self.handle.registerTimer(int(minutes.max()) // 1000)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        opened = self.incident.get()[0] if self.incident.exists() else None
+        if opened is not None and upto > opened + INCIDENT_MICROS:
+            self.incident.clear()
+            opened = None
+        held = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
+        out = []
+        for minute, case_id, impact, urgency in held:
+            if minute <= upto and (opened is None or minute > opened + INCIDENT_MICROS):
+                opened = minute
+                out.append((*key, minute, minute + INCIDENT_MICROS + MINUTE - 1, case_id, impact, urgency))
+        left = [row for row in held if row[0] > upto]
+        self.waiting.put(left) if left else self.waiting.clear()
+        if out:
+            self.incident.update((opened,))
+            self.handle.registerTimer((opened + INCIDENT_MICROS + MINUTE) // 1000)
+        frame = pd.DataFrame(out, columns=["host", "signal", "opened", "closes", "case_id", "impact_rank", "urgency_rank"])
+        yield frame.assign(opened=pd.to_datetime(frame["opened"], unit="us"), closes=pd.to_datetime(frame["closes"], unit="us"))
+
+    def close(self) -> None:
+        pass
+
+
+MINUTE = 60_000_000
+INCIDENT_MICROS = INCIDENT_HOURS * 3_600_000_000
+
+
+def micros(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(dtype="datetime64[us]").astype("int64")
+
+
+def incident_chain(heads: DataFrame) -> DataFrame:
+    """Incidents of a stream of minute heads: when each opened, the last instant it covers, and the event that opened it."""
+    ordered = heads.withWatermark("minute", "0 seconds").groupBy("host", "signal")
+    return ordered.transformWithStateInPandas(IncidentChain(), INCIDENT, "Append", "EventTime")
+
+
+def attach_repeats(events: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Add `opened_by` and `decision` to every event: it opened its incident, joined it, or is worse and was reassessed.
+
+    Incidents of a host and signal don't overlap, and each event lies in one of them. `events` is a table or a stream.
     """
-    return summaries.groupBy("host", "signal").applyInPandasWithState(_attach, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    by = incidents.withColumn("by", F.struct("case_id", "impact_rank", "urgency_rank")).withColumn("number", F.unix_micros("opened"))
+    found = stab(events, "ts", interval_index(by, ["host", "signal"], "opened", "closes", "number", "by"), name="_in")
+    fits = (F.col("impact_rank") <= F.col("_in.w.impact_rank")) & (F.col("urgency_rank") <= F.col("_in.w.urgency_rank"))
+    decision = F.when(F.col("case_id") == F.col("_in.w.case_id"), "opened").when(fits, "attached").otherwise("reassessed")
+    return found.withColumn("opened_by", F.col("_in.w.case_id")).withColumn("decision", decision).drop("_in")

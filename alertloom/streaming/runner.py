@@ -6,7 +6,8 @@ writes files, an updating one writes a row per key and batch, and the last batch
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,36 @@ def read_event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | N
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Write an append stream to files and read it back with its own schema."""
+def run_append(stream: DataFrame, label: str, open_rows: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Write an append stream to files and read it back with its own schema.
+
+    An append stream gives out a window only once the watermark has passed it. For a stream that has ended, `open_rows` makes
+    of the state the stopped query left in its checkpoint the rows it still owes.
+    """
     spark = stream.sparkSession
-    out = work_path(spark, label)
+    out, state = work_path(spark, label), work_path(spark, label + "-state")
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", work_path(spark, label + "-state")).trigger(availableNow=True).start()
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    closed = spark.read.schema(stream.schema).parquet(out)
+    if open_rows is None:
+        return closed
+    left = open_rows(spark.read.format("statestore").load(state))
+    return closed.unionByName(left.select(*[F.col(f.name).cast(f.dataType) for f in stream.schema]))
+
+
+@contextmanager
+def stores_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which user-defined state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def run_update(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
