@@ -30,7 +30,7 @@ TOP = 2000
 #: A candidate goes if a longer one that holds it has so many hundredths of its count.
 COVERED = 50
 #: Text bytes of a shard, paths of a range, paths sampled from each shard, and in all; there are at most half as many ranges.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 RANGE_PATHS = 1_000_000
 MARKS = 64
 SAMPLED = 1 << 20
@@ -68,6 +68,7 @@ def shards(docs: DataFrame, longest: int, lang_col: str, text_col: str) -> DataF
                 size += int(bytes_in)
         if texts:
             yield made(texts, langs)
+        tokens.give_back()
 
     return slim.mapInArrow(build, schema)
 
@@ -106,6 +107,7 @@ def phrase_counts(stored: DataFrame, bounds: list[tuple[str, list[bytes]]], leas
                 for first in range(0, len(rows), 64):
                     some = rows[first : first + 64]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([lang.as_py()] * len(some)), pa.array([automata.pack(automata.part(paths, a, b)) for _, a, b in some], pa.binary())], names=dealt.names)
+        tokens.give_back()
 
     counted = T.StructType().add("lang", "string").add("phrase", "string").add("size", "integer").add("f", "long")
 
@@ -121,6 +123,7 @@ def phrase_counts(stored: DataFrame, bounds: list[tuple[str, list[bytes]]], leas
         phrases, sizes, weights = automata.phrase_weights(automata.union(done + pending), least)
         names = pa.array([key[1].as_py()] * len(phrases), pa.string())
         yield pa.RecordBatch.from_arrays([names, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int64())], names=counted.names)
+        tokens.give_back()
 
     each = stored.select("lang", "packed").mapInArrow(cut, dealt).groupBy("range", "lang").applyInArrow(add, counted)
     return each.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)

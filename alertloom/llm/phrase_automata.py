@@ -87,9 +87,9 @@ def text_paths(texts: pa.Array, langs: list[str], order: int) -> dict[str, Paths
     if not len(at):
         return {}
     breaks[begins] = True  # texts are pieces of their own
-    piece = np.cumsum(breaks)[at]
-    before = np.append(0, np.cumsum(word))
-    buffers = [None, pa.py_buffer(np.append(before[at], before[-1]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[word]))]
+    piece = np.cumsum(breaks, dtype=np.int32)[at]
+    upto = np.cumsum(word, dtype=np.int32)  # a text has less than 2^31 bytes
+    buffers = [None, pa.py_buffer(np.append(upto[at] - 1, upto[-1]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[word]))]
     words, number = in_byte_order(pa.Array.from_buffers(pa.large_binary(), len(at), buffers))
     number += 1
     grams = [number]
@@ -251,7 +251,6 @@ def phrase_weights(paths: Paths, least: int) -> tuple[list[bytes], list[int], li
     weights: list[int] = []
     if not len(paths):
         return phrases, sizes, weights
-    words = paths.words.to_pylist()
     changed = np.zeros(len(paths), dtype=bool)
     changed[0] = True
     for place, g in enumerate(paths.grams):
@@ -261,8 +260,9 @@ def phrase_weights(paths: Paths, least: int) -> tuple[list[bytes], list[int], li
         wanted = total >= least
         wanted[[0, -1]] = True
         wanted &= g[firsts] > 0
-        for row, weight in zip(firsts[wanted].tolist(), total[wanted].tolist(), strict=True):
-            phrases.append(b" ".join(words[c[row] - 1] for c in paths.grams[: place + 1]))
-            sizes.append(place + 1)
-            weights.append(weight)
+        rows = firsts[wanted]
+        each = [paths.words.take(pa.array(c[rows] - 1)).to_pylist() for c in paths.grams[: place + 1]]
+        phrases += [b" ".join(words) for words in zip(*each, strict=True)]
+        sizes += [place + 1] * len(rows)
+        weights += total[wanted].tolist()
     return phrases, sizes, weights

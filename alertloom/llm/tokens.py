@@ -87,6 +87,11 @@ def encoder(path: str) -> PieceEncoder:
 def drop_encoders() -> None:
     """Give back the memory of this worker's encoders, in a stage that encodes nothing."""
     encoder.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free inside this worker; it may wait for its next task for long."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
