@@ -1,10 +1,13 @@
-"""Which texts contain which passages, as an equi-join on a rare shingle followed by an exact check."""
+"""Which texts contain which passages: by one automaton of all passages, or, for more than can be sent to the tasks, by an
+equi-join on a rare shingle followed by an exact check."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.operators import automaton
+
 WORD = r"[a-z0-9]+"
 SHINGLE = 3
 #: Characters in a run by which a short passage is found.
@@ -66,3 +69,13 @@ def passages_in_text(texts: DataFrame, text_id: str, text: str, passages: DataFr
         pieces = those.select(passage_id, F.explode(F.array_distinct(grams(F.col(passage)))).alias("piece"))
         out = out.unionByName(_checked(texts, text_id, text, those, passage_id, passage, _held(texts, text_id, grams(F.col(text)), pieces), pieces))
     return out
+
+
+def terms_in_text(texts: DataFrame, text_id: str, text: str, terms: DataFrame, term_id: str, term: str) -> DataFrame:
+    """(text_id, term_id) where the lowercased term is a substring of the lowercased text.
+
+    A list whose automata have a checked, bounded size is looked for in one pass over the texts, without a shuffle; a longer
+    one by `passages_in_text`.
+    """
+    found = automaton.scan(texts, text_id, text, terms, term_id, term) if automaton.fits(terms, term) else None
+    return passages_in_text(texts, text_id, text, terms, term_id, term) if found is None else found

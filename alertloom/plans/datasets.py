@@ -297,7 +297,7 @@ def a26_tallies(spark, sf_dir):
 def j10_passages_in_text(spark, sf_dir):
     texts = fx.texts(spark, sf_dir, "documents").select("doc_id", "text")
     passages = fx.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return tm.passages_in_text(texts, "doc_id", "text", passages, "item_id", "passage")
+    return tm.terms_in_text(texts, "doc_id", "text", passages, "item_id", "passage")
 
 
 @query(
@@ -310,5 +310,5 @@ def j10_short_passages(spark, sf_dir):
     texts = fx.texts(spark, sf_dir, "documents").select("doc_id", "text")
     two = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
     terms = fx.table(spark, sf_dir, "benchmark").select(two.alias("term")).distinct().where(F.length("term") > 1)
-    found = tm.passages_in_text(texts, "doc_id", "text", terms.select("term", F.col("term").alias("passage")), "term", "passage")
+    found = tm.terms_in_text(texts, "doc_id", "text", terms.select("term", F.col("term").alias("passage")), "term", "passage")
     return found.select("doc_id", "term")

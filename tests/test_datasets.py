@@ -6,16 +6,18 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from alertloom.operators import automaton
 from alertloom.operators import components as cc
 from alertloom.operators import lexical as lx
 from alertloom.operators import lint
 from alertloom.operators import splits as sp
 from alertloom.operators.ranking import hashed_position
-from alertloom.operators.textmatch import passages_in_text
+from alertloom.operators.textmatch import passages_in_text, terms_in_text
 from alertloom.sources import fingerprint as fp
 from alertloom.sources import readers as rd
 from alertloom.sources import writers as wr
@@ -127,6 +129,36 @@ def test_passages_against_brute_force(spark):
     assert got == {(d, p) for d, t in texts for p, q in passages if q.lower() in t.lower()} and got
 
 
+def test_automaton_against_brute_force(monkeypatch):
+    monkeypatch.setattr(automaton, "LANE", 5)
+    rng = random.Random(9)
+    for letters in ("ab", "abcdé", "".join(map(chr, range(1, 300)))):
+        draw = lambda n, letters=letters: "".join(rng.choices(letters, k=n)).encode()
+        terms = list({draw(rng.randrange(1, 9)) for _ in range(60)})
+        texts = [draw(rng.choice([0, 1, 7, 40, 400])) for _ in range(50)] + [b"".join(terms)]
+        offsets = np.cumsum([0, *map(len, texts)])
+        got = automaton.Automaton(terms).run(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        assert set(zip(*(g.tolist() for g in got), strict=True)) == {(i, k) for i, t in enumerate(texts) for k, x in enumerate(terms) if x in t}
+        ranges = automaton.cut_terms(terms, 400)
+        assert sorted(k for r in ranges for k in r) == list(range(len(terms))) and len(ranges) > 1
+
+
+def test_terms_against_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choices(["Ab", "bca", " ", "abcd", "d e", "é.x", "\n", "Ü"], k=rng.choice([0, 3, 30, 900])))) for i in range(60)] + [(3, "ab twice"), (98, ""), (99, None), (None, "ab")]
+    terms = [(0, "ab bc"), (1, "A"), (2, "ca"), (3, "é.X"), (4, "not here"), (5, ""), (6, "\n"), (7, None), (8, "bca"), (9, "BCA"), (None, "abcd"), (10, "ü" * 3)]
+    t, p = spark.createDataFrame(texts, "d long, t string"), spark.createDataFrame(terms, "p long, q string")
+    want = sorted((str(d), str(k)) for d, x in texts for k, q in terms if x and q and q.lower() in x.lower())
+    rows = lambda: sorted((str(r.d), str(r.p)) for r in terms_in_text(t, "d", "t", p, "p", "q").collect())
+    assert rows() == want and want
+    monkeypatch.setattr(automaton, "TABLE_BYTES", 300)  # several automata, one pass
+    assert rows() == want
+    monkeypatch.setattr(automaton, "SENT_BYTES", 100)  # too much to send
+    assert automaton.scan(t, "d", "t", p, "p", "q") is None
+    assert {r for r in rows() if "None" not in r} == {r for r in want if "None" not in r}
+    assert terms_in_text(t, "d", "t", p.limit(0), "p", "q").count() == 0 and terms_in_text(t.limit(0), "d", "t", p, "p", "q").count() == 0
+
+
 def test_short_passages_against_brute_force(spark):
     rng = random.Random(3)
     texts = [(i, " ".join(rng.choices(["Ab", "bca", "c", "abcd", "d e", "é.x", "\n"], k=rng.randrange(0, 30)))) for i in range(80)] + [(98, ""), (99, None)]
