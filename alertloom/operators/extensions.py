@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.stats import r6, ratio
 from alertloom.operators.answers import answered, is_graded
+from alertloom.operators.ordered_cells import in_cells
 
 
 def confusion(answers: DataFrame) -> DataFrame:
@@ -48,30 +49,27 @@ def score_counts(answers: DataFrame) -> DataFrame:
     )
 
 
-BUCKETS = 4096
-
-
 def _cumulative(counts: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("candidate",), by: str = "p") -> DataFrame:
     """Running totals of `columns` over `by` descending (inclusive `_ge`, exclusive `_gt`) and grand totals.
 
-    Probabilities fall in fixed buckets; totals run over buckets and then inside one bucket, so no
-    candidate's distinct probabilities are ever sorted in a single task.
+    Probabilities fall into cells of bounded size that keep their order; totals run over cells and then inside
+    one, so no candidate's distinct probabilities are ever sorted in a single task, however close they lie.
     """
     keys = list(keys)
-    b = counts.withColumn("_b", F.floor(F.col(by) * BUCKETS))
-    per = b.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    above = W.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
+    b = in_cells(counts, keys, by)
+    per = b.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    above = W.partitionBy(*keys).orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     offs = per.select(
-        *keys, "_b",
+        *keys, "_cell",
         *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}_off") for c in columns],
         *[F.sum(f"_{c}").over(whole).alias(f"{c}_total") for c in columns],
     )
-    inside = W.partitionBy(*keys, "_b").orderBy(F.col(by).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    j = b.join(offs, [*keys, "_b"])
+    inside = W.partitionBy(*keys, "_cell").orderBy(F.col(by).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    j = b.join(offs, [*keys, "_cell"])
     for c in columns:
         j = j.withColumn(f"{c}_ge", F.col(f"_{c}_off") + F.sum(c).over(inside)).withColumn(f"{c}_gt", F.col(f"{c}_ge") - F.col(c))
-    return j.drop("_b", *[f"_{c}_off" for c in columns])
+    return j.drop("_cell", *[f"_{c}_off" for c in columns])
 
 
 def ranking(answers: DataFrame) -> DataFrame:
@@ -111,7 +109,7 @@ def tune_threshold(val: DataFrame) -> DataFrame:
 
 
 def apply_threshold(test: DataFrame, thresholds: DataFrame) -> DataFrame:
-    rows = test.where(is_graded() & answered("pg") & F.col("pg_prob").isNotNull()).join(F.broadcast(thresholds), "candidate")
+    rows = test.where(is_graded() & answered("pg") & F.col("pg_prob").isNotNull()).join(thresholds, "candidate")
     right = ((F.col("pg_prob") >= F.col("threshold")) == F.col("gold_page_now")).cast("int")
     return rows.groupBy("candidate", "threshold", "val_accuracy").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(right)).alias("test_accuracy"))
 

@@ -1,8 +1,8 @@
 """Exact interpolated percentiles that never hold a group in one task.
 
 Spark's `percentile` keeps every distinct value of a group in one aggregation buffer. Here values are
-first reduced to (value, count), then a coarse monotone histogram finds which bucket holds the wanted
-ranks, and only those buckets are ranked.
+first reduced to (value, count) and cut into cells of bounded size that keep their order; sums of cells
+say which cell holds the wanted ranks, and only those cells are ranked.
 """
 
 from __future__ import annotations
@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _bucket(value: Column) -> Column:
-    """A coarse bucket that never decreases as the value grows."""
-    return (F.signum(value) * F.floor(F.log(1 + F.abs(value)) * 256)).cast("bigint")
+from alertloom.operators.ordered_cells import in_cells
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], weight: str | None = None) -> DataFrame:
@@ -29,8 +26,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
-        .withColumn("b", _bucket(F.col("v")))
     )
+    counted = in_cells(counted, keys, "v").withColumnRenamed("_cell", "b")
     hist = counted.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
     by_bucket = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
@@ -47,7 +44,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
     end = F.col("before") + F.col("bc")
     touched = ((F.col("lo") >= F.col("before")) & (F.col("lo") < end)) | ((F.col("hi") >= F.col("before")) & (F.col("hi") < end))
     asked = asked.where(touched)
-    # at most two buckets per (group, fraction) survive; rank only the values inside them
+    # at most two cells per (group, fraction) survive; rank only the values inside them
     in_bucket = W.partitionBy(*keys, "b").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     needed = asked.select(*keys, "b").distinct()
     ranked = counted.join(needed, [*keys, "b"], "left_semi").withColumn(

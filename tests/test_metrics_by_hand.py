@@ -9,7 +9,7 @@ from alertloom.operators import answers as an
 from alertloom.operators import bootstrap as bs
 from alertloom.operators import calibration as cal
 from alertloom.operators import cohort_matrix as cm
-from alertloom.operators import costs
+from alertloom.operators import costs, extensions, ordered_cells
 from alertloom.operators import scorecard as sc
 from alertloom.operators.percentiles import exact_percentiles
 
@@ -162,6 +162,33 @@ def test_exact_percentiles_match_builtin(spark):
         assert ours[k] == pytest.approx(tuple(ref[k]))
 
 
+@pytest.mark.parametrize("limit", [3, 40])
+def test_ranks_of_values_that_lie_close(spark, monkeypatch, limit):
+    """All values within a thousandth, most within a millionth of one another, some infinite: small cells, equal results."""
+    monkeypatch.setattr(ordered_cells, "LIMIT", limit)
+    v = F.when(F.col("id") % 50 == 0, F.lit(1e300)).when(F.col("id") % 77 == 0, F.lit(float("inf"))).when(F.col("id") % 3 == 0, 100 + F.col("id") * 1e-10).otherwise(100.001 - F.col("id") * 1e-6)
+    df = spark.range(600).select((F.col("id") % 2).alias("k"), F.when(F.col("id") == 5, F.lit(float("-inf"))).otherwise(v).alias("v"))
+    cells = ordered_cells.in_cells(df.distinct(), ["k"], "v")
+    assert cells.groupBy("k", "_cell").count().agg(F.max("count")).first()[0] <= limit
+    spans = cells.groupBy("k", "_cell").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("k", "_cell").collect()
+    assert len(spans) > 5 and all(a.k != b.k or a.high < b.low for a, b in zip(spans, spans[1:]))
+    fractions = [0.01, 0.25, 0.5, 0.9]
+    ours = {r.k: (r.p_0, r.p_1, r.p_2, r.p_3) for r in exact_percentiles(df, ["k"], "v", fractions).collect()}
+    for k, want in ((r.k, r.p) for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, fractions))).alias("p")).collect()):
+        assert ours[k] == pytest.approx(tuple(want))
+
+
+def test_running_totals_of_values_that_lie_close(spark, monkeypatch):
+    monkeypatch.setattr(ordered_cells, "LIMIT", 4)
+    rows = [("c", 1e-9 * i + (0.5 if i % 10 == 0 else 0), i % 3, i % 4) for i in range(200)] + [("d", 0.25, 1, 2)]
+    df = spark.createDataFrame(rows, "candidate string, p double, pos long, neg long")
+    got = {(r.candidate, r.p): (r.pos_ge, r.pos_gt, r.neg_ge, r.neg_total) for r in extensions._cumulative(df, ["pos", "neg"]).collect()}
+    assert len(got) == 201
+    for c, p, a, _ in rows:
+        above = [r for r in rows if r[0] == c and r[1] >= p]
+        assert got[c, p] == (sum(r[2] for r in above), sum(r[2] for r in above) - a, sum(r[3] for r in above), sum(r[3] for r in rows if r[0] == c))
+
+
 def test_score_levels_and_temperature(spark):
     rows = spark.createDataFrame([(75.0,), (74.9,), (50.0,), (25.0,), (0.0,)], "s double").select(level_from_score(F.col("s")).alias("l")).collect()
     assert [r.l for r in rows] == ["P1", "P2", "P2", "P3", "P4"]
