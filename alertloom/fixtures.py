@@ -405,3 +405,33 @@ _CHAT = """chat AS (SELECT conv_id, turn, role,
     CASE WHEN conv_id % 4 < 2 THEN 'INC-' || (conv_id * 5) END AS ref_id
   FROM conversations)"""
 _SQL_VIEWS["chat"] = _CHAT
+
+
+def raw_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as an export would hold them: people by name, with names, hosts, addresses and secrets planted in the texts.
+
+    Every fourth message names a person of its thread in other letters, and a host that only another thread knows.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    planted = (
+        F.when(t % 4 == 0, F.concat(F.lit(" Ask Person "), (c % 50).cast("string"), F.lit(" USER, not node-"), (c + 1).cast("string"), F.lit(".")))
+        .when(t % 4 == 1, F.concat(F.lit(" See node-"), c.cast("string"), F.lit(" and 10.1.2."), (c % 200).cast("string"), F.lit(" here.")))
+        .when(t % 4 == 2, F.concat(F.lit(" Mail p"), c.cast("string"), F.lit("@corp.org or @p"), c.cast("string"), F.lit(" password=s3cret"), c.cast("string"), F.lit(" now.")))
+        .otherwise(F.lit(" See 192.0.2.7 again."))
+    )
+    m = chat_messages(spark, sf_dir)
+    return m.select("conv_id", "turn", "role", F.concat("text", planted).alias("text"), "ts", F.col("raw_author").alias("author"), F.concat(F.lit("room "), (c % 7).cast("string")).alias("channel"))
+
+
+def thread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, category, name): the people who write in a thread, and its one host."""
+    m = chat_messages(spark, sf_dir)
+    people = m.select("conv_id", F.lit("username").alias("category"), F.col("raw_author").alias("name"))
+    return people.union(m.select("conv_id", F.lit("hostname"), F.concat(F.lit("node-"), F.col("conv_id").cast("string")))).distinct()
+
+
+def thread_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a case author supplies for each thread: host, signal and evidence, here those of the event of the same number."""
+    ev = shape_evidence(table(spark, sf_dir, "events")).drop("ts")
+    threads = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return threads.join(ev, F.col("conv_id") == F.col("case_id")).drop("case_id")

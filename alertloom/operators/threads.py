@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fv
 from alertloom.functions.text import unicode
+from alertloom.operators import rubric
 
 CHUNK = 4096
 #: Turns in one part of an assembled thread.
@@ -133,3 +134,16 @@ def to_cases(threads: DataFrame, refs: DataFrame, structured_ids: DataFrame, thr
             F.coalesce("ref_found", F.lit(False)).alias("event_ref_found"), F.lit(False).alias("show_to_model"),
         ).alias("meta"),
     )
+
+
+def label_threads(
+    messages: DataFrame, evidence: DataFrame, changes: DataFrame | rubric.Index, incidents: DataFrame | rubric.Index, thread: str = "conv_id", turn: str = "turn",
+    ts: str = "ts", entity_columns: Sequence[str] = ("host", "service"),
+) -> DataFrame:
+    """The rubric's label of every thread that has evidence, at the time of its first message.
+
+    `evidence` holds per thread the host, signal and evidence its case author supplies. Only the times of messages are read:
+    no text can change a label.
+    """
+    first = messages.groupBy(thread).agg(F.min_by(ts, turn).alias("ts"))
+    return rubric.label_tables(evidence.join(first, thread), changes, incidents, entity_columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alertloom import fixtures as fx
 from alertloom.operators import counterfactuals as cf
 from alertloom.operators import rubric as rb
+from alertloom.operators import threads as th
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +99,18 @@ def l1_rubric_label(spark, sf_dir):
     return flat_label(labeled(spark, sf_dir))
 
 
+_THREAD_EVIDENCE = fx._CHAT + ", " + fx._EVIDENCE.replace("event_id AS case_id, ts,", "event_id AS case_id, make_timestamp(first_sec * 1000000) AS ts,").replace(
+    "FROM events)", "FROM events JOIN (SELECT conv_id, min_by(ts_sec, turn) AS first_sec FROM chat GROUP BY 1) ON conv_id = event_id)")
+
+
+@query("l2_thread_label", _LABEL.replace(fx._EVIDENCE, _THREAD_EVIDENCE) + " SELECT * FROM label")
+def l2_thread_label(spark, sf_dir):
+    """Every thread of the conversations, by evidence that is not in its text."""
+    messages = fx.chat_messages(spark, sf_dir)
+    labels = th.label_threads(messages, fx.thread_evidence(spark, sf_dir), fx.changes(spark, sf_dir), fx.incidents(spark, sf_dir), entity_columns=fx.ENTITY_COLUMNS)
+    return flat_label(labels.withColumnRenamed("conv_id", "case_id"))
+
+
 @query("d2_provisional_rate", _LABEL + """ SELECT event_type, count(*) AS n, count(*) FILTER (rules LIKE '%provisional=%') AS provisional,
   round((count(*) FILTER (rules LIKE '%provisional=%'))::DOUBLE / count(*), 6) AS rate FROM label WHERE error IS NULL GROUP BY 1""")
 def d2_provisional_rate(spark, sf_dir):

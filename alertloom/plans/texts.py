@@ -13,6 +13,7 @@ from alertloom.operators import deid
 from alertloom.operators import lint as li
 from alertloom.operators import rendering as rd
 from alertloom.operators import templates as tp
+from alertloom.operators import thread_deid as td
 from alertloom.operators import threads as th
 
 QUERIES = {}
@@ -297,6 +298,57 @@ def w3_assemble_thread(spark, sf_dir):
     return whole_threads(spark, sf_dir).select("conv_id", "part", F.size("messages").alias("n_messages"), text.alias("thread_text"))
 
 
+_RAW = """, raw AS (SELECT conv_id, turn, role, raw_author AS author, 'room ' || (conv_id % 7) AS channel, text AS said, text || CASE turn % 4
+    WHEN 0 THEN ' Ask Person ' || (conv_id % 50) || ' USER, not node-' || (conv_id + 1) || '.' WHEN 1 THEN ' See node-' || conv_id || ' and 10.1.2.' || (conv_id % 200) || ' here.'
+    WHEN 2 THEN ' Mail p' || conv_id || '@corp.org or @p' || conv_id || ' password=s3cret' || conv_id || ' now.' ELSE ' See 192.0.2.7 again.' END AS text,
+  'person ' || (conv_id % 50) || ' user' AS asked, bool_or(role = 'user') OVER (PARTITION BY conv_id) AS knows_user FROM chat),
+named AS (SELECT *, 'user-' || substr(USER_AUTHOR, 1, 8) AS who, CASE turn % 4
+    WHEN 0 THEN said || ' Ask ' || CASE WHEN knows_user THEN 'user-' || substr(USER_ASKED, 1, 8) ELSE 'Person ' || (conv_id % 50) || ' USER' END || ', not node-' || (conv_id + 1) || '.'
+    WHEN 1 THEN said || ' See host-' || substr(HOST_NODE, 1, 8) || '.example.net and ' || ['192.0.2', '198.51.100', '203.0.113'][(('0x' || substr(V4, 1, 2))::INT % 3) + 1] || '.' || (1 + ('0x' || substr(V4, 3, 2))::INT % 254) || ' here.'
+    WHEN 2 THEN said || ' Mail user-' || substr(MAIL, 1, 8) || '@example.com or @user-' || substr(MENTION, 1, 8) || ' password=[REDACTED_SECRET] now.' ELSE text END AS clean FROM raw)"""
+for _name, _kind, _value in (("USER_AUTHOR", "user", "lower(author)"), ("USER_ASKED", "user", "asked"), ("HOST_NODE", "host", "'node-' || conv_id"), ("V4", "ipv4", "'10.1.2.' || (conv_id % 200)"), ("MAIL", "email", "'p' || conv_id || '@corp.org'"), ("MENTION", "user", "'p' || conv_id")):
+    _RAW = _RAW.replace(_name + ",", _D.format(_kind, _value) + ",")
+_THREAD = "'thread-' || substr(" + _D.format("thread", "conv_id::VARCHAR") + ", 1, 8)"
+_ROOM = "'channel-' || substr(" + _D.format("channel", "channel") + ", 1, 8)"
+
+
+def clean_threads(spark, sf_dir):
+    return td.deidentify_threads(fx.raw_threads(spark, sf_dir), fx.thread_names(spark, sf_dir), fx.SALT, max_messages=_KEEP, max_chars=_CHARS)
+
+
+@query(
+    "p13_threads",
+    _CHAT.rstrip() + _RAW + f""" SELECT {_THREAD} AS thread, {_ROOM} AS channel, turn, role, who AS author, substr(clean, 1, {_CHARS}) AS text, length(clean) > {_CHARS} AS was_cut
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM named) WHERE r <= {_KEEP}""",
+)
+def p13_threads(spark, sf_dir):
+    """Whole threads rewritten by their own names, authors and labels included, then capped."""
+    kept, _, _ = clean_threads(spark, sf_dir)
+    return kept.select(F.col("conv_id").alias("thread"), "channel", "turn", "role", "author", "text", "was_cut")
+
+
+@query(
+    "a32_thread_report",
+    _CHAT.rstrip() + _RAW + f""", hits AS (SELECT conv_id, 'author' AS category, who AS pseudonym FROM named
+  UNION ALL SELECT conv_id, 'username', asked FROM named WHERE turn % 4 = 0 AND knows_user UNION ALL SELECT conv_id, unnest(['hostname', 'ipv4']), 'x' FROM named WHERE turn % 4 = 1
+  UNION ALL SELECT conv_id, unnest(['email', 'username']), 'p' FROM named WHERE turn % 4 = 2 UNION ALL SELECT conv_id, 'secret:key_value', NULL FROM named WHERE turn % 4 = 2)
+SELECT {_THREAD} AS thread, category, count(*) AS occurrences, count(DISTINCT pseudonym) AS distinct_pseudonyms FROM hits GROUP BY ALL""",
+)
+def a32_thread_report(spark, sf_dir):
+    """What was replaced in each thread, over all its messages."""
+    _, report, _ = clean_threads(spark, sf_dir)
+    return report.withColumnRenamed("conv_id", "thread")
+
+
+@query(
+    "v10_thread_residue",
+    _CHAT.rstrip() + _RAW + """ SELECT conv_id, turn, unnest(CASE turn % 4 WHEN 1 THEN ['ipv4'] ELSE ['email', 'secret:key_value'] END) AS category FROM raw WHERE turn % 4 IN (1, 2)""",
+)
+def v10_thread_residue(spark, sf_dir):
+    """Identifying categories of the raw messages, before any rewriting."""
+    return fx.raw_threads(spark, sf_dir).select("conv_id", "turn", F.explode(deid.residue(F.col("text"))).alias("category"))
+
+
 def _refs(spark, sf_dir):
     return fx.chat_messages(spark, sf_dir).select("conv_id", "ref_kind", "ref_id").where("ref_id IS NOT NULL").distinct()
 
