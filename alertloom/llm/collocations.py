@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from alertloom.llm import phrase_automata as automata
 from alertloom.llm import tokens
+from alertloom.llm.common import cut_packed
 from alertloom.session import cut_lineage, release
 
 #: Longest phrase, least count of a candidate, and phrases that each language returns.
@@ -178,7 +179,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longes
     counts are ordered by the phrase, so ranks have no ties. Counts are exact; scores are worked out in 38 digits. Other columns are
     not read. Without candidates the result is empty.
     """
-    stored = cut_lineage(shards(docs, longest, lang_col, text_col))
+    stored = cut_packed(shards(docs, longest, lang_col, text_col))
     totals = stored.groupBy("lang").agg(F.sum("words").alias("n"))
     counts = cut_lineage(phrase_counts(stored, range_bounds(stored, range_paths), least))
     found = cut_lineage(scored(counts, totals, covered, longest))

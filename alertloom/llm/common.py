@@ -8,6 +8,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.session import work_path
+
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -18,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_packed(df: DataFrame) -> DataFrame:
+    """`cut_lineage` for rows that are compressed already.
+
+    Compressing pages of large binary values once more takes buffers outside the heap that only its collection frees.
+    """
+    path = work_path(df.sparkSession, "packed")
+    df.write.option("compression", "uncompressed").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
 def find_package(spark: SparkSession) -> None:
     """Python workers started from here on find this package, wherever the driver was started."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

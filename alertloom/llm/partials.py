@@ -14,6 +14,16 @@ FAN_IN = 64
 SCHEMA = T.StructType().add("block", "integer").add("task", "long").add("packed", "binary")
 
 
+def pack(array: np.ndarray) -> bytes:
+    """The bytes of an array, compressed: counts of one task are small and mostly zero."""
+    body = np.ascontiguousarray(array).tobytes()
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def unpack(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), kind)
+
+
 def tree_sum(partial: DataFrame, kind: str) -> DataFrame:
     """(block, task, packed): the sum of the packed arrays of each block, of numpy type `kind`, over all tasks.
 
@@ -22,8 +32,10 @@ def tree_sum(partial: DataFrame, kind: str) -> DataFrame:
     """
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, kind) for x in group.column("packed").to_pylist()], axis=0, dtype=kind)
-        return pa.table({"block": group.column("block").slice(0, 1), "task": group.column("task").slice(0, 1), "packed": pa.array([total.tobytes()], pa.binary())})
+        total = 0
+        for packed in group.column("packed"):
+            total = total + unpack(packed.as_py(), kind)
+        return pa.table({"block": group.column("block").slice(0, 1), "task": group.column("task").slice(0, 1), "packed": pa.array([pack(total)], pa.binary())})
 
     most = partial.agg(F.max("task")).first()[0] or 0
     out = partial.select("block", "task", "packed")

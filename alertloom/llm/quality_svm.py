@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertloom.llm import tokens
-from alertloom.llm.partials import tree_sum
+from alertloom.llm.common import cut_packed
+from alertloom.llm.partials import pack, tree_sum, unpack
 from alertloom.llm.shingles import mixed, run_hashes, word_hashes
-from alertloom.session import cut_lineage, release
+from alertloom.session import release
 
 #: Buckets of hashed n-grams, a power of two; counts travel in blocks of BLOCK buckets.
 BUCKETS = 1 << 18
@@ -213,9 +214,9 @@ def class_counts(rows: DataFrame, ends: dict[int, int], buckets: int) -> DataFra
         if seen.any():
             task = TaskContext.get().partitionId()
             blocks = list(range(buckets // block))
-            packed = [np.ascontiguousarray(total[:, b * block : (b + 1) * block]).tobytes() for b in blocks]
+            packed = [pack(total[:, b * block : (b + 1) * block]) for b in blocks]
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([*blocks, -1], pa.int32()), pa.array([task] * (n + 1), pa.int64()), pa.array([*packed, seen.tobytes()], pa.binary()), pa.nulls(n + 1, pa.int64()), pa.nulls(n + 1, pa.int32()), pa.nulls(n + 1, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([*blocks, -1], pa.int32()), pa.array([task] * (n + 1), pa.int64()), pa.array([*packed, pack(seen)], pa.binary()), pa.nulls(n + 1, pa.int64()), pa.nulls(n + 1, pa.int32()), pa.nulls(n + 1, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(count, schema)
 
@@ -235,8 +236,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for c in (0, 1):  # two numbers
         ends[c] = ranked.where(F.col("label") == c).select("rank").orderBy("rank").limit(half).agg(F.max("rank")).first()[0]
     ends = {c: end for c, end in ends.items() if end is not None}
-    passed = cut_lineage(class_counts(rows, ends, buckets))
-    blocks = {r["block"]: np.frombuffer(r["packed"], np.int64) for r in tree_sum(passed.where("block IS NOT NULL"), "int64").collect()}  # as many as blocks
+    passed = cut_packed(class_counts(rows, ends, buckets))
+    blocks = {r["block"]: unpack(r["packed"], "int64") for r in tree_sum(passed.where("block IS NOT NULL"), "int64").collect()}  # as many as blocks
     seen = blocks.pop(-1, np.zeros(2, np.int64))
     base = float(seen[1] / seen.sum()) if seen.sum() else 0.5
     if not seen.all():

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.llm.partials import SCHEMA, tree_sum
+from alertloom.llm.partials import SCHEMA, pack, tree_sum, unpack
 from alertloom.session import cut_lineage, release
 
 #: Components of a vector, units in one, centroids, rounds, and leading coordinates that are stored.
@@ -66,12 +66,12 @@ def axes(kept: DataFrame, dims: int, leading: int) -> tuple[np.ndarray, np.ndarr
                 x = np.column_stack([whole_vectors(part.column("v"), dims).astype(np.float64), np.ones(len(part))])
                 total += x.T @ x
         if total[-1, -1]:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=SCHEMA.names)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(total)], pa.binary())], names=SCHEMA.names)
 
     found = tree_sum(cut_lineage(kept.select("v").mapInArrow(sums, SCHEMA)), "float64").first()
     if found is None:
         return np.zeros(dims), np.eye(dims)[:, :leading]
-    total = np.frombuffer(found["packed"], np.float64).reshape(dims + 1, dims + 1)
+    total = unpack(found["packed"], "float64").reshape(dims + 1, dims + 1)
     mean = total[-1, :-1] / total[-1, -1]
     _, vectors = np.linalg.eigh(total[:-1, :-1] / total[-1, -1] - np.outer(mean, mean))
     return mean, vectors[:, ::-1][:, :leading].copy()
