@@ -10,6 +10,7 @@ Bounds are whole paths, so a word or pair that begins a third of all paths is sp
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,7 +36,8 @@ SHARD_BYTES = 4 << 20
 RANGE_PATHS = 1_000_000
 MARKS = 64
 SAMPLED = 1 << 20
-#: Paths gathered before they are added up, and candidates ranked in one task.
+#: Ranges that one pass cuts into, paths gathered before they are added up, and candidates ranked in one task.
+RANGES_AT_ONCE = 128
 GATHERED = 2_000_000
 RANKED = 100_000
 FAN_IN = 16
@@ -93,9 +95,44 @@ def range_bounds(stored: DataFrame, range_paths: int) -> list[tuple[str, list[by
 
 
 def phrase_counts(stored: DataFrame, bounds: list[tuple[str, list[bytes]]], least: int) -> DataFrame:
-    """(lang, phrase, size, f) of all phrases that occur `least` times or more, from the shards' automata."""
-    dealt = T.StructType().add("range", "integer").add("lang", "string").add("packed", "binary")
+    """(lang, phrase, size, f) of all phrases that occur `least` times or more, from the shards' automata.
+
+    Shards are cut into RANGES_AT_ONCE wide ranges at most; what they have of one is united into runs of about GATHERED paths,
+    and these are cut into narrower ranges, until a range is as wide as the bounds say. So neither the pieces of a shard nor
+    those that meet in a task become more with the input, only the passes do, by its logarithm.
+    """
+    dealt = T.StructType().add("range", "integer").add("lang", "string").add("run", "integer").add("packed", "binary")
     starts = [(lang.encode(), mark) for lang, mark in bounds]
+    total = stored.agg(F.sum("paths")).first()[0] or 0
+    width = 1
+    while (len(starts) + 1) / width > RANGES_AT_ONCE:
+        width *= RANGES_AT_ONCE
+    rows = stored.select(F.lit(0).alias("range"), "lang", "packed")
+    used = []
+    while True:
+        each = rows.mapInArrow(_cutter(starts[width - 1 :: width], dealt, max(1, int(total * width / (len(starts) + 1) / GATHERED)) if width > 1 else 1), dealt)
+        if width == 1:
+            break
+        rows = cut_packed(each.groupBy("range", "lang", "run").applyInArrow(_united, dealt))
+        used.append(rows)
+        width //= RANGES_AT_ONCE
+    counted = T.StructType().add("lang", "string").add("phrase", "string").add("size", "integer").add("f", "long")
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = automata.union(list(_runs(batches)))
+        phrases, sizes, weights = automata.phrase_weights(paths, least)
+        names = pa.array([key[1].as_py()] * len(phrases), pa.string())
+        yield pa.RecordBatch.from_arrays([names, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int64())], names=counted.names)
+        tokens.give_back()
+
+    found = each.groupBy("range", "lang").applyInArrow(add, counted).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
+    out = cut_lineage(found.where(F.col("f") >= least))
+    release(*used)
+    return out
+
+
+def _cutter(starts: list[tuple[bytes, list[bytes]]], dealt: T.StructType, runs: int):
+    """Cuts automata at `starts`; each piece gets the number of its range and one of `runs` runs of it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,31 +140,39 @@ def phrase_counts(stored: DataFrame, bounds: list[tuple[str, list[bytes]]], leas
                 paths = automata.unpack(packed.as_py())
                 name = lang.as_py().encode()
                 low, high = bisect_left(starts, (name, [])), bisect_left(starts, (name + b"\x00", []))
+                if high - low > 2 and len(paths):  # only bounds within what this one has
+                    low, high = max(low, bisect_left(starts, (name, paths.key(0)))), min(high, bisect_left(starts, (name, paths.key(len(paths) - 1))) + 1)
                 at = [0, *automata.cut_points(paths, [mark for _, mark in starts[low:high]]), len(paths)]
                 rows = [(low + k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
                 for first in range(0, len(rows), 64):
                     some = rows[first : first + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([lang.as_py()] * len(some)), pa.array([automata.pack(automata.part(paths, a, b)) for _, a, b in some], pa.binary())], names=dealt.names)
+                    columns = [pa.array([r[0] for r in some], pa.int32()), pa.array([lang.as_py()] * len(some)), pa.array([zlib.crc32(packed.as_py()) % runs] * len(some), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([automata.pack(automata.part(paths, a, b)) for _, a, b in some], pa.binary())], names=dealt.names)
         tokens.give_back()
 
-    counted = T.StructType().add("lang", "string").add("phrase", "string").add("size", "integer").add("f", "long")
+    return cut
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[automata.Paths]:
+    """Unions of a group's automata, each of about GATHERED paths."""
+    pending, size = [], 0
+    for batch in batches:
+        for packed in batch.column("packed"):
+            pending.append(automata.unpack(packed.as_py()))
+            size += len(pending[-1])
+            if size > GATHERED:
+                pending = [automata.union(pending)]
+                if 2 * len(pending[0]) > GATHERED:  # little was equal
+                    yield pending.pop()
+                size = sum(map(len, pending))
+    if pending:
+        yield automata.union(pending)
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size, done = [], 0, []
-        for batch in batches:
-            for packed in batch.column("packed"):
-                pending.append(automata.unpack(packed.as_py()))
-                size += len(pending[-1])
-                if size > GATHERED:
-                    done = [automata.union(done + pending)]
-                    pending, size = [], 0
-        phrases, sizes, weights = automata.phrase_weights(automata.union(done + pending), least)
-        names = pa.array([key[1].as_py()] * len(phrases), pa.string())
-        yield pa.RecordBatch.from_arrays([names, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int64())], names=counted.names)
-        tokens.give_back()
 
-    each = stored.select("lang", "packed").mapInArrow(cut, dealt).groupBy("range", "lang").applyInArrow(add, counted)
-    return each.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+def _united(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in _runs(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()]), pa.array([key[2].as_py()], pa.int32()), pa.array([automata.pack(run)], pa.binary())], names=["range", "lang", "run", "packed"])
+    tokens.give_back()
 
 
 def words_of(phrase: Column, first: Column, size: Column) -> Column:
@@ -181,7 +226,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longes
     """
     stored = cut_packed(shards(docs, longest, lang_col, text_col))
     totals = stored.groupBy("lang").agg(F.sum("words").alias("n"))
-    counts = cut_lineage(phrase_counts(stored, range_bounds(stored, range_paths), least))
+    counts = phrase_counts(stored, range_bounds(stored, range_paths), least)
     found = cut_lineage(scored(counts, totals, covered, longest))
     release(stored, counts)
     return best_of_each(found, found.count(), top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
