@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fv
 from alertloom.functions.stats import level_from_score
+from alertloom.operators.counterfactuals import to_nested
 from alertloom.session import spread
 
 CANDIDATES = ("c0", "c1")
@@ -435,3 +436,26 @@ def thread_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = shape_evidence(table(spark, sf_dir, "events")).drop("ts")
     threads = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     return threads.join(ev, F.col("conv_id") == F.col("case_id")).drop("case_id")
+
+
+def nested_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases in the stored layout: event, context with the changes and incidents that hold at the event's time, evidence.
+
+    Both lists stand in their order of first match.
+    """
+    ev, ch, inc = evidence(spark, sf_dir), changes(spark, sf_dir), incidents(spark, sf_dir)
+    at = ev.select("case_id", "ts", F.col("host").alias("_h"))
+    change = F.struct(
+        F.col("change_id").alias("id"), F.array("host").alias("hosts"), F.col("start_ts").alias("start"), F.col("end_ts").alias("end"), "status",
+        F.array(F.struct("signal", "max_impact")).alias("expected_signals"),
+    )
+    incident = F.struct(F.col("incident_id").alias("id"), "entity", "status", "event_type", "failure_mode", "impact", "urgency", "priority")
+
+    def held(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+        met = at.join(rows, (F.col("_h") == F.col(key)) & F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+        listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
+        return met.groupBy("case_id").agg(listed.alias(name))
+
+    j = to_nested(ev).join(held(ch, "host", "change_order", change, "_changes"), "case_id", "left").join(held(inc, "entity", "incident_order", incident, "_incidents"), "case_id", "left")
+    context = F.col("context").withField("active_changes", F.coalesce("_changes", "context.active_changes")).withField("active_incidents", F.coalesce("_incidents", "context.active_incidents"))
+    return j.withColumn("context", context).drop("_changes", "_incidents")

@@ -7,8 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertloom import fixed_values as fv
+from alertloom.operators.barrier import computed_once
+from alertloom.operators.rubric import label_nested
 
 LEAK_KEYS = ("pair_id", "template_family", "wrapper_family", "slang_term")
 REQUIRED = ("seed_source", "template_id", "template_family", "pair_id", "split", "provenance")
@@ -141,6 +144,57 @@ def row_rules(cases: DataFrame, dataset_kind: str, lexicon: Sequence[tuple[str,
     return opened.select("v.rule", "key", "v.detail")
 
 
+def all_strings(df: DataFrame, *columns: str) -> Column:
+    """An array of every string anywhere inside the columns: in structs, arrays and maps of any depth, by the schema."""
+
+    def inside(value: Column, kind: T.DataType) -> Column | None:
+        if isinstance(kind, T.StringType):
+            return F.array(value)
+        if isinstance(kind, T.StructType):
+            found = [x for f in kind.fields if (x := inside(value.getField(f.name), f.dataType)) is not None]
+            return F.concat(*[F.coalesce(x, none) for x in found]) if found else None
+        if isinstance(kind, T.MapType):
+            return F.concat(*[F.coalesce(x, none) for x in (inside(F.map_keys(value), T.ArrayType(kind.keyType)), inside(F.map_values(value), T.ArrayType(kind.valueType))) if x is not None])
+        if isinstance(kind, T.ArrayType):
+            probe = inside(F.lit(None).cast(kind.elementType), kind.elementType)
+            return None if probe is None else F.flatten(F.transform(value, lambda e: F.coalesce(inside(e, kind.elementType), none)))
+        return None
+
+    none = F.array().cast("array<string>")
+    found = [x for c in columns if (x := inside(F.col(c), df.schema[c].dataType)) is not None]
+    return F.array_compact(F.concat(none, *[F.coalesce(x, none) for x in found]))
+
+
+def string_rules(cases: DataFrame, *columns: str) -> DataFrame:
+    """Foreign addresses, placeholders and unfilled slots in any string of the columns, by default event and context."""
+    strings = all_strings(cases, *(columns or ("event", "context")))
+    slot = r"\{(?:" + "|".join(fv.AUTHORED_SLOTS) + r")\}"
+
+    def named(rule: str, found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("detail")))
+
+    each = F.flatten(F.transform("_strings", lambda t: F.concat(
+        named("foreign_ip", foreign_ips(t)),
+        named("unresolved_placeholder", F.when(t.contains(fv.PLACEHOLDER), F.array(F.lit(fv.PLACEHOLDER))).otherwise(F.array().cast("array<string>"))),
+        named("unfilled_slot", F.regexp_extract_all(t, F.lit(slot), F.lit(0))),
+    )))
+    opened = cases.select(F.col("case_id").cast("string").alias("key"), strings.alias("_strings")).select("key", F.explode(each).alias("v"))
+    return opened.select("v.rule", "key", "v.detail")
+
+
+def rederived(cases: DataFrame) -> DataFrame:
+    """Labels of stored cases that the rubric, run again on their evidence and context, rejects or does not give.
+
+    `cases` is the stored layout with a `label` of the rubric's own fields. Every field of the label counts.
+    """
+    stored = cases.where(F.col("label").isNotNull()).withColumnRenamed("label", "_stored")
+    again = computed_once(label_nested(stored).select("case_id", "_stored", "label", "error"), "label", "error")
+    fields = [f for f in cases.schema["label"].dataType.names if f in again.schema["label"].dataType.names]
+    differs = [F.when(~F.col(f"_stored.{f}").eqNullSafe(F.col(f"label.{f}")), f) for f in fields]
+    detail = F.when(F.col("error").isNotNull(), F.concat(F.lit("rubric rejects stored case: "), F.col("error"))).otherwise(F.concat_ws(",", *differs))
+    return again.select(F.lit("label_recheck").alias("rule"), F.col("case_id").cast("string").alias("key"), detail.alias("detail")).where("detail <> ''")
+
+
 def label_recheck(stored: DataFrame, derived: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Stored labels that differ from the re-derived ones, or that the rubric rejects."""
     d = derived.select(F.col("case_id"), "error", *[F.col(f).alias(f"_d_{f}") for f in fields])

@@ -129,8 +129,11 @@ def nested_incident(event: str = "event", context: str = "context") -> Column:
 
 def label_nested(cases: DataFrame) -> DataFrame:
     """Label rows holding event, context and evidence structs. Stateless, so it also runs on a stream."""
+    held = set(cases.schema["evidence"].dataType.names)
+    more = [f"evidence.{name}" for name in ("secondary_types", "secondary_owners") if name in held]
     ev = cases.select(
         "*",
+        *more,
         nested_change(impact="evidence.impact").alias("change_id"),
         nested_incident().alias("incident"),
         F.col("event.signal").alias("signal"),
@@ -151,6 +154,9 @@ def evidence_error(columns: set[str]) -> Column:
     def opt(name: str, kind: str) -> Column:
         return F.col(name) if name in columns else F.lit(None).cast(kind)
 
+    def others(name: str) -> Column:
+        return F.coalesce(opt(name, "array<string>"), F.array().cast("array<string>"))
+
     default_owner = _lookup(fv.DEFAULT_OWNER, F.col("primary_type"))
     owner = F.coalesce(opt("owner", "string"), default_owner)
     reason = opt("provisional_reason", "string")
@@ -160,7 +166,9 @@ def evidence_error(columns: set[str]) -> Column:
     threatened = F.coalesce(opt("threatens_critical", "boolean"), F.lit(False))
     rules = (
         F.when(F.col("primary_type").isNull() | ~F.col("primary_type").isin(*fv.EVENT_TYPES), "unknown event type")
+        .when(F.exists(others("secondary_types"), lambda t: F.coalesce(~t.isin(*fv.EVENT_TYPES), F.lit(True))), "unknown event type")
         .when(opt("owner", "string").isNotNull() & ~opt("owner", "string").isin(*fv.OWNER_COVERAGE), "unknown owner")
+        .when(F.exists(others("secondary_owners"), lambda o: F.coalesce(~o.isin(*fv.OWNER_COVERAGE), F.lit(True))), "unknown owner")
         .when(impact_rank(F.col("impact")).isNull(), "impact not on its scale")
         .when(urgency_rank(F.col("urgency")).isNull(), "urgency not on its scale")
         .when(cell == "x", "impact and urgency are not a valid combination")
@@ -201,6 +209,10 @@ def decide(df: DataFrame) -> DataFrame:
     cols = set(df.columns)
     if "owner" not in cols:
         df = df.withColumn("owner", F.lit(None).cast("string"))
+
+    def listed(name: str) -> Column:
+        return F.coalesce(F.col(name), F.array().cast("array<string>")) if name in cols else F.array().cast("array<string>")
+
     df = df.withColumn("error", evidence_error(cols | {"owner"}))
     df = df.withColumn("owner", F.coalesce("owner", _lookup(fv.DEFAULT_OWNER, F.col("primary_type"))))
     df = df.withColumn("own_priority", _matrix(F.col("impact"), F.col("urgency")))
@@ -257,11 +269,15 @@ def decide(df: DataFrame) -> DataFrame:
     )
     label = F.struct(
         F.col("primary_type").alias("event_type"),
-        "owner", "impact", "urgency", "priority", "notification", "page_now", "page_target", "response",
+        listed("secondary_types").alias("secondary_types"),
+        "owner",
+        listed("secondary_owners").alias("secondary_owners"),
+        "impact", "urgency", "priority", "notification", "page_now", "page_target", "response",
         ack.alias("ack_target"),
         "handling",
         provisional.alias("provisional"),
         "provisional_reason",
+        listed("missing_context").alias("missing_facts"),
         F.when(provisional, F.coalesce("page_target", "owner")).alias("triage_owner"),
         F.when(provisional, fact).alias("fact_finding_deadline"),
         F.when(rerouted, fv.OWNER_REVIEW_TARGET).alias("owner_review_target"),

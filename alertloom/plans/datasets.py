@@ -9,8 +9,10 @@ from alertloom import fixed_values as fv
 from alertloom import fixtures as fx
 from alertloom.operators import components as cc
 from alertloom.operators import lint as li
+from alertloom.operators import rubric as rb
 from alertloom.operators import splits as sp
 from alertloom.operators import textmatch as tm
+from alertloom.plans.labeling import _LABEL
 from alertloom.session import cut_lineage
 
 QUERIES = {}
@@ -210,26 +212,51 @@ def v14_row_rules(spark, sf_dir):
     return li.row_rules(fx.lint_cases(spark, sf_dir), fx.LINT_KIND, fx.LEXICON)
 
 
-_RECHECK = """SELECT 'label_recheck' AS rule, CAST(case_id AS VARCHAR) AS key, 'priority' AS detail FROM lint
-  WHERE has_label AND label_priority <> gold_priority"""
+_LABELS = _LABEL.removeprefix("WITH ")
+_RECHECK = """SELECT 'label_recheck' AS rule, CAST(case_id AS VARCHAR) AS key, CASE WHEN case_id % 97 = 0 THEN 'priority' ELSE 'rubric rejects stored case: impact not on its scale' END AS detail
+  FROM label WHERE error IS NULL AND (case_id % 97 = 0 OR case_id % 89 = 0)"""
+
+
+def _stored(spark, sf_dir):
+    """Cases with the rubric's own labels; in some the stored priority was changed, in others the evidence."""
+    cases = rb.label_nested(fx.nested_cases(spark, sf_dir)).select("case_id", "event", "context", "evidence", "label")
+    c = F.col("case_id")
+    label = F.when(F.col("label").isNotNull(), F.col("label").withField("priority", F.when(c % 97 == 0, "P0").otherwise(F.col("label.priority"))))
+    impact = F.when((c % 89 == 0) & (c % 97 != 0), "huge").otherwise(F.col("evidence.impact"))
+    return cut_lineage(cases.withColumn("label", label).withColumn("evidence", F.col("evidence").withField("impact", impact)))
 
 
 def _recheck(spark, sf_dir):
-    lint = fx.lint_cases(spark, sf_dir).where("has_label")
-    stored = lint.select("case_id", F.col("label_event_type").alias("event_type"), F.col("label_page_now").alias("page_now"), F.col("label_priority").alias("priority"))
-    derived = fx.cases(spark, sf_dir).select(
-        "case_id", F.lit(None).cast("string").alias("error"), F.col("gold_event_type").alias("event_type"),
-        F.col("gold_page_now").alias("page_now"), F.col("gold_priority").alias("priority"),
-    )
-    return li.label_recheck(stored, derived, ["event_type", "page_now", "priority"])
+    return li.rederived(_stored(spark, sf_dir))
 
 
-@query("j12_label_recheck", _LINT + _RECHECK)
+@query("j12_label_recheck", "WITH " + _LABELS + _RECHECK)
 def j12_label_recheck(spark, sf_dir):
+    """The rubric run again on every stored case."""
     return _recheck(spark, sf_dir)
 
 
-@query("v14_dataset_lint", _LINT + ", " + _GROUPS + " " + " UNION ALL ".join([_row_rules_sql(), _LEAKS, _GROUP_LEAKS, _PINNED, _COVERAGE, _RECHECK]))
+@query(
+    "v14_string_rules",
+    """SELECT 'foreign_ip' AS rule, CAST(event_id AS VARCHAR) AS key, '10.1.2.3' AS detail FROM events WHERE event_id % 31 = 0
+UNION ALL SELECT 'unresolved_placeholder', CAST(event_id AS VARCHAR), '<*>' FROM events WHERE event_id % 37 = 0
+UNION ALL SELECT 'unfilled_slot', CAST(event_id AS VARCHAR), '{svc}' FROM events WHERE event_id % 41 = 0
+UNION ALL SELECT 'unfilled_slot', CAST(event_id AS VARCHAR), '{user}' FROM events WHERE event_id % 41 = 0""",
+)
+def v14_string_rules(spark, sf_dir):
+    """Addresses, placeholders and slots planted in parts of event and context that hold no log text."""
+    c = F.col("case_id")
+    cases = fx.nested_cases(spark, sf_dir)
+    host = F.when(c % 31 == 0, "db-10.1.2.3 (was 192.0.2.1)").otherwise(F.col("context.asset.host"))
+    changes = F.when(c % 41 == 0, F.array(F.get(F.col("spare"), F.lit(0)))).otherwise(F.col("context.active_changes"))
+    kind = cases.schema["context"].dataType["active_changes"].dataType.simpleString()
+    spare = F.expr(f"cast(array(named_struct('id', '{{svc}} by {{user}} and {{other}}', 'hosts', array('h'), 'start', null, 'end', null, 'status', 'approved', 'expected_signals', null)) AS {kind})")
+    signal = F.when(c % 37 == 0, "saw <*> twice").otherwise(F.col("event.signal"))
+    planted = cases.withColumn("spare", spare).withColumn("context", F.col("context").withField("asset.host", host).withField("active_changes", changes)).withColumn("event", F.col("event").withField("signal", signal))
+    return li.string_rules(planted)
+
+
+@query("v14_dataset_lint", _LINT.rstrip() + ", " + _GROUPS + ", " + _LABELS + " " + " UNION ALL ".join([_row_rules_sql(), _LEAKS, _GROUP_LEAKS, _PINNED, _COVERAGE, _RECHECK]))
 def v14_dataset_lint(spark, sf_dir):
     c = fx.lint_cases(spark, sf_dir)
     return li.union_violations(

@@ -111,6 +111,12 @@ def l2_thread_label(spark, sf_dir):
     return flat_label(labels.withColumnRenamed("conv_id", "case_id"))
 
 
+@query("l1_nested_context", _LABEL + " SELECT * FROM label")
+def l1_nested_context(spark, sf_dir):
+    """The nested form, changes and incidents being lists on the case: the same labels as by tables."""
+    return flat_label(rb.label_nested(fx.nested_cases(spark, sf_dir)))
+
+
 @query("d2_provisional_rate", _LABEL + """ SELECT event_type, count(*) AS n, count(*) FILTER (rules LIKE '%provisional=%') AS provisional,
   round((count(*) FILTER (rules LIKE '%provisional=%'))::DOUBLE / count(*), 6) AS rate FROM label WHERE error IS NULL GROUP BY 1""")
 def d2_provisional_rate(spark, sf_dir):
@@ -126,6 +132,38 @@ def v4_evidence_contract(spark, sf_dir):
     return checked.where(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: One break of each rule, as (rule, column, value); the first lines of the contract come first.
+_BREAKS = (
+    ("unknown event type", "primary_type", "'odd'"),
+    ("unknown event type", "secondary_types", "array('telemetry', 'odd')"),
+    ("unknown owner", "owner", "'nobody'"),
+    ("unknown owner", "secondary_owners", "array(cast(null AS string))"),
+    ("impact not on its scale", "impact", "'huge'"),
+    ("urgency not on its scale", "urgency", "'soon'"),
+    ("impact and urgency are not a valid combination", "impact", "'none'"),
+    ("signal is required", "signal", "' '"),
+    ("a response needs an owner", "primary_type", "'telemetry'"),
+    ("unknown provisional reason", "provisional_reason", "'because'"),
+    ("missing_context needs the missing facts", "provisional_reason", "'missing_context'"),
+    ("a threatened critical asset needs impact of at least moderate", "threatens_critical", "true"),
+)
+
+
+@query("v4_each_rule", "SELECT event_id AS case_id, [" + ", ".join(f"'{b[0]}'" for b in _BREAKS) + f"][event_id % {len(_BREAKS) + 1}] AS error FROM events WHERE event_id % {len(_BREAKS) + 1} > 0")
+def v4_each_rule(spark, sf_dir):
+    """Sound evidence on every event, each rule of the contract broken on some of them."""
+    good = fx.events(spark, sf_dir).selectExpr(
+        "event_id AS case_id", "event_type AS signal", "'security_event' AS primary_type", "array('telemetry') AS secondary_types", "'soc' AS owner", "array('sre') AS secondary_owners", "'low' AS impact",
+        "'same_day' AS urgency", "cast(null AS string) AS provisional_reason", "cast(array() AS array<string>) AS missing_context", "false AS threatens_critical", "'high' AS criticality",
+    ).withColumn("k", F.col("case_id") % (len(_BREAKS) + 1))
+    broken = good
+    for k, (_, column, value) in enumerate(_BREAKS, 1):
+        broken = broken.withColumn(column, F.when(F.col("k") == k, F.expr(value)).otherwise(F.col(column)))
+    broken = broken.withColumn("owner", F.when(F.col("primary_type") != "telemetry", F.col("owner")))
+    checked = broken.withColumn("error", rb.evidence_error(set(broken.columns)))
+    return checked.where(F.col("error").isNotNull()).select("case_id", "error")
+
+
 @query("j5_rubric_lookup", fx.sql_with("evidence") + """SELECT case_id, CASE WHEN impact = 'none' THEN CASE WHEN urgency = 'none' THEN 'P4' ELSE 'x' END
   WHEN urgency = 'immediate' THEN CASE WHEN impact = 'high' THEN 'P1' ELSE 'P2' END WHEN urgency = 'same_day' THEN 'P3' ELSE 'P4' END AS priority FROM evidence""")
 def j5_rubric_lookup(spark, sf_dir):

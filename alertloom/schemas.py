@@ -23,9 +23,10 @@ EVIDENCE = (
     "threatens_critical:boolean,compromise_evidence:boolean,provisional_reason:string,immediate_action:string>"
 )
 LABEL = (
-    "struct<event_type:string,owner:string,impact:string,urgency:string,priority:string,notification:string,page_now:boolean,"
-    "page_target:string,response:string,ack_target:string,handling:string,provisional:boolean,provisional_reason:string,"
-    "triage_owner:string,fact_finding_deadline:string,owner_review_target:string,immediate_action:string,rubric_version:string>"
+    "struct<event_type:string,secondary_types:array<string>,owner:string,secondary_owners:array<string>,impact:string,urgency:string,"
+    "priority:string,notification:string,page_now:boolean,page_target:string,response:string,ack_target:string,handling:string,"
+    "provisional:boolean,provisional_reason:string,missing_facts:array<string>,triage_owner:string,fact_finding_deadline:string,"
+    "owner_review_target:string,immediate_action:string,applied_rules:array<struct<rule:string,reason:string>>,rubric_version:string>"
 )
 CASE = (
     "case_id string, cohort string, split string, dataset_kind string, pair_id string, pair_role string, parent_case_id string, "
