@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixtures as fx
 from alertloom.operators import counterfactuals as cf
+from alertloom.operators import lint as li
 from alertloom.operators import rubric as rb
 from alertloom.operators import templates as tp
 from alertloom.operators import threads as th
@@ -155,54 +156,82 @@ def u5_distinct_terms(spark, sf_dir):
     return rd.distinct_terms(fx.table(spark, sf_dir, "conversations").select(F.lower("role").alias("term")))[1]
 
 
-_DIGEST = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+def _digest_sql(columns, table, by=""):
+    text = " || ".join(f"coalesce(length(({c})::VARCHAR) || ':' || ({c})::VARCHAR, 'n')" for c in columns)
+    sums = ", ".join(f"sum(('0x' || substr(d, {8 * k + 1}, 8))::BIGINT::HUGEINT)" for k in range(fp.LANES))
+    group = f"{by}, " if by else ""
+    return f"SELECT {group}count(*) AS rows, sha256(concat_ws(',', {sums})) AS digest FROM (SELECT {group}sha256({text}) AS d FROM {table})" + (f" GROUP BY {by}" if by else "")
 
 
-@query(
-    "s8_fingerprint",
-    "SELECT count(*) AS rows, sum({d})::BIGINT AS digest_sum, bit_xor({d}) AS digest_xor FROM lineitem".format(
-        d=_DIGEST.format(
-            "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity * 100)::BIGINT, round(l_extendedprice * 100)::BIGINT, "
-            "round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, l_returnflag, l_linestatus, epoch(l_shipdate)::BIGINT)"
-        )
-    ),
+_LINE = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "round(l_quantity * 100)::BIGINT", "round(l_extendedprice * 100)::BIGINT", "round(l_discount * 100)::BIGINT",
+    "round(l_tax * 100)::BIGINT", "l_returnflag", "l_linestatus", "epoch(l_shipdate)::BIGINT",
 )
+
+
+@query("s8_fingerprint", _digest_sql(_LINE, "lineitem"))
 def s8_fingerprint(spark, sf_dir):
     """Every column counts; amounts go in as hundredths and times as seconds, which read the same everywhere."""
     cents = {c: F.round(F.col(c) * 100).cast("bigint") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
     rows = fx.table(spark, sf_dir, "lineitem").withColumns(cents | {"l_shipdate": F.unix_timestamp("l_shipdate")})
-    return fp.row_digest(rows, *rows.columns)
+    return fp.set_digest(rows, *rows.columns)
 
 
-@query("s8_table_fingerprint")
+@query("s8_table_fingerprint", _digest_sql(("doc_id", "quality", "toxic"), "labels"))
 def s8_table_fingerprint(spark, sf_dir):
-    return fp.table_fingerprint(fx.table(spark, sf_dir, "lineitem"))
+    return fp.table_fingerprint(fx.table(spark, sf_dir, "labels"))
+
+
+@query("s8_set_digest_by", _digest_sql(("doc_id", "text", "lang", "n_chars"), "documents", "source"))
+def s8_set_digest_by(spark, sf_dir):
+    """A digest of each source's documents, whole texts included."""
+    return fp.set_digest(fx.table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "n_chars", by="source")
 
 
 @query(
-    "s9_verify_manifest",
-    fx.sql_with("cases") + """SELECT split AS file, 'rows does not match manifest' AS problem FROM (SELECT DISTINCT split FROM cases) WHERE split = 'val'
-UNION ALL SELECT 'extra', 'listed in manifest but missing' UNION ALL SELECT 'train', 'digest does not match manifest'""",
+    "s8_file_sha256",
+    """SELECT event_id, sha256(row || chr(10)) AS sha256, strlen(row)::BIGINT + 1 AS bytes FROM (SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS row FROM events WHERE event_id % 500 = 0)""",
 )
-def s9_verify_manifest(spark, sf_dir):
-    """A manifest of digests over whole cases, with one count changed, one file missing, and one event altered on disk."""
-    stored = _stored_cases(spark, sf_dir)
-    columns = [c for c in stored.columns if c != "split"]
+def s8_file_sha256(spark, sf_dir):
+    """Files of one row, one per event of the set asked for, each hashed as it is on disk."""
+    path = work_path(spark, "hashed")
+    rows = fx.table(spark, sf_dir, "events").where("event_id % 500 = 0")
+    rows.select(F.to_json(F.struct("event_type", "user_id")).alias("value"), "event_id").write.partitionBy("event_id").text(path)
+    files = fp.file_fingerprints(spark, path).where(~F.col("file").rlike("^[._]"))
+    return files.select(F.regexp_extract("path", "event_id=(\\d+)/", 1).cast("bigint").alias("event_id"), "sha256", "bytes")
 
-    def digests(df):
-        whole = F.concat_ws("|", *[F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in columns])
-        part = F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("bigint")
-        return df.groupBy(F.col("split").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.sum(part).alias("digest"))
 
-    splits = ("train", "val", "test")
-    listed = digests(rd.read_cases(spark, _written(spark, sf_dir), splits))
-    tampered = listed.withColumn("rows", F.when(F.col("file") == "val", F.col("rows") + 1).otherwise(F.col("rows")))
-    extra = listed.where(F.col("file") == "test").withColumn("file", F.lit("extra"))
+def _dataset(spark, sf_dir, tampered=False):
     path = work_path(spark, "cases")
-    first = stored.where("split = 'train'").agg(F.min("case_id")).first()[0]
-    altered = F.when(F.col("case_id") == first, F.col("event").withField("host", F.lit("altered"))).otherwise(F.col("event"))
-    wr.write_splits(stored.withColumn("event", altered), path)
-    return fp.verify_manifest(tampered.unionByName(extra), digests(rd.read_cases(spark, path, splits)))
+    stored = _stored_cases(spark, sf_dir)
+    if tampered:
+        stored = stored.withColumn("event", F.col("event").withField("raw", F.when(F.col("case_id").cast("bigint") % 91 == 0, "see 10.9.8.7").otherwise(F.col("event.raw"))))
+    wr.write_splits(stored, path)
+    cases = rd.read_cases(spark, path, ("train", "val", "test"))
+    return cases, fp.manifest_of(spark, cases, path)
+
+
+@query(
+    "s9_verify_manifest",
+    """SELECT 'train' AS split, 'sha256 does not match manifest' AS problem UNION ALL SELECT 'val', 'bytes does not match manifest' UNION ALL SELECT 'test', 'cases does not match manifest'
+UNION ALL SELECT 'extra', 'listed in manifest but missing'""",
+)
+def s9_verify_manifest(spark, sf_dir):
+    """A manifest with other hashes, sizes and counts of cases for the files of one split each, and a file that is not there."""
+    cases, manifest = _dataset(spark, sf_dir)
+    of = F.regexp_extract("file", "split=(\\w+)/", 1)
+    wrong = manifest.withColumn("sha256", F.when(of == "train", F.sha2("sha256", 256)).otherwise(F.col("sha256"))).withColumn("bytes", F.col("bytes") + (of == "val").cast("int"))
+    wrong = wrong.withColumn("cases", F.col("cases") + (of == "test").cast("int"))
+    extra = manifest.limit(1).withColumn("file", F.lit("split=extra/part-0.json"))
+    found = fp.verify_dataset(wrong.unionByName(extra), manifest, li.string_rules(cases))
+    return found.select(of.alias("split"), "problem").distinct()
+
+
+@query("s9_clean_then_lint", "SELECT 'foreign_ip: ' || event_id || ': 10.9.8.7' AS problem FROM events WHERE event_id % 91 = 0")
+def s9_clean_then_lint(spark, sf_dir):
+    """Files that agree with their manifest, so the lint is run on what they hold."""
+    cases, manifest = _dataset(spark, sf_dir, tampered=True)
+    return fp.verify_dataset(manifest, manifest, li.string_rules(cases)).select("problem")
 
 
 @query("s10_write_report_tables", _matrix_sql())

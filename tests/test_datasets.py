@@ -246,6 +246,35 @@ def test_fingerprints(spark, tmp_path):
         fp.require_clean(spark.createDataFrame(got, "file string, problem string"))
 
 
+def test_files_of_any_kind_are_hashed_as_they_are(spark, tmp_path):
+    rng = random.Random(1)
+    bodies = {"empty": b"", "feeds": b"\n\n\n", "open end": b"a\nb", "crlf.txt": b"x\r\ny\r\n", "long line": b"z" * 300_000 + b"\n", "plus+%20 ü": b"1", "random.bin": rng.randbytes(200_000), "deep/inside": rng.randbytes(5000) + b"\n"}
+    bodies |= {f"many/{i}": f"line {i}\n".encode() * (i + 1) for i in range(60)}
+    for name, body in bodies.items():
+        path = tmp_path / "data" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # the session's own splits do not matter
+    try:
+        rows = fp.file_fingerprints(spark, str(tmp_path / "data")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.sha256, r.bytes) for r in rows) == sorted((hashlib.sha256(b).hexdigest(), len(b)) for b in bodies.values() if b)
+
+
+def test_set_digest_tells_rows_apart(spark):
+    digest = lambda rows: fp.set_digest(spark.createDataFrame(rows, "a string, b string"), "a", "b").first().digest
+    base = [("x|", "y"), ("p", None)]
+    assert digest(base) == digest(base[::-1])
+    others = [[("x", "|y"), ("p", None)], [("x|", "y"), ("p", "")], [("x|", "y"), ("p", "n")], base + base[:1], base[:1], []]
+    assert len({digest(base), *map(digest, others)}) == 7
+
+
+def test_every_string_is_found(spark):
+    df = spark.createDataFrame([(("a", [("b", ["c", None]), None], {"k": "v"}, 3), None)], "s struct<x:string,l:array<struct<y:string,z:array<string>>>,m:map<string,string>,n:int>, t struct<q:string>")
+    assert sorted(df.select(lint.all_strings(df, "s", "t").alias("found")).first().found) == ["a", "b", "c", "k", "v"]
+
+
 def test_reports_refuse_non_finite_numbers(spark, tmp_path):
     with pytest.raises(PySparkException):
         wr.write_report_tables({"t": spark.createDataFrame([(float("nan"),)], "x double")}, str(tmp_path / "r"))
