@@ -8,7 +8,10 @@ replicate, which needs no index, so a replicate is a plain sum that combines map
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,15 +49,25 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint")
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) by inverse distribution from a 32-bit uniform integer."""
-    total, term, out = 0.0, math.exp(-1.0), None
+def _poisson_bounds() -> list[int]:
+    total, term, out = 0.0, math.exp(-1.0), []
     for k in range(13):
         total += term
-        bound = int(total * 2**32)
-        out = F.when(u < bound, k) if out is None else out.when(u < bound, k)
+        out.append(int(total * 2**32))
         term /= k + 1
-    return out.otherwise(13)
+    return out
+
+
+#: A 32-bit uniform integer below the k-th bound gives a weight of at most k.
+POISSON_BOUNDS = _poisson_bounds()
+
+
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) by inverse distribution from a 32-bit uniform integer."""
+    out = F.when(u < POISSON_BOUNDS[0], 0)
+    for k, bound in enumerate(POISSON_BOUNDS[1:], 1):
+        out = out.when(u < bound, k)
+    return out.otherwise(len(POISSON_BOUNDS))
 
 
 def _draws_by_index(sums: DataFrame, small: DataFrame, seed: int, n_boot: int, rows: int) -> DataFrame:
@@ -108,3 +121,53 @@ def paired_bootstrap(vectors: DataFrame, seed: int = 42, n_boot: int = 2000, con
         r6(F.get("ci", F.lit(1))).alias("ci_high"),
         F.when(F.col("n_clusters") < 2, "an interval needs two clusters or more").alias("na_reason"),
     )
+
+
+SCENARIO_KEYS = ("a", "b", "metric", "scenario")
+
+
+def scenario_bootstrap(pairs: DataFrame, seed: int = 42, n_boot: int = 2000, confidence: float = 0.95) -> DataFrame:
+    """diff, interval, n and n_clusters per candidate pair, metric and scenario, from one set of resamples.
+
+    `pairs` is that of `candidate_pairs` with a `scenario`. Each cluster gets its Poisson(1) weights once, a vector of one per
+    resample, and all its scenarios and metrics share it: a batch of clusters is a product of weights and sums. So many
+    scenarios cost one pass, and their intervals move together. N/A below two clusters.
+    """
+    if not 0 < confidence < 1 or n_boot < 1:
+        raise ValueError("needs a confidence between 0 and 1 and at least one resample")
+    keys = list(SCENARIO_KEYS)
+    sums = cut_lineage(pairs.groupBy(*keys, "cluster").agg(F.sum("diff").cast("double").alias("s"), F.count(F.lit(1)).alias("n")))
+    sizes = cut_lineage(sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n"), F.sum("s").alias("s")))
+    listed = [tuple(r) for r in sizes.select(*keys).orderBy(*keys).collect()]  # one row per pair, metric and scenario
+    numbers = sums.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(listed)], sizes.select(*keys).schema.add("_k", "integer"))
+    cell = F.struct("_k", "s", F.col("n").cast("double").alias("n"))
+    per = sums.join(numbers, keys).groupBy("cluster").agg(F.collect_list(cell).alias("cells"))  # as many as keys
+    weights = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda rep: poisson_weight(_uniform(F.lit(str(seed)), rep.cast("string"), F.col("cluster").cast("string"))).cast("byte"))
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(listed), n_boot))
+        for batch in batches:
+            cells, w = batch.column("cells"), batch.column("w")
+            each = w.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), n_boot)
+            at = np.repeat(np.arange(len(batch)), cells.value_lengths().to_numpy())
+            flat = cells.flatten()
+            number = flat.field("_k").to_numpy()
+            for j, name in enumerate(("s", "n")):
+                dense = np.zeros((len(batch), len(listed)))
+                dense[at, number] = flat.field(name).to_numpy()
+                total[j] += dense.T @ each
+        met = np.flatnonzero(total[1].any(axis=1))
+        for k in met.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * n_boot, pa.int32()), pa.array(range(n_boot), pa.int32()), pa.array(total[0, k]), pa.array(total[1, k])], names=["_k", "rep", "ws", "wn"])
+
+    parts = per.select("cells", weights.alias("w")).mapInArrow(resample, "_k int, rep int, ws double, wn double")
+    reps = parts.groupBy("_k", "rep").agg((F.sum("ws") / F.nullif(F.sum("wn"), F.lit(0.0))).alias("mean")).where("mean IS NOT NULL")
+    tail = (1 - confidence) / 2
+    # a group has n_boot replicates, so this percentile buffer is bounded by n_boot
+    ci = reps.groupBy("_k").agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci")).join(numbers, "_k").drop("_k")
+    enough = F.col("n_clusters") >= 2
+    return sizes.join(ci, keys, "left").select(
+        *keys, "n", "n_clusters", r6(F.col("s") / F.col("n")).alias("diff"),
+        r6(F.when(enough, F.get("ci", F.lit(0)))).alias("ci_low"), r6(F.when(enough, F.get("ci", F.lit(1)))).alias("ci_high"),
+        F.when(~enough, "an interval needs two clusters or more").alias("na_reason"),
+    )

@@ -106,17 +106,20 @@ def gate_rows(
     return d.select("candidate", F.explode(F.array(*cells)).alias("g")).select("candidate", "g.*")
 
 
-def chat_gates(chat: DataFrame, module: Mapping = fv.CHAT_MODULE, rule: str = "wilson_bound") -> DataFrame:
-    """Gates of the chat module from (candidate, metric, num, den) rows; only when the module is on."""
+def chat_gates(names: DataFrame, chat: DataFrame, module: Mapping = fv.CHAT_MODULE, rule: str = "wilson_bound", enabled: bool = True) -> DataFrame:
+    """Gates of the chat module for every candidate of `names`, from (candidate, metric, num, den) rows.
+
+    A candidate without a row for a metric is not evaluated; with the module off there are no gates.
+    """
     limits = {"must_page_recall": module["must_page_recall_min"], "spoof_recall": module["spoof_recall_min"]}
-    parts = [
-        chat.where(F.col("metric") == m).select(
-            "candidate", F.lit(f"chat_{m}_min").alias("gate"), decide_min(F.col("num"), F.col("den"), t, rule).alias("status"),
-            r6(ratio(F.col("num"), F.col("den"))).alias("measured"), F.lit(float(t)).alias("threshold"),
-        )
-        for m, t in limits.items()
-    ]
-    return parts[0].unionByName(parts[1])
+    asked = names.select("candidate").distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m in limits])))
+    limit = F.create_map(*[x for m, t in limits.items() for x in (F.lit(m), F.lit(float(t)))])
+    j = asked.join(chat.select("candidate", "metric", "num", "den"), ["candidate", "metric"], "left")
+    status = F.lit(None).cast("string")
+    for m, t in limits.items():
+        status = F.when(F.col("metric") == m, decide_min(F.coalesce("num", F.lit(0)), F.coalesce("den", F.lit(0)), t, rule)).otherwise(status)
+    out = j.select("candidate", F.concat(F.lit("chat_"), "metric", F.lit("_min")).alias("gate"), status.alias("status"), r6(ratio(F.col("num"), F.col("den"))).alias("measured"), limit[F.col("metric")].alias("threshold"))
+    return out if enabled else out.limit(0)
 
 
 def components(answers: DataFrame, weights: Mapping[str, float] = fv.WEIGHTS, matrix: DataFrame | None = None) -> DataFrame:
@@ -155,12 +158,17 @@ def verdicts(gates: DataFrame, parts: DataFrame, purpose: str = "measurement", m
 
 
 def v1_assess(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """First-generation summary: one typed result per case.
+    """First-generation summary of every candidate: one typed result per case.
 
-    `cases`: id, pair_id, kind, target_choice, target_score, target_noul. `results`: id, status, choice,
-    score, noul_prob, probability_source. Pairs count only when both members answered.
+    `cases`: id, pair_id, kind, target_choice, target_score, target_noul. `results`: candidate, id, status, choice,
+    score, noul_prob, probability_source. A case without a result counts as not covered. Pairs count only when both
+    members answered; a null pair is none.
     """
-    j = cases.join(results, "id", "left")
+    from alertloom.functions.stats import confidence_bin
+
+    names = [r["candidate"] for r in results.select("candidate").distinct().collect()]  # one row per candidate
+    asked = cases.withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in names]))) if names else cases.limit(0).withColumn("candidate", F.lit(""))
+    j = asked.join(results, ["candidate", "id"], "left")
     ok = F.col("status") == "ok"
     kind = F.col("kind")
     right = (
@@ -171,9 +179,7 @@ def v1_assess(cases: DataFrame, results: DataFrame) -> DataFrame:
     scored = F.coalesce(ok & (kind == "noul") & (F.col("probability_source") == "model"), F.lit(False))
     rows = j.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("right", right).withColumn("scored", scored)
     conf = F.greatest(F.col("noul_prob"), 1 - F.col("noul_prob"))
-    from alertloom.functions.stats import confidence_bin
-
-    head = rows.agg(
+    head = rows.groupBy("candidate").agg(
         r6(F.avg(F.when(F.col("ok") & (kind == "choice"), F.col("right").cast("int")))).alias("choice_accuracy"),
         r6(F.avg(F.when(F.col("ok") & (kind == "score"), F.abs(F.col("score") - F.col("target_score"))))).alias("score_mae"),
         r6(F.avg(F.when(F.col("ok") & (kind == "noul"), F.col("right").cast("int")))).alias("noul_accuracy"),
@@ -181,14 +187,14 @@ def v1_assess(cases: DataFrame, results: DataFrame) -> DataFrame:
         r6(F.avg((F.coalesce("status", F.lit("")) == "schema_failure").cast("int"))).alias("schema_failure_rate"),
         r6(F.avg((F.coalesce("status", F.lit("")) == "exception").cast("int"))).alias("exception_rate"),
         r6(F.avg(F.col("ok").cast("int"))).alias("coverage"),
-    ).withColumn("one", F.lit(1))
-    bins = rows.where("scored").groupBy(confidence_bin(F.col("noul_prob"), 10).alias("b")).agg(
+    )
+    bins = rows.where("scored").groupBy("candidate", confidence_bin(F.col("noul_prob"), 10).alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(conf).alias("cs"), F.sum(F.col("right").cast("int")).alias("rs")
     )
-    e = bins.agg(r6(F.sum(F.abs(F.col("rs") - F.col("cs"))) / F.sum("n")).alias("ece")).withColumn("one", F.lit(1))
+    e = bins.groupBy("candidate").agg(r6(F.sum(F.abs(F.col("rs") - F.col("cs"))) / F.sum("n")).alias("ece"))
     pairs = (
-        rows.where(F.col("ok") & (kind != "score")).groupBy("pair_id")
+        rows.where(F.col("ok") & (kind != "score") & F.col("pair_id").isNotNull()).groupBy("candidate", "pair_id")
         .agg(F.count(F.lit(1)).alias("n"), F.bool_and("right").alias("all_right")).where("n = 2")
-        .agg(r6(F.avg(F.col("all_right").cast("int"))).alias("pair_accuracy")).withColumn("one", F.lit(1))
+        .groupBy("candidate").agg(r6(F.avg(F.col("all_right").cast("int"))).alias("pair_accuracy"))
     )
-    return head.join(e, "one").join(pairs, "one").drop("one")
+    return head.join(e, "candidate", "left").join(pairs, "candidate", "left")

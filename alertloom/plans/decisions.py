@@ -181,29 +181,61 @@ def a24_verdict(spark, sf_dir):
 
 @query(
     "a25_v1_assess",
-    fx.sql_with("cases", "outcomes") + """, r AS (SELECT c.case_id, c.pair_id, o.task, o.status, o.value_type = c.gold_event_type AS et, o.value_page = c.gold_page_now AS pg, o.raw_score,
+    fx.sql_with("cases", "outcomes") + """, r AS (SELECT o.candidate, c.case_id, CASE WHEN c.cohort IN ('A', 'B') THEN c.pair_id || ':' || o.task END AS pair_id, o.task, o.status, o.value_type = c.gold_event_type AS et, o.value_page = c.gold_page_now AS pg, o.raw_score,
     CASE c.gold_priority WHEN 'P1' THEN 87.5 WHEN 'P2' THEN 62.5 WHEN 'P3' THEN 37.5 ELSE 12.5 END::DOUBLE AS anchor, o.probability AS p, o.probability_source AS src, CASE WHEN c.gold_page_now THEN 1 ELSE 0 END AS y
-  FROM cases c JOIN outcomes o ON o.case_id = c.case_id AND o.candidate = 'c1' AND o.task = CASE c.cohort WHEN 'A' THEN 'page_now' WHEN 'B' THEN 'event_type' ELSE 'priority' END
-  WHERE c.cohort IN ('A', 'B', 'C')),
-b AS (SELECT least(floor(greatest(p, 1 - p) * 10)::INT, 9) AS bin, count(*) AS n, sum(greatest(p, 1 - p)) AS cs, count(*) FILTER (pg) AS rs FROM r WHERE task = 'page_now' AND src = 'model' GROUP BY 1),
-pr AS (SELECT pair_id, count(*) AS n, bool_and(coalesce(et, pg)) AS ok FROM r WHERE status = 'ok' AND task <> 'priority' GROUP BY 1)
-SELECT round(avg(et::INT) FILTER (task = 'event_type' AND status = 'ok'), 6) AS choice_accuracy, round(avg(abs(raw_score - anchor)) FILTER (task = 'priority' AND status = 'ok'), 6) AS score_mae,
+  FROM cases c JOIN outcomes o ON o.case_id = c.case_id WHERE c.cohort <> 'D'),
+b AS (SELECT candidate, least(floor(greatest(p, 1 - p) * 10)::INT, 9) AS bin, count(*) AS n, sum(greatest(p, 1 - p)) AS cs, count(*) FILTER (pg) AS rs FROM r WHERE task = 'page_now' AND src = 'model' GROUP BY 1, 2),
+pr AS (SELECT candidate, pair_id, count(*) AS n, bool_and(coalesce(et, pg)) AS ok FROM r WHERE status = 'ok' AND task <> 'priority' AND pair_id IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT candidate, round(sum(abs(rs - cs)) / sum(n), 6) AS ece FROM b GROUP BY 1), q AS (SELECT candidate, round(avg(ok::INT), 6) AS pair_accuracy FROM pr WHERE n = 2 GROUP BY 1),
+h AS (SELECT candidate, round(avg(et::INT) FILTER (task = 'event_type' AND status = 'ok'), 6) AS choice_accuracy, round(avg(abs(raw_score - anchor)) FILTER (task = 'priority' AND status = 'ok'), 6) AS score_mae,
   round(avg(pg::INT) FILTER (task = 'page_now' AND status = 'ok'), 6) AS noul_accuracy, round(avg(pow(p - y, 2)) FILTER (src = 'model'), 6) AS brier,
-  round(avg((status = 'schema_failure')::INT), 6) AS schema_failure_rate, round(avg((status = 'exception')::INT), 6) AS exception_rate, round(avg((status = 'ok')::INT), 6) AS coverage,
-  (SELECT round(sum(abs(rs - cs)) / sum(n), 6) FROM b) AS ece, (SELECT round(avg(ok::INT), 6) FROM pr WHERE n = 2) AS pair_accuracy FROM r""",
+  round(avg((status = 'schema_failure')::INT), 6) AS schema_failure_rate, round(avg((status = 'exception')::INT), 6) AS exception_rate, round(avg((status = 'ok')::INT), 6) AS coverage FROM r GROUP BY 1)
+SELECT * FROM h JOIN e USING (candidate) JOIN q USING (candidate)""",
 )
 def a25_v1_assess(spark, sf_dir):
-    """Each case asks one question by cohort: A pages, B event type, C priority; A and B of a pair pair up."""
-    c = fx.cases(spark, sf_dir).where(F.col("cohort").isin("A", "B", "C"))
-    kind = F.when(F.col("cohort") == "A", "noul").when(F.col("cohort") == "B", "choice").otherwise("score")
+    """Every question of every graded case, for every candidate; A and B of a pair pair up on each question."""
+    c = fx.cases(spark, sf_dir).where(F.col("cohort") != "D").withColumn("task", F.explode(F.array(*[F.lit(t) for t in fv.TASKS])))
+    kind = F.when(F.col("task") == "page_now", "noul").when(F.col("task") == "event_type", "choice").otherwise("score")
     anchor = F.try_element_at(F.create_map(*[x for k, v in fv.PRIORITY_ANCHOR.items() for x in (F.lit(k), F.lit(v))]), F.col("gold_priority"))
-    cases = c.select(F.col("case_id").alias("id"), "pair_id", kind.alias("kind"), F.col("gold_event_type").alias("target_choice"), anchor.alias("target_score"), F.col("gold_page_now").alias("target_noul"))
-    wanted = F.when(F.col("case_id") % 5 == 0, "page_now").when(F.col("case_id") % 5 == 1, "event_type").otherwise("priority")
-    o = fx.outcomes(spark, sf_dir).where((F.col("candidate") == "c1") & (F.col("task") == wanted))
-    results = o.select(F.col("case_id").alias("id"), "status", F.col("value_type").alias("choice"), F.col("raw_score").alias("score"), F.col("probability").alias("noul_prob"), "probability_source")
+    named = lambda: F.concat_ws(":", F.col("case_id").cast("string"), "task").alias("id")
+    pair = F.when(F.col("cohort").isin("A", "B"), F.concat_ws(":", F.col("pair_id").cast("string"), "task"))
+    cases = c.select(named(), pair.alias("pair_id"), kind.alias("kind"), F.col("gold_event_type").alias("target_choice"), anchor.alias("target_score"), F.col("gold_page_now").alias("target_noul"))
+    o = fx.outcomes(spark, sf_dir)
+    results = o.select("candidate", named(), "status", F.col("value_type").alias("choice"), F.col("raw_score").alias("score"), F.col("probability").alias("noul_prob"), "probability_source")
     return sc.v1_assess(cases, results)
 
 
+_CHAT_MET = "SELECT candidate, 'must_page_recall' AS metric, num, den FROM m WHERE cohort = 'A' AND metric = 'must_page_recall_strict' UNION ALL SELECT candidate, 'spoof_recall', num, den FROM m WHERE cohort = 'B_prime' AND metric = 'spoof_escalation_kept_strict' AND candidate = 'c0'"
+
+
+@query(
+    "a23_chat_gates",
+    "WITH m AS (SELECT * FROM (" + _matrix_sql() + ")), met AS (" + _CHAT_MET + f""" UNION ALL SELECT 'c1', 'spoof_recall', NULL, NULL),
+b AS (SELECT *, {_LOW} AS lo, {_HIGH} AS hi, CASE metric WHEN 'must_page_recall' THEN {fv.CHAT_MODULE['must_page_recall_min']} ELSE {fv.CHAT_MODULE['spoof_recall_min']} END::DOUBLE AS threshold FROM met)
+SELECT candidate, 'chat_' || metric || '_min' AS gate, CASE WHEN coalesce(den, 0) = 0 THEN 'not_evaluated' WHEN lo >= threshold THEN 'pass' WHEN hi < threshold THEN 'fail' ELSE 'inconclusive' END AS status,
+  CASE WHEN den > 0 THEN round(num::DOUBLE / den, 6) END AS measured, threshold FROM b""",
+)
+def a23_chat_gates(spark, sf_dir):
+    """One candidate lacks a chat measure: its gate is open, not gone."""
+    m = cm.cohort_matrix(test_answers(spark, sf_dir))
+    must = m.where((F.col("cohort") == "A") & (F.col("metric") == "must_page_recall_strict")).select("candidate", F.lit("must_page_recall").alias("metric"), "num", "den")
+    spoof = m.where((F.col("cohort") == "B_prime") & (F.col("metric") == "spoof_escalation_kept_strict") & (F.col("candidate") == "c0")).select("candidate", F.lit("spoof_recall").alias("metric"), "num", "den")
+    return sc.chat_gates(m, must.unionByName(spoof))
+
+
+@query(
+    "a23_p95_gate",
+    _GATE_SQL + " SELECT candidate, 'p95_ms_max' AS gate, CASE WHEN p95 <= 10.2 THEN 'pass' ELSE 'fail' END AS status, round(p95, 6) AS measured, 10.2::DOUBLE AS threshold FROM lat",
+)
+def a23_p95_gate(spark, sf_dir):
+    """The latency gate with a budget and on the hardware it is meant for."""
+    outcomes = fx.outcomes(spark, sf_dir).where(F.col("split") == "test")
+    latency = cal.latency_summary(outcomes.where(F.col("status") == "ok"))
+    gates = dict(fv.GATES) | {"p95_ms_max": 10.2, "target_hardware_substring": "test machine"}
+    rows = sc.gate_rows(test_answers(spark, sf_dir), outcomes, latency, _operational(spark, sf_dir), HARDWARE, gates)
+    return rows.where(F.col("gate") == "p95_ms_max")
+
+
 # ------------------------------------------------------------------ further measures
 _G = W3 + ", " + _GROUPS + ", g AS (SELECT *, CASE WHEN gold_page_now THEN 1 ELSE 0 END AS y, pg_value = gold_page_now AS hit FROM answers WHERE split = 'test' AND gold_event_type IS NOT NULL)"
 _GV = _G + ", v AS (SELECT *, CASE WHEN gold_page_now THEN 1 ELSE 0 END AS y FROM answers WHERE split = 'val' AND gold_event_type IS NOT NULL AND pg_prob IS NOT NULL)"
@@ -324,12 +356,22 @@ def d10_disagreements(spark, sf_dir):
     return ex.disagreements(_two_labelers(spark, sf_dir))
 
 
+_D12_REPS = 200
+
+
 @query(
     "d12_ablation_difference",
-    _PAIRS + """, ab AS (SELECT c.cohort AS scenario, metric, count(*) AS n, round(avg(diff), 6) AS diff FROM diffs JOIN cases c USING (case_id) GROUP BY ALL) SELECT * FROM ab""",
+    _PAIRS + f""", ab AS (SELECT c.cohort AS scenario, metric, cluster, sum(diff) AS s, count(*) AS n FROM diffs JOIN cases c USING (case_id) GROUP BY ALL),
+w AS (SELECT cluster, rep, (SELECT count(*) FROM (SELECT unnest([{", ".join(str(b) for b in bs.POISSON_BOUNDS)}]) AS b) WHERE b <= u) AS k FROM (
+  SELECT cluster, rep, ('0x' || substr(md5('42:' || rep || ':' || cluster), 1, 8))::BIGINT AS u FROM (SELECT DISTINCT cluster FROM ab), range({_D12_REPS}) r(rep))),
+reps AS (SELECT scenario, metric, rep, sum(k * s) / sum(k * n) AS mean FROM ab JOIN w USING (cluster) GROUP BY ALL HAVING sum(k * n) > 0),
+ci AS (SELECT scenario, metric, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM reps GROUP BY ALL),
+head AS (SELECT scenario, metric, sum(n)::BIGINT AS n, count(*) AS n_clusters, round(sum(s) / sum(n), 6) AS diff FROM ab GROUP BY ALL)
+SELECT scenario, metric, n, n_clusters, diff, CASE WHEN n_clusters >= 2 THEN ci_low END AS ci_low, CASE WHEN n_clusters >= 2 THEN ci_high END AS ci_high FROM head LEFT JOIN ci USING (scenario, metric)""",
 )
 def d12_ablation_difference(spark, sf_dir):
-    """Mean paired difference per scenario (here the cohort), candidate against baseline."""
+    """Paired difference per scenario (here the cohort) with its interval, candidate against baseline."""
     pairs = bs.candidate_pairs(_vectors(spark, sf_dir))
     scenario = fx.cases(spark, sf_dir).where(F.col("split") == "test").select("case_id", F.col("cohort").alias("scenario"))
-    return pairs.join(scenario, "case_id").groupBy("scenario", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("diff"), 6).alias("diff"))
+    out = bs.scenario_bootstrap(pairs.join(scenario, "case_id"), n_boot=_D12_REPS)
+    return out.select("scenario", "metric", "n", "n_clusters", "diff", "ci_low", "ci_high")
