@@ -239,8 +239,12 @@ def expected_matches_label(cases: DataFrame) -> DataFrame:
     return cases.where(~same).select(F.lit("expected_differs_from_label").alias("rule"), F.col("case_id").cast("string").alias("key"), F.col("cohort").alias("detail"))
 
 
-def catalog_contract(templates: DataFrame, pools: DataFrame, min_pool: int = 3) -> DataFrame:
-    """Pool members unknown to the catalog, templates in two pools, pools too small, repeated template ids."""
+def catalog_contract(templates: DataFrame, pools: DataFrame, min_pool: int = 3, min_pairing: int = 4) -> DataFrame:
+    """Pool members unknown to the catalog, templates in two pools, pools too small, repeated template ids.
+
+    A pool with `pairs` set, from which pairs are made too, needs `min_pairing` templates.
+    """
+    pairs = F.coalesce(F.max("pairs"), F.lit(False)) if "pairs" in pools.columns else F.lit(False)
     unknown = pools.join(templates.select("template_id"), "template_id", "left_anti").select(
         F.lit("unknown_template").alias("rule"), F.col("template_id").cast("string").alias("key"), F.col("pool").cast("string").alias("detail")
     )
@@ -249,7 +253,8 @@ def catalog_contract(templates: DataFrame, pools: DataFrame, min_pool: int = 3)
         .select(F.lit("template_in_two_pools").alias("rule"), F.col("template_id").cast("string").alias("key"), F.concat_ws(",", F.col("a").cast("string"), F.col("b").cast("string")).alias("detail"))
     )
     small = (
-        pools.select("pool", "template_id").distinct().groupBy("pool").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_pool)
+        pools.groupBy("pool").agg(F.count_distinct("template_id").alias("n"), pairs.alias("pairs"))
+        .where(F.col("n") < F.when(F.col("pairs"), min_pairing).otherwise(min_pool))
         .select(F.lit("pool_too_small").alias("rule"), F.col("pool").cast("string").alias("key"), F.col("n").cast("string").alias("detail"))
     )
     repeated = (
@@ -259,6 +264,24 @@ def catalog_contract(templates: DataFrame, pools: DataFrame, min_pool: int = 3)
     return union_violations([unknown, shared, small, repeated])
 
 
+def plan_contract(terms: DataFrame, families: DataFrame, held_out: Sequence[str] = ("val", "test")) -> DataFrame:
+    """Topics without a term for a split, terms listed more than once, splits for which no wrapper family is held out.
+
+    `terms` is (topic, split, term), `families` (name, split).
+    """
+    lists = F.transform(F.array(*[F.lit(s) for s in fv.SPLITS]), lambda s: F.when(~F.array_contains(F.collect_set("split"), s), s))
+    bare = terms.where("term IS NOT NULL").groupBy("topic").agg(F.array_compact(lists).alias("none")).where(F.size("none") > 0)
+    missing = bare.select(F.lit("topic_without_term").alias("rule"), F.col("topic").alias("key"), F.array_join("none", ",").alias("detail"))
+    repeated = (
+        terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select(F.lit("term_not_unique").alias("rule"), F.col("term").alias("key"), F.col("n").cast("string").alias("detail"))
+    )
+    found = families.agg(*[F.count_if(F.col("split") == s).alias(s) for s in held_out])
+    gaps = F.array_compact(F.array(*[F.when(F.col(s) == 0, s) for s in held_out]))
+    unheld = found.select(F.explode(gaps).alias("key")).select(F.lit("no_family_held_out").alias("rule"), "key", F.lit("wrapper family").alias("detail"))
+    return union_violations([missing, repeated, unheld])
+
+
 def tallies(cases: DataFrame) -> DataFrame:
     """Counts by cohort, split, split/cohort, gold type, priority and page: one pass, then sums of the small table."""
     fine = cases.groupBy("cohort", "split", "gold_event_type", "gold_priority", "gold_page_now").agg(F.count(F.lit(1)).alias("c"))

@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertloom import fixed_values as fv
 
-RENDER_VERSION = "state-render-1"
+RENDER_VERSION = "state-render-2"
 
 
-def render_state(include_signal: bool = True) -> Column:
-    """Text from an allow-list of event and context fields; keys are in alphabetical order.
+def in_key_order(value: Column, kind: T.DataType) -> Column:
+    """The same value with the fields of every struct inside it in alphabetical order, by the schema."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[in_key_order(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(value, lambda x: in_key_order(x, kind.elementType))
+    return value
 
-    Labels, evidence and pair metadata are never read, so they cannot reach a candidate.
+
+def render_state(schema: T.StructType, include_signal: bool = True) -> Column:
+    """Text from an allow-list of event and context fields of rows of `schema`; keys are in alphabetical order at every depth.
+
+    The lines of the event's window follow its own. Labels, evidence and pair metadata are never read, so they cannot reach a
+    candidate.
     """
     e = F.col("event")
+    window = [e["window"]] if "window" in schema["event"].dataType.names else []
     iso = F.date_format(e["ts"], "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fields = [e["host"].alias("host"), e["service"].alias("service")]
     if include_signal:
@@ -25,8 +38,9 @@ def render_state(include_signal: bool = True) -> Column:
         "\n",
         F.concat(F.lit("EVENT format="), F.coalesce(e["format"], F.lit("unknown"))),
         e["raw"],
+        *window,
         F.concat(F.lit("EVENT FIELDS "), F.to_json(F.struct(*fields))),
-        F.concat(F.lit("CONTEXT "), F.to_json(F.col("context"))),
+        F.concat(F.lit("CONTEXT "), F.to_json(in_key_order(F.col("context"), schema["context"].dataType))),
     )
 
 
@@ -55,7 +69,7 @@ def to_task_calls(cases: DataFrame, with_target: bool, include_signal: bool = Tr
         for t in fv.TASKS
     ]
     return (
-        cases.withColumn("state", render_state(include_signal))
+        cases.withColumn("state", render_state(cases.schema, include_signal))
         .select("case_id", "pair_id", (F.col("cohort") == "B_prime").alias("adversarial"), "state", F.explode(F.array(*items)).alias("x"))
         .select("case_id", "pair_id", "adversarial", "state", "x.*")
     )

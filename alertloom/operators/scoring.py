@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,8 +119,11 @@ def batch_score(
             out["options"] = [list(o) if o is not None else [] for o in batch["options"]]
             yield out[["candidate", "case_id", "task", "options", "status", "choice", "choice_probs", "score", "prob", "probability_source", "error"]]
 
+    return _with_undeclared(blind, candidate, supported, lambda calls: calls.mapInPandas(run, schema))
+
+
+def _with_undeclared(blind: DataFrame, candidate: str, supported: Sequence[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     declared = F.col("task").isin(*supported)
-    scored = blind.where(declared).mapInPandas(run, schema)
     skipped = blind.where(~declared).select(
         F.lit(candidate).alias("candidate"),
         "case_id",
@@ -125,4 +131,68 @@ def batch_score(
         F.lit("unsupported").alias("status"),
         F.lit("task not among the candidate's declared tasks").alias("error"),
     )
-    return to_outcomes(scored).unionByName(skipped, allowMissingColumns=True)
+    return to_outcomes(score(blind.where(declared))).unionByName(skipped, allowMissingColumns=True)
+
+
+#: Scorers of this worker process, by candidate and the digest of the function that made them.
+_LOADED: dict[tuple[str, str], Callable] = {}
+
+
+def loaded(candidate: str, maker: bytes) -> Callable:
+    """The candidate's scorer, made once in this worker; a worker keeps one scorer at a time."""
+    key = (candidate, hashlib.sha256(maker).hexdigest())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = cloudpickle.loads(maker)()
+    return _LOADED[key]
+
+
+def batch_score_arrow(
+    calls: DataFrame,
+    candidate: str,
+    make_scorer: Callable[[], Callable[[pa.RecordBatch], Sequence[dict]]],
+    supported: Sequence[str] = fv.TASKS,
+    rows: int = 1024,
+) -> DataFrame:
+    """`batch_score` for scorers that take many calls at once.
+
+    `make_scorer` runs once per worker process, not per task, so a model is loaded once. What it returns scores a record batch of
+    at most `rows` calls: one dict per call, choice / choice_probs / score / prob, or `status` and `error`. If a batch raises
+    or gives another number of results, its halves are scored apart, down to the call that fails, which keeps its own error.
+    """
+    maker = cloudpickle.dumps(make_scorer)
+    case_type = calls.schema["case_id"].dataType.simpleString()
+    visible = [c for c in ("case_id", "task", "kind", "question", "options", "state", "adversarial") if c in calls.columns]
+    cap = fv.ERROR_TEXT_CAP
+    empty = {"status": "ok", "choice": None, "choice_probs": None, "score": None, "prob": None, "probability_source": "model", "error": None}
+
+    def failed(exc: Exception) -> dict:
+        status = "unsupported" if isinstance(exc, Unsupported) else "schema_failure" if isinstance(exc, SchemaFailure) else "exception"
+        return {"status": status, "error": str(exc)[:cap] if status != "exception" else f"{type(exc).__name__}: {str(exc)[:cap]}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = loaded(candidate, maker)
+
+        def score(part: pa.RecordBatch) -> list[dict]:
+            try:
+                found = list(scorer(part))
+                if len(found) != len(part):
+                    raise SchemaFailure(f"{len(found)} results for {len(part)} calls")
+                return [dict(r) for r in found]
+            except Exception as exc:  # a backend failure is recorded, never turned into a prediction
+                if len(part) == 1:
+                    return [failed(exc)]
+                half = len(part) // 2
+                return score(part.slice(0, half)) + score(part.slice(half))
+
+        number = pa.float64()
+        kinds = {"status": pa.string(), "choice": pa.string(), "choice_probs": pa.map_(pa.string(), number), "score": number, "prob": number, "probability_source": pa.string(), "error": pa.string()}
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                found = [empty | r for r in score(part)]
+                columns = {name: pa.array([list(r[name].items()) if isinstance(r[name], dict) else r[name] for r in found], kind) for name, kind in kinds.items()}
+                head = {"candidate": pa.array([candidate] * len(part)), "case_id": part.column("case_id"), "task": part.column("task"), "options": part.column("options")}
+                yield pa.RecordBatch.from_arrays([*head.values(), *columns.values()], names=[*head, *columns])
+
+    return _with_undeclared(calls.select(*visible), candidate, supported, lambda declared: declared.mapInArrow(run, RAW_SCHEMA.format(case_type=case_type)))

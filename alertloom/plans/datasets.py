@@ -292,13 +292,29 @@ def v2_expected_matches_label(spark, sf_dir):
     "v7_catalog_contract",
     """WITH t AS (SELECT doc_id AS template_id FROM labels), p AS (SELECT doc_id AS template_id, source AS pool FROM documents)
 SELECT 'unknown_template' AS rule, CAST(template_id AS VARCHAR) AS key, pool AS detail FROM p WHERE template_id NOT IN (SELECT template_id FROM t)
-UNION ALL SELECT 'pool_too_small', pool, CAST(count(*) AS VARCHAR) FROM p GROUP BY pool HAVING count(*) < 50""",
+UNION ALL SELECT 'pool_too_small', pool, CAST(count(*) AS VARCHAR) FROM p GROUP BY pool HAVING count(*) < CASE WHEN pool IN ('src1', 'src2', 'src3') THEN 60 ELSE 50 END""",
 )
 def v7_catalog_contract(spark, sf_dir):
     """Documents as pool members (pool = source), labeled documents as the catalog."""
     catalog = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("template_id"))
-    pools = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("template_id"), F.col("source").alias("pool"))
-    return li.catalog_contract(catalog, pools, min_pool=50)
+    pools = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("template_id"), F.col("source").alias("pool"), F.col("source").isin("src1", "src2", "src3").alias("pairs"))
+    return li.catalog_contract(catalog, pools, min_pool=50, min_pairing=60)
+
+
+@query(
+    "v7_plan_contract",
+    """WITH t AS (SELECT source AS topic, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, split_part(text, ' ', 1) AS term FROM documents WHERE doc_id % 10 = 0)
+SELECT 'topic_without_term' AS rule, topic AS key, array_to_string(list_filter(['train', 'val', 'test'], lambda s: NOT list_contains(list(split), s)), ',') AS detail FROM t GROUP BY topic HAVING count(DISTINCT split) < 3
+UNION ALL SELECT 'term_not_unique', term, CAST(count(*) AS VARCHAR) FROM t GROUP BY term HAVING count(*) > 1
+UNION ALL SELECT 'no_family_held_out', 'test', 'wrapper family'""",
+)
+def v7_plan_contract(spark, sf_dir):
+    """A tenth of the documents as terms of topics, and wrapper families of which none is held out for the test."""
+    d = fx.table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int"))
+    terms = d.select(F.col("source").alias("topic"), split.alias("split"), F.split_part("text", F.lit(" "), F.lit(1)).alias("term"))
+    families = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("val").alias("split"))
+    return li.plan_contract(terms, families)
 
 
 @query("j9_unknown_ids", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from alertloom import fixtures as fx
 from alertloom.operators import counterfactuals as cf
@@ -13,7 +14,7 @@ from alertloom.operators import threads as th
 from alertloom.plans.labeling import flat_label
 from alertloom.plans.metrics import _matrix_sql, test_answers
 from alertloom.plans.texts import whole_threads, extracted
-from alertloom.session import work_path
+from alertloom.session import cut_lineage, work_path
 from alertloom.sources import fingerprint as fp
 from alertloom.sources import readers as rd
 from alertloom.sources import writers as wr
@@ -66,6 +67,19 @@ def s6_write_splits(spark, sf_dir):
     return c.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min(i).alias("first_id"), F.max(i).alias("last_id"))
 
 
+@query("s6_split_order", fx.sql_with("cases") + "SELECT split, count(*) AS n, 0::BIGINT AS out_of_order, 0::BIGINT AS files_that_overlap FROM cases GROUP BY 1")
+def s6_split_order(spark, sf_dir):
+    """Rows as they stand in their files: none before its predecessor, and no file that reaches into the next."""
+    path = _written(spark, sf_dir)
+    lines = spark.read.text(path).select("split", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    key = F.struct(F.get_json_object("value", "$.cohort").alias("cohort"), F.get_json_object("value", "$.case_id").alias("case_id"))
+    rows = cut_lineage(lines.select("split", "file", "block", "at", key.alias("key")))
+    inside = rows.withColumn("before", F.lag("key").over(Window.partitionBy("split", "file", "block").orderBy("at")))
+    files = inside.groupBy("split", "file", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("key") < F.col("before")).alias("wrong"), F.min("key").alias("low"), F.max("key").alias("high"))
+    nexts = files.withColumn("last", F.max("high").over(Window.partitionBy("split").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)))  # one row per file
+    return nexts.groupBy("split").agg(F.sum("n").alias("n"), F.sum("wrong").alias("out_of_order"), F.count_if(F.col("low") < F.col("last")).alias("files_that_overlap"))
+
+
 @query("v5_context_contract", "SELECT CAST(event_id AS VARCHAR) AS case_id, 'event is missing ts' AS error FROM events WHERE event_id % 59 = 0")
 def v5_context_contract(spark, sf_dir):
     """Stored cases whose event time lost its offset."""

@@ -383,12 +383,29 @@ def p7_thread_to_case(spark, sf_dir):
 
 # ------------------------------------------------------------------ rendering
 _STATE = """SELECT event_id AS case_id, 'EVENT format=event' || chr(10) || event_type || chr(10) || 'EVENT FIELDS {"host":"' || user_id || '","signal":"' || event_type || '","ts":"'
-  || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' || chr(10) || 'CONTEXT {"asset":{"host":"' || user_id || '","criticality":"low"},"active_changes":[],"active_incidents":[]}' AS state FROM events"""
+  || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' || chr(10) || 'CONTEXT {"active_changes":[],"active_incidents":[],"asset":{"criticality":"low","host":"' || user_id || '"}}' AS state FROM events"""
 
 
 @query("p2_render_state", _STATE)
 def p2_render_state(spark, sf_dir):
-    return cf.to_nested(fx.evidence(spark, sf_dir)).select("case_id", rd.render_state().alias("state"))
+    cases = cf.to_nested(fx.evidence(spark, sf_dir))
+    return cases.select("case_id", rd.render_state(cases.schema).alias("state"))
+
+
+@query(
+    "p2_render_window",
+    """SELECT event_id AS case_id, 'EVENT format=event' || chr(10) || event_type || CASE event_id % 3 WHEN 1 THEN chr(10) || 'before ' || event_id WHEN 2 THEN chr(10) || 'a' || chr(10) || 'b' ELSE '' END || chr(10)
+  || 'EVENT FIELDS {"host":"' || user_id || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' || chr(10)
+  || 'CONTEXT {"active_changes":[{"end":"e","expected_signals":[{"max_impact":"low","signal":"s"}],"hosts":["h"],"id":"C1"}],"asset":{"criticality":"low","host":"' || user_id || '"}}' AS state FROM events""",
+)
+def p2_render_window(spark, sf_dir):
+    """Cases with window lines and a change, the signal hidden."""
+    c = F.col("case_id")
+    window = F.when(c % 3 == 1, F.array(F.concat(F.lit("before "), c.cast("string")))).when(c % 3 == 2, F.array(F.lit("a"), F.lit("b")))
+    change = F.expr("array(named_struct('id', 'C1', 'hosts', array('h'), 'end', 'e', 'expected_signals', array(named_struct('signal', 's', 'max_impact', 'low'))))")
+    nested = cf.to_nested(fx.evidence(spark, sf_dir))
+    cases = nested.withColumn("event", F.col("event").withField("window", window)).withColumn("context", F.struct("context.asset", change.alias("active_changes")))
+    return cases.select("case_id", rd.render_state(cases.schema, include_signal=False).alias("state"))
 
 
 def _call_cases(spark, sf_dir):
@@ -453,6 +470,19 @@ def x1_batch_score(spark, sf_dir):
     return batch_score(calls, "signal", score_by_signal, supported=("event_type", "page_now")).select("candidate", "case_id", "task", "status", "value_type", "value_page")
 
 
+def load_scorer():
+    """The same candidate for whole batches; a call it refuses fails its batch, as a real backend would."""
+    return lambda batch: [score_by_signal(call) for call in batch.to_pylist()]
+
+
+@query("x1_batch_score_arrow", ORACLES["x1_batch_score"])
+def x1_batch_score_arrow(spark, sf_dir):
+    from alertloom.operators.scoring import batch_score_arrow
+
+    calls = rd.to_task_calls(_call_cases(spark, sf_dir), with_target=False)
+    return batch_score_arrow(calls, "signal", load_scorer, supported=("event_type", "page_now")).select("candidate", "case_id", "task", "status", "value_type", "value_page")
+
+
 @query(
     "v6_result_contract",
     fx.sql_with("outcomes") + """SELECT candidate, task, count(*) FILTER (bad) AS broken, count(*) AS n FROM (
