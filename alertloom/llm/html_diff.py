@@ -81,17 +81,17 @@ def shared_positions(a: list, b: list) -> list[int]:
 def deletions(own: list, kinds: list, others: list[list]) -> list[int]:
     """Positions of the lines of a page that are boilerplate by what other pages, the nearest first, share.
 
-    `kinds` has OUTSIDE for lines that go anyway. Template is what more than half of the others share, or a quarter and
+    `kinds` has OUTSIDE for lines that markup drops anyway; those that the nearest page or most pages share count as found here
+    too. Template is what more than half of the others share, or a quarter and
     three at least. Another page is a copy if it has all (or more than half) of the other lines, or has no others of its own.
     Lines that markup calls article go only if INSIDE_PAGES and two thirds of the pages that are no copies share them.
     """
     free = {i for i, kind in enumerate(kinds) if kind != OUTSIDE}
-    shared = [free.intersection(shared_positions(own, other)) for other in others]
+    met = [set(shared_positions(own, other)) for other in others]
+    shared = [free & some for some in met]
     times = Counter(i for some in shared for i in some)
-    if not times:
-        return []
-    need = min(len(others) // 2 + 1, max(3, -(-len(others) // 4)), max(min(2, len(others)), *times.values()))
-    template = {i for i in free if times[i] >= need}
+    need = min(len(others) // 2 + 1, max(3, -(-len(others) // 4)), max(min(2, len(others)), *times.values(), 0))
+    template = {i for i in free if times[i] >= need} if times else set()
     rest = free - template
     known = {own[i] for i in template} | {x for x, kind in zip(own, kinds, strict=True) if kind == OUTSIDE}
 
@@ -99,12 +99,15 @@ def deletions(own: list, kinds: list, others: list[list]) -> list[int]:
         theirs = {x for x in other if x not in known}
         return 2 * len(rest & some) > len(rest) or rest <= some or theirs <= {own[i] for i in some}
 
-    telling = [some for other, some in zip(others, shared, strict=True) if not is_copy(other, some)]
+    telling = [k for k, (other, some) in enumerate(zip(others, shared, strict=True)) if not is_copy(other, some)]
     if not telling:
         return []
-    pages = Counter(i for some in telling for i in some)
+    nearest = met[telling[0]]
+    pages = Counter(i for k in telling for i in shared[k])
     several = {i for i, n in pages.items() if n >= INSIDE_PAGES and 3 * n >= 2 * len(telling)}
-    return sorted(i for i in free if (i in several if kinds[i] == INSIDE else i in telling[0] or i in template))
+    all_times = Counter(i for some in met for i in some)
+    outside = {i for i in all_times if i not in free and (i in nearest or 2 * all_times[i] > len(others))}
+    return sorted(outside | {i for i in free if (i in several if kinds[i] == INSIDE else i in nearest or i in template)})
 
 
 def page_lines(found: list[Block]) -> tuple[list[int], list[int]]:
@@ -165,7 +168,8 @@ def shared_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of `pages`: id, url, text, n_chars, `n_lines` of the page and `n_shared`, those deleted as shared.
+    """One row per row of `pages`: id, url, text, n_chars, `n_lines` of the page and `n_shared`, those found
+    shared, whether markup would have dropped them or not.
 
     Null or empty html gives empty text. A page without URL, or alone on its host, has no partner and is judged by markup
     alone. Where a page marks an article, its text is what stands in it, else all of it, each without what markup or differencing
@@ -176,7 +180,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     lines = cut_lineage(line_table(slim.where("html IS NOT NULL AND host <> ''")))
     found, ordered = shared_lines(lines)
     of = lines.select(F.col("id").alias("of"), F.col("version").alias("v"), "host", "look")
-    gone = cut_lineage(of.join(found, ["host", "look"]).select("of", "v", "gone").dropDuplicates(["of", "v"]))
+    named = of.join(found, ["host", "look"]).select("of", "v", F.col("host").alias("h"), "gone")
+    gone = cut_lineage(named.dropDuplicates(["of", "v", "h"]))  # equal pages of a host lose the same lines
     release(lines, ordered)
     schema = T.StructType([T.StructField(id_col, slim.schema["id"].dataType), T.StructField(url_col, T.StringType())])
     schema = schema.add("text", "string").add("n_chars", "long").add("n_lines", "long").add("n_shared", "long")
@@ -194,5 +199,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             sizes = pa.array(np.array([len(t) for t in texts], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), sizes, pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], names=schema.names)
 
-    both = slim.join(gone, slim["id"].eqNullSafe(gone["of"]) & (slim["version"] == gone["v"]), "left")
+    both = slim.join(gone, slim["id"].eqNullSafe(gone["of"]) & (slim["version"] == gone["v"]) & (slim["host"] == gone["h"]), "left")
     return both.select("id", "url", "html", "gone").mapInArrow(assemble, schema)

@@ -323,6 +323,50 @@ def test_differencing_inside_articles(spark):
     assert all(r.n_shared == 2 for r in got)
 
 
+def test_the_same_page_under_two_hosts(spark):
+    find_package(spark)
+    page = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    one = page(["shared on a", "my own story", "more of it"])
+    rows = [(1, "http://a.example/1", one), (1, "http://b.example/1", one)] + [(k, f"http://a.example/{k}", page(["shared on a", f"story {k}", f"end {k}"])) for k in range(2, 6)]
+    got = {(r.page_id, r.url): r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1, "http://a.example/1"] == "my own story\n\nmore of it"
+    assert got[1, "http://b.example/1"] == "shared on a\n\nmy own story\n\nmore of it"  # alone on its host
+
+
+def test_sites_without_markup(spark):
+    """Hundreds of pages in plain paragraphs: sections with templates of their own, rotating teasers, copies, and quotes of other articles."""
+    find_package(spark)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 9)))
+    line = lambda: " ".join(word() for _ in range(rng.randrange(4, 14)))
+    rows, truth, quotes = [], {}, 0
+    for site in range(3):
+        top, bottom = [line() for _ in range(rng.randrange(4, 9))], [line() for _ in range(rng.randrange(3, 8))]
+        sections = {s: [line() for _ in range(3)] for s in "xyz"}
+        said = []
+        for k in range(120):
+            section = rng.choice("xyz")
+            article = [line() for _ in range(rng.randrange(4, 25))]
+            if said and rng.random() < 0.2:
+                article.insert(rng.randrange(len(article)), rng.choice(rng.choice(said)))
+                quotes += 1
+            said.append(article)
+            body = top + sections[section] + article + bottom
+            for copy in range(2 if rng.random() < 0.05 else 1):
+                page_id = len(rows)
+                rows.append((page_id, f"http://s{site}.example/{section}/{k:04d}{'/print' * copy}", "<html><body>" + "".join(f"<p>{x}</p>" for x in body) + "</body></html>"))
+                truth[page_id] = article
+    out = html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    kept = right = wanted = 0
+    for r in out:
+        have, want = r.text.split("\n\n") if r.text else [], truth[r.page_id]
+        both = sum((Counter(have) & Counter(want)).values())
+        kept, right, wanted = kept + len(have), right + both, wanted + len(want)
+    assert len(out) == len(rows) > 360 and quotes > 50
+    assert right / kept >= 0.9 and right / wanted >= 0.99  # template left over; article lines lost, quoted ones included
+    assert sum(r.n_shared for r in out) > 0.8 * sum(r.n_lines - len(truth[r.page_id]) for r in out)
+
+
 def test_url_filter(spark):
     find_package(spark)
     rng = random.Random(6)
