@@ -1,16 +1,17 @@
-"""Language-model scores by stupid backoff, from count tables partitioned by hash.
-
-A word after another scores c(pair) / c(first), where pairs are counted in all other documents; if no other document has
-the pair it scores 0.4 * c(word) / N; the first word of a text scores c(word) / N. c(word) and N are counted over all documents. The score of a
-document is the sum of the logarithms. Three joins by hash give it: words are counted; all pairs are dealt by their second
-word, counted and joined to their own occurrences; what still lacks the count of a rare first word is joined to that. Rows
-between the steps are packed arrays. The counts of frequent words, of which there can only be so many, travel with the
-tasks, and pairs of frequent words are dealt by the whole pair, so no word gathers in one task.
+"""Language-model scores by stupid backoff, from n-gram count tables partitioned by hash.
+
+A word after others scores c(n-gram) / c(its beginning), where the n-gram is the word with up to `order` - 1 words before it in the
+text; an n-gram that does not occur is cut by its first word, at 0.4 times the score. A word alone scores c(word) / N. The score
+of a document is the sum of the logarithms.
+
+Texts are put into chunks. Each chunk sends its different n-grams of all lengths, sorted by hash, once, to the count tables:
+table p holds the hashes of one p-th of their range. A table adds up what it gets and answers every chunk with the counts, in the
+order they were asked for. The answers meet their chunk, which scores its documents whole. So an n-gram travels once per chunk
+however often it occurs there, answers take a byte or two for each, and no word or n-gram gathers rows in one place.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,264 +21,199 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertloom.llm import tokens
-from alertloom.llm.shingles import mixed, word_hashes
-from alertloom.session import cut_lineage
+from alertloom.llm.common import cut_packed
+from alertloom.llm.partials import pack, unpack
+from alertloom.llm.shingles import mixed, run_hashes, word_hashes
+from alertloom.session import release
 
 BACKOFF = 0.4
-#: Words are known by this many bytes of their hash.
-WORD_BYTES = 6
-#: At most so many words count as frequent: those with at least 1 / FREQUENT of all occurrences.
-FREQUENT = 1 << 19
-#: Pairs in one part, slices of a part that are sorted one after the other, and different words that a task gathers
-#: before it passes them on. A part sends on one sum per document, so few large parts send less.
-PAIRS_PER_PART = 4_000_000
-SLICES = 6
-GATHERED = 2_000_000
-#: Stands before the first word of a text, and for a null id.
-START = np.uint64(0)
-NO_ID = -(1 << 63)
-
-_COUNTED = T.StructType().add("part", "integer").add("words", "binary").add("counts", "binary")
-_PAIRS = T.StructType().add("part", "integer").add("slice", "integer").add("words", "binary").add("repeats", "binary").add("firsts", "binary").add("ids", "binary").add("at", "binary").add("times", "binary")
-_NEXT = T.StructType().add("part", "integer").add("words", "binary").add("ids", "binary").add("times", "binary").add("sum_ids", "binary").add("sums", "binary").add("pairs", "binary").add("missed", "binary")
-_SCORES = T.StructType().add("id", "long").add("score", "double").add("pairs", "long").add("missed", "long")
-
-
-def _pack(words: np.ndarray) -> bytes:
-    return np.ascontiguousarray(words, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // WORD_BYTES, 8), dtype=np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
-    return out.view("<u8").reshape(-1)
-
+ORDER = 3
+#: N-grams are known by so many bits of their hash.
+HASH_BITS = 56
+#: Text bytes of a chunk, and n-grams that one table gets, on average.
+CHUNK_BYTES = 4 << 20
+TABLE_GRAMS = 2_500_000
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words of a batch by their short hash, never that of START, and the bounds of each text."""
-    hashes, bounds = word_hashes(texts)
-    return np.maximum(hashes >> np.uint64(64 - 8 * WORD_BYTES), np.uint64(1)), bounds
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte of all of them, compressed."""
+    steps = np.diff(values.astype("<u8"), prepend=np.zeros(1, "<u8"))
+    return pack(steps.view(np.uint8).reshape(-1, 8).T)
 
-def _part(words: np.ndarray, parts: int) -> np.ndarray:
-    return ((mixed(words) >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
 
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    planes = unpack(packed, "uint8").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
-def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The positions that go to each part, in their order."""
-    order = np.argsort(part, kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
-    begin = 0
-    for end in ends.tolist():
-        if end > begin:
-            yield int(part[order[begin]]), order[begin:end]
-        begin = end
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """Counts, most of them small, in as few bytes as the largest needs, compressed."""
+    kind = np.min_scalar_type(int(values.max())) if len(values) else np.dtype("uint8")
+    return kind.itemsize.to_bytes(1, "little") + pack(values.astype(kind))
 
-def _rows(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    types = [pa.int32() if f.dataType == T.IntegerType() else pa.binary() for f in schema]
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
+def unpack_counts(packed: bytes) -> np.ndarray:
+    return unpack(packed[1:], f"uint{8 * packed[0]}").astype(np.int64)
 
-def _join(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    found = [np.frombuffer(x, dtype) for x in column.to_pylist() if x]
-    return np.concatenate(found) if found else np.zeros(0, dtype)
 
+def gram_hashes(words: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to `order`: hashes of the n-grams inside texts, and where each ends."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    out = []
+    for size in range(1, order + 1):
+        hashes = mixed(run_hashes(words, size) + np.uint64(size)) >> np.uint64(64 - HASH_BITS)
+        inside = np.flatnonzero(of[: len(hashes)] == of[size - 1 :][: len(hashes)])
+        out.append((hashes[inside], inside + size - 1))
+    return out
 
-def _joined_words(column: pa.ChunkedArray) -> np.ndarray:
-    return _unpack(b"".join(x for x in column.to_pylist() if x))
 
+def score_texts(texts: pa.Array, order: int, grams: np.ndarray, counts: np.ndarray, total: int) -> list[np.ndarray]:
+    """Per text: words, score by all counts, score by the counts of other texts, and words that backed off in the latter.
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, at = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(at, weights=values, minlength=len(unique))
-
-
-def count_words(docs: DataFrame, parts: int) -> DataFrame:
-    """The count table: (part, words, counts), packed, each word once. `docs` has id and text."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def passed_on() -> pa.RecordBatch:
-            return _rows([(p, _pack(words[at]), counts[at].astype("<u4").tobytes()) for p, at in _split(_part(words, parts))], _COUNTED)
-
+    `grams` are the different n-grams of the texts, sorted, and `counts` those over the whole corpus.
+    """
+    words, bounds = word_hashes(texts)
+    n = len(words)
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    everywhere, elsewhere = np.zeros((order, n), np.int64), np.zeros((order, n), np.int64)
+    for size, (hashes, ends) in enumerate(gram_hashes(words, bounds, order), 1):
+        if not len(hashes):
+            continue
+        number = np.searchsorted(grams, hashes)
+        everywhere[size - 1, ends] = counts[number]
+        key = of[ends] * len(grams) + number
+        _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        elsewhere[size - 1, ends] = counts[number] - times[at]
+    whole, others = np.zeros(n), np.zeros(n)
+    backed = np.zeros(n, np.int64)
+    open_whole, open_others = np.ones(n, bool), np.ones(n, bool)
+    before = lambda size: np.append(0, everywhere[size - 2][:-1])
+    for size in range(order, 0, -1):
+        exists = everywhere[size - 1] > 0  # the text has so many words up to here
+        beginning = before(size) if size > 1 else np.full(n, total)
+        for found, left, out in ((everywhere, open_whole, whole), (elsewhere if size > 1 else everywhere, open_others, others)):
+            hit = left & exists & (found[size - 1] > 0)
+            out[hit] += np.log(found[size - 1][hit] / beginning[hit])
+            left &= ~hit
+        backed += open_others & exists
+    others += backed * np.log(BACKOFF)
+    sums = [np.append(0, np.cumsum(x)) for x in (whole, others, (backed > 0).astype(np.int64))]
+    return [np.diff(bounds), *(s[bounds[1:]] - s[bounds[:-1]] for s in sums)]
+
+
+def chunk_table(docs: DataFrame, order: int) -> DataFrame:
+    """(chunk, ids, texts, sizes, grams, times, words): texts of about CHUNK_BYTES, packed, with their different n-grams and how often each occurs there."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType))])
+    schema = schema.add("texts", "binary").add("sizes", "binary").add("grams", "binary").add("times", "binary").add("words", "long").add("n_grams", "long")
+
+    def made(texts: list[pa.Array], ids: list[pa.Array], number: int) -> pa.RecordBatch:
+        column = pa.concat_arrays(texts)
+        data, offsets = tokens.text_bytes(column)
+        words, bounds = word_hashes(column)
+        each, times = np.unique(np.concatenate([h for h, _ in gram_hashes(words, bounds, order)]), return_counts=True)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), pa.concat_arrays(ids))
+        packed = [pack(data), pack_counts(np.diff(offsets)), pack_sorted(each), pack_counts(times)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed, *(pa.array([p], pa.binary()) for p in packed), pa.array([len(words)], pa.int64()), pa.array([len(each)], pa.int64())], names=schema.names)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        texts, ids, size = [], [], 0
         for batch in batches:
             for part in tokens.chunks(batch, "text"):
-                new, n = np.unique(_words(part.column("text"))[0], return_counts=True)
-                words, total = _sums(np.concatenate([words, new]), np.concatenate([counts, n]))
-                counts = total.astype(np.int64)
-                if len(words) > GATHERED:
-                    yield passed_on()
-                    words, counts = words[:0], counts[:0]
-        yield passed_on()
-
-    def add(group: pa.Table) -> pa.Table:
-        words, counts = _sums(_joined_words(group.column("words")), _join(group.column("counts"), "<u4"))
-        return pa.Table.from_batches([_rows([(group.column("part")[0].as_py(), _pack(words), counts.astype("<i8").tobytes())], _COUNTED)])
-
-    return cut_lineage(docs.mapInArrow(count, _COUNTED).groupBy("part").applyInArrow(add, _COUNTED))
-
-
-def frequent_words(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The frequent words, sorted, with their counts, and the number of all occurrences; at most FREQUENT words."""
-    schema = T.StructType().add("total", "long").add("words", "binary").add("counts", "binary")
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                inside = int(tokens.text_bytes(part.column("text"))[1][-1])
+                if texts and size + inside > CHUNK_BYTES:
+                    yield made(texts, ids, number)
+                    texts, ids, size, number = [], [], 0, number + 1
+                texts.append(part.column("text").cast(pa.large_string()))
+                ids.append(part.column("id"))
+                size += inside
+        if texts:
+            yield made(texts, ids, number)
+        tokens.give_back()
+
+    return docs.mapInArrow(build, schema)
+
+
+def counted(chunks: DataFrame, tables: int) -> DataFrame:
+    """(chunk, part, counts): for each chunk, the counts over all chunks of its n-grams, in their order, a piece from every table."""
+    asked = T.StructType().add("part", "integer").add("chunk", "long").add("grams", "binary").add("times", "binary")
+    answered = T.StructType().add("chunk", "long").add("part", "integer").add("counts", "binary")
+    bounds = np.array([(k << HASH_BITS) // tables for k in range(tables + 1)], np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(c, "<i8").sum()) for c in batch.column("counts").to_pylist()], pa.int64())], names=["n"])
-
-    n = int(counted.mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0)
-    least = n // FREQUENT + 1
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, grams, times in zip(*(batch.column(c) for c in ("chunk", "grams", "times")), strict=True):
+                each, n = unpack_sorted(grams.as_py()), unpack_counts(times.as_py())
+                at = np.searchsorted(each, bounds).tolist()
+                rows = [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
+                for first in range(0, len(rows), 256):
+                    some = rows[first : first + 256]
+                    columns = [pa.array([r[0] for r in some], pa.int32()), pa.array([chunk.as_py()] * len(some), pa.int64())]
+                    columns += [pa.array([f(x[a:b]) for _, a, b in some], pa.binary()) for f, x in ((pack_sorted, each), (pack_counts, n))]
+                    yield pa.RecordBatch.from_arrays(columns, names=asked.names)
+        tokens.give_back()
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks_of, grams, times = [], [], []
         for batch in batches:
-            for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                words, counts = _unpack(w), np.frombuffer(c, "<i8")
-                many = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([_pack(words[many])], pa.binary()), pa.array([counts[many].tobytes()], pa.binary())], names=schema.names)
-
-    rows = list(counted.mapInArrow(select, schema).toLocalIterator())
-    words = np.concatenate([np.zeros(0, np.uint64), *(_unpack(bytes(r["words"])) for r in rows)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["counts"]), "<i8") for r in rows)])
-    order = np.argsort(words)
-    return words[order], counts[order], n
-
-
-class Listed:
-    """Looks words up in the sorted list of frequent ones."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
-        self.words, self.counts = words, counts
-
-    def counts_of(self, words: np.ndarray) -> np.ndarray:
-        """The counts of these words, 0 where a word is not frequent."""
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.counts[at], 0)
-
-
-def pair_rows(docs: DataFrame, listed, parts: int) -> DataFrame:
-    """All pairs of each document, dealt by second word, or by pair where that is frequent."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.chunks(batch, "text"):
-                words, bounds = _words(part.column("text"))
-                if not len(words):
-                    continue
-                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                firsts = np.append(START, words[:-1])
-                firsts[bounds[:-1][bounds[:-1] < bounds[1:]]] = START
-                order = np.lexsort((doc, firsts, words))
-                words, firsts, doc = words[order], firsts[order], doc[order]
-                new = np.append(True, (words[1:] != words[:-1]) | (firsts[1:] != firsts[:-1]) | (doc[1:] != doc[:-1]))
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(words)))
-                words, firsts, doc = words[at], firsts[at], doc[at]
-                often = listed.value.counts_of(words) > 0
-                place = _part(words + np.where(often, mixed(firsts + np.uint64(7)), np.uint64(0)), parts * SLICES)
-                ids = part.column("id").fill_null(NO_ID).to_numpy().astype(np.int64)
-                rows = []
-                for p, i in _split(place):
-                    starts = np.flatnonzero(np.append(True, words[i][1:] != words[i][:-1]))
-                    used, local = np.unique(doc[i], return_inverse=True)
-                    rows.append((p // SLICES, p % SLICES, _pack(words[i][starts]), np.diff(np.append(starts, len(i))).astype("<u4").tobytes(), _pack(firsts[i]), ids[used].tobytes(), local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), times[i].astype("<u4").tobytes()))
-                yield _rows(rows, _PAIRS)
-
-    return docs.mapInArrow(explode, _PAIRS)
-
-
-def score_pairs(pairs: DataFrame, listed, total: int, parts: int) -> DataFrame:
-    """Sums by document of all that can be scored here, and the rest dealt by first word."""
-
-    def score_slice(group: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """What needs a rare first word's count (word, id, times), and by document (id, sum, pairs, missed)."""
-        repeats = [np.frombuffer(x, "<u4") for x in group.column("repeats").to_pylist()]
-        ids, local = [np.frombuffer(x, "<i8") for x in group.column("ids").to_pylist()], group.column("at").to_pylist()
-        wide = [len(x) >= 1 << 16 for x in ids]
-        words = np.repeat(_joined_words(group.column("words")), np.concatenate(repeats))
-        firsts = _joined_words(group.column("firsts"))
-        doc = np.concatenate([i[np.frombuffer(a, "<u4" if w else "<u2")] for i, a, w in zip(ids, local, wide, strict=True)])
-        times = _join(group.column("times"), "<u4").astype(np.int64)
-        order = np.lexsort((doc, firsts, words))
-        words, firsts, doc, times = words[order], firsts[order], doc[order], times[order]
-        pair_new = np.append(True, (words[1:] != words[:-1]) | (firsts[1:] != firsts[:-1]))
-        new = pair_new | np.append(True, doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)  # rows of one document are one
-        times = np.add.reduceat(times, at)
-        words, firsts, doc, pair_new = words[at], firsts[at], doc[at], pair_new[at]
-        starts = np.flatnonzero(pair_new)
-        others = np.repeat(np.add.reduceat(times, starts), np.diff(np.append(starts, len(times)))) - times
-        word_starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        own = np.repeat(np.add.reduceat(times, word_starts), np.diff(np.append(word_starts, len(times))))
-        often = listed.value.counts_of(words)
-        count = np.where(often > 0, often, own)
-        first = firsts == START
-        hit = (others > 0) & ~first
-        first_count = listed.value.counts_of(firsts)
-        later = hit & (first_count == 0)
-        value = np.where(hit, np.log(np.maximum(others, 1)), np.log(count / total) + np.where(first, 0.0, math.log(BACKOFF)))
-        value -= np.where(hit & ~later, np.log(np.maximum(first_count, 1)), 0.0)
-        docs_here, index = np.unique(doc, return_inverse=True)
-        sums = [np.bincount(index, weights=w, minlength=len(docs_here)) for w in (value * times, times, times * (~hit & ~first))]
-        return [firsts[later], doc[later], times[later]], [docs_here, *sums]
-
-    def score(group: pa.Table) -> pa.Table:
-        slices = np.asarray(group.column("slice").to_pylist())
-        done = [score_slice(group.take(pa.array(np.flatnonzero(slices == k)))) for k in np.unique(slices)]
-        firsts, doc, times = (np.concatenate([rest[c] for rest, _ in done]) for c in range(3))
-        docs_all, index = np.unique(np.concatenate([by_doc[0] for _, by_doc in done]), return_inverse=True)
-        sums, n, missed = (np.bincount(index, weights=np.concatenate([by_doc[c] for _, by_doc in done]), minlength=len(docs_all)) for c in (1, 2, 3))
-        rows: dict[int, list[bytes]] = {}
-        blank = [b""] * 7
-        order = np.argsort(doc, kind="stable")
-        firsts, doc, times = firsts[order], doc[order], times[order]
-        for p, i in _split(_part(firsts, parts)):
-            rows.setdefault(p, blank.copy())[:3] = [_pack(firsts[i]), doc[i].astype("<i8").tobytes(), times[i].astype("<u4").tobytes()]
-        for p, i in _split(_part(docs_all.view(np.uint64), parts)):
-            rows.setdefault(p, blank.copy())[3:] = [docs_all[i].astype("<i8").tobytes(), sums[i].tobytes(), n[i].astype("<u4").tobytes(), missed[i].astype("<u4").tobytes()]
-        return pa.Table.from_batches([_rows([(p, *r) for p, r in rows.items()], _NEXT)])
-
-    return pairs.groupBy("part").applyInArrow(score, _NEXT)
-
-
-def finish(scored: DataFrame, counted: DataFrame) -> DataFrame:
-    """(id, score, pairs, missed), once per document and part: the sums so far less the logarithms of rare first words."""
-
-    def less(counts_part: pa.Table, part: pa.Table) -> pa.Table:
-        words, counts = _joined_words(counts_part.column("words")), _join(counts_part.column("counts"), "<i8")
-        firsts, ids, times = _joined_words(part.column("words")), _join(part.column("ids"), "<i8"), _join(part.column("times"), "<u4").astype(np.int64)
-        value = -times * np.log(counts[np.searchsorted(words, firsts)]) if len(firsts) else np.zeros(0)
-        sum_ids = _join(part.column("sum_ids"), "<i8")
-        keys = np.concatenate([ids, sum_ids])
-        zero = np.zeros(len(ids))
-        columns = [np.concatenate([value, _join(part.column("sums"), "<f8")])] + [np.concatenate([zero, _join(part.column(c), "<u4")]) for c in ("pairs", "missed")]
-        found, at = np.unique(keys, return_inverse=True)
-        score, n, missed = (np.bincount(at, weights=c, minlength=len(found)) for c in columns)
-        return pa.Table.from_arrays([pa.array(found), pa.array(score.astype(np.float64)), pa.array(n.astype(np.int64)), pa.array(missed.astype(np.int64))], names=_SCORES.names)
-
-    return counted.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(less, _SCORES)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairs_per_part: int = PAIRS_PER_PART) -> DataFrame:
-    """One row per id: `n_words`, `n_backoff` (words scored by backoff), `log_score` and `mean_log_score`.
-
-    Ids are integers; rows with the same id (or null) are one document, its texts one after the other but without pairs
-    across them. A text without words has score 0 and no mean. Words are known by 48 bits of a hash.
-    Other columns are not read.
+            chunks_of += batch.column("chunk").to_pylist()
+            grams += [unpack_sorted(x.as_py()) for x in batch.column("grams")]
+            times += [unpack_counts(x.as_py()).astype(np.int32) for x in batch.column("times")]
+        ends = np.cumsum([len(g) for g in grams])[:-1]
+        flat = np.concatenate(grams)
+        del grams
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        new = np.append(True, flat[1:] != flat[:-1])
+        del flat
+        sums = np.add.reduceat(np.concatenate(times)[order], np.flatnonzero(new), dtype=np.int64)
+        counts = np.empty(len(order), np.int64)
+        counts[order] = sums[np.cumsum(new) - 1]
+        del order, new
+        for first in range(0, len(chunks_of), 256):
+            pieces = np.split(counts, ends)[first : first + 256]
+            n = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks_of[first : first + n], pa.int64()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([pack_counts(x) for x in pieces], pa.binary())], names=answered.names)
+        tokens.give_back()
+
+    return chunks.select("chunk", "grams", "times").mapInArrow(deal, asked).groupBy("part").applyInArrow(add, answered)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, table_grams: int = TABLE_GRAMS) -> DataFrame:
+    """One row per row of `docs`: id, `n_words`, `log_score`, `mean_log_score`, `log_score_others` and `n_backoff`.
+
+    Counts are over all texts. `log_score` uses them as they are, so no n-gram of a text is unknown. For `log_score_others`, n-grams
+    of two and more words count only where they occur in other rows; `n_backoff` words of the text then lack their longest
+    n-gram. A null, empty or blank text has no words, score 0 and no mean. Ids may be of any type, null, or repeated: each row is
+    scored by itself. N-grams are known by HASH_BITS bits. Other columns are not read.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-size // (6 * pairs_per_part)), 1)  # a word takes six bytes or so
-    counted = count_words(slim, parts)
-    words, counts, total = frequent_words(counted)
-    listed = spark.sparkContext.broadcast(Listed(words, counts))  # at most FREQUENT words
-    scored = finish(score_pairs(pair_rows(slim, listed, parts), listed, total, parts), counted)
-    none = slim.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("pairs"), F.lit(0).cast("long").alias("missed"))
-    sums = scored.unionByName(none).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("score", "pairs", "missed")])
-    known = F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col)
-    return sums.select(known, F.col("pairs").alias("n_words"), F.col("missed").alias("n_backoff"), F.col("score").alias("log_score"), F.when(F.col("pairs") > 0, F.col("score") / F.col("pairs")).alias("mean_log_score"))
+    if order < 1:
+        raise ValueError("the order is at least one")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    chunks = cut_packed(chunk_table(slim, order))
+    total, n_grams = chunks.agg(F.sum("words"), F.sum("n_grams")).first()
+    total = total or 0
+    tables = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n_grams or 0) // table_grams))
+    schema = T.StructType([T.StructField(id_col, slim.schema["id"].dataType)])
+    schema = schema.add("n_words", "long").add("log_score", "double").add("mean_log_score", "double").add("log_score_others", "double").add("n_backoff", "long")
+
+    def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        by_part = sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(c) for _, c in by_part)])
+        grams = unpack_sorted(chunk.column("grams")[0].as_py())
+        sizes = unpack_counts(chunk.column("sizes")[0].as_py())
+        data = unpack(chunk.column("texts")[0].as_py(), "uint8")
+        texts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(data)])
+        n, whole, others, backed = score_texts(texts, order, grams, counts, total)
+        mean = pa.array(np.divide(whole, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
+        ids = chunk.column("ids").combine_chunks().flatten()
+        tokens.give_back()
+        return pa.Table.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(whole), mean, pa.array(others), pa.array(backed.astype(np.int64))], names=schema.names)
+
+    answers = counted(chunks, tables)
+    texts = chunks.select("chunk", "ids", "texts", "sizes", "grams")
+    out = cut_packed(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema))
+    release(chunks)
+    return out

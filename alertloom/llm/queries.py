@@ -45,7 +45,7 @@ def op7_token_files(spark, sf_dir):
 
 def op8_backoff_score(spark, sf_dir):
     out = backoff.score(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"), F.round("log_score_others", 4).alias("log_score_others"), "n_backoff")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):
@@ -147,15 +147,17 @@ best AS (SELECT page_id, arg_max(entry, length(entry)) FILTER (is_rule) AS rule,
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN best USING (page_id)""",
     "op8_backoff_score": r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-o AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w)),
-c1 AS (SELECT word, count(*) AS c FROM o GROUP BY 1), total AS (SELECT count(*)::DOUBLE AS n FROM o),
-own AS (SELECT doc_id, prev, word, count(*) AS k FROM o WHERE prev IS NOT NULL GROUP BY ALL),
-c2 AS (SELECT prev, word, sum(k) AS c FROM own GROUP BY ALL),
-s AS (SELECT o.doc_id, CASE WHEN o.prev IS NULL THEN ln(a.c / n) WHEN c2.c > own.k THEN ln((c2.c - own.k)::DOUBLE / b.c) ELSE ln(0.4::DOUBLE * a.c / n) END AS s, o.prev IS NOT NULL AND c2.c <= own.k AS missed
-      FROM o CROSS JOIN total JOIN c1 a ON a.word = o.word LEFT JOIN c1 b ON b.word = o.prev LEFT JOIN own ON own.doc_id = o.doc_id AND own.prev = o.prev AND own.word = o.word LEFT JOIN c2 ON c2.prev = o.prev AND c2.word = o.word),
-g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (missed) AS n_backoff, sum(s) AS score FROM s GROUP BY 1)
-SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(score, 0.0), 4) AS log_score, round(score / n_words, 6) AS mean_log_score
-FROM w LEFT JOIN g USING (doc_id)""",
+g AS MATERIALIZED (SELECT doc_id, i, k, w[i - k + 1:i] AS g FROM (SELECT doc_id, w, k, unnest(generate_series(k, len(w))) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+own AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL), c AS MATERIALIZED (SELECT g, sum(n)::BIGINT AS c FROM own GROUP BY 1), total AS (SELECT count(*)::DOUBLE AS n FROM g WHERE k = 1),
+p AS (SELECT g.doc_id, i, max(c) FILTER (k = 1) AS c1, max(c) FILTER (k = 2) AS c2, max(c) FILTER (k = 3) AS c3, max(c - n) FILTER (k = 2) AS o2, max(c - n) FILTER (k = 3) AS o3
+      FROM g JOIN c ON c.g = g.g JOIN own ON own.doc_id = g.doc_id AND own.g = g.g GROUP BY ALL),
+q AS (SELECT *, lag(c1) OVER d AS b1, lag(c2) OVER d AS b2 FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, CASE WHEN c3 IS NOT NULL THEN ln(c3::DOUBLE / b2) WHEN c2 IS NOT NULL THEN ln(c2::DOUBLE / b1) ELSE ln(c1 / n) END AS s,
+      CASE WHEN o3 > 0 THEN ln(o3::DOUBLE / b2) WHEN o2 > 0 THEN ln(o2::DOUBLE / b1) + CASE WHEN o3 = 0 THEN ln(0.4::DOUBLE) ELSE 0 END
+           ELSE ln(c1 / n) + (CASE WHEN o3 = 0 THEN 1 ELSE 0 END + CASE WHEN o2 = 0 THEN 1 ELSE 0 END) * ln(0.4::DOUBLE) END AS o, coalesce(o3 = 0 OR (o3 IS NULL AND o2 = 0), false) AS missed FROM q, total),
+t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (missed) AS n_backoff, sum(s) AS s, sum(o) AS o FROM s GROUP BY 1)
+SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(s, 0.0), 4) AS log_score, round(s / n_words, 6) AS mean_log_score, round(coalesce(o, 0.0), 4) AS log_score_others, coalesce(n_backoff, 0)::BIGINT AS n_backoff
+FROM w LEFT JOIN t USING (doc_id)""",
     "op9_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM w)),

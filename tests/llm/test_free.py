@@ -159,24 +159,43 @@ def test_token_files(spark, docs, texts, tmp_path):
     assert token_files.read_tokens(spark, path + "-none").count() == 0
 
 
-def test_backoff(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(backoff, "FREQUENT", 10)
-    got = {r.doc_id: r for r in backoff.score(docs, pairs_per_part=50).collect()}
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff(spark, docs, texts, monkeypatch, order):
+    monkeypatch.setattr(backoff, "CHUNK_BYTES", 3000)
+    got = {r.doc_id: r for r in backoff.score(docs, order=order, table_grams=200).collect()}
     tokens_of = {i: words(t) for i, t in enumerate(texts)}
-    one = Counter(w for v in tokens_of.values() for w in v)
-    two = Counter(p for v in tokens_of.values() for p in zip(v, v[1:], strict=False))
-    n = sum(one.values())
+    grams = lambda v: Counter(tuple(v[i : i + k]) for k in range(1, order + 1) for i in range(len(v) - k + 1))
+    count = Counter()
+    for v in tokens_of.values():
+        count.update(grams(v))
+    n = sum(len(v) for v in tokens_of.values())
+    assert len(got) == len(texts)
     for i, v in tokens_of.items():
-        own, score, missed = Counter(zip(v, v[1:], strict=False)), math.log(one[v[0]] / n) if v else 0.0, 0
-        for a, b in zip(v, v[1:], strict=False):
-            others = two[a, b] - own[a, b]
-            missed += not others
-            score += math.log(others / one[a]) if others else math.log(0.4 * one[b] / n)
-        assert (got[i].n_words, got[i].n_backoff) == (len(v), missed) and got[i].log_score == pytest.approx(score)
-        assert (got[i].mean_log_score is None) == (not v)
+        own, score, others, missed = grams(v), 0.0, 0.0, 0
+        for at in range(len(v)):
+            longest = min(order, at + 1)
+            g = tuple(v[at - longest + 1 : at + 1])
+            score += math.log(count[g] / (count[g[:-1]] if len(g) > 1 else n))
+            steps = 0
+            while len(g) > 1 and count[g] == own[g]:
+                g, steps = g[1:], steps + 1
+            others += math.log(0.4) * steps + math.log((count[g] - own[g]) / count[g[:-1]] if len(g) > 1 else count[g] / n)
+            missed += steps > 0
+        r = got[i]
+        assert (r.n_words, r.n_backoff) == (len(v), missed), texts[i]
+        assert r.log_score == pytest.approx(score) and r.log_score_others == pytest.approx(others)
+        assert r.mean_log_score == (pytest.approx(score / len(v)) if v else None)
+
+
+def test_backoff_edge_cases(spark, docs):
+    find_package(spark)
     assert backoff.score(docs.limit(0)).count() == 0
-    rows = spark.createDataFrame([(1, "a b"), (1, "b c"), (None, "a b")], "doc_id long, text string")
-    assert {(r.doc_id, r.n_words, r.n_backoff) for r in backoff.score(rows).collect()} == {(1, 4, 1), (None, 2, 0)}
+    rows = spark.createDataFrame([("x", "a b"), ("x", "a b"), (None, "A\tb"), ("y", None), ("y", "")], "doc_id string, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, 6)) for r in backoff.score(rows).collect())
+    assert got == [("None", 2, 0, round(math.log(0.5), 6)), ("x", 2, 0, round(math.log(0.5), 6)), ("x", 2, 0, round(math.log(0.5), 6)), ("y", 0, 0, 0.0), ("y", 0, 0, 0.0)]
+    values = np.array([0, 1, 1 << 40, (1 << 56) - 1], np.uint64)
+    assert (backoff.unpack_sorted(backoff.pack_sorted(values)) == values).all()
+    assert all((backoff.unpack_counts(backoff.pack_counts(np.array(v, np.int64))) == v).all() for v in ([], [1, 2], [1, 70_000], [5, 1 << 40]))
 
 
 def brute_components(texts):
