@@ -6,7 +6,9 @@ would pair a third of the queries with a third of the labeled texts. Instead:
 * texts with the same bag of words are scored once, on both sides; on the labeled side only the first
   of the copies can win a tie, while word statistics still count every copy;
 * labeled texts fall into shards of bounded size, and a word names the shards it occurs in, not its
-  texts, so a common word costs a query at most one row per shard;
+  texts, so a common word costs a query at most one row per shard; texts are put in order by the
+  strongest of their words that a good part of all texts has, so that those of one subject or language
+  share shards, and the largest weight of a word in a shard says something about the shard;
 * a first guess through a query's rare words gives a score the winner must reach. Words that together
   cannot reach it cannot decide, and a shard whose best conceivable score stays below it is skipped;
 * a query meets a remaining shard inside one task, where all of the shard's texts are scored over all
@@ -25,13 +27,16 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fv
 from alertloom.functions.text import tokens
+from alertloom.operators.scoring import to_outcomes
 from alertloom.session import cut_lineage
 
 GUESS_WORDS = 4
 GUESS_DF = 200  # words above this frequency do not take part in guessing; guessing only sets the bar
 DIGITS = 9
 SLACK = 1e-6
-TASK_ROWS = 250_000  # postings per shard and query words per block, on average
+TASK_ROWS = 250_000  # query words per block, on average
+SHARD_ROWS = 60_000  # postings per shard, on average: small shards have tighter bounds
+COMMON = 200  # a word orders its texts if one in so many of them has it, or more
 
 
 def _bag(text: Column) -> Column:
@@ -66,13 +71,18 @@ def build_index(train: DataFrame, row_id: str, text: str, order: str, target: st
     idf = numbered.withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one").withColumn("idf", raw)
     mean = idf.agg(F.avg("idf").alias("mean_idf")).withColumn("one", F.lit(1))
     idf = idf.join(F.broadcast(mean), "one").select(
-        "token", "tid", "avgdl", F.when(F.col("idf") < 0, fv.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf")
+        "token", "tid", "df", "avgdl", F.when(F.col("idf") < 0, fv.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf")
     )
     k1, b = fv.BM25_K1, fv.BM25_B
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    shards = max(1, math.ceil(words.count() / TASK_ROWS))
-    shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")
-    postings = cut_lineage(words.join(idf, "token").select("tid", "rep", "order", (F.col("idf") * part).alias("w"), shard))
+    shards = max(1, math.ceil(words.count() / SHARD_ROWS))
+    weighted = cut_lineage(words.join(idf, "token").select("tid", "rep", "order", (F.col("idf") * part).alias("w"), "df"))
+    common = F.col("df") * COMMON >= F.lit(reps.agg(F.sum("copies")).first()[0] or 0)
+    strongest = F.max(F.when(common, F.struct("w", "tid")))
+    named = weighted.groupBy("rep").agg(strongest.alias("s")).select("rep", F.coalesce("s.tid", F.lit(-1)).alias("subject"))
+    # a range of subjects is a shard; the table is written, so every later step sees the same shards
+    placed = cut_lineage(named.repartitionByRange(shards, "subject", F.xxhash64("rep")).select("rep", F.spark_partition_id().alias("shard")))
+    postings = cut_lineage(weighted.join(placed, "rep").select("tid", "rep", "order", "w", "shard"))
     most = postings.groupBy("tid").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most"))
     return reps, postings, cut_lineage(numbered.join(most, "tid"))
 
@@ -175,3 +185,31 @@ def as_page_outcome(found: DataFrame, query_id: str) -> DataFrame:
     return found.select(
         F.col(query_id), F.col("target").cast("double").alias("probability"), F.lit("hard_label_uncalibrated").alias("probability_source")
     )
+
+
+def nearest_outcomes(calls: DataFrame, train: DataFrame, candidate: str = "lexical") -> DataFrame:
+    """Outcome facts of the nearest example of each task kind, as a control that copies labels.
+
+    `calls`: case_id, task, kind, state, options. `train`: case_id, kind, state, target (text), an order being that of case_id.
+    Each kind has an index of its own examples only. A kind without examples is `unsupported`; a choice that is not among the call's
+    options breaks the contract. Probabilities are the copied label and marked as not calibrated.
+    """
+    kinds = [r["kind"] for r in calls.select("kind").distinct().collect()]  # three at most
+    known = {r["kind"] for r in train.select("kind").distinct().collect()}
+    out = None
+    for kind in sorted(kinds):
+        asked = calls.where(F.col("kind") == kind)
+        head = asked.select(F.lit(candidate).alias("candidate"), "case_id", "task", "options")
+        if kind in known:
+            found = nearest(asked, "case_id", "state", train.where(F.col("kind") == kind), "case_id", "state", "case_id", "target")
+            j = head.join(found.select("case_id", "target"), "case_id")
+            raw = j.select(
+                "candidate", "case_id", "task", "options", F.lit("ok").alias("status"), F.when(F.lit(kind == "choice"), F.col("target")).alias("choice"),
+                F.lit(None).cast("map<string,double>").alias("choice_probs"), F.when(F.lit(kind == "score"), F.col("target").try_cast("double")).alias("score"),
+                F.when(F.lit(kind == "noul"), F.col("target").try_cast("double")).alias("prob"), F.lit("hard_label_uncalibrated").alias("probability_source"), F.lit(None).cast("string").alias("error"),
+            )
+            part = to_outcomes(raw)
+        else:
+            part = head.select("candidate", "case_id", "task", F.lit("unsupported").alias("status"), F.lit("no examples of this kind").alias("error"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

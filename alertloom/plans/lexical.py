@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alertloom import fixed_values as fv
 from alertloom import fixtures as fx
 from alertloom.operators import lexical as lx
 
@@ -33,7 +34,22 @@ def j11_bm25_nearest(spark, sf_dir):
     return found.select("doc_id", "rep", F.round("score", 6).alias("score"), F.col("target.quality").alias("quality"), F.col("target.toxic").alias("toxic"))
 
 
-QUERIES = {"j11_bm25_nearest": j11_bm25_nearest}
+def j11_nearest_outcomes(spark, sf_dir):
+    """Page and choice calls on unlabeled documents, answered by the nearest labeled one; nothing teaches scores."""
+    docs = fx.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("state"))
+    labels = fx.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "case_id")
+    kinds = F.explode(F.array(F.struct(F.lit("choice").alias("kind"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("target")), F.struct(F.lit("noul").alias("kind"), F.col("toxic").cast("string").alias("target"))))
+    train = docs.join(labels.withColumn("k", kinds).select("case_id", "k.kind", "k.target"), "case_id")
+    options = F.array(F.lit("good"), F.lit("bad"))
+    tasks = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.lit(k).alias("kind")) for t, k in fv.TASK_KIND.items()]))
+    calls = docs.join(labels.select("case_id"), "case_id", "left_anti").withColumn("t", tasks).select("case_id", "state", "t.task", "t.kind", options.alias("options"))
+    return lx.nearest_outcomes(calls, train).select("candidate", "case_id", "task", "status", "value_type", "value_page", "probability_source")
+
+
+QUERIES = {"j11_bm25_nearest": j11_bm25_nearest, "j11_nearest_outcomes": j11_nearest_outcomes}
 ORACLES = {
+    "j11_nearest_outcomes": _BM25 + """, a AS (SELECT near.doc_id AS case_id, quality, toxic FROM near JOIN tr ON tr.doc_id = near.rep)
+SELECT 'lexical' AS candidate, case_id, 'event_type' AS task, CASE WHEN quality = 1 THEN 'ok' ELSE 'schema_failure' END AS status, CASE WHEN quality = 1 THEN 'good' END AS value_type, NULL::BOOLEAN AS value_page, NULL AS probability_source FROM a
+UNION ALL SELECT 'lexical', case_id, 'page_now', 'ok', NULL, toxic >= 0.5, 'hard_label_uncalibrated' FROM a UNION ALL SELECT 'lexical', case_id, 'priority', 'unsupported', NULL, NULL, NULL FROM a""",
     "j11_bm25_nearest": _BM25 + " SELECT near.doc_id, rep, round(score, 6) AS score, quality, toxic FROM near JOIN tr ON tr.doc_id = near.rep",
 }
