@@ -86,6 +86,15 @@ _SPELLED = "' ' || replace(p, chr(10), ' ' || chr(10) || ' ') || ' '"
 for _a, _b in licenses.SPELLINGS:
     _SPELLED = f"replace({_SPELLED}, ' {_a} ', ' {_b} ')"
 
+# The rule of licenses.NOTICE without look-ahead, which this SQL's patterns lack: one that must match, and one that must not.
+_BEFORE = r"[^\p{{L}}\p{{N}}©(]*"
+_WORDS = "notices?|holders?|owners?|owner?ship|licen[cs]es?|laws?|statements?|interests?|rights?|treaty|protection|infringement|claims?|disclaimers?|terms?|permission|and|or|in|is|are|of|to|for|as|on|under|with|shall|may"
+_NOTICE = (
+    rf"(regexp_matches({{0}}, '(?i)^{_BEFORE}copyright\b{_BEFORE}(?:\(c\)|©|\d{{{{4}}}}|[\[<{{{{]|by\b)') OR regexp_matches({{0}}, '(?i)^{_BEFORE}(?:©|\(c\)\s*(?:[\[<{{{{]|\d{{{{4}}}}))')"
+    rf" OR (regexp_matches({{0}}, '(?i)^{_BEFORE}\(c\)\s*copyright\b') AND NOT regexp_matches({{0}}, '(?i)^{_BEFORE}\(c\)\s*copyright\s+(?:notice|holder|owner|licen[cs]e)'))"
+    rf" OR (regexp_matches({{0}}, '(?i)^[^\p{{{{L}}}}\p{{{{N}}}}]*copyright\s+(?-i:\p{{{{Lu}}}})') AND NOT regexp_matches({{0}}, '(?i)^[^\p{{{{L}}}}\p{{{{N}}}}]*copyright\s+(?:{_WORDS})\b')))"
+)
+
 _ENTRIES = ", ".join([f"('{e}', '{v}', true)" for e, v in url_filter.RULES] + [f"('{e}', 'block', false)" for e in url_filter.BLOCKED])
 
 _DISTANCES = "list_transform(c.cs, lambda c: list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT)"
@@ -130,8 +139,9 @@ FROM r""",
 WITH texts AS (SELECT doc_id, NULL AS name, coalesce(text, '') AS t FROM documents UNION ALL SELECT NULL, * FROM (VALUES {_KNOWN_ROWS}) v),
 plain AS (SELECT *, regexp_replace(replace(replace(lower(t), '©', ' copyright '), '(c)', ' copyright '), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS p FROM texts),
 spelled AS (SELECT *, {_SPELLED} AS s FROM plain),
-lines AS (SELECT *, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)),
-                 lambda x: x <> '' AND NOT starts_with(x, 'copyright ') AND NOT starts_with(x, 'all rights reserved')) AS l FROM spelled),
+paired AS (SELECT *, string_split(s, chr(10)) AS pl, string_split(t, chr(10)) AS rl FROM spelled),
+lines AS (SELECT *, list_filter(list_transform(generate_series(1, len(pl)), lambda i: CASE WHEN starts_with(trim(pl[i]), 'copyright ') AND {_NOTICE.format('rl[i]')} AND NOT regexp_matches(coalesce(rl[i - 1], ''), '{licenses.RUNS_ON}') THEN '' ELSE trim(pl[i]) END),
+                 lambda x: x <> '' AND NOT starts_with(x, 'all rights reserved')) AS l FROM paired),
 digests AS (SELECT doc_id, name, sha256(array_to_string(l, ' ')) AS text_digest, list_transform(l, lambda x: sha256(x)) AS line_digests FROM lines),
 known AS (SELECT text_digest AS digest, min(name) AS license FROM digests WHERE name IS NOT NULL GROUP BY 1),
 notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names

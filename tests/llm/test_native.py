@@ -158,3 +158,27 @@ def test_license_scan_of_wrapped_files(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.license for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_license_sql_says_the_same_of_wrapped_and_odd_texts(spark):
+    import textwrap
+
+    import duckdb
+
+    from alertloom.llm import queries
+
+    rng = random.Random(3)
+    texts = []
+    for _, t in licenses.KNOWN:
+        texts += [t] + ["\n".join(textwrap.fill(line, w) for line in t[:4000].split("\n")) for w in (40, 72) if len(t) > 300]
+    heads = ["Copyright (c) 2020 Ann", "Copyright 1999, 2001 Bob", "© Foo Ltd", "(c) 2011 x", "(c) copyright notice", "(c) Copyright Ann", "Copyright Ann Bee", "copyright ann", "Copyright holder x", "COPYRIGHT NOTICE"]
+    heads += ["  * Copyright <year>", "Copyright by me", "all rights reserved.", "keep the", "Copyright and more", "(C) [yyyy]", "licence,", "Copyright licence"]
+    texts += ["\n".join(rng.choice(heads) for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    rows = list(enumerate(texts))
+    scanned = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT doc_id, text_digest, license, n_notices, notices FROM ({queries.ORACLES['op3_license_scan']})").fetchall()
+    got = [(r.doc_id, r.text_digest, r.license, r.n_notices, r.notices) for r in scanned.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] is not None for r in got) > 50
