@@ -11,7 +11,7 @@ from alertloom.operators import lint as li
 from alertloom.operators import rubric as rb
 from alertloom.operators import templates as tp
 from alertloom.operators import threads as th
-from alertloom.plans.labeling import flat_label
+from alertloom.plans.labeling import _LABEL, flat_label
 from alertloom.plans.metrics import _matrix_sql, test_answers
 from alertloom.plans.texts import whole_threads, extracted
 from alertloom.session import cut_lineage, work_path
@@ -89,7 +89,10 @@ def v5_context_contract(spark, sf_dir):
     return rd.context_errors(rd.read_cases(spark, path, ("train", "val", "test")))
 
 
-@query("l1_label_stored_cases")
+_BARE = _LABEL.replace("JOIN changes c", "JOIN (SELECT * FROM changes WHERE false) c").replace("JOIN incidents i ON i.entity", "JOIN (SELECT * FROM incidents WHERE false) i ON i.entity")
+
+
+@query("l1_label_stored_cases", _BARE + " SELECT * REPLACE (CAST(case_id AS VARCHAR) AS case_id) FROM label")
 def l1_label_stored_cases(spark, sf_dir):
     """The nested form of the rubric over the case files of all splits."""
     cases = rd.read_cases(spark, _written(spark, sf_dir), ("train", "val", "test"))
