@@ -2,8 +2,9 @@
 
 Both public vocabularies used here split text before merging, and never across the start of a run of white space: what
 stands before a blank and what follows from it on are encoded apart. So a batch is cut at such places, every different
-piece is encoded once with the tokenizers library, and ids are gathered for all pieces at once. Cuts are only made
-where this holds for certain: before a space or line feed that follows an ASCII or Latin-1 letter, digit or sign.
+piece is encoded once with the tokenizers library, and ids are gathered for all pieces at once. Nor do they join a letter with
+a sign after it. Cuts are only made where this holds for certain: before a space or line feed that follows an ASCII or
+Latin-1 letter, digit or sign, and before one of the signs , . ; : ! ? that follows an ASCII letter.
 """
 
 from __future__ import annotations
@@ -78,6 +79,11 @@ class PieceEncoder:
         self.code.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
 
+_LETTERS, _SIGNS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTERS[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1] = True
+_SIGNS[[ord(c) for c in ",.;:!?"]] = True
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and vocabulary."""
@@ -110,7 +116,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data), dtype=bool)
     if len(data) > 1:
         blank = (data[1:] == 0x20) | (data[1:] == 0x0A)
-        cut[1:] = blank & (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+        cut[1:] = blank & (data[:-1] > 0x20) & (data[:-1] < 0x7F) | _SIGNS[data[1:]] & _LETTERS[data[:-1]]
     if len(data) > 2:
         blank = (data[2:] == 0x20) | (data[2:] == 0x0A)
         cut[2:] |= blank & (data[1:-1] >= 0x80) & (data[:-2] == 0xC3)
