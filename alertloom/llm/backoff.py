@@ -4,14 +4,16 @@ A word after others scores c(n-gram) / c(its beginning), where the n-gram is the
 text; an n-gram that does not occur is cut by its first word, at 0.4 times the score. A word alone scores c(word) / N. The score
 of a document is the sum of the logarithms.
 
-Texts are put into chunks. Each chunk sends its different n-grams of all lengths, sorted by hash, once, to the count tables:
-table p holds the hashes of one p-th of their range. A table adds up what it gets and answers every chunk with the counts, in the
-order they were asked for. The answers meet their chunk, which scores its documents whole. So an n-gram travels once per chunk
-however often it occurs there, answers take a byte or two for each, and no word or n-gram gathers rows in one place.
+Texts are dealt into chunks by a hash of id and text. Each chunk sends its different n-grams of all lengths, sorted by hash, once,
+to the count tables, each of which holds a range of the hashes. A table adds up what it gets and answers every chunk with the
+counts, in the order they were asked for. The answers meet their chunk, which scores its texts whole. So an n-gram travels once
+per chunk however often it occurs there, an answer takes a byte or less for each, texts are shuffled once, and no word or
+n-gram gathers rows in one place.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertloom.llm import tokens
-from alertloom.llm.common import cut_packed
 from alertloom.llm.partials import pack, unpack
 from alertloom.llm.shingles import mixed, run_hashes, word_hashes
-from alertloom.session import release
+from alertloom.session import cut_lineage
 
 BACKOFF = 0.4
 ORDER = 3
 #: N-grams are known by so many bits of their hash.
 HASH_BITS = 56
-#: Text bytes of a chunk, and n-grams that one table gets, on average.
+#: Text bytes of a chunk, and of the texts whose n-grams of one length one table gets, on average.
 CHUNK_BYTES = 4 << 20
-TABLE_GRAMS = 2_500_000
+TABLE_BYTES = 5 << 20
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -67,8 +68,15 @@ def gram_hashes(words: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple
     return out
 
 
-def score_texts(texts: pa.Array, order: int, grams: np.ndarray, counts: np.ndarray, total: int) -> list[np.ndarray]:
-    """Per text: words, score by all counts, score by the counts of other texts, and words that backed off in the latter.
+def different_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all texts, sorted, and how often each occurs."""
+    words, bounds = word_hashes(texts)
+    return np.unique(np.concatenate([h for h, _ in gram_hashes(words, bounds, order)]), return_counts=True)
+
+
+def score_texts(texts: pa.Array, order: int, grams: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Per text: words, score by all counts, score by the counts of other texts, words that backed off in the latter, and how many
+    words either score took alone; their logarithms lack that of the number of all words.
 
     `grams` are the different n-grams of the texts, sorted, and `counts` those over the whole corpus.
     """
@@ -81,79 +89,41 @@ def score_texts(texts: pa.Array, order: int, grams: np.ndarray, counts: np.ndarr
             continue
         number = np.searchsorted(grams, hashes)
         everywhere[size - 1, ends] = counts[number]
-        key = of[ends] * len(grams) + number
-        _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        _, at, times = np.unique(of[ends] * len(grams) + number, return_inverse=True, return_counts=True)
         elsewhere[size - 1, ends] = counts[number] - times[at]
-    whole, others = np.zeros(n), np.zeros(n)
-    backed = np.zeros(n, np.int64)
-    open_whole, open_others = np.ones(n, bool), np.ones(n, bool)
-    before = lambda size: np.append(0, everywhere[size - 2][:-1])
+    elsewhere[0] = everywhere[0]  # a word alone counts wherever it occurs
+    scores, alone = np.zeros((2, n)), np.zeros((2, n), bool)
+    steps = np.zeros(n, np.int64)
+    left = np.ones((2, n), bool)
     for size in range(order, 0, -1):
         exists = everywhere[size - 1] > 0  # the text has so many words up to here
-        beginning = before(size) if size > 1 else np.full(n, total)
-        for found, left, out in ((everywhere, open_whole, whole), (elsewhere if size > 1 else everywhere, open_others, others)):
-            hit = left & exists & (found[size - 1] > 0)
-            out[hit] += np.log(found[size - 1][hit] / beginning[hit])
-            left &= ~hit
-        backed += open_others & exists
-    others += backed * np.log(BACKOFF)
-    sums = [np.append(0, np.cumsum(x)) for x in (whole, others, (backed > 0).astype(np.int64))]
-    return [np.diff(bounds), *(s[bounds[1:]] - s[bounds[:-1]] for s in sums)]
-
-
-def chunk_table(docs: DataFrame, order: int) -> DataFrame:
-    """(chunk, ids, texts, sizes, grams, times, words): texts of about CHUNK_BYTES, packed, with their different n-grams and how often each occurs there."""
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType))])
-    schema = schema.add("texts", "binary").add("sizes", "binary").add("grams", "binary").add("times", "binary").add("words", "long").add("n_grams", "long")
-
-    def made(texts: list[pa.Array], ids: list[pa.Array], number: int) -> pa.RecordBatch:
-        column = pa.concat_arrays(texts)
-        data, offsets = tokens.text_bytes(column)
-        words, bounds = word_hashes(column)
-        each, times = np.unique(np.concatenate([h for h, _ in gram_hashes(words, bounds, order)]), return_counts=True)
-        listed = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), pa.concat_arrays(ids))
-        packed = [pack(data), pack_counts(np.diff(offsets)), pack_sorted(each), pack_counts(times)]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed, *(pa.array([p], pa.binary()) for p in packed), pa.array([len(words)], pa.int64()), pa.array([len(each)], pa.int64())], names=schema.names)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 33
-        texts, ids, size = [], [], 0
-        for batch in batches:
-            for part in tokens.chunks(batch, "text"):
-                inside = int(tokens.text_bytes(part.column("text"))[1][-1])
-                if texts and size + inside > CHUNK_BYTES:
-                    yield made(texts, ids, number)
-                    texts, ids, size, number = [], [], 0, number + 1
-                texts.append(part.column("text").cast(pa.large_string()))
-                ids.append(part.column("id"))
-                size += inside
-        if texts:
-            yield made(texts, ids, number)
-        tokens.give_back()
-
-    return docs.mapInArrow(build, schema)
-
-
-def counted(chunks: DataFrame, tables: int) -> DataFrame:
+        beginning = np.append(0, everywhere[size - 2][:-1]) if size > 1 else np.ones(n, np.int64)
+        for k, found in enumerate((everywhere, elsewhere)):
+            hit = left[k] & exists & (found[size - 1] > 0)
+            scores[k, hit] = np.log(found[size - 1][hit] / beginning[hit])
+            left[k] &= ~hit
+            if size == 1:
+                alone[k] = hit
+        steps += left[1] & exists
+    scores[1] += steps * np.log(BACKOFF)
+    sums = [np.append(0, np.cumsum(x)) for x in (*scores, steps > 0, *alone)]
+    return [np.diff(bounds), *(x[bounds[1:]] - x[bounds[:-1]] for x in sums)]
+
+
+def counted(dealt: DataFrame, order: int, tables: int) -> DataFrame:
     """(chunk, part, counts): for each chunk, the counts over all chunks of its n-grams, in their order, a piece from every table."""
     asked = T.StructType().add("part", "integer").add("chunk", "long").add("grams", "binary").add("times", "binary")
     answered = T.StructType().add("chunk", "long").add("part", "integer").add("counts", "binary")
     bounds = np.array([(k << HASH_BITS) // tables for k in range(tables + 1)], np.uint64)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, grams, times in zip(*(batch.column(c) for c in ("chunk", "grams", "times")), strict=True):
-                each, n = unpack_sorted(grams.as_py()), unpack_counts(times.as_py())
-                at = np.searchsorted(each, bounds).tolist()
-                rows = [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
-                for first in range(0, len(rows), 256):
-                    some = rows[first : first + 256]
-                    columns = [pa.array([r[0] for r in some], pa.int32()), pa.array([chunk.as_py()] * len(some), pa.int64())]
-                    columns += [pa.array([f(x[a:b]) for _, a, b in some], pa.binary()) for f, x in ((pack_sorted, each), (pack_counts, n))]
-                    yield pa.RecordBatch.from_arrays(columns, names=asked.names)
+    def ask(chunk: pa.Table) -> pa.Table:
+        each, times = different_grams(chunk.column("text").combine_chunks(), order)
+        at = np.searchsorted(each, bounds).tolist()
+        rows = [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk.column("chunk")[0].as_py()] * len(rows), pa.int64())]
+        columns += [pa.array([f(x[a:b]) for _, a, b in rows], pa.binary()) for f, x in ((pack_sorted, each), (pack_counts, times))]
         tokens.give_back()
+        return pa.Table.from_arrays(columns, names=asked.names)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks_of, grams, times = [], [], []
@@ -164,56 +134,53 @@ def counted(chunks: DataFrame, tables: int) -> DataFrame:
         ends = np.cumsum([len(g) for g in grams])[:-1]
         flat = np.concatenate(grams)
         del grams
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
+        order_of = np.argsort(flat, kind="stable")
+        flat = flat[order_of]
         new = np.append(True, flat[1:] != flat[:-1])
         del flat
-        sums = np.add.reduceat(np.concatenate(times)[order], np.flatnonzero(new), dtype=np.int64)
-        counts = np.empty(len(order), np.int64)
-        counts[order] = sums[np.cumsum(new) - 1]
-        del order, new
-        for first in range(0, len(chunks_of), 256):
-            pieces = np.split(counts, ends)[first : first + 256]
-            n = len(pieces)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks_of[first : first + n], pa.int64()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([pack_counts(x) for x in pieces], pa.binary())], names=answered.names)
+        sums = np.add.reduceat(np.concatenate(times)[order_of], np.flatnonzero(new), dtype=np.int64)
+        counts = np.empty(len(order_of), np.int64)
+        counts[order_of] = sums[np.cumsum(new) - 1]
+        del order_of, new
+        pieces = np.split(counts, ends)
+        for first in range(0, len(pieces), 256):
+            some = pieces[first : first + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks_of[first : first + len(some)], pa.int64()), pa.array([key[0].as_py()] * len(some), pa.int32()), pa.array([pack_counts(x) for x in some], pa.binary())], names=answered.names)
         tokens.give_back()
 
-    return chunks.select("chunk", "grams", "times").mapInArrow(deal, asked).groupBy("part").applyInArrow(add, answered)
+    return dealt.groupBy("chunk").applyInArrow(ask, asked).groupBy("part").applyInArrow(add, answered)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, table_grams: int = TABLE_GRAMS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per row of `docs`: id, `n_words`, `log_score`, `mean_log_score`, `log_score_others` and `n_backoff`.
 
     Counts are over all texts. `log_score` uses them as they are, so no n-gram of a text is unknown. For `log_score_others`, n-grams
     of two and more words count only where they occur in other rows; `n_backoff` words of the text then lack their longest
     n-gram. A null, empty or blank text has no words, score 0 and no mean. Ids may be of any type, null, or repeated: each row is
-    scored by itself. N-grams are known by HASH_BITS bits. Other columns are not read.
+    scored by itself, and rows equal in both id and text are in one chunk. N-grams are known by HASH_BITS bits. Other columns
+    are not read.
     """
     if order < 1:
         raise ValueError("the order is at least one")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = cut_packed(chunk_table(slim, order))
-    total, n_grams = chunks.agg(F.sum("words"), F.sum("n_grams")).first()
-    total = total or 0
-    tables = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n_grams or 0) // table_grams))
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    tables = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-order * size // table_bytes))
+    dealt = slim.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
     schema = T.StructType([T.StructField(id_col, slim.schema["id"].dataType)])
-    schema = schema.add("n_words", "long").add("log_score", "double").add("mean_log_score", "double").add("log_score_others", "double").add("n_backoff", "long")
+    schema = schema.add("n_words", "long").add("whole", "double").add("others", "double").add("n_backoff", "long").add("alone", "long").add("alone_others", "long")
 
     def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = chunk.column("text").combine_chunks()
         by_part = sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
         counts = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(c) for _, c in by_part)])
-        grams = unpack_sorted(chunk.column("grams")[0].as_py())
-        sizes = unpack_counts(chunk.column("sizes")[0].as_py())
-        data = unpack(chunk.column("texts")[0].as_py(), "uint8")
-        texts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(data)])
-        n, whole, others, backed = score_texts(texts, order, grams, counts, total)
-        mean = pa.array(np.divide(whole, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-        ids = chunk.column("ids").combine_chunks().flatten()
+        n, whole, others, *rest = score_texts(texts, order, different_grams(texts, order)[0], counts)
         tokens.give_back()
-        return pa.Table.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(whole), mean, pa.array(others), pa.array(backed.astype(np.int64))], names=schema.names)
-
-    answers = counted(chunks, tables)
-    texts = chunks.select("chunk", "ids", "texts", "sizes", "grams")
-    out = cut_packed(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema))
-    release(chunks)
-    return out
+        return pa.Table.from_arrays([chunk.column("id"), pa.array(n.astype(np.int64)), pa.array(whole), pa.array(others), *(pa.array(x.astype(np.int64)) for x in rest)], names=schema.names)
+
+    answers = counted(dealt, order, tables)
+    out = cut_lineage(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema))
+    total = F.lit(math.log(out.agg(F.sum("n_words")).first()[0] or 1))
+    less = lambda c, alone: F.col(c) - F.col(alone) * total
+    log_score = less("whole", "alone")
+    return out.select(id_col, "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"), less("others", "alone_others").alias("log_score_others"), "n_backoff")

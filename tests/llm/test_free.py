@@ -162,7 +162,7 @@ def test_token_files(spark, docs, texts, tmp_path):
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_backoff(spark, docs, texts, monkeypatch, order):
     monkeypatch.setattr(backoff, "CHUNK_BYTES", 3000)
-    got = {r.doc_id: r for r in backoff.score(docs, order=order, table_grams=200).collect()}
+    got = {r.doc_id: r for r in backoff.score(docs, order=order, table_bytes=2000).collect()}
     tokens_of = {i: words(t) for i, t in enumerate(texts)}
     grams = lambda v: Counter(tuple(v[i : i + k]) for k in range(1, order + 1) for i in range(len(v) - k + 1))
     count = Counter()

@@ -161,8 +161,6 @@ def test_license_scan_of_wrapped_files(spark):
 
 
 def test_license_sql_says_the_same_of_wrapped_and_odd_texts(spark):
-    import textwrap
-
     import duckdb
 
     from alertloom.llm import queries
