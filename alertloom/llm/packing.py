@@ -27,8 +27,8 @@ BINS = 64
 PATTERN_PARTS = 4
 #: Share of the pieces of each length kept out of the fit, to fill what the patterns leave open.
 HELD_BACK = 0.1
-#: Pieces of one length are numbered in this many parts.
-RANK_PARTS = 256
+#: Pieces of one length that are ranked in one task, on average, if all have that length.
+RANKED = 50_000
 
 
 def document_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -221,7 +221,9 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, length_col: str = "length") ->
     gives an empty result. The plan has rows by length, not by piece, and is broadcast. Raises if a piece has no place.
     """
     spark = pieces.sparkSession
-    numbered = cut_lineage(pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(RANK_PARTS)).cast("int")))
+    stored = cut_lineage(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    wanted = stored.count()
+    numbered = stored.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-wanted // RANKED)))).cast("int"))
     counts = cut_lineage(numbered.groupBy(F.col(length_col).alias("_n"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("c")))
     histogram = {int(n): int(c) for n, c in counts.groupBy("_n").agg(F.sum("c")).collect()}  # at most `size` rows
     before = F.sum("c").over(Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
@@ -233,10 +235,10 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, length_col: str = "length") ->
     met = ranked.join(F.broadcast(slots), (F.col(length_col) == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     inner = F.col("_rank") - F.col("_lo")
     placed = cut_lineage(met.select(*pieces.columns, (F.col("_seq") + F.floor(inner / F.col("_times"))).alias("sequence_id"), (F.col("_off") + inner % F.col("_times") * F.col(length_col)).alias("offset")))
-    wanted, found = numbered.count(), placed.count()
+    found = placed.count()
     if found != wanted:
         raise RuntimeError(f"{wanted} pieces, but {found} of them placed")
-    release(numbered, counts)
+    release(stored, counts)
     return placed
 
 
