@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,3 +92,23 @@ def label_budgets(df: DataFrame, row_id: str, budgets: Sequence[int] = (0, 25, 1
     one = top.withColumn("_all", F.lit(0))
     ranked = hashed_position(one, ["_all"], row_id, seed).drop("_all", "group_size")
     return ranked.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).where("position < budget").drop("position")
+
+
+def learning_curve(budgets: DataFrame, train: DataFrame, test: DataFrame, fit_predict: Callable[[DataFrame, DataFrame], DataFrame], row_id: str, target: str) -> DataFrame:
+    """Accuracy on `test` of models taught by nested subsets of `train`: budget, n_train, n_test, n_right, accuracy.
+
+    `budgets` is that of `label_budgets`. `fit_predict` gets the rows of one budget and the test rows without `target`, and returns
+    (row_id, predicted); a row it leaves out counts as wrong. There are as many calls as budgets; an empty budget has no model.
+    """
+    levels = sorted(r["budget"] for r in budgets.select("budget").distinct().collect())
+    blind = test.drop(target)
+    out = None
+    for level in levels:
+        own = train.join(budgets.where(F.col("budget") == level).select(row_id), row_id, "left_semi")
+        predicted = fit_predict(own, blind).select(F.col(row_id), F.col("predicted"))
+        right = (F.col("predicted") == F.col(target)) & F.col("predicted").isNotNull()
+        score = test.join(predicted, row_id, "left").agg(F.count(F.lit(1)).alias("n_test"), F.count_if(right).alias("n_right"))
+        row = own.agg(F.count(F.lit(1)).alias("n_train")).withColumn("one", F.lit(1)).join(score.withColumn("one", F.lit(1)), "one").select(  # one row each
+            F.lit(level).alias("budget"), "n_train", "n_test", "n_right", F.round(F.col("n_right") / F.col("n_test"), 6).alias("accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -15,6 +15,8 @@ from alertloom.operators import rubric
 CHUNK = 4096
 #: Turns in one part of an assembled thread.
 PART_TURNS = 64
+#: What the context of a case is made of.
+CONTEXT_PARTS = ("asset", "active_changes", "active_incidents")
 OFFSET_TS = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -107,13 +109,23 @@ def claims(messages: DataFrame, thread: str = "conv_id", turn: str = "turn") ->
     )
 
 
-def to_cases(threads: DataFrame, refs: DataFrame, structured_ids: DataFrame, thread: str = "conv_id", question: str = "page_now") -> DataFrame:
+def to_cases(threads: DataFrame, refs: DataFrame, structured_ids: DataFrame, thread: str = "conv_id", question: str = "page_now", about: DataFrame | None = None) -> DataFrame:
     """Assembled parts of threads to cases. The event shows roles only; claims and the reference check stay in `meta`.
 
-    `refs` is (thread, ref_kind, ref_id); `structured_ids` is one column `id` of known changes and incidents.
+    `refs` is (thread, ref_kind, ref_id); `structured_ids` is one column `id` of known changes and incidents. `about` adds per
+    thread what it has of `channel_kind`, `dataset_kind`, the counters `truncated_messages` and `truncated_chars_messages`, and
+    `context`; a context must hold asset, active_changes and active_incidents, and nothing else of it is kept.
     """
     known = structured_ids.select(F.col("id").alias("ref_id")).distinct().withColumn("ref_found", F.lit(True))
     j = threads.join(refs, thread, "left").join(known, "ref_id", "left")
+    have: set[str] = set()
+    if about is not None:
+        have = set(about.columns) - {thread}
+        if "context" in have:
+            absent = [k for k in CONTEXT_PARTS if k not in about.schema["context"].dataType.names]
+            if absent:
+                raise ValueError(f"the context lacks {absent}")
+        j = j.join(about, thread, "left")
     shown = F.transform("messages", lambda m: F.struct(m["ts"].alias("t"), m["role"].alias("role"), m["text"].alias("text")))
     found = F.flatten(
         F.transform(
@@ -124,14 +136,16 @@ def to_cases(threads: DataFrame, refs: DataFrame, structured_ids: DataFrame, thr
             ),
         )
     )
+    context = [F.struct(*[F.col(f"context.{k}").alias(k) for k in CONTEXT_PARTS]).alias("context")] if "context" in have else []
     return j.select(
         thread,
         "part",
-        F.struct(F.lit("chat_thread").alias("format"), F.get("messages", F.lit(0))["ts"].alias("ts"), shown.alias("messages")).alias("event"),
+        F.struct(F.lit("chat_thread").alias("format"), *[c for c in ("channel_kind",) if c in have], F.get("messages", F.lit(0))["ts"].alias("ts"), shown.alias("messages")).alias("event"),
+        *context,
         F.lit(question).alias("question"),
         F.struct(
-            F.lit("untrusted_user_text").alias("trust"), found.alias("unverified_claims"), "ref_kind", "ref_id",
-            F.coalesce("ref_found", F.lit(False)).alias("event_ref_found"), F.lit(False).alias("show_to_model"),
+            F.lit("chat").alias("source"), F.lit("untrusted_user_text").alias("trust"), *[c for c in ("dataset_kind", "truncated_messages", "truncated_chars_messages") if c in have],
+            found.alias("unverified_claims"), "ref_kind", "ref_id", F.coalesce("ref_found", F.lit(False)).alias("event_ref_found"), F.lit(False).alias("show_to_model"),
         ).alias("meta"),
     )
 

@@ -108,6 +108,26 @@ def d4_label_budget(spark, sf_dir):
     return sp.label_budgets(rows, "case_id").select("budget", "case_id")
 
 
+@query(
+    "d4_learning_curve",
+    """WITH rows AS (SELECT event_id, event_type, CASE WHEN value >= 30 THEN 1 ELSE 0 END AS y, event_id % 5 = 0 AS test FROM events),
+b AS (SELECT budget, event_id, event_type, y FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || event_id), event_id) - 1 AS pos FROM rows WHERE NOT test), (VALUES (25), (100), (350)) v(budget) WHERE pos < budget),
+m AS (SELECT budget, event_type, CASE WHEN 2 * sum(y) >= count(*) THEN 1 ELSE 0 END AS predicted FROM b GROUP BY ALL),
+s AS (SELECT v.budget, count(*) AS n_test, count(*) FILTER (m.predicted = r.y) AS n_right FROM (VALUES (25), (100), (350)) v(budget), (SELECT * FROM rows WHERE test) r LEFT JOIN m ON m.budget = v.budget AND m.event_type = r.event_type GROUP BY 1)
+SELECT budget, (SELECT count(*) FROM b WHERE b.budget = s.budget) AS n_train, n_test, n_right, round(n_right::DOUBLE / n_test, 6) AS accuracy FROM s""",
+)
+def d4_learning_curve(spark, sf_dir):
+    """How well the more frequent answer of each event type does, learned from ever more labels."""
+    e = fx.events(spark, sf_dir).select(F.col("event_id").alias("case_id"), "event_type", F.when(F.col("value") >= 30, 1).otherwise(0).alias("y"))
+    train, test = e.where("case_id % 5 <> 0"), e.where("case_id % 5 = 0")
+
+    def majority(own, blind):
+        votes = own.groupBy("event_type").agg(F.when(2 * F.sum("y") >= F.count(F.lit(1)), 1).otherwise(0).alias("predicted"))
+        return blind.join(votes, "event_type")
+
+    return sp.learning_curve(sp.label_budgets(train, "case_id", (25, 100, 350)), train, test, majority, "case_id", "y")
+
+
 _PINS = ", ".join(f"('{k}', '{v}')" for k, v in fx.WRAPPER_PINS.items())
 
 

@@ -381,6 +381,29 @@ def p7_thread_to_case(spark, sf_dir):
     )
 
 
+@query(
+    "p7_case_context",
+    fx.sql_with("evidence", "changes", "incidents", "chat").rstrip() + _CAPPED + """, k AS (SELECT conv_id, count(*) AS kept, count(*) FILTER (was_cut) AS cut, min_by(ts_sec, turn) AS first_ts FROM capped GROUP BY 1),
+n AS (SELECT conv_id, count(*) AS total FROM chat GROUP BY 1)
+SELECT k.conv_id, CASE WHEN k.conv_id % 2 = 0 THEN 'team_channel' ELSE 'incident_bridge' END AS channel_kind, first_ts, kept AS n_messages, total - kept AS truncated_messages, cut AS truncated_chars_messages, e.host,
+  (SELECT count(*) FROM changes c WHERE c.host = e.host AND e.ts BETWEEN c.start_ts AND c.end_ts) AS n_changes, (SELECT count(*) FROM incidents i WHERE i.entity = e.host AND e.ts > i.opened AND e.ts <= i.end_ts) AS n_incidents
+FROM k JOIN n USING (conv_id) JOIN evidence e ON e.case_id = k.conv_id""",
+)
+def p7_case_context(spark, sf_dir):
+    """Capped threads as whole cases: channel, counters of what the caps took, and the context of their event."""
+    kept = capped_messages(spark, sf_dir)
+    counters = th.thread_counters(fx.chat_messages(spark, sf_dir), kept)
+    context = fx.nested_cases(spark, sf_dir).select(F.col("case_id").alias("conv_id"), "context")
+    kind = F.when(F.col("conv_id") % 2 == 0, "team_channel").otherwise("incident_bridge").alias("channel_kind")
+    about = counters.join(context, "conv_id").select("conv_id", kind, F.col("messages_dropped").alias("truncated_messages"), F.col("messages_cut").alias("truncated_chars_messages"), "context")
+    whole = th.assemble(kept, part_turns=1 << 20)
+    t = th.to_cases(whole, _refs(spark, sf_dir), _structured_ids(spark, sf_dir), about=about)
+    return t.select(
+        "conv_id", "event.channel_kind", F.unix_timestamp("event.ts").alias("first_ts"), F.size("event.messages").alias("n_messages"), "meta.truncated_messages", "meta.truncated_chars_messages",
+        "context.asset.host", F.size("context.active_changes").alias("n_changes"), F.size("context.active_incidents").alias("n_incidents"),
+    )
+
+
 # ------------------------------------------------------------------ rendering
 _STATE = """SELECT event_id AS case_id, 'EVENT format=event' || chr(10) || event_type || chr(10) || 'EVENT FIELDS {"host":"' || user_id || '","signal":"' || event_type || '","ts":"'
   || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' || chr(10) || 'CONTEXT {"active_changes":[],"active_incidents":[],"asset":{"criticality":"low","host":"' || user_id || '"}}' AS state FROM events"""
