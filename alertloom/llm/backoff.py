@@ -29,8 +29,10 @@ from alertloom.session import cut_lineage
 
 BACKOFF = 0.4
 ORDER = 3
-#: N-grams are known by so many bits of their hash.
-HASH_BITS = 56
+#: N-grams are known by a hash of so many bits more than it takes to number all of them, so that one in a million, however many
+#: there are, shares its hash with another; and of so many at least.
+SPARE_BITS = 20
+LEAST_BITS = 48
 #: Text bytes of a chunk, and of the texts whose n-grams of one length one table gets, on average.
 CHUNK_BYTES = 4 << 20
 TABLE_BYTES = 5 << 20
@@ -57,24 +59,29 @@ def unpack_counts(packed: bytes) -> np.ndarray:
     return unpack(packed[1:], f"uint{8 * packed[0]}").astype(np.int64)
 
 
-def gram_hashes(words: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def hash_bits(text_bytes: int, order: int) -> int:
+    """Bits of an n-gram's hash for a corpus of so many bytes, with a word in every six or so."""
+    return min(63, max(LEAST_BITS, SPARE_BITS + (order * text_bytes // 6).bit_length()))
+
+
+def gram_hashes(words: np.ndarray, bounds: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length up to `order`: hashes of the n-grams inside texts, and where each ends."""
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     out = []
     for size in range(1, order + 1):
-        hashes = mixed(run_hashes(words, size) + np.uint64(size)) >> np.uint64(64 - HASH_BITS)
+        hashes = mixed(run_hashes(words, size) + np.uint64(size)) >> np.uint64(64 - bits)
         inside = np.flatnonzero(of[: len(hashes)] == of[size - 1 :][: len(hashes)])
         out.append((hashes[inside], inside + size - 1))
     return out
 
 
-def different_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+def different_grams(texts: pa.Array, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of all texts, sorted, and how often each occurs."""
     words, bounds = word_hashes(texts)
-    return np.unique(np.concatenate([h for h, _ in gram_hashes(words, bounds, order)]), return_counts=True)
+    return np.unique(np.concatenate([h for h, _ in gram_hashes(words, bounds, order, bits)]), return_counts=True)
 
 
-def score_texts(texts: pa.Array, order: int, grams: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+def score_texts(texts: pa.Array, order: int, bits: int, grams: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Per text: words, score by all counts, score by the counts of other texts, words that backed off in the latter, and how many
     words either score took alone; their logarithms lack that of the number of all words.
 
@@ -84,7 +91,7 @@ def score_texts(texts: pa.Array, order: int, grams: np.ndarray, counts: np.ndarr
     n = len(words)
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     everywhere, elsewhere = np.zeros((order, n), np.int64), np.zeros((order, n), np.int64)
-    for size, (hashes, ends) in enumerate(gram_hashes(words, bounds, order), 1):
+    for size, (hashes, ends) in enumerate(gram_hashes(words, bounds, order, bits), 1):
         if not len(hashes):
             continue
         number = np.searchsorted(grams, hashes)
@@ -110,14 +117,14 @@ def score_texts(texts: pa.Array, order: int, grams: np.ndarray, counts: np.ndarr
     return [np.diff(bounds), *(x[bounds[1:]] - x[bounds[:-1]] for x in sums)]
 
 
-def counted(dealt: DataFrame, order: int, tables: int) -> DataFrame:
+def counted(dealt: DataFrame, order: int, bits: int, tables: int) -> DataFrame:
     """(chunk, part, counts): for each chunk, the counts over all chunks of its n-grams, in their order, a piece from every table."""
     asked = T.StructType().add("part", "integer").add("chunk", "long").add("grams", "binary").add("times", "binary")
     answered = T.StructType().add("chunk", "long").add("part", "integer").add("counts", "binary")
-    bounds = np.array([(k << HASH_BITS) // tables for k in range(tables + 1)], np.uint64)
+    bounds = np.array([(k << bits) // tables for k in range(tables + 1)], np.uint64)
 
     def ask(chunk: pa.Table) -> pa.Table:
-        each, times = different_grams(chunk.column("text").combine_chunks(), order)
+        each, times = different_grams(chunk.column("text").combine_chunks(), order, bits)
         at = np.searchsorted(each, bounds).tolist()
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
         columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk.column("chunk")[0].as_py()] * len(rows), pa.int64())]
@@ -157,13 +164,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     Counts are over all texts. `log_score` uses them as they are, so no n-gram of a text is unknown. For `log_score_others`, n-grams
     of two and more words count only where they occur in other rows; `n_backoff` words of the text then lack their longest
     n-gram. A null, empty or blank text has no words, score 0 and no mean. Ids may be of any type, null, or repeated: each row is
-    scored by itself, and rows equal in both id and text are in one chunk. N-grams are known by HASH_BITS bits. Other columns
-    are not read.
+    scored by itself, and rows equal in both id and text are in one chunk. N-grams are known by their hash (SPARE_BITS).
+    Other columns are not read.
     """
     if order < 1:
         raise ValueError("the order is at least one")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = hash_bits(size, order)
     chunks = max(1, -(-size // CHUNK_BYTES))
     tables = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-order * size // table_bytes))
     dealt = slim.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
@@ -174,11 +182,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         texts = chunk.column("text").combine_chunks()
         by_part = sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
         counts = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(c) for _, c in by_part)])
-        n, whole, others, *rest = score_texts(texts, order, different_grams(texts, order)[0], counts)
+        n, whole, others, *rest = score_texts(texts, order, bits, different_grams(texts, order, bits)[0], counts)
         tokens.give_back()
         return pa.Table.from_arrays([chunk.column("id"), pa.array(n.astype(np.int64)), pa.array(whole), pa.array(others), *(pa.array(x.astype(np.int64)) for x in rest)], names=schema.names)
 
-    answers = counted(dealt, order, tables)
+    answers = counted(dealt, order, bits, tables)
     out = cut_lineage(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema))
     total = F.lit(math.log(out.agg(F.sum("n_words")).first()[0] or 1))
     less = lambda c, alone: F.col(c) - F.col(alone) * total
