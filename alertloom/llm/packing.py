@@ -27,8 +27,9 @@ BINS = 64
 PATTERN_PARTS = 4
 #: Share of the pieces of each length kept out of the fit, to fill what the patterns leave open.
 HELD_BACK = 0.1
-#: Pieces of one length that are ranked in one task, on average, if all have that length.
+#: Pieces of one length that are ranked in one task, on average, if all have that length; and parts that a length has at least.
 RANKED = 50_000
+RANK_PARTS = 256
 
 
 def document_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -223,7 +224,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, length_col: str = "length") ->
     spark = pieces.sparkSession
     stored = cut_lineage(pieces.withColumn("_row", F.monotonically_increasing_id()))
     wanted = stored.count()
-    numbered = stored.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-wanted // RANKED)))).cast("int"))
+    numbered = stored.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(max(RANK_PARTS, -(-wanted // RANKED)))).cast("int"))
     counts = cut_lineage(numbered.groupBy(F.col(length_col).alias("_n"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("c")))
     histogram = {int(n): int(c) for n, c in counts.groupBy("_n").agg(F.sum("c")).collect()}  # at most `size` rows
     before = F.sum("c").over(Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))

@@ -179,4 +179,4 @@ def test_license_sql_says_the_same_of_wrapped_and_odd_texts(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     want = con.execute(f"SELECT doc_id, text_digest, license, n_notices, notices FROM ({queries.ORACLES['op3_license_scan']})").fetchall()
     got = [(r.doc_id, r.text_digest, r.license, r.n_notices, r.notices) for r in scanned.collect()]
-    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] is not None for r in got) > 50
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] is not None for r in got) > 40
