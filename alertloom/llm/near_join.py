@@ -68,6 +68,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 sets = shingle_sets(part.column("text"), SHINGLE_WORDS)
                 names = [_identity(s) for s in sets]
                 yield _batch([part.column("id"), [len(s) for s in sets], [n for n, _ in names], [v for _, v in names]], arrow)
+        tokens.give_back()
 
     return cut_lineage(_texts(docs, id_col, text_col).mapInArrow(run, schema))
 
@@ -95,8 +96,10 @@ def shared_counts(docs: DataFrame, shingles: int, id_col: str = "doc_id", text_c
                     short = np.ascontiguousarray(mixed(found[i])).view(np.uint8).reshape(-1, 8)[:, :SHORT_BYTES]
                     rows.append((p, short.tobytes(), nodes[used].tobytes(), local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes()))
                 yield _batch(list(zip(*rows, strict=True)), to_arrow_schema(dealt))
+        tokens.give_back()
 
     def count(group: pa.Table) -> pa.Table:
+        tokens.give_back()  # of the group before
         tables = [np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()]
         owners = [t[np.frombuffer(a, "<u2" if len(t) < 1 << 16 else "<u4")] for t, a in zip(tables, group.column("at").to_pylist(), strict=True)]
         flat = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, SHORT_BYTES)
@@ -169,6 +172,7 @@ def shingle_counts(texts: DataFrame) -> DataFrame:
                     counts += np.bincount((np.concatenate(sets) % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
         filled = np.flatnonzero(counts.reshape(-1, COUNT_SLICE).any(axis=1))
         yield _batch([filled, list(counts.reshape(-1, COUNT_SLICE)[filled])], arrow)
+        tokens.give_back()
 
     return texts.mapInArrow(run, schema)
 
@@ -223,8 +227,10 @@ def shared_first(texts: DataFrame, counts: np.ndarray, entries: int, rows: int)
                 place = ((place >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
                 rows_out = [(p, shingles[i].tobytes(), nodes[i].tobytes()) for p, i in _split(place)]
                 yield _batch(list(zip(*rows_out, strict=True)), to_arrow_schema(dealt))
+        tokens.give_back()
 
     def meet(group: pa.Table) -> pa.Table:
+        tokens.give_back()
         shingles = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()])
         nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()])
         order = np.lexsort((nodes, shingles))
@@ -328,6 +334,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part in tokens.chunks(batch, "text"):
                 found = shingle_sets(part.column("text"), SHINGLE_WORDS)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_identity(s)[0] for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=schema.names)
+        tokens.give_back()
 
     full = few.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(sets, schema)
     placed = trees(members, tree_sets).join(full, ["id", "name"])

@@ -42,6 +42,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     schema = schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.give_back()  # what an earlier stage left in this worker
         for batch in batches:
             for part in tokens.chunks(batch, "text"):
                 ids, bounds = tokens.encode_texts(part.column("text"), vocabulary, end_id)
