@@ -207,15 +207,14 @@ def s8_set_digest_by(spark, sf_dir):
 
 @query(
     "s8_file_sha256",
-    """SELECT event_id, sha256(row || chr(10)) AS sha256, strlen(row)::BIGINT + 1 AS bytes FROM (SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS row FROM events WHERE event_id % 500 = 0)""",
+    "SELECT page_id, sha256(coalesce(html, '') || chr(10)) AS sha256, strlen(coalesce(html, ''))::BIGINT + 1 AS bytes FROM pages",
 )
 def s8_file_sha256(spark, sf_dir):
-    """Files of one row, one per event of the set asked for, each hashed as it is on disk."""
+    """A file for every page, each hashed as it is on disk."""
     path = work_path(spark, "hashed")
-    rows = fx.table(spark, sf_dir, "events").where("event_id % 500 = 0")
-    rows.select(F.to_json(F.struct("event_type", "user_id")).alias("value"), "event_id").write.partitionBy("event_id").text(path)
+    fx.table(spark, sf_dir, "pages").select("html", "page_id").write.partitionBy("page_id").text(path)
     files = fp.file_fingerprints(spark, path).where(~F.col("file").rlike("^[._]"))
-    return files.select(F.regexp_extract("path", "event_id=(\\d+)/", 1).cast("bigint").alias("event_id"), "sha256", "bytes")
+    return files.select(F.regexp_extract("path", "page_id=(\\d+)/", 1).cast("bigint").alias("page_id"), "sha256", "bytes")
 
 
 def _dataset(spark, sf_dir, tampered=False):
