@@ -35,7 +35,7 @@ GUESS_DF = 200  # words above this frequency do not take part in guessing; guess
 DIGITS = 9
 SLACK = 1e-6
 TASK_ROWS = 250_000  # query words per block, on average
-SHARD_ROWS = 60_000  # postings per shard, on average: small shards have tighter bounds
+SHARD_ROWS = 120_000  # postings per shard, on average: small shards have tighter bounds
 COMMON = 200  # a word orders its texts if one in so many of them has it, or more
 
 
