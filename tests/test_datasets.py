@@ -262,6 +262,27 @@ def test_files_of_any_kind_are_hashed_as_they_are(spark, tmp_path):
     assert sorted((r.sha256, r.bytes) for r in rows) == sorted((hashlib.sha256(b).hexdigest(), len(b)) for b in bodies.values() if b)
 
 
+def test_many_small_files_share_a_task(spark, tmp_path, monkeypatch):
+    bodies = [f"line {i}\n".encode() * (i % 7 + 1) for i in range(200)]
+    for i, body in enumerate(bodies):
+        (tmp_path / "data" / f"page={i}").mkdir(parents=True)
+        (tmp_path / "data" / f"page={i}" / "a.txt").write_bytes(body)
+    made = []
+    monkeypatch.setattr(fp, "work_path", lambda s, label: made.append(str(tmp_path / label)) or made[-1])
+    rows = fp.file_fingerprints(spark, str(tmp_path / "data")).collect()
+    assert sorted(r.sha256 for r in rows) == sorted(hashlib.sha256(b).hexdigest() for b in bodies)
+    stored = spark.read.parquet(made[0])
+    assert stored.select("_metadata.file_path").distinct().count() <= 2 * spark.sparkContext.defaultParallelism  # a file of each task
+
+
+def test_no_split_file_holds_many_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wr, "FILE_ROWS", 10)
+    cases = spark.range(95).select(F.lit("train").alias("split"), F.lit("A").alias("cohort"), F.col("id").alias("case_id"))
+    wr.write_splits(cases, str(tmp_path / "c"))
+    back = spark.read.json(str(tmp_path / "c")).groupBy("_metadata.file_path").count()
+    assert back.agg(F.sum("count"), F.max("count") <= 10).first() == (95, True)
+
+
 def test_set_digest_tells_rows_apart(spark):
     digest = lambda rows: fp.set_digest(spark.createDataFrame(rows, "a string, b string"), "a", "b").first().digest
     base = [("x|", "y"), ("p", None)]
