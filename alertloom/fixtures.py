@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from alertloom import fixed_values as fv
 from alertloom.functions.stats import level_from_score
 from alertloom.operators.counterfactuals import to_nested
-from alertloom.session import spread
+from alertloom.session import dealt, spread
 
 CANDIDATES = ("c0", "c1")
 ENTITY_COLUMNS = ("host",)  # the events table names no service
@@ -359,7 +359,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("user_id") % 3 == 0, F.concat(F.lit("no header here for "), u))
         .otherwise(F.concat(head, F.lit("cron[9]: (svc"), u, F.lit(") CMD (/home/svc"), u, F.lit("/run.sh "), e, F.lit(")")))
     )
-    return spread(events(spark, sf_dir)).select(
+    return dealt(events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")).select(
         F.lit("src").alias("source"), F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"), "event_type"
     )
 

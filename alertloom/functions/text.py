@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,23 +70,44 @@ def normalize_steps() -> list[Callable[[Column], Column]]:
     """
     ph = fv.PLACEHOLDER
 
-    def sub(pattern: str, to: str = ph) -> Callable[[Column], Column]:
-        return lambda t: F.regexp_replace(t, unicode(pattern), to)
+    def sub(pattern: str, to: str = ph, may: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
+        """`may` is true of every text with a match, and far faster to tell."""
+
+        def step(t: Column) -> Column:
+            done = F.regexp_replace(t, unicode(pattern), to)
+            return done if may is None else F.when(may(t), done).otherwise(t)
+
+        return step
+
+    def has(*parts: str) -> Callable[[Column], Column]:
+        return lambda t: reduce(lambda a, b: a & b, [t.contains(p) for p in parts])
 
     def ipv6(t: Column) -> Column:
-        return rewrite_matches(t, unicode(fv.TEMPLATE_IPV6), lambda m: F.when(is_ipv6(m), ph).otherwise(m))
+        # an address has "::" or seven colons
+        colons = F.length(t) - F.length(F.replace(t, F.lit(":"), F.lit("")))
+        done = rewrite_matches(t, unicode(fv.TEMPLATE_IPV6), lambda m: F.when(is_ipv6(m), ph).otherwise(m))
+        return F.when(t.contains("::") | (colons >= 7), done).otherwise(t)
 
     def structured(t: Column) -> Column:
-        return rewrite_matches(t, unicode(fv.TEMPLATE_SD_BLOCK), lambda m: F.regexp_replace(m, fv.TEMPLATE_SD_VALUE, f'="{ph}"'))
+        done = rewrite_matches(t, unicode(fv.TEMPLATE_SD_BLOCK), lambda m: F.regexp_replace(m, fv.TEMPLATE_SD_VALUE, f'="{ph}"'))
+        return F.when(t.contains('="'), done).otherwise(t)
 
+    dotted = unicode(r"\d\.\d{1,3}\.\d{1,3}\.\d")
+    quad = lambda t: t.contains(".") & t.rlike(dotted)
+    named = lambda t: t.contains(".") & t.rlike(r"\.[^\s\d.]")
+    six = lambda t: t.contains(":") | t.contains("-")
     steps = [
-        sub(fv.TEMPLATE_URL), sub(fv.TEMPLATE_EMAIL), sub(fv.TEMPLATE_MAC), sub(fv.TEMPLATE_ISO_TS), sub(fv.TEMPLATE_CLOCK),
+        sub(fv.TEMPLATE_URL, may=has("://")), sub(fv.TEMPLATE_EMAIL, may=has("@")), sub(fv.TEMPLATE_MAC, may=six),
+        sub(fv.TEMPLATE_ISO_TS, may=has("-", ":")), sub(fv.TEMPLATE_CLOCK, may=has(":")),
         ipv6,
-        sub(fv.TEMPLATE_IPV4_PORT, f"{ph}$1{ph}"), sub(fv.TEMPLATE_IPV4), sub(fv.TEMPLATE_FQDN),
+        sub(fv.TEMPLATE_IPV4_PORT, f"{ph}$1{ph}", may=quad), sub(fv.TEMPLATE_IPV4, may=quad), sub(fv.TEMPLATE_FQDN, may=named),
         structured,
     ]
-    steps += [sub(p, f"$1{ph}") for p in fv.TEMPLATE_USERS]
-    steps += [sub(fv.TEMPLATE_RHOST, f"$1{ph}"), sub(fv.TEMPLATE_HEX), sub(fv.TEMPLATE_DECIMAL), sub(fv.TEMPLATE_NUMBER)]
+    equals, home, tty, cmd = has("="), lambda t: t.contains("/home/") | t.contains("/Users/"), has(" : TTY="), has(") CMD")
+    sources = lambda t: t.contains("for ") & (t.contains(" from") | t.contains(" on"))
+    steps += [sub(p, f"$1{ph}", may=m) for p, m in zip(fv.TEMPLATE_USERS, (None, equals, sources, home, tty, cmd), strict=True)]
+    steps += [sub(fv.TEMPLATE_RHOST, f"$1{ph}", may=has("rhost=")), sub(fv.TEMPLATE_HEX, may=lambda t: t.contains("0x") | t.contains("0X"))]
+    steps += [sub(fv.TEMPLATE_DECIMAL, may=has(".")), sub(fv.TEMPLATE_NUMBER)]
     steps.append(lambda t: F.trim(F.regexp_replace(t, r"(?:<\*>){2,}", ph)))
     return steps
 
@@ -130,10 +152,11 @@ def _ends(col: Column, suffixes: tuple[str, ...]) -> Column:
     return out
 
 
-def _kind(left: Column, right: Column) -> Column:
-    """Kind of one placeholder from the literal on either side, first rule wins."""
-    low = F.lower(F.rtrim(left))
-    after = F.ltrim(right)
+def _kind(left: Column, low: Column, right: Column, after: Column) -> Column:
+    """Kind of one placeholder from the literal on either side, first rule wins.
+
+    `low` is the left one in small letters without blanks at its end, `after` the right one without blanks at its start.
+    """
     return (
         F.when(left.endswith("blk_"), "block_id")
         .when(_ends(low, fv.UID_SUFFIXES), "uid")
@@ -157,12 +180,16 @@ def placeholder_kinds(template: Column) -> Column:
     """One kind per placeholder, in order. Placeholders joined by nothing or a dot form a run; a run
     with a dot in it is a version."""
     runs = F.regexp_extract_all(template, F.lit(RUN), F.lit(0))
-    lits = F.split(template, RUN, -1)
-    sides = F.arrays_zip(runs.alias("run"), lits.alias("left"), F.slice(lits, F.lit(2), F.size(runs)).alias("right"))
-    sides = F.slice(sides, F.lit(1), F.size(runs))
+    lits = F.split(template, RUN, -1)  # one more than runs
+
+    def sides(run: Column, lit: Column) -> Column:
+        """Each run with the literals beside it, in the forms that the rules read; every text is made once."""
+        near = F.transform(run, lambda r, i: F.struct(r.alias("run"), F.get(lit, i).alias("left"), F.get(lit, i + 1).alias("right")))
+        return F.transform(near, lambda x: F.struct(x["run"].alias("run"), x["left"].alias("left"), x["right"].alias("right"), F.lower(F.rtrim(x["left"])).alias("low"), F.ltrim(x["right"]).alias("after")))
 
     def kinds(x: Column) -> Column:
-        kind = F.when(x["run"].contains("."), "version").otherwise(_kind(x["left"], x["right"]))
+        kind = F.when(x["run"].contains("."), "version").otherwise(_kind(x["left"], x["low"], x["right"], x["after"]))
         return F.array_repeat(kind, F.regexp_count(x["run"], F.lit(r"<\*>")))
 
-    return F.flatten(F.transform(sides, kinds))
+    found = F.transform(F.array(F.struct(runs.alias("run"), lits.alias("lit"))), lambda v: F.flatten(F.transform(sides(v["run"], v["lit"]), kinds)))
+    return F.get(found, F.lit(0))

@@ -58,7 +58,8 @@ def first_templates(extracted: DataFrame) -> DataFrame:
 
 def registry(extracted: DataFrame) -> DataFrame:
     """Template rows with placeholder kinds. A surviving address is an error, never a row."""
-    t = first_templates(extracted)
+    # without the barrier a filter on the kinds would go below the grouping, to every line
+    t = computed_once(first_templates(extracted), "template")
     safe = F.when(tx.holds_address(F.col("template")), F.raise_error(F.lit("a template still holds an address")).cast("string")).otherwise(F.col("template"))
     kinds = tx.placeholder_kinds(F.col("template"))
     return t.withColumn("template", safe).withColumn("placeholder_kinds", kinds).withColumn("num_placeholders", F.size("placeholder_kinds"))

@@ -79,3 +79,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows of `dealt` that make a task.
+DEALT_ROWS = 100_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows with much work ahead, dealt evenly: a task for each core, and no task much over DEALT_ROWS.
+
+    However few the files and row groups they came in, whose number `spread` takes for that of the tasks. Rows that are equal
+    go together; counting reads no column.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT_ROWS))
+    return df.repartition(tasks, *df.columns)
