@@ -7,8 +7,9 @@ replicate, which needs no index, so a replicate is a plain sum that combines map
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from alertloom.functions.stats import r6
 from alertloom.session import cut_lineage
 
 METHODS = ("indexed", "weighted")
-BROADCAST_CLUSTERS = 500_000
+#: Cells of a packed row at most, and replicates that a task draws from it.
+CHUNK = 1 << 18
+REPS = 50
 KEYS = ("a", "b", "metric")
 
 
@@ -70,33 +73,62 @@ def poisson_weight(u: Column) -> Column:
     return out.otherwise(len(POISSON_BOUNDS))
 
 
-def _draws_by_index(sums: DataFrame, small: DataFrame, seed: int, n_boot: int, rows: int) -> DataFrame:
-    """Replicate means from whole-cluster draws. `rows` is the counted number of clusters involved.
+def _by_index(head: dict, clusters: Sequence[str | None], rep: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a packed row that whole-cluster draws hit. One md5 holds four 32-bit numbers: slot q * 4 + k takes the k-th."""
+    size, lo = head["n_clusters"], head["lo"]
+    digests = b"".join(hashlib.md5(b"%d:%d:%d" % (seed, rep, q)).digest() for q in range(-(-size // 4)))
+    at = np.frombuffer(digests, ">u4")[:size].astype(np.int64) % size - lo
+    at = at[(at >= 0) & (at < len(clusters))]
+    return at, np.ones(len(at))
 
-    Draws open from (group, replicate) rows spread over all cores, meet the clusters and are summed at
-    once, so a draw is never shuffled while the counted clusters are few enough to broadcast.
+
+def _by_weight(head: dict, clusters: Sequence[str | None], rep: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a packed row with a weight above none: Poisson(1) from the md5 of seed, replicate and cluster."""
+    start = f"{seed}:{rep}"
+    digests = b"".join(hashlib.md5((start if c is None else f"{start}:{c}").encode()).digest()[:4] for c in clusters)
+    k = np.searchsorted(POISSON_BOUNDS, np.frombuffer(digests, ">u4").astype(np.int64), side="right")
+    at = np.flatnonzero(k)
+    return at, k[at].astype(float)
+
+
+def _packed(sums: DataFrame, groups: DataFrame) -> DataFrame:
+    """(KEYS, n_clusters, lo, cells): the sums of each group in the order of its clusters, cut into rows of CHUNK cells at most."""
+    numbered = sums.join(groups, list(KEYS)).withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("cluster")) - 1)
+    known = F.col("s").isNotNull().cast("double").alias("known")
+    cell = F.struct("idx", F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("s"), F.col("n").cast("double").alias("n"), known, F.col("cluster").cast("string").alias("cluster"))
+    lo = (F.floor(F.col("idx") / CHUNK) * CHUNK).cast("bigint").alias("lo")
+    return cut_lineage(numbered.groupBy(*KEYS, "n_clusters", lo).agg(F.sort_array(F.collect_list(cell)).alias("cells")))
+
+
+def _replicate_means(sums: DataFrame, groups: DataFrame, seed: int, n_boot: int, method: str) -> DataFrame:
+    """(KEYS, rep, mean). Every packed row meets every block of replicates, read again from the shared folder and not shuffled.
+
+    A draw is never a row: a task draws in arrays of CHUNK cells at most, and one sum for each replicate leaves it.
     """
-    w = W.partitionBy(*KEYS).orderBy("cluster")
-    indexed = sums.join(small, list(KEYS)).select(*KEYS, "s", "n", (F.row_number().over(w) - 1).cast("bigint").alias("idx"))
-    if rows <= BROADCAST_CLUSTERS:
-        indexed = F.broadcast(indexed)
-    cores = sums.sparkSession.sparkContext.defaultParallelism
-    reps = small.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(2 * cores, *KEYS, "rep")
-    # one md5 holds four 32-bit numbers: slot q * 4 + k takes the k-th
-    fours = reps.withColumn("q", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_clusters") / 4).cast("int") - 1)))
-    hashed = fours.withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("q").cast("string"))))
-    ks = F.sequence(F.lit(0), F.least(F.lit(3), F.col("n_clusters").cast("int") - 4 * F.col("q") - 1))
-    slots = hashed.select(*KEYS, "rep", "n_clusters", "digest", F.explode(ks).alias("k"))
-    number = F.conv(F.substr("digest", 8 * F.col("k") + 1, F.lit(8)), 16, 10).cast("bigint")
-    drawn = slots.select(*KEYS, "rep", (number % F.col("n_clusters")).alias("idx"))
-    return drawn.join(indexed, [*KEYS, "idx"]).groupBy(*KEYS, "rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
-
-
-def _draws_by_weight(sums: DataFrame, large: DataFrame, seed: int, n_boot: int) -> DataFrame:
-    opened = sums.join(large.select(*KEYS), list(KEYS), "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    k = poisson_weight(_uniform(F.lit(str(seed)), F.col("rep").cast("string"), F.col("cluster").cast("string")))
-    weighted = opened.withColumn("k", k).where("k > 0")
-    return weighted.groupBy(*KEYS, "rep").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
+    draw = _by_index if method == "indexed" else _by_weight
+    blocks = sums.sparkSession.range(0, n_boot, REPS, numPartitions=-(-n_boot // REPS)).withColumnRenamed("id", "first")
+    met = _packed(sums, groups).hint("shuffle_replicate_nl").crossJoin(blocks)
+    kind = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                head = {c: batch.column(c)[i].as_py() for c in ("n_clusters", "lo", "first")}
+                cells = batch.column("cells").slice(i, 1).flatten()
+                values = [cells.field(c).to_numpy(zero_copy_only=False) for c in ("s", "n", "known")]
+                clusters = cells.field("cluster").to_pylist()
+                out = []
+                for rep in range(head["first"], min(head["first"] + REPS, n_boot)):
+                    at, w = draw(head, clusters, rep, seed)
+                    out.append((rep, *(float((w * v[at]).sum()) for v in values)))
+                keys = [pa.array([batch.column(c)[i].as_py()] * len(out), batch.column(c).type) for c in KEYS]
+                numbers = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), *[pa.float64()] * 3), strict=True)]
+                yield pa.RecordBatch.from_arrays(keys + numbers, names=[*KEYS, "rep", "ws", "wn", "known"])
+
+    schema = ", ".join(f"{c} {kind[c]}" for c in KEYS) + ", rep bigint, ws double, wn double, known double"
+    parts = met.select(*KEYS, "n_clusters", "lo", "first", "cells").mapInArrow(resample, schema)
+    total = parts.groupBy(*KEYS, "rep").agg(F.sum("ws").alias("ws"), F.sum("wn").alias("wn"), F.sum("known").alias("known"))
+    return total.where("wn > 0").select(*KEYS, "rep", F.when(F.col("known") > 0, F.col("ws") / F.col("wn")).alias("mean"))
 
 
 def paired_bootstrap(vectors: DataFrame, seed: int = 42, n_boot: int = 2000, confidence: float = 0.95, method: str = "indexed") -> DataFrame:
@@ -106,11 +138,7 @@ def paired_bootstrap(vectors: DataFrame, seed: int = 42, n_boot: int = 2000, con
     sums = cut_lineage(cluster_sums(candidate_pairs(vectors)))
     sizes = cut_lineage(sums.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n"), F.sum("s").alias("s")))
     drawn = sizes.where(F.col("n_clusters") >= 2).select(*KEYS, "n_clusters")
-    if method == "indexed":
-        rows = drawn.agg(F.coalesce(F.sum("n_clusters"), F.lit(0))).first()[0]
-        reps = _draws_by_index(sums, drawn, seed, n_boot, rows)
-    else:
-        reps = _draws_by_weight(sums, drawn, seed, n_boot)
+    reps = _replicate_means(sums, drawn, seed, n_boot, method)
     tail = (1 - confidence) / 2
     # a group has n_boot replicates, so this percentile buffer is bounded by n_boot
     ci = reps.groupBy(*KEYS).agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
