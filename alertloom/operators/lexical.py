@@ -1,42 +1,47 @@
-"""Nearest labeled example by BM25, exact, through an inverted index cut into shards.
+"""Nearest labeled example by BM25, exact, through blocks of texts that meet block by block.
 
-Joining every query word to every posting is quadratic on common words: a word in a third of the texts
-would pair a third of the queries with a third of the labeled texts. Instead:
+Every query is scored against every labeled text, which is quadratic in time by nature; nothing else is:
 
 * texts with the same bag of words are scored once, on both sides; on the labeled side only the first
   of the copies can win a tie, while word statistics still count every copy;
-* labeled texts fall into shards of bounded size, and a word names the shards it occurs in, not its
-  texts, so a common word costs a query at most one row per shard; texts are put in order by the
-  strongest of their words that a good part of all texts has, so that those of one subject or language
-  share shards, and the largest weight of a word in a shard says something about the shard;
-* a first guess through a query's rare words gives a score the winner must reach. Words that together
-  cannot reach it cannot decide, and a shard whose best conceivable score stays below it is skipped;
-* a query meets a remaining shard inside one task, where all of the shard's texts are scored over all
-  words at once and only the best leaves. No pair of query and labeled text is ever a row.
+* texts are put in order by the strongest of their words that a good part of all texts has, so that those
+  of one subject or language are neighbours, and packed into blocks of bounded size, a row each. The two tables of
+  blocks are all that is written. Their pairs are read from there, never shuffled, so disk grows with the texts;
+* a pair of blocks meets in one step of a task, and only the best text of each query leaves it. Words that many texts of both
+  sides have are a matrix product, in single precision where weights allow; all others go through their
+  postings. Texts whose sum may be the best within the error of the product are summed again in double precision.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fv
 from alertloom.functions.text import tokens
 from alertloom.operators.scoring import to_outcomes
-from alertloom.session import cut_lineage
+from alertloom.session import cut_lineage, release
 
-GUESS_WORDS = 4
-GUESS_DF = 200  # words above this frequency do not take part in guessing; guessing only sets the bar
 DIGITS = 9
-SLACK = 1e-6
-TASK_ROWS = 250_000  # query words per block, on average
-SHARD_ROWS = 120_000  # postings per shard, on average: small shards have tighter bounds
+TASK_ROWS = 500_000  # query words per block, on average
+SHARD_ROWS = 500_000  # postings per block, on average
+BLOCK_TEXTS = 2_048  # most texts in a block
+BLOCKS = 4  # blocks of a side per task, on average, where there are enough
+ROWS = 256  # queries of a block scored at once
 COMMON = 200  # a word orders its texts if one in so many of them has it, or more
+DENSE = 300  # a word goes into the product if one in so many pairs of texts shares it, or more
+MOST_DENSE = 2_048
+GATHERED = 2_000_000  # postings looked up at once
+EPS = 2.0**-23
 
 
 def _bag(text: Column) -> Column:
@@ -49,18 +54,21 @@ def _words(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build_index(train: DataFrame, row_id: str, text: str, order: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(representatives, postings, vocabulary) of the labeled texts.
-
-    representatives: rep, order, target. postings: tid, rep, order, w, shard. vocabulary: token, tid,
-    df, most (the largest weight of the word in any text). `tid` numbers the words; it is fixed by
-    writing the vocabulary before anything uses it.
-    """
+def representatives(train: DataFrame, row_id: str, text: str, order: str, target: str) -> DataFrame:
+    """(rep, order, target, dl, copies): the first text of each bag of words."""
     rows = train.select(F.col(row_id).alias("rid"), F.col(text).alias("text"), F.col(order).alias("order"), F.col(target).alias("target"))
     bags = rows.select("rid", "order", "target", _bag(F.col("text")).alias("bag"), F.size(tokens(F.col("text"))).alias("dl"))
     reps = bags.groupBy("bag").agg(F.min(F.struct("order", "rid", "target", "dl")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    reps = cut_lineage(reps.select(F.col("m.rid").alias("rep"), F.col("m.order").alias("order"), F.col("m.target").alias("target"), F.col("m.dl").alias("dl"), "copies"))
-    kept = rows.select(F.col("rid").alias("rep"), "text").join(reps.select("rep"), "rep", "left_semi")
+    return cut_lineage(reps.select(F.col("m.rid").alias("rep"), F.col("m.order").alias("order"), F.col("m.target").alias("target"), F.col("m.dl").alias("dl"), "copies"))
+
+
+def build_index(train: DataFrame, row_id: str, text: str, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, vocabulary) of the labeled texts.
+
+    postings: tid, rep, order, w, df. vocabulary: token, tid, df. `tid` numbers the words; it is fixed by
+    writing the vocabulary before anything uses it.
+    """
+    kept = train.select(F.col(row_id).alias("rep"), F.col(text).alias("text")).join(reps.select("rep"), "rep", "left_semi")
     words = cut_lineage(_words(kept, "rep", "text").join(reps.select("rep", "order", "copies", "dl"), "rep"))
 
     counted = words.groupBy("token").agg(F.sum("copies").alias("df"))
@@ -75,109 +83,218 @@ def build_index(train: DataFrame, row_id: str, text: str, order: str, target: st
     )
     k1, b = fv.BM25_K1, fv.BM25_B
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    shards = max(1, math.ceil(words.count() / SHARD_ROWS))
-    weighted = cut_lineage(words.join(idf, "token").select("tid", "rep", "order", (F.col("idf") * part).alias("w"), "df"))
-    common = F.col("df") * COMMON >= F.lit(reps.agg(F.sum("copies")).first()[0] or 0)
-    strongest = F.max(F.when(common, F.struct("w", "tid")))
-    named = weighted.groupBy("rep").agg(strongest.alias("s")).select("rep", F.coalesce("s.tid", F.lit(-1)).alias("subject"))
-    # a range of subjects is a shard; the table is written, so every later step sees the same shards
-    placed = cut_lineage(named.repartitionByRange(shards, "subject", F.xxhash64("rep")).select("rep", F.spark_partition_id().alias("shard")))
-    postings = cut_lineage(weighted.join(placed, "rep").select("tid", "rep", "order", "w", "shard"))
-    most = postings.groupBy("tid").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most"))
-    return reps, postings, cut_lineage(numbered.join(most, "tid"))
-
-
-def _guess_bar(qwords: DataFrame, postings: DataFrame) -> DataFrame:
-    """(bag, bar): the exact score of one plausible labeled text, a lower bound of the best score."""
-    by_reach = W.partitionBy("bag").orderBy(F.col("reach").desc(), "tid")
-    rare = qwords.where(F.col("df") <= GUESS_DF).withColumn("r", F.row_number().over(by_reach)).where(F.col("r") <= GUESS_WORDS)
-    seen = rare.select("bag", "tid", "qtf").join(postings, "tid").groupBy("bag", "rep").agg(F.sum(F.col("qtf") * F.col("w")).alias("part"))
-    guess = seen.groupBy("bag").agg(F.max_by("rep", F.struct("part", "rep")).alias("rep"))
-    full = guess.join(qwords.select("bag", "tid", "qtf"), "bag").join(postings.select("tid", "rep", "w"), ["tid", "rep"])
-    return full.groupBy("bag").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("bar"))
-
-
-def _shards_to_visit(qwords: DataFrame, postings: DataFrame, bar: DataFrame) -> DataFrame:
-    """(bag, shard) where some text of the shard may still reach the bar."""
-    growing = W.partitionBy("bag").orderBy("reach", "tid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = qwords.join(bar, "bag", "left").na.fill(0.0, ["bar"]).withColumn("sum_reach", F.sum("reach").over(growing))
-    skipped = F.col("sum_reach") < F.col("bar") - SLACK
-    rest = ranked.groupBy("bag").agg(F.coalesce(F.max(F.when(skipped, F.col("sum_reach"))), F.lit(0.0)).alias("rest"), F.max("bar").alias("bar"))
-    per_shard = postings.groupBy("tid", "shard").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("most_here"))
-    deciding = ranked.where(~skipped).select("bag", "tid", "qtf")
-    reach = deciding.join(per_shard, "tid").groupBy("bag", "shard").agg(F.sum(F.col("qtf") * F.col("most_here")).alias("part"))
-    return reach.join(rest, "bag").where(F.col("part") + F.col("rest") >= F.col("bar") - SLACK).select("bag", "shard")
-
-
-def _score_shard(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """Best labeled text of one shard for each query of one block."""
-    if words.empty or index.empty:
-        return pd.DataFrame({"bag": [], "rep": [], "order": [], "score": []})
-    docs = index[["rep", "order"]].drop_duplicates("rep").sort_values("order", ignore_index=True)
-    place = pd.Series(np.arange(len(docs)), index=docs["rep"].to_numpy())
-    index = index.sort_values("tid", kind="stable")
-    names, starts = np.unique(index["tid"].to_numpy(), return_index=True)
-    ends = np.append(starts[1:], len(index))
-    at = place.loc[index["rep"].to_numpy()].to_numpy()
-    weight = index["w"].to_numpy()
-    out = []
-    for bag, part in words.groupby("bag", sort=False):
-        tid, qtf = part["tid"].to_numpy(), part["qtf"].to_numpy()
-        i = np.minimum(np.searchsorted(names, tid), len(names) - 1)
-        known = names[i] == tid
-        i, qtf = i[known], qtf[known]
-        length = ends[i] - starts[i]
-        # positions of all postings of all words of this query, word after word
-        pos = np.arange(length.sum()) + np.repeat(starts[i] - np.cumsum(length) + length, length)
-        score = np.bincount(at[pos], weights=np.repeat(qtf, length) * weight[pos], minlength=len(docs))
-        score = np.round(score, DIGITS)
-        best = int(np.argmax(score))  # the first of equals, and texts are in order
-        out.append((bag, docs["rep"].iat[best], docs["order"].iat[best], float(score[best])))
-    return pd.DataFrame(out, columns=["bag", "rep", "order", "score"])
-
-
-def _score(visits: DataFrame, qwords: DataFrame, postings: DataFrame, blocks: int) -> DataFrame:
-    """Meet queries and shards in tasks of bounded size: one (shard, query block) per group."""
-    kind = {f.name: f.dataType.simpleString() for f in (*postings.schema.fields, *qwords.schema.fields)}
-    block = F.pmod(F.xxhash64("bag"), F.lit(blocks)).cast("int").alias("block")
-    left = visits.join(qwords.select("bag", "tid", "qtf"), "bag").select("shard", block, "bag", "tid", "qtf")
-    used = visits.select("shard", block).distinct()
-    right = postings.join(used, "shard").select("shard", "block", "tid", "rep", "order", "w")
-
-    def score(words: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        return _score_shard(words, index)
-
-    schema = f"bag {kind['bag']}, rep {kind['rep']}, `order` {kind['order']}, score double"
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(score, schema)
+    postings = cut_lineage(words.join(idf, "token").select("tid", "rep", "order", (F.col("idf") * part).alias("w"), "df"))
+    release(words)
+    return postings, numbered
 
 
-def nearest(queries: DataFrame, query_id: str, query_text: str, train: DataFrame, row_id: str, text: str, order: str, target: str) -> DataFrame:
-    """(query_id, rep, score, target): the best labeled text, lowest order on ties. A query that scores
-    nothing takes the first labeled text, as its score ties with every other at zero.
+BLOCK = "part int, starts array<int>, names array<long>, at array<int>, weights array<double>"
 
-    One index serves one task kind; call it per kind.
+
+def _blocks(words: DataFrame, key: str, order: str, weight: str, n: int, size: int) -> DataFrame:
+    """Rows of BLOCK, keys and orders of at most BLOCK_TEXTS texts and about `size` words, from words (key, order, tid, df, weight).
+
+    `n` counts all labeled texts. A range of subjects goes into a block; `names` are the words of a block, and those of its text number i
+    are names[at[starts[i]:starts[i + 1]]].
     """
-    reps, postings, vocabulary = build_index(train, row_id, text, order, target)
+    kind = {f.name: f.dataType.simpleString() for f in words.schema.fields}
+    subject = F.max(F.when(F.col("df") * COMMON >= n, F.struct(weight, "tid")))
+    texts = cut_lineage(words.groupBy(key).agg(
+        F.min(order).alias("_order"), F.coalesce(subject["tid"], F.lit(-1)).alias("subject"),
+        F.collect_list("tid").alias("tids"), F.collect_list(F.col(weight).cast("double")).alias("ws"),
+    ))
+    sizes = texts.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.size("tids")), F.lit(0)).alias("words")).first()
+    parts = max(1, math.ceil(sizes["words"] / size), math.ceil(sizes["texts"] / BLOCK_TEXTS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        texts = width = 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).sort_by("_order").combine_chunks()
+            tids, ws = rows["tids"].combine_chunks(), rows["ws"].combine_chunks()
+            lengths = pc.list_value_length(tids).to_numpy()
+            names, at = np.unique(tids.flatten().to_numpy(), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            values = (np.array([part], np.int32), [starts], [names], [at.astype(np.int32)], [ws.flatten().to_numpy()])
+            lists = [rows["_key"].combine_chunks(), rows["_order"].combine_chunks()]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            return pa.RecordBatch.from_arrays([*map(pa.array, values), *lists], names=["part", "starts", "names", "at", "weights", "keys", "orders"])
+
+        for batch in batches:
+            lengths = pc.list_value_length(batch["tids"]).to_numpy(zero_copy_only=False)
+            first = 0
+            for i, length in enumerate(lengths):
+                if texts and (texts >= BLOCK_TEXTS or width + length > 2 * size):
+                    held.append(batch.slice(first, i - first))
+                    yield block()
+                    held, first, texts, width = [], i, 0, 0
+                texts, width = texts + 1, width + length
+            held.append(batch.slice(first))
+        if texts:
+            yield block()
+
+    sorted_texts = texts.repartitionByRange(parts, "subject", F.xxhash64(key)).select(F.col(key).alias("_key"), "_order", "tids", "ws")
+    packed = cut_lineage(sorted_texts.mapInArrow(pack, f"{BLOCK}, keys array<{kind[key]}>, orders array<{kind[order]}>"))
+    release(texts)
+    return packed
+
+
+def _dealt(blocks: DataFrame, tasks: int) -> DataFrame:
+    """Blocks in so many tasks, an equal number in each."""
+    return blocks.repartitionById(tasks, F.col("part") % tasks)
+
+
+def _best_of(q: dict, d: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(text, score) of the best text of block `d` for every query of block `q`, the first of equals; score 0 where no text scores more."""
+    nq, nd = len(q["starts"]) - 1, len(d["starts"]) - 1
+    place = np.minimum(np.searchsorted(d["names"], q["names"]), len(d["names"]) - 1)
+    place = np.where(d["names"][place] == q["names"], place, -1)
+    of_word = place[q["at"]]
+    known = of_word >= 0
+    q_row = np.repeat(np.arange(nq), np.diff(q["starts"]))[known]
+    q_word, q_weight = of_word[known], q["weights"][known]
+    d_row = np.repeat(np.arange(nd), np.diff(d["starts"]))
+    n = len(d["names"])
+    # postings of each word of the block, in order of its texts
+    by_word = np.argsort(d["at"], kind="stable")
+    d_row, d_weight, d_word = d_row[by_word], d["weights"][by_word], d["at"][by_word]
+    df = np.bincount(d_word, minlength=n)
+    shared = np.bincount(q_word, minlength=n) * df.astype(np.float64)
+    # the words of the product
+    dense = np.flatnonzero(shared * DENSE >= float(nq) * nd)
+    if len(dense) > MOST_DENSE:
+        dense = dense[np.argsort(-shared[dense], kind="stable")[:MOST_DENSE]]
+    column = np.full(n, -1)
+    column[dense] = np.arange(len(dense))
+    c = len(dense)
+    inside = column[d_word] >= 0
+    d_side = np.bincount(d_row[inside] * c + column[d_word[inside]], d_weight[inside], nd * c).reshape(nd, c)
+    single = np.float32 if d_side.size and d_side.min() >= 0 else np.float64
+    d_fast = np.ascontiguousarray(d_side.T, single)
+    starts = np.concatenate([[0], np.cumsum(df)])
+    bounds = np.searchsorted(q_row, np.arange(0, nq + ROWS, ROWS))
+    best, score = np.zeros(nq, np.int64), np.zeros(nq)
+    for k, first in enumerate(range(0, nq, ROWS)):
+        m = min(ROWS, nq - first)
+        span = slice(bounds[k], bounds[k + 1])
+        row, word, weight = q_row[span] - first, q_word[span], q_weight[span]
+        into = column[word]
+        q_side = np.bincount(row[into >= 0] * c + into[into >= 0], weight[into >= 0], m * c).reshape(m, c)
+        rare = into < 0
+        rest = _sums(row[rare], word[rare], weight[rare], starts, df, d_row, d_weight, m, nd)
+        near = (q_side.astype(single) @ d_fast) + rest
+        # the product of c terms of one sign is off by c + 2 roundings at most
+        most = near.max(axis=1)
+        slack = (c + 2) * EPS * np.abs(most) if single is np.float32 else np.full(m, 1e-9) + 1e-12 * np.abs(most)
+        # a text that shares nothing is never the best one
+        bar = np.where(most > 0, most - 2 * slack - 10.0**-DIGITS, np.inf)
+        i, j = np.nonzero(near >= bar[:, None])
+        exact = np.empty(len(i))
+        for s in range(0, len(i), 1024):
+            a, b = i[s : s + 1024], j[s : s + 1024]
+            exact[s : s + 1024] = np.einsum("ij,ij->i", q_side[a], d_side[b]) + rest[a, b]
+        exact = np.round(exact, DIGITS)
+        top = np.full(m, -np.inf)
+        np.maximum.at(top, i, exact)
+        won = exact == top[i]
+        # candidates stand in order of query and text, so the first of a query is the first of equals
+        of, at = np.unique(i[won], return_index=True)
+        best[first + of], score[first + of] = j[won][at], top[of]
+    return best, score
+
+
+def _sums(row, word, weight, starts, df, d_row, d_weight, m: int, nd: int) -> np.ndarray:
+    """(m, nd) sums over the postings of the words (row, word, weight)."""
+    length = df[word]
+    upto = np.cumsum(length)
+    total = np.zeros(m * nd)
+    cuts = [0, *np.searchsorted(upto, np.arange(GATHERED, upto[-1], GATHERED)).tolist(), len(word)] if len(word) else []
+    for lo, hi in pairwise(cuts):
+        if lo == hi:
+            continue
+        n = length[lo:hi]
+        # positions of all postings of these words, word after word
+        pos = np.arange(n.sum()) + np.repeat(starts[word[lo:hi]] - np.cumsum(n) + n, n)
+        cell = np.repeat(row[lo:hi] * nd, n) + d_row[pos]
+        total += np.bincount(cell, np.repeat(weight[lo:hi], n) * d_weight[pos], m * nd)
+    return total.reshape(m, nd)
+
+
+def _score(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(bag, rep, order, score): the best text of each block of `index` for each query, where one scores."""
+    kind = {f.name: f.dataType for f in index.schema.fields}
+    bag = queries.schema["keys"].dataType.elementType.simpleString()
+    schema = f"bag {bag}, rep {kind['keys'].elementType.simpleString()}, `order` {kind['orders'].elementType.simpleString()}, score double"
+    fields = ("starts", "names", "at", "weights")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, d = ({f: batch[f"{side}_{f}"][i].values.to_numpy() for f in fields} for side in "qd")
+                best, found = _best_of(q, d)
+                hit = np.flatnonzero(found > 0)
+                text = pa.array(best[hit])
+                columns = [batch["q_keys"][i].values.take(pa.array(hit)), batch["d_keys"][i].values.take(text), batch["d_orders"][i].values.take(text), pa.array(found[hit])]
+                yield pa.RecordBatch.from_arrays(columns, names=["bag", "rep", "order", "score"])
+
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    nq, nd = queries.count(), index.count()
+    left = _dealt(queries, max(1, min(nq, max(cores, math.ceil(nq / BLOCKS))))).select(*[F.col(f).alias(f"q_{f}") for f in (*fields, "keys")])
+    right = _dealt(index, max(1, math.ceil(nd / BLOCKS))).select(*[F.col(f).alias(f"d_{f}") for f in (*fields, "keys", "orders")])
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(score, schema)
+
+
+def _search(queries: DataFrame, query_id: str, query_text: str, train: DataFrame, row_id: str, text: str, reps: DataFrame) -> DataFrame:
+    """(query_id, rep, score): the best labeled text, lowest order on ties."""
+    postings, vocabulary = build_index(train, row_id, text, reps)
+    n = reps.agg(F.sum("copies")).first()[0] or 0
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_text).alias("text"))
-    digests = q.select("qid", _bag(F.col("text")).alias("digest"))
+    digests = cut_lineage(q.select("qid", _bag(F.col("text")).alias("digest")))
     # a bag goes by the first query that has it
     first = digests.groupBy("digest").agg(F.min("qid").alias("bag"))
     bags = cut_lineage(digests.join(first, "digest").select("qid", "bag"))
+    release(digests)
+    index = _blocks(postings, "rep", "order", "w", n, SHARD_ROWS)
+    release(postings)
     once = q.join(bags.where("qid = bag").select("qid"), "qid", "left_semi").withColumnRenamed("qid", "bag")
     words = _words(once, "bag", "text").withColumnRenamed("tf", "qtf")
-    qwords = cut_lineage(words.join(vocabulary, "token").select("bag", "tid", "qtf", "df", (F.col("qtf") * F.col("most")).alias("reach")))
-    blocks = max(1, math.ceil(qwords.count() / TASK_ROWS))
+    qwords = words.join(vocabulary, "token").select("bag", "tid", "qtf", "df", F.col("bag").alias("order"))
+    asked = _blocks(qwords, "bag", "order", "qtf", n, TASK_ROWS)
 
-    bar = _guess_bar(qwords, postings)
-    visits = cut_lineage(_shards_to_visit(qwords, postings, bar))
-    scored = _score(visits, qwords, postings, blocks)
-    best = scored.groupBy("bag").agg(F.max_by(F.struct("rep", "score"), F.struct(F.col("score"), -F.col("order"))).alias("b"))
-    hit = best.where(F.col("b.score") > 0).select("bag", F.col("b.rep").alias("rep"), F.col("b.score").alias("score"))
+    with one_row_at_a_time(queries.sparkSession):
+        scored = _score(asked, index)
+        best = scored.groupBy("bag").agg(F.max_by(F.struct("rep", "score"), F.struct(F.col("score"), -F.col("order"))).alias("b"))
+        hit = cut_lineage(best.where(F.col("b.score") > 0).select("bag", F.col("b.rep").alias("rep"), F.col("b.score").alias("score")))
+    release(asked, index, vocabulary)
 
     fallback = reps.agg(F.min_by("rep", "order").alias("first_rep")).withColumn("one", F.lit(1))
     out = bags.join(hit, "bag", "left").withColumn("one", F.lit(1)).join(F.broadcast(fallback), "one")
-    out = out.select("qid", F.coalesce("rep", "first_rep").alias("rep"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    return out.join(reps.select("rep", "target"), "rep").select(F.col("qid").alias(query_id), "rep", "score", "target")
+    return out.select(F.col("qid").alias(query_id), F.coalesce("rep", "first_rep").alias("rep"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@contextmanager
+def one_row_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand Python one row in a batch, for rows that hold whole blocks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def nearest(queries: DataFrame, query_id: str, query_text: str, train: DataFrame, row_id: str, text: str, order: str, target: str) -> DataFrame:
+    """(query_id, rep, score, target): the best labeled text, lowest order on ties. A query that scores
+    nothing takes the first labeled text, as its score ties with every other at zero.
+
+    One index serves one task kind; call it per kind.
+    """
+    reps = representatives(train, row_id, text, order, target)
+    found = _search(queries, query_id, query_text, train, row_id, text, reps)
+    return found.join(reps.select("rep", "target"), "rep").select(query_id, "rep", "score", "target")
 
 
 def as_page_outcome(found: DataFrame, query_id: str) -> DataFrame:

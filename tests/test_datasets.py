@@ -18,6 +18,7 @@ from alertloom.operators import lint
 from alertloom.operators import splits as sp
 from alertloom.operators.ranking import hashed_position
 from alertloom.operators.textmatch import passages_in_text, terms_in_text
+from alertloom.session import cut_lineage
 from alertloom.sources import fingerprint as fp
 from alertloom.sources import readers as rd
 from alertloom.sources import writers as wr
@@ -202,6 +203,42 @@ def test_nearest_example_against_brute_force(spark, monkeypatch, task_rows):
         assert got[qid] == (rep, round(score, 6), rep % 2), (qid, s)
 
 
+def test_no_rows_between_queries_and_labeled_texts(spark, monkeypatch):
+    """What is written and shuffled is one list of words for each text, however many blocks the other side has."""
+    made = []
+    monkeypatch.setattr(lx, "cut_lineage", lambda df: made.append(cut_lineage(df)) or made[-1])
+    counts = []
+    monkeypatch.setattr(lx, "release", lambda *stages: counts.extend((s.columns, s.count()) for s in stages))
+    monkeypatch.setattr(lx, "TASK_ROWS", 40)
+    monkeypatch.setattr(lx, "SHARD_ROWS", 40)
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choices(["the", "of", "to"] + [f"w{i}" for i in range(40)], k=12))
+    t = spark.createDataFrame([(i, text(), i) for i in range(120)], "id long, text string, y long")
+    q = spark.createDataFrame([(i, text()) for i in range(120)], "qid long, text string")
+    assert lx.nearest(q, "qid", "text", t, "id", "text", "id", "y").count() == 120
+    blocks = [n for names, n in counts if "starts" in names]
+    assert len(blocks) == 2 and min(blocks) >= 20
+    assert max(n for _, n in counts) <= 120 * 12
+
+
+def test_sums_that_nearly_tie_are_told_apart():
+    """Many texts of nearly the same score: single precision finds the candidates, double precision the best; the first of equals."""
+    rng = np.random.default_rng(5)
+    words, texts, asked = 400, 300, 20
+    weights = np.repeat(1.0 + rng.random(words)[None], texts, 0) + rng.integers(0, 3, (texts, words)) * 1e-8
+    weights[200] = weights[100]
+
+    def block(values):
+        n = len(values)
+        return {"starts": np.arange(n + 1) * words, "names": np.arange(words) * 7, "at": np.tile(np.arange(words), n), "weights": values.ravel()}
+
+    tf = rng.integers(1, 9, (asked, words)).astype(float)
+    want = np.round(tf @ weights.T, lx.DIGITS)
+    best, score = lx._best_of(block(tf), block(weights))
+    assert np.allclose(score, want.max(1), rtol=0, atol=3e-9) and np.allclose(want[np.arange(asked), best], want.max(1), rtol=0, atol=3e-9)
+    assert (best != 200).all()
+
+
 def test_splits_round_trip_and_context_rules(spark, tmp_path):
     from alertloom.plans import files
 
