@@ -15,7 +15,7 @@ Every query is scored against every labeled text, which is quadratic in time by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from itertools import pairwise
 
@@ -304,22 +304,44 @@ def as_page_outcome(found: DataFrame, query_id: str) -> DataFrame:
     )
 
 
+def _alike(rows: DataFrame, kinds: Sequence[str]) -> dict[str, int]:
+    """A number for each kind. Kinds have the same number if they have the same rows (case_id, state), equally often."""
+    counts = F.array(*[F.count_if(F.col("kind") == k) for k in kinds])
+    seen = rows.groupBy("case_id", F.sha2("state", 256)).agg(counts.alias("n")).select("n")
+    # a flag for each two of a few kinds, true where their counts are the same on every row
+    pairs = [(i, j) for i in range(len(kinds)) for j in range(i)]
+    flags = seen.agg(*[F.bool_and(F.col("n")[i] == F.col("n")[j]).alias(f"{i}_{j}") for i, j in pairs]).first() if pairs else {}
+    number = list(range(len(kinds)))
+    for i, j in pairs:
+        if flags[f"{i}_{j}"]:
+            number[i] = min(number[i], number[j])
+    return dict(zip(kinds, number, strict=True))
+
+
 def nearest_outcomes(calls: DataFrame, train: DataFrame, candidate: str = "lexical") -> DataFrame:
     """Outcome facts of the nearest example of each task kind, as a control that copies labels.
 
     `calls`: case_id, task, kind, state, options. `train`: case_id, kind, state, target (text), an order being that of case_id.
-    Each kind has an index of its own examples only. A kind without examples is `unsupported`; a choice that is not among the call's
+    Each kind has an index of its own examples only; kinds whose examples are the same texts, and asked about the same ones, are
+    searched once. A kind without examples is `unsupported`; a choice that is not among the call's
     options breaks the contract. Probabilities are the copied label and marked as not calibrated.
     """
-    kinds = [r["kind"] for r in calls.select("kind").distinct().collect()]  # three at most
+    kinds = sorted(r["kind"] for r in calls.select("kind").distinct().collect())  # three at most
     known = {r["kind"] for r in train.select("kind").distinct().collect()}
+    both = [k for k in kinds if k in known]
+    asked_alike, taught_alike = (_alike(rows, both) if len(both) > 1 else dict.fromkeys(both, 0) for rows in (calls, train))
+    searched: dict[tuple[int, int], DataFrame] = {}
     out = None
-    for kind in sorted(kinds):
+    for kind in kinds:
         asked = calls.where(F.col("kind") == kind)
         head = asked.select(F.lit(candidate).alias("candidate"), "case_id", "task", "options")
         if kind in known:
-            found = nearest(asked, "case_id", "state", train.where(F.col("kind") == kind), "case_id", "state", "case_id", "target")
-            j = head.join(found.select("case_id", "target"), "case_id")
+            examples = train.where(F.col("kind") == kind)
+            reps = representatives(examples, "case_id", "state", "case_id", "target")
+            group = asked_alike[kind], taught_alike[kind]
+            if group not in searched:
+                searched[group] = _search(asked, "case_id", "state", examples, "case_id", "state", reps)
+            j = head.join(searched[group].join(reps.select("rep", "target"), "rep").select("case_id", "target"), "case_id")
             raw = j.select(
                 "candidate", "case_id", "task", "options", F.lit("ok").alias("status"), F.when(F.lit(kind == "choice"), F.col("target")).alias("choice"),
                 F.lit(None).cast("map<string,double>").alias("choice_probs"), F.when(F.lit(kind == "score"), F.col("target").try_cast("double")).alias("score"),

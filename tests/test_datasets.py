@@ -239,6 +239,26 @@ def test_sums_that_nearly_tie_are_told_apart():
     assert (best != 200).all()
 
 
+def test_kinds_with_the_same_examples_are_searched_once(spark, monkeypatch):
+    searched = []
+    search = lx._search
+    monkeypatch.setattr(lx, "_search", lambda *args: searched.append(1) or search(*args))
+    texts = [(1, "disk full on db"), (2, "login failed twice"), (3, "all quiet"), (4, "alpha beta"), (5, "gamma delta")]
+    train = [(i, s, k, y) for i, s in texts for k, y in (("choice", f"t{i}"), ("noul", str(i % 2)))]
+    calls = [(i, s, task, kind, ["t1", "t2", "t3"]) for i, s in [(11, "disk of db is full"), (12, "login failed"), (13, "nothing")] for task, kind in (("event_type", "choice"), ("page_now", "noul"))]
+    c = spark.createDataFrame(calls, "case_id long, state string, task string, kind string, options array<string>")
+
+    def rows(examples):
+        t = spark.createDataFrame(examples, "case_id long, state string, kind string, target string")
+        return {(r.case_id, r.task): (r.value_type, r.value_page) for r in lx.nearest_outcomes(c, t).collect()}
+
+    want = {(11, "event_type"): ("t1", None), (12, "event_type"): ("t2", None), (13, "event_type"): ("t1", None), (11, "page_now"): (None, True), (12, "page_now"): (None, False), (13, "page_now"): (None, True)}
+    assert rows(train) == want and len(searched) == 1
+    # one example less of one kind, and each kind has its own index again
+    assert rows(train[:-1]) == want and len(searched) == 3
+    assert rows([r for r in train if r[:3] != (2, "login failed twice", "noul")]) == want | {(12, "page_now"): (None, True)} and len(searched) == 5
+
+
 def test_splits_round_trip_and_context_rules(spark, tmp_path):
     from alertloom.plans import files
 
