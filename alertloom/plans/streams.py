@@ -109,7 +109,8 @@ def t5_repeat_attach(spark, sf_dir):
     path = work_path(spark, "minutes")
     heads.unionByName(end, allowMissingColumns=True).write.parquet(path)
     with rn.stores_on_disk(spark):
-        incidents = rn.run_append(so.incident_chain(spark.readStream.schema(so.HEAD).parquet(path)), "incidents")
+        buckets = -(-heads.count() // so.BUCKET_ROWS) + 1
+        incidents = rn.run_append(so.incident_chain(spark.readStream.schema(so.HEAD).parquet(path), buckets), "incidents")
     return so.attach_repeats(_graded(fx.events(spark, sf_dir)), incidents).select("case_id", "host", "signal", "opened_by", "decision")
 
 

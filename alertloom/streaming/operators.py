@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -97,63 +98,116 @@ def open_heads(state: DataFrame) -> DataFrame:
     return state.select("key.host", "key.signal", F.col("key.window.start").alias("minute"), F.col("value.min").alias("first"))
 
 
+def _chain(held: pd.DataFrame, open_: pd.DataFrame) -> pd.DataFrame:
+    """Rows of `held`, sorted by host, signal and minute, that open an incident, all keys at once.
+
+    `open_` (host, signal, opened) is the last incident of each key.
+    """
+    keys = held[["host", "signal"]].ne(held[["host", "signal"]].shift()) & ~(held[["host", "signal"]].isna() & held[["host", "signal"]].shift().isna())
+    new = keys.any(axis=1).to_numpy()
+    new[:1] = True
+    group = np.cumsum(new) - 1
+    at = (group << 32) + held["minute"].to_numpy() // MINUTE
+    before = held.loc[new, ["host", "signal"]].merge(open_, on=["host", "signal"], how="left")["opened"]
+    # the place of the first minute of each key that no incident of before covers
+    wait = INCIDENT_MICROS // MINUTE
+    base = np.arange(len(before), dtype=np.int64) << 32
+    after = np.where(before.notna(), before.fillna(0).astype("int64") // MINUTE + wait + 1, np.iinfo(np.int32).min)
+    ends = np.append(np.flatnonzero(new)[1:], len(held))
+    pos = np.searchsorted(at, base + after)
+    found = []
+    while True:
+        live = pos < ends
+        pos, ends, base = pos[live], ends[live], base[live]
+        if not len(pos):
+            return held.iloc[np.sort(np.concatenate(found))] if found else held.iloc[:0]
+        found.append(pos)
+        pos = np.searchsorted(at, at[pos] + wait + 1)
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_pandas()
+
+
 class IncidentChain(StatefulProcessor):
     """Which minutes of a host and signal open an incident: the first, and the first after each incident has closed.
 
-    Minutes wait until the watermark has passed them, as they may arrive in any order. An incident stays in the state for
-    INCIDENT_HOURS from the minute that opened it; then its timer drops it.
+    The state is that of a bucket of hosts and signals: calls into the state cost far more than the rows in it. Minutes wait until
+    the watermark has passed them, as they may arrive in any order. An incident stays in the state for
+    INCIDENT_HOURS from the minute that opened it; then a timer drops it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "minute bigint, case_id bigint, impact_rank int, urgency_rank int")
-        self.incident = handle.getValueState("incident", "opened bigint")
+        self.waiting = handle.getListState("waiting", "minutes binary")
+        self.incidents = handle.getValueState("incidents", "opened binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            if key[0] is None:  # the end of the stream, no host
+            frame = frame[frame["host"].notna()]  # the end of the stream has no host
+            if frame.empty:
                 continue
-            minutes = micros(frame["minute"])
-            self.waiting.appendList([(int(m), int(f["case_id"]), int(f["impact_rank"]), int(f["urgency_rank"])) for m, f in zip(minutes, frame["first"], strict=True)])
-            self.handle.registerTimer(int(minutes.max()) // 1000)
+            minutes = frame[HELD].assign(minute=micros(frame["minute"]))
+            self.waiting.appendValue((_packed(minutes),))
+            self.handle.registerTimer(int(minutes["minute"].max()) // 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        opened = self.incident.get()[0] if self.incident.exists() else None
-        if opened is not None and upto > opened + INCIDENT_MICROS:
-            self.incident.clear()
-            opened = None
-        held = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
-        out = []
-        for minute, case_id, impact, urgency in held:
-            if minute <= upto and (opened is None or minute > opened + INCIDENT_MICROS):
-                opened = minute
-                out.append((*key, minute, minute + INCIDENT_MICROS + MINUTE - 1, case_id, impact, urgency))
-        left = [row for row in held if row[0] > upto]
-        self.waiting.put(left) if left else self.waiting.clear()
-        if out:
-            self.incident.update((opened,))
-            self.handle.registerTimer((opened + INCIDENT_MICROS + MINUTE) // 1000)
-        frame = pd.DataFrame(out, columns=["host", "signal", "opened", "closes", "case_id", "impact_rank", "urgency_rank"])
-        yield frame.assign(opened=pd.to_datetime(frame["opened"], unit="us"), closes=pd.to_datetime(frame["closes"], unit="us"))
+        kept = _unpacked(self.incidents.get()[0]) if self.incidents.exists() else pd.DataFrame({"host": [], "signal": [], "opened": []})
+        held = [_unpacked(row[0]) for row in self.waiting.get()] if self.waiting.exists() else []
+        held = pd.concat(held, ignore_index=True) if held else pd.DataFrame({c: [] for c in HELD})
+        due = held["minute"] <= upto
+        out = _chain(held[due].sort_values(["host", "signal", "minute"], ignore_index=True), kept) if due.any() else held.iloc[:0]
+        if due.any():
+            self.waiting.put([(_packed(held[~due]),)]) if not due.all() else self.waiting.clear()
+        last = pd.concat([f for f in (kept, out.rename(columns={"minute": "opened"})[["host", "signal", "opened"]]) if len(f)] or [kept])
+        last = last.drop_duplicates(["host", "signal"], keep="last")
+        last = last[last["opened"] + INCIDENT_MICROS >= upto]
+        if len(last):
+            self.incidents.update((_packed(last),))
+            # the next to close; all that are over by then go with it
+            self.handle.registerTimer((int(last["opened"].min()) + INCIDENT_MICROS + MINUTE) // 1000)
+        elif len(kept):
+            self.incidents.clear()
+        if len(out):
+            opened = out["minute"].astype("int64")
+            closes = opened + INCIDENT_MICROS + MINUTE - 1
+            yield out.assign(opened=pd.to_datetime(opened, unit="us"), closes=pd.to_datetime(closes, unit="us"))[["host", "signal", "opened", "closes", "case_id", "impact_rank", "urgency_rank"]]
+        else:
+            yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
+HELD = ["host", "signal", "minute", "case_id", "impact_rank", "urgency_rank"]
 MINUTE = 60_000_000
 INCIDENT_MICROS = INCIDENT_HOURS * 3_600_000_000
+#: Minutes of a bucket, on average, where the caller knows how many there are.
+BUCKET_ROWS = 10_000
 
 
 def micros(column: pd.Series) -> np.ndarray:
     return column.to_numpy(dtype="datetime64[us]").astype("int64")
 
 
-def incident_chain(heads: DataFrame) -> DataFrame:
-    """Incidents of a stream of minute heads: when each opened, the last instant it covers, and the event that opened it."""
-    ordered = heads.withWatermark("minute", "0 seconds").groupBy("host", "signal")
-    return ordered.transformWithStateInPandas(IncidentChain(), INCIDENT, "Append", "EventTime")
+def incident_chain(heads: DataFrame, buckets: int = 1_000) -> DataFrame:
+    """Incidents of a stream of minute heads: when each opened, the last instant it covers, and the event that opened it.
+
+    Hosts and signals are dealt to `buckets`, each a key of the state.
+    """
+    bucket = F.pmod(F.xxhash64("host", "signal"), F.lit(buckets)).alias("bucket")
+    ordered = heads.withWatermark("minute", "0 seconds").select(bucket, "host", "signal", "minute", "first.case_id", "first.impact_rank", "first.urgency_rank")
+    return ordered.groupBy("bucket").transformWithStateInPandas(IncidentChain(), INCIDENT, "Append", "EventTime")
 
 
 def attach_repeats(events: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from alertloom.session import work_path
@@ -94,3 +95,23 @@ def test_open_tails_come_out(spark):
 def test_no_events(spark):
     empty = rn.run_append(so.storm_sessions(stream(spark, [])), "storms", so.open_storms)
     assert empty.count() == 0 and empty.columns == ["host", "signal", "first_us", "size", "duration_us"]
+
+
+def test_incident_chain_of_many_keys_at_once_against_one_by_one():
+    """All hosts and signals of a bucket, some without a signal, some with an incident of before, as each would be alone."""
+    rng = random.Random(11)
+    day = 24 * 60
+    keys = [(f"h{i}", s) for i in range(40) for s in ("error", "view", None)]
+    held = [(h, s, m * so.MINUTE, i, 1, 1) for i, ((h, s), m) in enumerate((k, m) for k in keys for m in sorted(rng.sample(range(30 * day), rng.randrange(1, 25))))]
+    before = {k: rng.randrange(3 * day) * so.MINUTE for k in keys[::3]}
+    want = []
+    for k in keys:
+        opened = before.get(k)
+        for row in held:
+            if row[:2] == k and (opened is None or row[2] > opened + so.INCIDENT_MICROS):
+                opened = row[2]
+                want.append(row[3])
+    rng.shuffle(held)
+    frame = pd.DataFrame(held, columns=so.HELD).sort_values(["host", "signal", "minute"], ignore_index=True)
+    known = pd.DataFrame([(*k, v) for k, v in before.items()], columns=["host", "signal", "opened"])
+    assert sorted(so._chain(frame, known)["case_id"]) == sorted(want)
