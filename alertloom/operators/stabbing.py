@@ -9,6 +9,7 @@ intervals are first turned into an index that a point meets in one row:
 * Time is cut, key by key, into cells of at most LIMIT starts and ends of intervals: a cell with more is cut into so many parts
   that few are left in each, and those with too many again. A key's cells are as many as its intervals ask for, however long
   these are, and however many of them fall on one host or into one minute.
+* A key of at most LIMIT / 2 intervals needs no blocks: the list of them gives the winner at each start and end.
 * A cell's row holds the instants at which its winner changes, the first of them its start.
 
 A point finds its cell by its key and its time, one equi-join for the first cells and one for each time they were cut, and
@@ -87,6 +88,36 @@ def interval_index(intervals: DataFrame, keys: Sequence[str], start: str, end: s
     keys = list(keys)
     micros = intervals.select(*keys, F.unix_micros(start).alias("s"), (F.unix_micros(end) + 1).alias("e"), F.struct(F.col(order).alias("o"), F.col(payload).alias("w")).alias("win"))
     ready = cut_lineage(micros.where("s < e").na.drop(subset=keys))
+    n = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    few = _listed_cells(ready.join(n.where(F.col("n") <= LIMIT // 2), keys, "left_semi"), keys)
+    many = cut_lineage(ready.join(n.where(F.col("n") > LIMIT // 2), keys, "left_semi"))
+    if many.isEmpty():
+        index = Index(keys, [], cut_lineage(few))
+    else:
+        cuts, cells, *stages = _block_cells(many, keys)
+        index = Index(keys, cuts, cut_lineage(few.unionByName(cells)))
+        release(*stages)
+    release(ready, many)
+    return index
+
+
+def _listed_cells(ready: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (keys, lvl, blk, marks) of keys of at most LIMIT / 2 intervals."""
+    listed = ready.groupBy(*keys).agg(F.collect_list(F.struct("s", "e", "win")).alias("all"), F.min("s").alias("first"), (F.max("e") - 1).alias("last"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform("all", lambda x: x["s"]), F.transform("all", lambda x: x["e"]))))
+    opened = listed.withColumn("edges", edges).withColumn("lvl", F.lit(FIRST_LEVEL)).withColumn("blk", F.explode(F.sequence(_block("first", "lvl"), _block("last", "lvl"))))
+    start, end = F.expr("shiftleft(blk, lvl)"), F.expr("shiftleft(blk + 1, lvl)")
+    inside = F.concat(F.array(start), F.filter("edges", lambda at: (at > start) & (at < end)))
+
+    def winner(at: Column) -> Column:
+        return F.array_min(F.transform(F.filter("all", lambda x: (x["s"] <= at) & (at < x["e"])), lambda x: x["win"]))
+
+    marks = F.transform(inside, lambda at: F.struct(at.alias("at"), winner(at).alias("win")))
+    return opened.select(*keys, "lvl", "blk", marks.alias("marks")).where(F.exists("marks", lambda m: m["win"].isNotNull()))
+
+
+def _block_cells(ready: DataFrame, keys: list[str]) -> tuple:
+    """The cuts, the cells (keys, lvl, blk, marks), and the tables these read."""
     edges = cut_lineage(ready.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct())
     spans = ready.groupBy(*keys).agg(F.min("s").alias("first"), (F.max("e") - 1).alias("last"))
     cuts, cells = _cut_cells(edges, spans, keys)
@@ -99,9 +130,7 @@ def interval_index(intervals: DataFrame, keys: Sequence[str], start: str, end: s
     of = blocks.select(*keys, F.col("lvl").alias("level"), F.col("blk").alias("block"), "win")
     won = looked.join(of, [*keys, "level", "block"], "left").groupBy(*keys, "lvl", "blk", "at").agg(F.min("win").alias("win"))
     packed = won.groupBy(*keys, "lvl", "blk").agg(F.sort_array(F.collect_list(F.struct("at", "win"))).alias("marks"))  # LIMIT + 1 at most
-    index = Index(keys, cuts, cut_lineage(packed.where(F.exists("marks", lambda m: m["win"].isNotNull()))))
-    release(ready, edges, blocks)
-    return index
+    return cuts, packed.where(F.exists("marks", lambda m: m["win"].isNotNull())), edges, blocks
 
 
 def _descend(points: DataFrame, cuts: Sequence[DataFrame], keys: Mapping[str, Column]) -> DataFrame:

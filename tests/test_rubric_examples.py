@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from alertloom.operators import rubric as rb
 from alertloom.operators import stabbing
@@ -115,6 +116,24 @@ def test_interval_index_against_brute_force(spark, monkeypatch, limit, aim, step
         assert got[i] == (min(hits)[1] if hits else None), (i, k, ts)
 
 
+def test_keys_of_few_intervals_make_no_blocks(spark, monkeypatch):
+    """Only the key of many intervals meets the aligned blocks; both kinds of key find the same winners."""
+    made = []
+    blocks = stabbing._blocks
+    monkeypatch.setattr(stabbing, "_blocks", lambda ready, keys: made.append({r.k for r in ready.select("k").distinct().collect()}) or blocks(ready, keys))
+    df = spark.range(400).selectExpr("if(id < 100, 'hot', concat('h', id div 4)) AS k", "timestamp_micros(1700000000000000 + id * 7000003) AS s", "timestamp'2039-01-01 00:00:00' AS e", "400 - id AS o", "cast(id AS string) AS w")
+    at = df.select("k", F.col("s").alias("ts"), F.col("w").alias("i")).unionByName(df.selectExpr("k", "timestamp'2035-01-01 00:00:00' AS ts", "'later' AS i"))
+    got = {(r.k, r.i): r.win.w for r in stab(at, "ts", interval_index(df, ["k"], "s", "e", "o", "w")).collect()}
+    assert made == [{"hot"}]
+    want = {(r.k, r.w): r.w for r in df.collect()}
+    last = {}
+    for (k, w) in want:
+        last[k] = max(last.get(k, 0), int(w))
+    assert got == want | {(k, "later"): str(w) for k, w in last.items()}
+    interval_index(df.where("k <> 'hot'"), ["k"], "s", "e", "o", "w")
+    assert len(made) == 1
+
+
 def test_long_intervals_cost_tens_of_rows(spark):
     n = 200
     df = spark.range(n).selectExpr("'h' AS k", "timestamp_micros(1700000000000000 + id * 7000003) AS s", "timestamp'2099-01-01 00:00:00' AS e", "id AS o", "cast(id AS string) AS w")
