@@ -148,7 +148,7 @@ class IncidentChain(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "minutes binary")
-        self.incidents = handle.getValueState("incidents", "opened binary")
+        self.incident = handle.getValueState("incident", "opened binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
@@ -162,7 +162,7 @@ class IncidentChain(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        kept = _unpacked(self.incidents.get()[0]) if self.incidents.exists() else pd.DataFrame({"host": [], "signal": [], "opened": []})
+        kept = _unpacked(self.incident.get()[0]) if self.incident.exists() else pd.DataFrame({"host": [], "signal": [], "opened": []})
         held = [_unpacked(row[0]) for row in self.waiting.get()] if self.waiting.exists() else []
         held = pd.concat(held, ignore_index=True) if held else pd.DataFrame({c: [] for c in HELD})
         due = held["minute"] <= upto
@@ -171,13 +171,15 @@ class IncidentChain(StatefulProcessor):
             self.waiting.put([(_packed(held[~due]),)]) if not due.all() else self.waiting.clear()
         last = pd.concat([f for f in (kept, out.rename(columns={"minute": "opened"})[["host", "signal", "opened"]]) if len(f)] or [kept])
         last = last.drop_duplicates(["host", "signal"], keep="last")
-        last = last[last["opened"] + INCIDENT_MICROS >= upto]
+        # with no minute left to meet them, all that closed before the watermark go
+        past = max(upto, timerValues.getCurrentWatermarkInMs() * 1000) if due.all() else upto
+        last = last[last["opened"] + INCIDENT_MICROS >= past]
         if len(last):
-            self.incidents.update((_packed(last),))
+            self.incident.update((_packed(last),))
             # the next to close; all that are over by then go with it
             self.handle.registerTimer((int(last["opened"].min()) + INCIDENT_MICROS + MINUTE) // 1000)
         elif len(kept):
-            self.incidents.clear()
+            self.incident.clear()
         if len(out):
             opened = out["minute"].astype("int64")
             closes = opened + INCIDENT_MICROS + MINUTE - 1
