@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,9 @@ def leaks(cases: DataFrame, keys: Sequence[str] = LEAK_KEYS) -> DataFrame:
 
 def group_leaks(cases: DataFrame, groups: DataFrame) -> DataFrame:
     """Components that span splits."""
-    joined = cases.select(F.col("pair_id").cast("string").alias("pair_id"), "split").join(groups, "pair_id")
-    g = joined.groupBy("group_id").agg(*_split_flags(F.col("split")))
+    of_pair = cases.groupBy(F.col("pair_id").cast("string").alias("pair_id")).agg(*_split_flags(F.col("split")))
+    flags = [F.bool_or(f"in_{s}").alias(f"in_{s}") for s in (*fv.SPLITS, "other")]
+    g = of_pair.join(groups, "pair_id").groupBy("group_id").agg(*flags)
     n = sum((F.col(f"in_{s}").cast("int") for s in (*fv.SPLITS, "other")), F.lit(0))
     return g.where(n > 1).select(F.lit("leak_group").alias("rule"), F.col("group_id").alias("key"), split_list().alias("detail"))
 
@@ -106,6 +108,8 @@ def foreign_ips(text: Column) -> Column:
 def row_rules(cases: DataFrame, dataset_kind: str, lexicon: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Every rule decided by one row, in one pass.
 
+    The rows are first tested, by compiled code, for any finding at all; the findings are listed for those that have one.
+
     `cases` holds the case columns plus dataset_kind, seed_source, template_id, wrapper_family,
     slang_term, provenance, raw, window (array), label_status, label_version, has_label, has_expected,
     label_page_now. `lexicon` is the versioned list of (term, split) held out per split.
@@ -115,7 +119,10 @@ def row_rules(cases: DataFrame, dataset_kind: str, lexicon: Sequence[tuple[str,
     bprime = c("cohort") == "B_prime"
     claim = text.rlike("(?i)" + fv.PAYLOAD_CLAIM)
 
+    any_of = []
+
     def rule(name: str, cond: Column, detail: Column | str) -> Column:
+        any_of.append(cond)
         d = detail if isinstance(detail, Column) else F.lit(detail)
         return F.array(F.when(cond, F.struct(F.lit(name).alias("rule"), d.alias("detail"))))
 
@@ -137,10 +144,13 @@ def row_rules(cases: DataFrame, dataset_kind: str, lexicon: Sequence[tuple[str,
         rule("label_version", (c("cohort") != "D") & c("has_label") & (c("label_version") != fv.RUBRIC_VERSION), c("label_version")),
         rule("b_prime_lost_page", bprime & c("has_label") & ~c("label_page_now"), c("cohort")),
     ]
+    any_of.append(text.contains(".") & text.rlike(fv.LINT_IPV4))
+    any_of.append(~c("cohort").isin(*fv.LEAK_EXEMPT_COHORTS) & reduce(or_, [text.rlike("(?i)" + p) for p in fv.LEAK_PATTERNS]))
     if terms is not None:
+        any_of += [(F.lit(s) != c("split")) & F.lower(c("raw")).contains(t.lower()) for t, s in lexicon]
         held = F.filter(terms, lambda t: (t["s"] != c("split")) & F.lower(c("raw")).contains(t["t"]))
         found.append(each("lexicon_term", F.transform(held, lambda t: t["t"])))
-    opened = cases.select(c("case_id").cast("string").alias("key"), F.explode(F.array_compact(F.flatten(F.array(*found)))).alias("v"))
+    opened = cases.where(reduce(or_, any_of)).select(c("case_id").cast("string").alias("key"), F.explode(F.array_compact(F.flatten(F.array(*found)))).alias("v"))
     return opened.select("v.rule", "key", "v.detail")
 
 
@@ -191,8 +201,11 @@ def rederived(cases: DataFrame) -> DataFrame:
     again = computed_once(label_nested(stored).select("case_id", "_stored", "label", "error"), "label", "error")
     fields = [f for f in cases.schema["label"].dataType.names if f in again.schema["label"].dataType.names]
     differs = [F.when(~F.col(f"_stored.{f}").eqNullSafe(F.col(f"label.{f}")), f) for f in fields]
-    detail = F.when(F.col("error").isNotNull(), F.concat(F.lit("rubric rejects stored case: "), F.col("error"))).otherwise(F.concat_ws(",", *differs))
-    return again.select(F.lit("label_recheck").alias("rule"), F.col("case_id").cast("string").alias("key"), detail.alias("detail")).where("detail <> ''")
+    same = F.struct(*[F.col(f"_stored.{f}") for f in fields]).eqNullSafe(F.struct(*[F.col(f"label.{f}") for f in fields]))
+    # array_compact runs outside compiled code: the many comparisons of the detail would make the code of the test too long to be compiled
+    detail = F.when(F.col("error").isNotNull(), F.concat(F.lit("rubric rejects stored case: "), F.col("error"))).otherwise(F.array_join(F.array_compact(F.array(*differs)), ","))
+    bad = again.where(F.col("error").isNotNull() | ~same)
+    return bad.select(F.lit("label_recheck").alias("rule"), F.col("case_id").cast("string").alias("key"), detail.alias("detail"))
 
 
 def label_recheck(stored: DataFrame, derived: DataFrame, fields: Sequence[str]) -> DataFrame:

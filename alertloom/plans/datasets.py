@@ -12,6 +12,7 @@ from alertloom.operators import lint as li
 from alertloom.operators import rubric as rb
 from alertloom.operators import splits as sp
 from alertloom.operators import textmatch as tm
+from alertloom.operators.barrier import computed_once
 from alertloom.plans.labeling import _LABEL
 from alertloom.session import cut_lineage
 
@@ -243,7 +244,7 @@ def _stored(spark, sf_dir):
     c = F.col("case_id")
     label = F.when(F.col("label").isNotNull(), F.col("label").withField("priority", F.when(c % 97 == 0, "P0").otherwise(F.col("label.priority"))))
     impact = F.when((c % 89 == 0) & (c % 97 != 0), "huge").otherwise(F.col("evidence.impact"))
-    return cut_lineage(cases.withColumn("label", label).withColumn("evidence", F.col("evidence").withField("impact", impact)))
+    return computed_once(cases.withColumn("label", label).withColumn("evidence", F.col("evidence").withField("impact", impact)), "label")
 
 
 def _recheck(spark, sf_dir):
@@ -278,7 +279,8 @@ def v14_string_rules(spark, sf_dir):
 
 @query("v14_dataset_lint", _LINT.rstrip() + ", " + _GROUPS + ", " + _LABELS + " " + " UNION ALL ".join([_row_rules_sql(), _LEAKS, _GROUP_LEAKS, _PINNED, _COVERAGE, _RECHECK]))
 def v14_dataset_lint(spark, sf_dir):
-    c = fx.lint_cases(spark, sf_dir)
+    """All rules over one table of the cases, written once with the columns that they read."""
+    c = cut_lineage(fx.lint_cases(spark, sf_dir).drop("questions", "file_split", "label_event_type", "label_priority"))
     return li.union_violations(
         [
             li.row_rules(c, fx.LINT_KIND, fx.LEXICON),

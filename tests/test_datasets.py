@@ -1,5 +1,6 @@
 """Splits, ranking, components, lint, passages and nearest examples against brute force."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -18,6 +19,7 @@ from alertloom.operators import lint
 from alertloom.operators import splits as sp
 from alertloom.operators.ranking import hashed_position
 from alertloom.operators.textmatch import passages_in_text, terms_in_text
+from alertloom.plans import registry
 from alertloom.session import cut_lineage
 from alertloom.sources import fingerprint as fp
 from alertloom.sources import readers as rd
@@ -109,6 +111,47 @@ def test_large_component_ids_are_stable(spark):
     assert len(a) == 1 and a == b
 
 
+def test_pairs_of_one_family_need_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(cc, "_large_star", lambda edges, step=cc._large_star: rounds.append(1) or step(edges))
+    links = [(1, 7), (2, 7), (10, 7), (3, 8), (4, None), (5, None), (None, 7), (None, 8), (1, 7)]
+    got = {r.pair_id: r.group_id for r in cc.group_components(spark.createDataFrame(links, "pair_id long, template_family long")).collect()}
+    assert got == brute_groups([(str(p), f"f{f}" if f else f"own{p}") for p, f in links if p])
+    assert not rounds
+
+
+def test_chains_of_whole_numbers(spark):
+    links = [(i, i // 2) for i in range(0, 40)] + [(i + 1, i // 2) for i in range(1, 39, 4)] + [(-5, 0), (100, 99)]
+    got = {r.pair_id: r.group_id for r in cc.group_components(spark.createDataFrame(links, "pair_id long, template_family int")).collect()}
+    assert got == brute_groups([(str(p), f"f{f}") for p, f in links])
+
+
+def test_lint_joins_the_cases_once(spark, tmp_path):
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), i % 3, "error", 5.0 * i, "{}") for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    out = registry.queries()["v14_dataset_lint"](spark, str(tmp_path))
+    leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n").splitlines()
+    assert sum("user_id#" in x for x in leaves) <= 5  # events, changes and incidents of the nested cases
+    assert {"leak_template_family", "leak_group", "label_recheck"} <= {r.rule for r in out.select("rule").distinct().collect()}
+
+
+def test_rows_without_a_finding_are_not_listed(spark):
+    full = dict(
+        case_id=1, cohort="A", split="train", pair_id=1, template_family=1, dataset_kind="derived", seed_source="s", template_id="t", wrapper_family="none",
+        slang_term=None, provenance="p", raw="all well, 192.0.2.7, 300.1.1.1", window=["fine"], label_status="rubric_derived", label_version="2.4.0",
+        has_label=True, has_expected=True, label_page_now=False,
+    )
+    cases = [{}, dict(split=None), dict(raw="at 8.8.8.8"), dict(window=["Page_Now"]), dict(window=["Page_Now"], cohort=None), dict(raw="Term", split="val"), dict(template_id=None), dict(cohort="B_prime", raw=None)]
+    kinds = "case_id int, cohort string, split string, pair_id int, template_family int, dataset_kind string, seed_source string, template_id string, wrapper_family string, slang_term string, provenance string, raw string, window array<string>, label_status string, label_version string, has_label boolean, has_expected boolean, label_page_now boolean"
+    names = [k.split()[0] for k in kinds.split(", ")]
+    df = spark.createDataFrame([tuple((full | c | {"case_id": i})[n] for n in names) for i, c in enumerate(cases)], kinds)
+    got = sorted((r.key, r.rule, r.detail) for r in lint.row_rules(df, "derived", [("term", "train")]).collect())
+    assert got == [
+        ("1", "missing_split", "split"), ("1", "unknown_split", "null"), ("2", "foreign_ip", "8.8.8.8"), ("3", "answer_in_text", "3"),
+        ("5", "lexicon_term", "term"), ("6", "missing_template_id", "template_id"), ("7", "b_prime_lost_page", "B_prime"), ("7", "b_prime_without_claim", "B_prime"),
+    ]
+
+
 def test_leaks_ignore_null_and_none(spark):
     rows = [("train", "p1", "none", None), ("test", "p1", "none", None), ("val", "p2", "W", "s"), ("val", "p2", "W", "s")]
     df = spark.createDataFrame(rows, "split string, pair_id string, wrapper_family string, slang_term string")
