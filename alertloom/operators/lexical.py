@@ -7,9 +7,10 @@ Every query is scored against every labeled text, which is quadratic in time by
 * texts are put in order by the strongest of their words that a good part of all texts has, so that those
   of one subject or language are neighbours, and packed into blocks of bounded size, a row each. The two tables of
   blocks are all that is written. Their pairs are read from there, never shuffled, so disk grows with the texts;
-* a pair of blocks meets in one step of a task, and only the best text of each query leaves it. Words that many texts of both
-  sides have are a matrix product, in single precision where weights allow; all others go through their
-  postings. Texts whose sum may be the best within the error of the product are summed again in double precision.
+* a block is kept word by word, as bytes, so that it goes to Python as it is and two blocks meet without sorting;
+* a pair of blocks meets in one step of a task, and only the best text of each query leaves it, if no block before it had a better
+  one. Words that many texts of both sides have are a matrix product, in single precision where weights allow; all others go
+  through their postings. Texts whose sum may be the best within the error of the product are summed again in double precision.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from alertloom.operators.scoring import to_outcomes
 from alertloom.session import cut_lineage, release
 
 DIGITS = 9
-TASK_ROWS = 500_000  # query words per block, on average
-SHARD_ROWS = 500_000  # postings per block, on average
-BLOCK_TEXTS = 2_048  # most texts in a block
+TASK_ROWS = 1_000_000  # query words per block, on average
+SHARD_ROWS = 1_000_000  # postings per block, on average
+BLOCK_TEXTS = 4_096  # most texts in a block
 BLOCKS = 4  # blocks of a side per task, on average, where there are enough
 ROWS = 256  # queries of a block scored at once
 COMMON = 200  # a word orders its texts if one in so many of them has it, or more
-DENSE = 300  # a word goes into the product if one in so many pairs of texts shares it, or more
+DENSE = 600  # a word goes into the product if one in so many pairs of texts shares it, or more
 MOST_DENSE = 2_048
 GATHERED = 2_000_000  # postings looked up at once
 EPS = 2.0**-23
@@ -46,7 +47,7 @@ EPS = 2.0**-23
 
 def _bag(text: Column) -> Column:
     """A digest of the sorted words. Equal bags score equally against anything."""
-    return F.sha2(F.array_join(F.array_sort(tokens(text)), " "), 256)
+    return F.sha2(F.array_join(F.sort_array(tokens(text)), " "), 256)
 
 
 def _words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,14 +89,27 @@ def build_index(train: DataFrame, row_id: str, text: str, reps: DataFrame) -> tu
     return postings, numbered
 
 
-BLOCK = "part int, starts array<int>, names array<long>, at array<int>, weights array<double>"
+BLOCK = "part int, texts int, names binary, starts binary, rows binary, weights binary"
+#: What the bytes of a block are.
+TYPES = {"names": np.int64, "starts": np.int32, "rows": np.int32, "weights": np.float64}
+
+
+def _turned(starts: np.ndarray, names: np.ndarray, at: np.ndarray, weights: np.ndarray) -> dict:
+    """A block word by word, from one text by text, where the words of text number i are names[at[starts[i]:starts[i + 1]]].
+
+    Word number k, names[k], is in the texts rows[starts[k]:starts[k + 1]], in order.
+    """
+    texts = len(starts) - 1
+    row = np.repeat(np.arange(texts, dtype=np.int32), np.diff(starts))
+    by_word = np.argsort(at, kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))])
+    return {"texts": texts, "names": names, "starts": begins, "rows": row[by_word], "weights": weights[by_word]}
 
 
 def _blocks(words: DataFrame, key: str, order: str, weight: str, n: int, size: int) -> DataFrame:
     """Rows of BLOCK, keys and orders of at most BLOCK_TEXTS texts and about `size` words, from words (key, order, tid, df, weight).
 
-    `n` counts all labeled texts. A range of subjects goes into a block; `names` are the words of a block, and those of its text number i
-    are names[at[starts[i]:starts[i + 1]]].
+    `n` counts all labeled texts. A range of subjects goes into a block.
     """
     kind = {f.name: f.dataType.simpleString() for f in words.schema.fields}
     subject = F.max(F.when(F.col("df") * COMMON >= n, F.struct(weight, "tid")))
@@ -111,16 +125,16 @@ def _blocks(words: DataFrame, key: str, order: str, weight: str, n: int, size: i
         held: list[pa.RecordBatch] = []
         texts = width = 0
 
-        def block() -> pa.RecordBatch:
+        def packed_block() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).sort_by("_order").combine_chunks()
             tids, ws = rows["tids"].combine_chunks(), rows["ws"].combine_chunks()
             lengths = pc.list_value_length(tids).to_numpy()
             names, at = np.unique(tids.flatten().to_numpy(), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            values = (np.array([part], np.int32), [starts], [names], [at.astype(np.int32)], [ws.flatten().to_numpy()])
+            block = _turned(np.concatenate([[0], np.cumsum(lengths)]), names, at, ws.flatten().to_numpy())
+            values = (pa.array([part], pa.int32()), pa.array([block["texts"]], pa.int32()), *(pa.array([block[f].astype(t).tobytes()], pa.binary()) for f, t in TYPES.items()))
             lists = [rows["_key"].combine_chunks(), rows["_order"].combine_chunks()]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-            return pa.RecordBatch.from_arrays([*map(pa.array, values), *lists], names=["part", "starts", "names", "at", "weights", "keys", "orders"])
+            return pa.RecordBatch.from_arrays([*values, *lists], names=["part", "texts", *TYPES, "keys", "orders"])
 
         for batch in batches:
             lengths = pc.list_value_length(batch["tids"]).to_numpy(zero_copy_only=False)
@@ -128,12 +142,12 @@ def _blocks(words: DataFrame, key: str, order: str, weight: str, n: int, size: i
             for i, length in enumerate(lengths):
                 if texts and (texts >= BLOCK_TEXTS or width + length > 2 * size):
                     held.append(batch.slice(first, i - first))
-                    yield block()
+                    yield packed_block()
                     held, first, texts, width = [], i, 0, 0
                 texts, width = texts + 1, width + length
             held.append(batch.slice(first))
         if texts:
-            yield block()
+            yield packed_block()
 
     sorted_texts = texts.repartitionByRange(parts, "subject", F.xxhash64(key)).select(F.col(key).alias("_key"), "_order", "tids", "ws")
     packed = cut_lineage(sorted_texts.mapInArrow(pack, f"{BLOCK}, keys array<{kind[key]}>, orders array<{kind[order]}>"))
@@ -147,96 +161,133 @@ def _dealt(blocks: DataFrame, tasks: int) -> DataFrame:
 
 
 def _best_of(q: dict, d: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(text, score) of the best text of block `d` for every query of block `q`, the first of equals; score 0 where no text scores more."""
-    nq, nd = len(q["starts"]) - 1, len(d["starts"]) - 1
+    """`_meet` of two blocks given text by text (see `_turned`)."""
+    q, d = _turned(**q), _turned(**d)
+    return _meet(q, d, np.zeros(q["texts"]))
+
+
+def _meet(q: dict, d: dict, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, score) of the best text of block `d` for every query of block `q`, the first of equals; score 0 where no text scores
+    more than 0 and as much as `floor`, which has a score for each query."""
+    nq, nd = q["texts"], d["texts"]
+    # the words of both sides: how many texts have each, and where its postings begin
     place = np.minimum(np.searchsorted(d["names"], q["names"]), len(d["names"]) - 1)
-    place = np.where(d["names"][place] == q["names"], place, -1)
-    of_word = place[q["at"]]
-    known = of_word >= 0
-    q_row = np.repeat(np.arange(nq), np.diff(q["starts"]))[known]
-    q_word, q_weight = of_word[known], q["weights"][known]
-    d_row = np.repeat(np.arange(nd), np.diff(d["starts"]))
-    n = len(d["names"])
-    # postings of each word of the block, in order of its texts
-    by_word = np.argsort(d["at"], kind="stable")
-    d_row, d_weight, d_word = d_row[by_word], d["weights"][by_word], d["at"][by_word]
-    df = np.bincount(d_word, minlength=n)
-    shared = np.bincount(q_word, minlength=n) * df.astype(np.float64)
+    known = np.flatnonzero(d["names"][place] == q["names"])
+    (q_n, q_at), (d_n, d_at) = ((np.diff(x["starts"]).astype(np.int64)[k], x["starts"][k].astype(np.int64)) for x, k in ((q, known), (d, place[known])))
+    shared = q_n * d_n.astype(np.float64)
     # the words of the product
-    dense = np.flatnonzero(shared * DENSE >= float(nq) * nd)
-    if len(dense) > MOST_DENSE:
-        dense = dense[np.argsort(-shared[dense], kind="stable")[:MOST_DENSE]]
-    column = np.full(n, -1)
-    column[dense] = np.arange(len(dense))
-    c = len(dense)
-    inside = column[d_word] >= 0
-    d_side = np.bincount(d_row[inside] * c + column[d_word[inside]], d_weight[inside], nd * c).reshape(nd, c)
-    single = np.float32 if d_side.size and d_side.min() >= 0 else np.float64
-    d_fast = np.ascontiguousarray(d_side.T, single)
-    starts = np.concatenate([[0], np.cumsum(df)])
-    bounds = np.searchsorted(q_row, np.arange(0, nq + ROWS, ROWS))
-    best, score = np.zeros(nq, np.int64), np.zeros(nq)
+    dense = shared * DENSE >= float(nq) * nd
+    if dense.sum() > MOST_DENSE:
+        dense = np.zeros(len(known), bool)
+        dense[np.argsort(-shared, kind="stable")[:MOST_DENSE]] = True
+    wide, rare = np.flatnonzero(dense), np.flatnonzero(~dense)
+    c = len(wide)
+    sides = []
+    for x, n, at in ((q, q_n[wide], q_at[wide]), (d, d_n[wide], d_at[wide])):
+        pos = _ranges(at, n)
+        sides.append((np.repeat(np.arange(c), n), x["rows"][pos], x["weights"][pos], x["texts"]))
+    single = np.float32 if all(weight.min(initial=0) >= 0 for _, _, weight, _ in sides) else np.float64
+    q_side, d_side = (_matrix(column, row, weight, c, n, single) for column, row, weight, n in sides)
+    # the postings of all other words, query by query
+    pos = _ranges(q_at[rare], q_n[rare])
+    row = q["rows"][pos]
+    by_row = np.argsort(row.astype(np.min_scalar_type(nq)), kind="stable")
+    row, q_weight, word = row[by_row], q["weights"][pos][by_row], np.repeat(rare, q_n[rare])[by_row]
+    length, at = d_n[word], d_at[word]
+    bounds = np.searchsorted(row, np.arange(0, nq + ROWS, ROWS))
+    space = np.empty((ROWS, nd), single)
+    found = []
     for k, first in enumerate(range(0, nq, ROWS)):
         m = min(ROWS, nq - first)
         span = slice(bounds[k], bounds[k + 1])
-        row, word, weight = q_row[span] - first, q_word[span], q_weight[span]
-        into = column[word]
-        q_side = np.bincount(row[into >= 0] * c + into[into >= 0], weight[into >= 0], m * c).reshape(m, c)
-        rare = into < 0
-        rest = _sums(row[rare], word[rare], weight[rare], starts, df, d_row, d_weight, m, nd)
-        near = (q_side.astype(single) @ d_fast) + rest
-        # the product of c terms of one sign is off by c + 2 roundings at most
-        most = near.max(axis=1)
-        slack = (c + 2) * EPS * np.abs(most) if single is np.float32 else np.full(m, 1e-9) + 1e-12 * np.abs(most)
+        rest = _sums(row[span] - first, q_weight[span], length[span], at[span], d, m)
+        near = np.matmul(q_side[:, first : first + m].T, d_side, out=space[:m])
+        np.add(near, rest, out=near, casting="same_kind")
+        # a sum of c terms of one sign and the rest is off by c + 4 roundings at most
+        most = near.max(axis=1).astype(np.float64)
+        slack = (c + 4) * EPS * np.abs(most) if single is np.float32 else np.full(m, 1e-9) + 1e-12 * np.abs(most)
         # a text that shares nothing is never the best one
-        bar = np.where(most > 0, most - 2 * slack - 10.0**-DIGITS, np.inf)
-        i, j = np.nonzero(near >= bar[:, None])
-        exact = np.empty(len(i))
-        for s in range(0, len(i), 1024):
-            a, b = i[s : s + 1024], j[s : s + 1024]
-            exact[s : s + 1024] = np.einsum("ij,ij->i", q_side[a], d_side[b]) + rest[a, b]
-        exact = np.round(exact, DIGITS)
-        top = np.full(m, -np.inf)
-        np.maximum.at(top, i, exact)
-        won = exact == top[i]
-        # candidates stand in order of query and text, so the first of a query is the first of equals
-        of, at = np.unique(i[won], return_index=True)
-        best[first + of], score[first + of] = j[won][at], top[of]
+        bar = np.maximum(most - 2 * slack, floor[first : first + m] - slack) - 10.0**-DIGITS
+        some = np.flatnonzero((most > 0) & (most >= bar))
+        i, j = np.nonzero(near[some] >= bar[some, None])  # compared in double precision
+        found.append((some[i] + first, j, rest[some[i], j]))
+    i, j, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+    # candidates once more in double precision, from the rows of the product that they need
+    (q_rows, a), (d_rows, b) = (np.unique(x, return_inverse=True) for x in (i, j))
+    q_full, d_full = (_rows(*side, c, rows) for side, rows in zip(sides, (q_rows, d_rows), strict=True))
+    for s in range(0, len(i), ROWS):
+        exact[s : s + ROWS] += np.einsum("ij,ij->i", q_full[a[s : s + ROWS]], d_full[b[s : s + ROWS]])
+    exact = np.round(exact, DIGITS)
+    top = np.full(nq, -np.inf)
+    np.maximum.at(top, i, exact)
+    won = (exact == top[i]) & (exact >= floor[i])
+    # candidates stand in order of query and text, so the first of a query is the first of equals
+    of, at = np.unique(i[won], return_index=True)
+    best, score = np.zeros(nq, np.int64), np.zeros(nq)
+    best[of], score[of] = j[won][at], top[of]
     return best, score
 
 
-def _sums(row, word, weight, starts, df, d_row, d_weight, m: int, nd: int) -> np.ndarray:
-    """(m, nd) sums over the postings of the words (row, word, weight)."""
-    length = df[word]
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions at[0], at[0] + 1 and so on, n[0] of them, then n[1] from at[1]."""
+    return np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)
+
+
+def _matrix(column: np.ndarray, row: np.ndarray, weight: np.ndarray, c: int, n: int, kind: type) -> np.ndarray:
+    """(c, n) matrix of the weights of words (`column`) in texts (`row`)."""
+    out = np.zeros(c * n, kind)
+    out[column * n + row] = weight
+    return out.reshape(c, n)
+
+
+def _rows(column: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, c: int, wanted: np.ndarray) -> np.ndarray:
+    """The weights of the texts `wanted`, of n texts, in double precision, a row for each text."""
+    number = np.full(n, -1)
+    number[wanted] = np.arange(len(wanted))
+    into = number[row]
+    kept = into >= 0
+    return _matrix(into[kept], column[kept], weight[kept], len(wanted), c, np.float64)
+
+
+def _sums(row: np.ndarray, weight: np.ndarray, length: np.ndarray, at: np.ndarray, d: dict, m: int) -> np.ndarray:
+    """(m, texts of d) sums of m queries: a posting (row, weight) meets those of its word in `d`, `length` of them from `at`."""
+    nd = d["texts"]
     upto = np.cumsum(length)
     total = np.zeros(m * nd)
-    cuts = [0, *np.searchsorted(upto, np.arange(GATHERED, upto[-1], GATHERED)).tolist(), len(word)] if len(word) else []
+    cuts = [0, *np.searchsorted(upto, np.arange(GATHERED, upto[-1], GATHERED)).tolist(), len(row)] if len(row) else []
     for lo, hi in pairwise(cuts):
         if lo == hi:
             continue
         n = length[lo:hi]
         # positions of all postings of these words, word after word
-        pos = np.arange(n.sum()) + np.repeat(starts[word[lo:hi]] - np.cumsum(n) + n, n)
-        cell = np.repeat(row[lo:hi] * nd, n) + d_row[pos]
-        total += np.bincount(cell, np.repeat(weight[lo:hi], n) * d_weight[pos], m * nd)
+        pos = _ranges(at[lo:hi], n)
+        cell = np.repeat(row[lo:hi] * np.int64(nd), n) + d["rows"][pos]
+        sums = np.bincount(cell, np.repeat(weight[lo:hi], n) * d["weights"][pos], m * nd)
+        total = total + sums if lo else sums
     return total.reshape(m, nd)
 
 
 def _score(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(bag, rep, order, score): the best text of each block of `index` for each query, where one scores."""
+    """(bag, rep, order, score): the best text of blocks of `index` for each query, where one scores; of the blocks that a task
+    meets one after the other, those that are no better than one before are left out."""
     kind = {f.name: f.dataType for f in index.schema.fields}
     bag = queries.schema["keys"].dataType.elementType.simpleString()
     schema = f"bag {bag}, rep {kind['keys'].elementType.simpleString()}, `order` {kind['orders'].elementType.simpleString()}, score double"
-    fields = ("starts", "names", "at", "weights")
+    fields = ("texts", *TYPES)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, floor = None, np.zeros(0)
         for batch in batches:
             for i in range(batch.num_rows):
-                q, d = ({f: batch[f"{side}_{f}"][i].values.to_numpy() for f in fields} for side in "qd")
-                best, found = _best_of(q, d)
+                q, d = ({f: np.frombuffer(batch[f"{side}_{f}"][i].as_buffer(), t) for f, t in TYPES.items()} | {"texts": batch[f"{side}_texts"][i].as_py()} for side in "qd")
+                keys = batch["q_keys"][i].values
+                if asked is None or not keys.equals(asked):
+                    asked, floor = keys, np.zeros(q["texts"])
+                best, found = _meet(q, d, floor)
+                floor = np.maximum(floor, found)
                 hit = np.flatnonzero(found > 0)
                 text = pa.array(best[hit])
-                columns = [batch["q_keys"][i].values.take(pa.array(hit)), batch["d_keys"][i].values.take(text), batch["d_orders"][i].values.take(text), pa.array(found[hit])]
+                columns = [keys.take(pa.array(hit)), batch["d_keys"][i].values.take(text), batch["d_orders"][i].values.take(text), pa.array(found[hit])]
                 yield pa.RecordBatch.from_arrays(columns, names=["bag", "rep", "order", "score"])
 
     cores = queries.sparkSession.sparkContext.defaultParallelism

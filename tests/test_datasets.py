@@ -282,6 +282,50 @@ def test_sums_that_nearly_tie_are_told_apart():
     assert (best != 200).all()
 
 
+@pytest.mark.parametrize("most_dense", [0, 5, 2048])
+def test_blocks_word_by_word_against_brute_force(monkeypatch, most_dense):
+    """Words of all frequencies, some on one side only, in the product or not; a floor leaves out what is worse and keeps a tie."""
+    monkeypatch.setattr(lx, "MOST_DENSE", most_dense)
+    monkeypatch.setattr(lx, "GATHERED", 1000)
+    rng = np.random.default_rng(11)
+    share = np.array([0.9, 0.7, 0.5, 0.5, 0.3, 0.2] + [0.02] * 60 + [0.002] * 200)
+
+    def side(texts, values, first, last):
+        has = (rng.random((texts, len(share))) < share) & (np.arange(len(share)) >= first) & (np.arange(len(share)) < last)
+        table = np.where(has, values((texts, len(share))), 0.0)
+        row, word = np.nonzero(has)
+        names, at = np.unique(word, return_inverse=True)
+        return table, lx._turned(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=texts))]), names * 5, at, table[row, word])
+
+    tf, q = side(600, lambda n: rng.integers(1, 5, n).astype(float), 0, 250)
+    weights, d = side(150, lambda n: rng.integers(1, 9, n) / 4, 3, 266)
+    want = tf @ weights.T
+    top = want.max(1)
+    best, score = lx._meet(q, d, np.zeros(600))
+    assert (score == top).all() and (best == np.where(top > 0, want.argmax(1), 0)).all()
+    floor = top + np.arange(600) % 3 - 1
+    best, score = lx._meet(q, d, np.maximum(floor, 0))
+    assert (score == np.where(np.arange(600) % 3 == 2, 0, top)).all()
+
+
+def test_blocks_go_to_python_as_bytes(spark, monkeypatch):
+    """Words of a block are no list of values, which would be copied one by one for every pair of blocks; only bests go on."""
+    made, scored = [], []
+    monkeypatch.setattr(lx, "cut_lineage", lambda df: made.append(df.schema) or cut_lineage(df))
+    score = lx._score
+    monkeypatch.setattr(lx, "_score", lambda *args: scored.append(cut_lineage(score(*args))) or scored[-1])
+    monkeypatch.setattr(lx, "TASK_ROWS", 20)
+    monkeypatch.setattr(lx, "SHARD_ROWS", 20)
+    monkeypatch.setattr(lx, "BLOCKS", 1000)
+    t = spark.createDataFrame([(i, f"a b w{i}", i) for i in range(60)], "id long, text string, y long")
+    q = spark.createDataFrame([(100, "a b w7"), (101, "w9 a")], "qid long, text string")
+    got = {r.qid: r.rep for r in lx.nearest(q, "qid", "text", t, "id", "text", "id", "y").collect()}
+    assert got == {100: 7, 101: 9}
+    blocks = [s for s in made if "starts" in s.names]
+    assert len(blocks) == 2 and all(s[f].dataType.simpleString() == "binary" for s in blocks for f in ("names", "starts", "rows", "weights"))
+    assert sum(r.score >= 2 for r in scored[0].collect()) == 2
+
+
 def test_kinds_with_the_same_examples_are_searched_once(spark, monkeypatch):
     searched = []
     search = lx._search
