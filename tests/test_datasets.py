@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -419,6 +420,44 @@ def test_many_small_files_share_a_task(spark, tmp_path, monkeypatch):
     assert stored.select("_metadata.file_path").distinct().count() <= 2 * spark.sparkContext.defaultParallelism  # a file of each task
 
 
+def test_only_large_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Small files are hashed without being opened as text; large ones, whatever is in them, still as they stream by."""
+    rng = random.Random(2)
+    bodies = {"small": b"a\nb", "edge": b"y" * 1000, "feeds": b"\n" * 3000, "random": rng.randbytes(50_000), "open end": b"line\n" * 4000 + b"end", "long": b"z" * 5000 + b"\n"}
+    for name, body in bodies.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f").write_bytes(body)
+    monkeypatch.setattr(fp, "SMALL_BYTES", 1000)
+    streamed, large = fp._streamed, []
+    monkeypatch.setattr(fp, "_streamed", lambda *args: large.append(streamed(*args)) or large[-1])
+    got = {r.path.split("/")[-2]: (r.sha256, r.bytes) for r in fp.file_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {n: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items()}
+    assert len(large) == 1 and large[0].count() == 4
+    monkeypatch.setattr(fp, "SMALL_BYTES", 1 << 20)
+    assert fp.file_fingerprints(spark, str(tmp_path)).count() == 6 and len(large) == 1
+
+
+def test_texts_are_files_of_their_keys(spark, tmp_path):
+    """One whole file for a key of a partition, nothing beside it (no checksum files, whose rights cost a process each)."""
+    rows = [(1, "a"), (2, "b\nc"), (2, "b\nc"), (3, None), (None, "x"), (-4, "ü"), (5, "")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    path = str(tmp_path / "out")
+    wr.write_texts(df.repartition(3, "page_id"), path, "page_id", "html")
+    got = {}
+    for folder, _, names in os.walk(path):
+        if names:
+            assert len(names) == 1 and names[0].startswith("part-")
+            with open(os.path.join(folder, names[0]), "rb") as f:
+                got[os.path.basename(folder)] = f.read()
+    assert got == {"page_id=1": b"a\n", "page_id=2": b"b\nc\nb\nc\n", "page_id=3": b"\n", "page_id=__HIVE_DEFAULT_PARTITION__": b"x\n", "page_id=-4": "ü\n".encode(), "page_id=5": b"\n"}
+    # other keys have Spark's writer, which spells them so that they can be folders
+    wr.write_texts(df.select(F.lit("a/b").alias("k"), "html"), str(tmp_path / "other"), "k", "html")
+    assert "k=a%2Fb" in os.listdir(tmp_path / "other")
+    # an empty table has a folder all the same
+    wr.write_texts(df.where("page_id = 9"), str(tmp_path / "none"), "page_id", "html")
+    assert os.path.isdir(tmp_path / "none")
+
+
 def test_no_split_file_holds_many_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(wr, "FILE_ROWS", 10)
     cases = spark.range(95).select(F.lit("train").alias("split"), F.lit("A").alias("cohort"), F.col("id").alias("case_id"))
