@@ -37,11 +37,12 @@ TASK_ROWS = 1_000_000  # query words per block, on average
 SHARD_ROWS = 1_000_000  # postings per block, on average
 BLOCK_TEXTS = 4_096  # most texts in a block
 BLOCKS = 4  # blocks of a side per task, on average, where there are enough
-ROWS = 256  # queries of a block scored at once
+ROWS = 512  # queries of a block in one matrix product
+CELLS = 100_000  # sums of queries and texts kept at once, so that they stay in a core's cache
 COMMON = 200  # a word orders its texts if one in so many of them has it, or more
-DENSE = 600  # a word goes into the product if one in so many pairs of texts shares it, or more
+DENSE = 500  # a word goes into the product if one in so many pairs of texts shares it, or more
 MOST_DENSE = 2_048
-GATHERED = 2_000_000  # postings looked up at once
+GATHERED = 500_000  # postings looked up at once
 EPS = 2.0**-23
 
 
@@ -186,7 +187,7 @@ def _meet(q: dict, d: dict, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for x, n, at in ((q, q_n[wide], q_at[wide]), (d, d_n[wide], d_at[wide])):
         pos = _ranges(at, n)
         sides.append((np.repeat(np.arange(c), n), x["rows"][pos], x["weights"][pos], x["texts"]))
-    single = np.float32 if all(weight.min(initial=0) >= 0 for _, _, weight, _ in sides) else np.float64
+    single = np.float32 if all(x["weights"].min(initial=0) >= 0 for x in (q, d)) else np.float64
     q_side, d_side = (_matrix(column, row, weight, c, n, single) for column, row, weight, n in sides)
     # the postings of all other words, query by query
     pos = _ranges(q_at[rare], q_n[rare])
@@ -194,23 +195,27 @@ def _meet(q: dict, d: dict, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by_row = np.argsort(row.astype(np.min_scalar_type(nq)), kind="stable")
     row, q_weight, word = row[by_row], q["weights"][pos][by_row], np.repeat(rare, q_n[rare])[by_row]
     length, at = d_n[word], d_at[word]
-    bounds = np.searchsorted(row, np.arange(0, nq + ROWS, ROWS))
+    bounds = np.searchsorted(row, np.arange(nq + 1))
     space = np.empty((ROWS, nd), single)
     found = []
-    for k, first in enumerate(range(0, nq, ROWS)):
-        m = min(ROWS, nq - first)
-        span = slice(bounds[k], bounds[k + 1])
-        rest = _sums(row[span] - first, q_weight[span], length[span], at[span], d, m)
-        near = np.matmul(q_side[:, first : first + m].T, d_side, out=space[:m])
-        np.add(near, rest, out=near, casting="same_kind")
-        # a sum of c terms of one sign and the rest is off by c + 4 roundings at most
-        most = near.max(axis=1).astype(np.float64)
-        slack = (c + 4) * EPS * np.abs(most) if single is np.float32 else np.full(m, 1e-9) + 1e-12 * np.abs(most)
-        # a text that shares nothing is never the best one
-        bar = np.maximum(most - 2 * slack, floor[first : first + m] - slack) - 10.0**-DIGITS
-        some = np.flatnonzero((most > 0) & (most >= bar))
-        i, j = np.nonzero(near[some] >= bar[some, None])  # compared in double precision
-        found.append((some[i] + first, j, rest[some[i], j]))
+    # a product for many queries, then a few of them at a time
+    for start in range(0, nq, ROWS):
+        end = min(start + ROWS, nq)
+        product = np.matmul(q_side[:, start:end].T, d_side, out=space[: end - start])
+        for first in range(start, end, max(1, CELLS // nd)):
+            m = min(max(1, CELLS // nd), end - first)
+            span = slice(bounds[first], bounds[first + m])
+            rest = _sums(row[span] - first, q_weight[span], length[span], at[span], d, m)
+            near = product[first - start : first - start + m]
+            np.add(near, rest, out=near, casting="same_kind")
+            # a sum of c terms of one sign and the rest is off by c + 4 roundings at most
+            most = near.max(axis=1).astype(np.float64)
+            slack = (c + 4) * EPS * np.abs(most) if single is np.float32 else np.full(m, 1e-9) + 1e-12 * np.abs(most)
+            # a text that shares nothing is never the best one
+            bar = np.maximum(most - 2 * slack, floor[first : first + m] - slack) - 10.0**-DIGITS
+            some = np.flatnonzero((most > 0) & (most >= bar))
+            i, j = np.nonzero(near[some] >= bar[some, None])  # compared in double precision
+            found.append((some[i] + first, j, rest[some[i], j]))
     i, j, exact = (np.concatenate(x) for x in zip(*found, strict=True))
     # candidates once more in double precision, from the rows of the product that they need
     (q_rows, a), (d_rows, b) = (np.unique(x, return_inverse=True) for x in (i, j))
